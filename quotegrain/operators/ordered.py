@@ -77,33 +77,42 @@ def _drop_helpers(df: DataFrame, *more: str) -> DataFrame:
     return df.drop("_pos", "_slice", "_hot", *more)
 
 
-def _neighbour(df, keys, order, position, values, out, rows_per_task, forward):
+def neighbours(
+    df: DataFrame, keys, order, position, values, prev="prev", following=None, rows_per_task=ROWS_PER_TASK
+) -> DataFrame:
+    """Add structs of ``values`` from the previous and next row of the key (null at the ends).
+
+    Both sides use one partitioning and one sort; leave a name None to skip that side.
+    """
     sliced = with_slices(df, keys, position, rows_per_task)
     payload = F.struct(*values)
-    sort = [F.col(c).desc() if forward else F.col(c).asc() for c in order]
-    local = F.lag(payload).over(Window.partitionBy(*keys, "_slice").orderBy(*sort))
-    pick = F.min_by if forward else F.max_by
+    window = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    across = Window.partitionBy(*keys).orderBy("_slice")
+    sides = []
+    if prev:
+        sides.append((prev, F.lag(payload).over(window), F.max_by, F.lag))
+    if following:
+        sides.append((following, F.lead(payload).over(window), F.min_by, F.lead))
     edges = (
         sliced.where("_hot")
         .groupBy(*keys, "_slice")
-        .agg(pick(payload, F.struct(*order)).alias("_edge"))
+        .agg(*[pick(payload, F.struct(*order)).alias(f"_edge_{name}") for name, _, pick, _ in sides])
     )
-    along = F.col("_slice").desc() if forward else F.col("_slice").asc()
     carry = edges.withColumn(
-        "_carry", F.lag("_edge").over(Window.partitionBy(*keys).orderBy(along))
+        "_carry",
+        F.struct(*[step(f"_edge_{name}").over(across).alias(name) for name, _, _, step in sides]),
     )
-    joined = _carry_back(sliced.withColumn(out, local), keys, carry, "_carry")
-    return _drop_helpers(joined.withColumn(out, F.coalesce(F.col(out), F.col("_carry"))), "_carry")
+    local = sliced.withColumns({name: column for name, column, _, _ in sides})
+    joined = _carry_back(local, keys, carry, "_carry")
+    filled = joined.withColumns(
+        {name: F.coalesce(F.col(name), F.col(f"_carry.{name}")) for name, _, _, _ in sides}
+    )
+    return _drop_helpers(filled, "_carry")
 
 
 def previous(df: DataFrame, keys, order, position, values, out="prev", rows_per_task=ROWS_PER_TASK):
     """Add ``out``: struct of ``values`` from the previous row of the key, null on the first row."""
-    return _neighbour(df, keys, order, position, values, out, rows_per_task, forward=False)
-
-
-def following(df: DataFrame, keys, order, position, values, out="next", rows_per_task=ROWS_PER_TASK):
-    """Add ``out``: struct of ``values`` from the next row of the key, null on the last row."""
-    return _neighbour(df, keys, order, position, values, out, rows_per_task, forward=True)
+    return neighbours(df, keys, order, position, values, out, None, rows_per_task)
 
 
 def running_max(df: DataFrame, keys, order, position, value: Column, out, rows_per_task=ROWS_PER_TASK):
