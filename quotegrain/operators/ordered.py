@@ -9,6 +9,9 @@ extra column-pruned count and nothing else.
 The hot-key list holds at most ``MAX_HOT_KEYS`` rows, so broadcasting it is safe at any data size. Keys
 beyond the list are smaller than 1/MAX_HOT_KEYS of the data and remain whole. The list only
 chooses the physical split; every row is kept and the result does not depend on it.
+
+A caller that runs many of these over one frame may ask ``split_limit`` first: it returns None when no
+key is hot, and with ``rows_per_task=None`` the operators are plain windows.
 """
 
 from __future__ import annotations
@@ -29,13 +32,21 @@ def _same(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -
     return cond
 
 
+def split_limit(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> int | None:
+    """``rows_per_task`` when some key holds more rows than that, else None. Runs one count."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return rows_per_task if sizes.where(F.col("_n") > rows_per_task).limit(1).count() else None
+
+
 def with_slices(
     df: DataFrame,
     keys: Sequence[str],
     position: Column,
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """Add ``_pos``, ``_slice`` (0 for ordinary keys) and ``_hot``."""
+    if rows_per_task is None:
+        return df.withColumns({"_slice": F.lit(0).cast("long"), "_hot": F.lit(False)})
     df = df.withColumn("_pos", position.cast("double"))
     counted = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_lo"), F.max("_pos").alias("_hi")
@@ -93,6 +104,8 @@ def neighbours(
         sides.append((prev, F.lag(payload).over(window), F.max_by, F.lag))
     if following:
         sides.append((following, F.lead(payload).over(window), F.min_by, F.lead))
+    if rows_per_task is None:
+        return _drop_helpers(sliced.withColumns({name: column for name, column, _, _ in sides}))
     edges = (
         sliced.where("_hot")
         .groupBy(*keys, "_slice")
@@ -123,6 +136,8 @@ def running_max(df: DataFrame, keys, order, position, value: Column, out, rows_p
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
+    if rows_per_task is None:
+        return _drop_helpers(sliced.withColumn(out, F.max("_v").over(window)), "_v")
     tops = sliced.where("_hot").groupBy(*keys, "_slice").agg(F.max("_v").alias("_top"))
     carry = tops.withColumn(
         "_carry",
@@ -148,6 +163,9 @@ def last_value(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     pick = F.min_by if forward else F.max_by
+    local = F.last("_v", ignorenulls=True).over(window)
+    if rows_per_task is None:
+        return _drop_helpers(sliced.withColumn(out, local), "_v")
     edges = (
         sliced.where(F.col("_hot") & F.col("_v").isNotNull())
         .groupBy(*keys, "_slice")
@@ -161,7 +179,6 @@ def last_value(
             Window.partitionBy(*keys).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
         ),
     )
-    local = F.last("_v", ignorenulls=True).over(window)
     joined = _carry_back(sliced.withColumn(out, local), keys, carry, "_carry")
     return _drop_helpers(
         joined.withColumn(out, F.coalesce(F.col(out), F.col("_carry"))), "_carry", "_v"
@@ -172,6 +189,8 @@ def rank_rows(df: DataFrame, keys, order, position, out="rank", rows_per_task=RO
     """Add ``out``: 1-based row number within the key."""
     sliced = with_slices(df, keys, position, rows_per_task)
     local = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*order))
+    if rows_per_task is None:
+        return _drop_helpers(sliced.withColumn(out, local.cast("long")))
     sizes = sliced.where("_hot").groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_size"))
     carry = sizes.withColumn(
         "_carry",

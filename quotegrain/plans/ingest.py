@@ -16,6 +16,7 @@ equal identity.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ from quotegrain.session import cut_lineage
 IDENTITY = ["source_name", "sold_as", "content_quantity", "content_unit", "brand_name"]
 STATE = ["price_cents", "availability", "active", "terms", "valid_until"]
 LISTING = ["listing_id"]
+FOLD_LIMIT = 256
 
 
 @dataclass(frozen=True)
@@ -36,16 +38,20 @@ class Ingested:
     listings: DataFrame  # current listing identity and review flag
 
 
-def _agrees(stored: str, incoming: str) -> Column:
+def _fields_agree(stored: Column, incoming: Column) -> Column:
     """No identity field differs between two known values."""
     ok = F.lit(True)
     for name in IDENTITY:
-        a, b = F.col(f"{stored}.{name}"), F.col(f"{incoming}.{name}")
+        a, b = stored[name], incoming[name]
         ok = ok & (a.isNull() | b.isNull() | (a == b))
     return ok
 
 
-def decide(observations: DataFrame, rows_per_task: int = ordered.ROWS_PER_TASK) -> DataFrame:
+def _agrees(stored: str, incoming: str) -> Column:
+    return _fields_agree(F.col(stored), F.col(incoming))
+
+
+def decide(observations: DataFrame, rows_per_task: int | None = ordered.ROWS_PER_TASK) -> DataFrame:
     """Add ``outcome``: accepted, older_observation or identity_conflict.
 
     ``observations``: listing_id, seq (arrival number, unique in the listing), observed_at, identity fields.
@@ -67,15 +73,18 @@ def decide(observations: DataFrame, rows_per_task: int = ordered.ROWS_PER_TASK)
     return plain.unionByName(several)
 
 
-def _decide_mixed(rows: DataFrame, rows_per_task: int) -> DataFrame:
+def _decide_mixed(rows: DataFrame, rows_per_task: int | None) -> DataFrame:
     position = F.col("seq")
+    rows = cut_lineage(rows)
+    if rows_per_task is not None:
+        rows_per_task = ordered.split_limit(rows, LISTING, rows_per_task)
     marked = ordered.previous(rows, LISTING, ["seq"], position, ["identity"], "_p", rows_per_task)
     opens = F.col("_p").isNull() | ~F.col("_p.identity").eqNullSafe(F.col("identity"))
     marked = marked.withColumn("_open", F.when(opens, F.col("seq"))).drop("_p")
     marked = ordered.last_value(marked, LISTING, ["seq"], position, F.col("_open"), "_earlier", rows_per_task)
     marked = cut_lineage(marked.withColumn("run_seq", F.coalesce("_open", "_earlier")).drop("_open", "_earlier"))
 
-    runs = marked.groupBy(*LISTING, "run_seq").agg(
+    runs = marked.groupBy(*LISTING, F.col("run_seq").cast("long").alias("run_seq")).agg(
         F.first("identity").alias("identity"), F.max("observed_at").alias("top")
     )
     solved = _solve(runs, rows_per_task).select(*LISTING, "run_seq", "stored")
@@ -93,15 +102,58 @@ def _decide_mixed(rows: DataFrame, rows_per_task: int) -> DataFrame:
     return joined.withColumn("outcome", outcome).drop("run_seq", "stored", "_in_run")
 
 
-def _solve(runs: DataFrame, rows_per_task: int) -> DataFrame:
-    """Which runs change the stored row: ``stored`` is what was stored when the run began.
+def _solve(runs: DataFrame, rows_per_task: int | None, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+    """``stored``: what was stored when each run began.
+
+    A run changes the stored row when the last run that did so agrees with it and is not newer. Listings
+    of at most ``fold_limit`` runs are folded in order inside one row; longer ones go to the loop.
+    """
+    runs = cut_lineage(runs)
+    counted = runs.groupBy(*LISTING).agg(F.count(F.lit(1)).alias("_n"))
+    long = counted.where(F.col("_n") > fold_limit).select(*LISTING)
+    short = runs.join(long, LISTING, "left_anti")
+    folded = _fold(short)
+    if long.limit(1).count() == 0:
+        return folded
+    looped = _loop(runs.join(long, LISTING, "left_semi"), rows_per_task)
+    return folded.unionByName(looped.select(*folded.columns))
+
+
+def _fold(runs: DataFrame) -> DataFrame:
+    ordered_runs = F.sort_array(F.collect_list(F.struct("run_seq", "identity", "top")))
+    kind = runs.select(F.struct("identity", "top").alias("x")).schema["x"].dataType.simpleString()
+    none = F.lit(None).cast(kind)
+    start = F.struct(
+        none.alias("stored"), F.array().cast(f"array<struct<run_seq:bigint,stored:{kind}>>").alias("out")
+    )
+
+    def step(acc, run):
+        stored = acc["stored"]
+        good = stored.isNull() | (
+            _fields_agree(stored["identity"], run["identity"]) & (stored["top"] <= run["top"])
+        )
+        return F.struct(
+            F.when(good, F.struct(run["identity"].alias("identity"), run["top"].alias("top")))
+            .otherwise(stored)
+            .cast(kind)
+            .alias("stored"),
+            F.array_append(
+                acc["out"], F.struct(run["run_seq"].alias("run_seq"), stored.alias("stored"))
+            ).alias("out"),
+        )
+
+    done = runs.groupBy(*LISTING).agg(F.aggregate(ordered_runs, start, step)["out"].alias("out"))
+    return done.select(*LISTING, F.inline("out"))
+
+
+def _loop(runs: DataFrame, rows_per_task: int | None) -> DataFrame:
+    """Same answer for long listings, without putting one in a task.
 
-    A run is accepted when the last accepted run before it agrees and is not newer. Starting from
-    "all accepted", the rule is applied to the whole table until nothing moves. Each round fixes at
-    least the next run of every listing, so the end is the sequential answer; runs of different full
-    identities settle in two or three rounds.
+    Starting from "every run is accepted", the rule is applied to the whole table until nothing moves.
+    Each round fixes at least the next run of every listing, so the end is the sequential answer; runs
+    of different full identities settle in two or three rounds. Settled listings leave the loop.
     """
-    state = runs.withColumn("taken", F.lit(True))
+    state, settled = runs.withColumn("taken", F.lit(True)), []
     while True:
         mark = F.when(F.col("taken"), F.struct("identity", "top"))
         seen = ordered.last_value(state, LISTING, ["run_seq"], F.col("run_seq"), mark, "stored", rows_per_task)
@@ -109,9 +161,11 @@ def _solve(runs: DataFrame, rows_per_task: int) -> DataFrame:
             _agrees("stored.identity", "identity") & (F.col("stored.top") <= F.col("top"))
         )
         seen = cut_lineage(seen.withColumn("_good", good))
-        if seen.where("taken <> _good").limit(1).count() == 0:
-            return seen.drop("_good")
-        state = seen.withColumn("taken", F.col("_good")).drop("_good", "stored")
+        moving = seen.where("taken <> _good").select(*LISTING).distinct()
+        if moving.limit(1).count() == 0:
+            return reduce(DataFrame.unionByName, settled, seen.drop("_good"))
+        settled.append(seen.drop("_good").join(moving, LISTING, "left_anti"))
+        state = seen.join(moving, LISTING, "left_semi").withColumn("taken", F.col("_good")).drop("_good", "stored")
 
 
 def expand_offers(accepted: DataFrame, rows_per_task: int = ordered.ROWS_PER_TASK) -> DataFrame:
