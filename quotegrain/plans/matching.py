@@ -47,7 +47,7 @@ def best_name_match(results: DataFrame) -> DataFrame:
     ranked = keyed.withColumn(
         "rank", F.when(F.col("result_key") == F.col("target_key"), 0).when(inside, 1)
     ).where("rank IS NOT NULL")
-    return ordered.earliest(ranked, ["search_id"], ["rank", "seq"], ["drug_name", "rank", "seq"])
+    return ordered.earliest(ranked, ["search_id"], ["rank", "seq", "drug_name"], ["drug_name", "rank", "seq"])
 
 
 def unique_links(products: DataFrame) -> DataFrame:
