@@ -48,3 +48,22 @@ def resolve(df: DataFrame, key: str, target: str, max_depth: int = MAX_DEPTH) ->
         covered *= 2
     good = F.col("done") & (F.col("depth") <= max_depth)
     return state.select(key, F.when(good, F.col("at")).alias("resolved_id"), F.when(good, F.col("depth")).alias("depth"))
+
+
+def reachable(edges: DataFrame, key: str, target: str, roots: DataFrame) -> DataFrame:
+    """Keys on the path of some root. ``edges`` give every key at most one target.
+
+    Each round adds what is one jump away and then doubles the jump, so a chain of n steps takes log2(n)
+    rounds. The loop ends when no root can jump further; state is checkpointed between rounds.
+    """
+    jump = edges.select(F.col(key).alias("_from"), F.col(target).alias("_to"))
+    seen = roots.select(key).distinct()
+    while True:
+        jump, seen = cut_lineage(jump), cut_lineage(seen)
+        step = seen.join(jump, F.col(key) == F.col("_from")).select(F.col("_to").alias(key)).distinct()
+        new = cut_lineage(step.join(seen, key, "left_anti"))
+        if new.limit(1).count() == 0:
+            return seen
+        seen = seen.unionByName(new)
+        further = jump.select(F.col("_from").alias("_to"), F.col("_to").alias("_next"))
+        jump = jump.join(further, "_to").select("_from", F.col("_next").alias("_to"))

@@ -506,3 +506,17 @@ def resolve_components(requests: DataFrame, concepts: DataFrame, relations: Data
         F.when(F.col("p.tty") == "SCDC", "ingredient_strength").when(F.col("p").isNotNull(), "product").alias("scope"),
         F.when(F.col("p").isNotNull(), "verified").otherwise("unverified").alias("status"),
     )
+
+
+def with_components(medications: DataFrame, components: DataFrame) -> DataFrame:
+    """Identities with their ordered components; the status of an unkeyed one is ``legacy``.
+
+    Components number one per ingredient, so the array of an identity is short.
+    """
+    fields = [c for c in components.columns if c not in ("medication_id", "sequence")]
+    nested = components.groupBy("medication_id").agg(
+        F.sort_array(F.collect_list(F.struct("sequence", *fields))).alias("components")
+    )
+    return medications.join(nested, "medication_id", "left").withColumn(
+        "normalization_status", F.coalesce("normalization_status", F.lit("legacy"))
+    )

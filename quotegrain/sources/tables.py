@@ -53,7 +53,7 @@ class Tables:
                 return match.group(0)
             return f"{match.group(1)}{{{name}}}"
 
-        text = text.replace("TIMESTAMP '", "TIMESTAMP_NTZ '")
+        text = text.replace("TIMESTAMP '", "TIMESTAMP_NTZ '").replace("{", "{{").replace("}", "}}")
         text = re.sub(r"((?:FROM|JOIN)\s+)(\w+)", place, text)
         return self.spark.sql(text, **used)
 
