@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import importlib
-import importlib.util
 import re
 from collections.abc import Callable
 
@@ -18,7 +17,7 @@ OPERATORS: dict[str, tuple[str, ...]] = {}
 
 MODULES = [
     "offers", "status", "history", "joins", "household", "compare", "identity",
-    "rekey", "reliability", "capture", "quality", "research", "expressions",
+    "rekey", "reliability", "capture", "quality", "research", "expressions", "streams",
 ]
 
 
@@ -69,6 +68,4 @@ def query(name: str, *operators: str, oracle: str | None = None):
 
 def load_all() -> None:
     for module in MODULES:
-        if importlib.util.find_spec(f"quotegrain.catalog.{module}") is None:
-            continue
         importlib.import_module(f"quotegrain.catalog.{module}")

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from quotegrain.catalog import query
-from quotegrain.functions.hashing import sha256_text
 from quotegrain.operators import ordered
 from quotegrain.plans import history as plan
 from quotegrain.plans import ingest
@@ -138,16 +137,9 @@ def run_source_check(t):
     )
 
 
-# One nested observation per line: its identity text, whether it lists every tier, and its tiers.
-NESTED_SQL = """
-SELECT listing_id, l_orderkey * 64 + l_linenumber * 4 + (l_suppkey / 4) % 4 AS raw_seq, l_suppkey, l_orderkey, l_linenumber,
-  observed_at, run_month, quantity AS top_quantity, price_cents, availability, active, l_partkey,
-  l_linenumber % 2 = 0 AS complete FROM b_observations"""
-
-
-def nested_observations(t):
+def nest_row(observations):
     """Nested observations as capture writes them: tiers up to the ordered amount, some identity drift."""
-    obs = t.observations.withColumnRenamed("quantity", "top_quantity")
+    obs = observations.withColumnRenamed("quantity", "top_quantity")
     offer = lambda q: F.when(
         F.col("top_quantity") >= q,
         F.struct(
@@ -178,12 +170,19 @@ def nested_observations(t):
     )
 
 
-def arrivals(t):
+def nested_observations(t):
+    return nest_row(t.observations)
+
+
+def number_arrivals(rows):
     """Give each observation of a listing its arrival number."""
-    rows = nested_observations(t)
     return ordered.rank_rows(rows, ["listing_id"], ARRIVAL_ORDER, arrival_position(), "seq")
 
 
+def arrivals(t):
+    return number_arrivals(nested_observations(t))
+
+
 @query("obs_flatten", "SRC-02", oracle="""
 SELECT o.listing_id, o.l_orderkey, o.l_linenumber, o.l_suppkey, v.q AS quantity, o.price_cents + v.q AS price_cents, o.availability, o.active
 FROM b_observations o JOIN (VALUES (30), (60), (90)) AS v(q) ON v.q <= o.quantity""")

@@ -26,6 +26,8 @@ def resolve(df: DataFrame, key: str, target: str, max_depth: int = MAX_DEPTH) ->
     covered = 1
     while covered <= max_depth:
         state = cut_lineage(state)
+        if state.where("NOT done").limit(1).count() == 0:
+            break
         hop = state.select(
             F.col(key).alias("_from"),
             F.col("at").alias("_to"),
@@ -50,17 +52,19 @@ def resolve(df: DataFrame, key: str, target: str, max_depth: int = MAX_DEPTH) ->
     return state.select(key, F.when(good, F.col("at")).alias("resolved_id"), F.when(good, F.col("depth")).alias("depth"))
 
 
-def reachable(edges: DataFrame, key: str, target: str, roots: DataFrame) -> DataFrame:
-    """Keys on the path of some root. ``edges`` give every key at most one target.
+def reachable(edges: DataFrame, key: str, target: str, roots: DataFrame, backward: bool = False) -> DataFrame:
+    """Keys on the path of some root; with ``backward``, keys whose own path meets a root.
 
-    Each round adds what is one jump away and then doubles the jump, so a chain of n steps takes log2(n)
-    rounds. The loop ends when no root can jump further; state is checkpointed between rounds.
+    ``edges`` give every key at most one target. Each round adds what is one jump away and then doubles
+    the jump, so a chain of n steps takes log2(n) rounds, and a loop ends like any other path: when a round
+    adds nothing. State is checkpointed between rounds.
     """
     jump = edges.select(F.col(key).alias("_from"), F.col(target).alias("_to"))
     seen = roots.select(key).distinct()
+    start, end = ("_to", "_from") if backward else ("_from", "_to")
     while True:
         jump, seen = cut_lineage(jump), cut_lineage(seen)
-        step = seen.join(jump, F.col(key) == F.col("_from")).select(F.col("_to").alias(key)).distinct()
+        step = seen.join(jump, F.col(key) == F.col(start)).select(F.col(end).alias(key)).distinct()
         new = cut_lineage(step.join(seen, key, "left_anti"))
         if new.limit(1).count() == 0:
             return seen

@@ -168,36 +168,71 @@ def _loop(runs: DataFrame, rows_per_task: int | None) -> DataFrame:
         state = seen.join(moving, LISTING, "left_semi").withColumn("taken", F.col("_good")).drop("_good", "stored")
 
 
-def expand_offers(accepted: DataFrame, rows_per_task: int = ordered.ROWS_PER_TASK) -> DataFrame:
-    """Accepted observations to offer rows, each with the next complete observation of its listing."""
+def expand_offers(accepted: DataFrame, stored: DataFrame | None = None, rows_per_task=ordered.ROWS_PER_TASK):
+    """Accepted observations to offer rows, each with the next complete observation of its listing.
+
+    ``stored`` offers join in as rows of the stored observation, which has seq < 0.
+    """
     closing = F.when(F.col("complete"), F.struct("seq", "observed_at", "run_id"))
     marked = ordered.last_value(
         accepted, LISTING, ["seq"], F.col("seq"), closing, "closing", rows_per_task, forward=True
     )
-    return marked.select(
+    rows = marked.select(
         *LISTING, "seq", "observed_at", "run_id", "closing", F.explode("offers").alias("offer")
     ).select(*LISTING, "seq", "observed_at", "run_id", "closing", "offer.*")
+    if stored is None:
+        return rows
+    ends = marked.where("seq < 0").select(*LISTING, "seq", "closing")
+    return rows.unionByName(stored.drop("seq").join(ends, LISTING))
+
 
+def stored_observations(listings: DataFrame, like: DataFrame) -> DataFrame:
+    """Stored listing rows as the observation before the batch: seq -1, no offers, never complete.
 
-def apply(observations: DataFrame, offer_key: list[str], rows_per_task: int = ordered.ROWS_PER_TASK) -> Ingested:
-    """One batch: decide, retire, detect changes. Stored rows enter as observations with seq < 0."""
-    decided = cut_lineage(decide(observations, rows_per_task))
+    ``listings``: listing_id, identity fields, observed_at (newest accepted time), needs_review.
+    """
+    none = {
+        c: F.lit(None).cast(like.schema[c].dataType)
+        for c in like.columns
+        if c not in (*LISTING, *IDENTITY, "observed_at", "seq", "complete", "offers")
+    }
+    empty = F.array().cast(like.schema["offers"].dataType)
+    return listings.withColumns(
+        {"seq": F.lit(-1).cast(like.schema["seq"].dataType), "complete": F.lit(False), "offers": empty, **none}
+    ).select(*like.columns)
+
+
+def apply(
+    observations: DataFrame,
+    offer_key: list[str],
+    stored_listings: DataFrame | None = None,
+    stored_offers: DataFrame | None = None,
+    rows_per_task: int = ordered.ROWS_PER_TASK,
+) -> Ingested:
+    """One batch: decide, retire, detect changes.
+
+    ``observations``: listing_id, seq >= 0 (arrival number in the listing), observed_at, run_id, complete,
+    identity fields, offers (array of key and state fields). Stored frames are what ``Ingested`` returned before.
+    """
+    arrived = observations
+    if stored_listings is not None:
+        arrived = observations.unionByName(stored_observations(stored_listings, observations))
+    decided = cut_lineage(decide(arrived, rows_per_task))
     accepted = decided.where(F.col("outcome") == "accepted")
     keys = [*LISTING, *offer_key]
-    rows = expand_offers(accepted, rows_per_task)
+    rows = expand_offers(accepted, stored_offers, rows_per_task)
     rows = ordered.neighbours(
         rows, keys, ["seq"], F.col("seq"), ["seq", *STATE, "closing"], "prev", "next", rows_per_task
     )
     retired_before = F.coalesce(F.col("prev.active") & (F.col("prev.closing.seq") < F.col("seq")), F.lit(False))
-    same = F.col("prev.active").eqNullSafe(F.col("active")) & ~retired_before
-    same_when_retired = retired_before & ~F.col("active")
+    kept = F.lit(True)
     for name in STATE:
         if name != "active":
-            same = same & F.col(f"prev.{name}").eqNullSafe(F.col(name))
-            same_when_retired = same_when_retired & F.col(f"prev.{name}").eqNullSafe(F.col(name))
+            kept = kept & F.col(f"prev.{name}").eqNullSafe(F.col(name))
+    was_active = F.col("prev.active") & ~retired_before
     rows = rows.withColumns(
         {
-            "changed": F.col("prev").isNull() | ~(same | same_when_retired),
+            "changed": F.col("prev").isNull() | ~(kept & was_active.eqNullSafe(F.col("active"))),
             "retires": F.col("active")
             & F.col("closing").isNotNull()
             & (F.col("next").isNull() | (F.col("next.seq") > F.col("closing.seq"))),
@@ -216,8 +251,13 @@ def apply(observations: DataFrame, offer_key: list[str], rows_per_task: int = or
     current = (
         rows.where("next IS NULL AND NOT retires").select(*columns).unionByName(closed.where("_last").select(*columns))
     )
-    newest = ordered.latest(accepted, LISTING, ["seq"], IDENTITY)
+    newest = ordered.latest(accepted, LISTING, ["seq"], [*IDENTITY, "observed_at"])
     reviews = decided.groupBy(*LISTING).agg(
         F.bool_or(F.col("outcome") == "identity_conflict").alias("needs_review")
     )
-    return Ingested(decided, current, history, newest.join(reviews, LISTING))
+    if stored_listings is not None:
+        before = stored_listings.select(*LISTING, F.col("needs_review").alias("_before"))
+        reviews = reviews.join(before, LISTING, "left").select(
+            *LISTING, (F.col("needs_review") | F.coalesce("_before", F.lit(False))).alias("needs_review")
+        )
+    return Ingested(decided.where("seq >= 0"), current, history, newest.join(reviews, LISTING))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quotegrain.functions import money, text, urls
 from quotegrain.operators import ordered
-from quotegrain.operators.redirects import reachable, resolve
+from quotegrain.operators.redirects import reachable
 
 # Plural units a caller may use.
 UNIT_ALIASES = {"tablets": "tablet", "capsules": "capsule"}
@@ -153,13 +153,10 @@ def complete_pages(pages: DataFrame) -> DataFrame:
     linked = pages.join(targets, ["query_key", "next_cursor"], "left").select(
         "page_id", "cursor", F.col("next_cursor").isNull().alias("ends"), "next_id"
     )
-    # A page whose continuation is missing points at no page, so its chain never ends.
-    steps = linked.select(
-        "page_id", F.when(~F.col("ends"), F.coalesce("next_id", F.lit(-1))).alias("next_id")
-    )
-    ends = resolve(steps, "page_id", "next_id", max_depth=1 << 20)
-    starts = linked.where("cursor IS NULL").join(ends.where("resolved_id IS NOT NULL"), "page_id").select("page_id")
-    seen = reachable(steps.where("next_id IS NOT NULL"), "page_id", "next_id", starts)
+    steps = linked.where("next_id IS NOT NULL").select("page_id", "next_id")
+    finishing = reachable(steps, "page_id", "next_id", linked.where("ends").select("page_id"), backward=True)
+    starts = linked.where("cursor IS NULL").join(finishing, "page_id", "left_semi").select("page_id")
+    seen = reachable(steps, "page_id", "next_id", starts)
     return pages.select("page_id").join(seen.withColumn("complete", F.lit(True)), "page_id", "left").select(
         "page_id", F.coalesce("complete", F.lit(False)).alias("complete")
     )
