@@ -3,15 +3,15 @@
 A plain window puts all rows of a key in one task. Here a key with more than ``rows_per_task``
 rows is cut into consecutive slices along a numeric ``position`` that never decreases in the
 row order. Each slice is windowed on its own, a one-row summary per slice is carried forward,
-and the carry is joined back. Keys below the limit stay in one slice, so ordinary data pays one
-extra column-pruned count and nothing else.
+and the carry is joined back. Whether any key is that large is found by one count over the key
+columns before the plan is made; when none is, the plan is the plain window.
 
 The hot-key list holds at most ``MAX_HOT_KEYS`` rows, so broadcasting it is safe at any data size. Keys
 beyond the list are smaller than 1/MAX_HOT_KEYS of the data and remain whole. The list only
 chooses the physical split; every row is kept and the result does not depend on it.
 
-A caller that runs many of these over one frame may ask ``split_limit`` first: it returns None when no
-key is hot, and with ``rows_per_task=None`` the operators are plain windows.
+A caller that runs several of these over one staged frame asks ``split_limit`` itself and passes the
+answer on: ``rows_per_task=None`` means no key is hot.
 """
 
 from __future__ import annotations
@@ -95,6 +95,8 @@ def neighbours(
 
     Both sides use one partitioning and one sort; leave a name None to skip that side.
     """
+    if rows_per_task is not None:
+        rows_per_task = split_limit(df, keys, rows_per_task)
     sliced = with_slices(df, keys, position, rows_per_task)
     payload = F.struct(*values)
     window = Window.partitionBy(*keys, "_slice").orderBy(*order)
@@ -130,6 +132,8 @@ def previous(df: DataFrame, keys, order, position, values, out="prev", rows_per_
 
 def running_max(df: DataFrame, keys, order, position, value: Column, out, rows_per_task=ROWS_PER_TASK):
     """Add ``out``: largest ``value`` among all earlier rows of the key (null if none)."""
+    if rows_per_task is not None:
+        rows_per_task = split_limit(df, keys, rows_per_task)
     sliced = with_slices(df.withColumn("_v", value), keys, position, rows_per_task)
     window = (
         Window.partitionBy(*keys, "_slice")
@@ -155,6 +159,8 @@ def last_value(
     df: DataFrame, keys, order, position, value: Column, out, rows_per_task=ROWS_PER_TASK, forward=False
 ):
     """Add ``out``: nearest non-null ``value`` strictly before the row (after it if ``forward``)."""
+    if rows_per_task is not None:
+        rows_per_task = split_limit(df, keys, rows_per_task)
     sliced = with_slices(df.withColumn("_v", value), keys, position, rows_per_task)
     sort = [F.col(c).desc() if forward else F.col(c).asc() for c in order]
     window = (
@@ -187,6 +193,8 @@ def last_value(
 
 def rank_rows(df: DataFrame, keys, order, position, out="rank", rows_per_task=ROWS_PER_TASK):
     """Add ``out``: 1-based row number within the key."""
+    if rows_per_task is not None:
+        rows_per_task = split_limit(df, keys, rows_per_task)
     sliced = with_slices(df, keys, position, rows_per_task)
     local = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*order))
     if rows_per_task is None:

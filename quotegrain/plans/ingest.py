@@ -51,33 +51,37 @@ def _agrees(stored: str, incoming: str) -> Column:
     return _fields_agree(F.col(stored), F.col(incoming))
 
 
+def _stage(observations: DataFrame, rows_per_task: int | None) -> tuple[DataFrame, int | None]:
+    """Write the batch down once, since every step reads it, and see whether any listing is hot.
+
+    An offer occurs at most once per observation, so no offer key is hot when no listing is.
+    """
+    rows = cut_lineage(observations.withColumn("identity", F.struct(*IDENTITY)))
+    return rows, ordered.split_limit(rows, LISTING, rows_per_task) if rows_per_task else None
+
+
 def decide(observations: DataFrame, rows_per_task: int | None = ordered.ROWS_PER_TASK) -> DataFrame:
     """Add ``outcome``: accepted, older_observation or identity_conflict.
 
     ``observations``: listing_id, seq (arrival number, unique in the listing), observed_at, identity fields.
     """
-    rows = observations.withColumn("identity", F.struct(*IDENTITY))
+    return _decide(*_stage(observations, rows_per_task))
+
+
+def _decide(rows: DataFrame, limit: int | None) -> DataFrame:
     spread = rows.groupBy(*LISTING).agg(F.min("identity").alias("_a"), F.max("identity").alias("_b"))
     mixed = spread.where(~F.col("_a").eqNullSafe(F.col("_b"))).select(*LISTING)
-    plain = rows.join(mixed, LISTING, "left_anti")
-    position = F.col("seq")
-
     plain = ordered.running_max(
-        plain, LISTING, ["seq"], position, F.col("observed_at"), "_newest", rows_per_task
+        rows.join(mixed, LISTING, "left_anti"), LISTING, ["seq"], F.col("seq"), F.col("observed_at"), "_newest", limit
     ).withColumn(
         "outcome",
         F.when(F.col("_newest") > F.col("observed_at"), "older_observation").otherwise("accepted"),
     ).drop("_newest")
-
-    several = _decide_mixed(rows.join(mixed, LISTING, "left_semi"), rows_per_task)
-    return plain.unionByName(several)
+    return plain.unionByName(_decide_mixed(rows.join(mixed, LISTING, "left_semi"), limit))
 
 
 def _decide_mixed(rows: DataFrame, rows_per_task: int | None) -> DataFrame:
     position = F.col("seq")
-    rows = cut_lineage(rows)
-    if rows_per_task is not None:
-        rows_per_task = ordered.split_limit(rows, LISTING, rows_per_task)
     marked = ordered.previous(rows, LISTING, ["seq"], position, ["identity"], "_p", rows_per_task)
     opens = F.col("_p").isNull() | ~F.col("_p.identity").eqNullSafe(F.col("identity"))
     marked = marked.withColumn("_open", F.when(opens, F.col("seq"))).drop("_p")
@@ -217,7 +221,8 @@ def apply(
     arrived = observations
     if stored_listings is not None:
         arrived = observations.unionByName(stored_observations(stored_listings, observations))
-    decided = cut_lineage(decide(arrived, rows_per_task))
+    staged, rows_per_task = _stage(arrived, rows_per_task)
+    decided = cut_lineage(_decide(staged, rows_per_task))
     accepted = decided.where(F.col("outcome") == "accepted")
     keys = [*LISTING, *offer_key]
     rows = expand_offers(accepted, stored_offers, rows_per_task)
