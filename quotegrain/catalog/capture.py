@@ -20,7 +20,7 @@ WITH h AS (SELECT DISTINCT page_id, url AS page_url, UNNEST(regexp_extract_all(h
 p AS (SELECT page_id, page_url, {PERCENT.format('href')} AS path FROM h)
 SELECT DISTINCT page_id, page_url, 'https://' || {HOST.format('page_url')} || path AS url, {REASON} AS reason FROM p""")
 def page_links(t):
-    return plan.page_links(t.pages, SITE, same_host=True)
+    return plan.page_links(t.spread("pages"), SITE, same_host=True)
 
 
 CLEAN_QUERY = """regexp_replace(regexp_replace(regexp_extract(url, '(\\?[^#]*)', 1), '([?&])utm_[^&]*', '\\1', 'g'), '[?&]+$', '')"""
@@ -56,7 +56,7 @@ def query_parameters(t):
 SELECT page_id, REPLACE(REPLACE(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '&nbsp;', chr(160)) AS title,
   len(regexp_extract_all(html, '<h1')) AS headings, len(list_distinct(regexp_extract_all(html, '<a [^>]*?href="([^"]*)"', 1))) AS links, FALSE AS has_product FROM pages""")
 def page_snapshot(t):
-    snaps = plan.page_snapshots(t.pages)
+    snaps = plan.page_snapshots(t.spread("pages"))
     return snaps.select(
         "page_id", "title", F.size("h1").alias("headings"), F.size("links").alias("links"), F.col("product").isNotNull().alias("has_product")
     )
@@ -216,7 +216,7 @@ def validate_observations(t):
     )
     second = F.when(F.col("l_linenumber") == 6, "30.0").otherwise("90")
     offers = F.array(offer(text("30"), True), offer(second, False))
-    rows = t.lineitem.select(
+    rows = t.spread("lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         F.when(p % 101 == 0, "").otherwise("key").alias("source_product_key"), text("name").alias("source_name"),
         F.when(p % 103 != 0, F.col("l_shipdate")).alias("observed_at"), offers.alias("offers"),

@@ -12,7 +12,7 @@ from quotegrain.plans import identity as identity_plan
 @query("search_text", "SCL-01", "SCL-18", "UDF-03", oracle=f"""
 SELECT doc_id, sha256({q.norm('text')}) AS text_hash, LENGTH({q.norm('text')}) AS chars, len({q.tokens(q.norm('text'))}) AS distinct_tokens FROM documents""")
 def search_text(t):
-    cleaned = t.documents.select("doc_id", text.search_text(F.col("text")).alias("s"))
+    cleaned = t.spread("documents").select("doc_id", text.search_text(F.col("text")).alias("s"))
     return cleaned.select(
         "doc_id", F.sha2("s", 256).alias("text_hash"), F.length("s").alias("chars"), F.size(text.tokens(F.col("s"))).alias("distinct_tokens")
     )

@@ -68,7 +68,7 @@ def ledger(t):
         F.lit("q"), F.concat(F.lit(" Item "), k, F.lit(" ")), F.lit("limit"), (F.col("event_id") % 3).cast("string"),
         F.lit("quantity"), F.when(F.col("event_id") % 2 == 0, "30").otherwise("30.0"), F.lit("unit"), F.when(F.col("user_id") % 2 == 0, "tablets").otherwise("tablet"),
     )
-    return t.events.select("event_id", F.col("event_id").alias("call_id"), tool.alias("tool"), args.alias("arguments"),
+    return t.spread("events").select("event_id", F.col("event_id").alias("call_id"), tool.alias("tool"), args.alias("arguments"),
                            F.when(F.col("value") < 2, "error").otherwise("ok").alias("status"))
 
 

@@ -37,11 +37,9 @@ def dollars(cents: Column) -> Column:
 
 
 def quantity(text: Column) -> Column:
-    """Positive exact quantity up to the maximum, else null. Rejects signs and exponents."""
-    plain = F.when(text.rlike(r"^[0-9]+([.][0-9]+)?$"), text)
-    short = F.regexp_replace(plain, r"([.][0-9]*?)0+$", "$1")
-    exact = F.when(F.regexp_replace(short, r"^[0-9]+[.]?", "").rlike(r"^[0-9]{0,6}$"), short)
-    value = exact.try_cast("decimal(20,6)")
+    """Positive exact quantity up to the maximum, else null. Rejects signs, exponents and a seventh decimal."""
+    # The guard is inside the cast, and lets through only what the cast keeps exactly.
+    value = F.when(text.rlike(r"^[0-9]+([.][0-9]{1,6}0*)?$"), text).try_cast("decimal(20,6)")
     return F.when((value > 0) & (value <= MAX_QUANTITY), value)
 
 

@@ -169,21 +169,29 @@ def observation_reasons(observations: DataFrame) -> DataFrame:
 
     Offer keys are compared inside the row: the array is one observation's own tiers.
     """
-    o = F.col("offers")
-    bad = lambda test: F.exists(o, lambda q: F.coalesce(test(q), F.lit(True)))
-    key = lambda q: F.concat_ws("|", money.quantity_text(money.quantity(q["quantity"])), q["seller_key"], q["location_key"], q["program_key"], q["currency"])
-    keys = F.transform(o, key)
+    def parsed(q):
+        quantity = money.quantity(q["quantity"])
+        return F.struct(
+            quantity.isNull().alias("invalid_quantity"),
+            (q["price_cents"].isNotNull() & ~q["price_cents"].rlike("^[0-9]+$")).alias("invalid_cents"),
+            (F.coalesce(q["currency"], F.lit("")) != "USD").alias("invalid_currency"),
+            ((q["availability"] == "in_stock") & q["price_cents"].isNull()).alias("missing_price"),
+            F.concat_ws(
+                "|", quantity.cast("string"), q["seller_key"], q["location_key"], q["program_key"], q["currency"]
+            ).alias("key"),
+        )
+
+    staged = observations.withColumn("_o", F.transform("offers", parsed))
+    any_offer = lambda name: F.when(F.exists("_o", lambda q: F.coalesce(q[name], F.lit(False))), F.lit(name))
+    keys = F.col("_o.key")
     checks = [
         F.when((F.coalesce("source_product_key", F.lit("")) == "") | (F.coalesce("source_name", F.lit("")) == ""), F.lit("missing_identity")),
         F.when(F.col("observed_at").isNull(), F.lit("invalid_observation_time")),
-        F.when(F.size(o) == 0, F.lit("no_offers")),
-        F.when(bad(lambda q: money.quantity(q["quantity"]).isNull()), F.lit("invalid_quantity")),
-        F.when(bad(lambda q: q["price_cents"].isNotNull() & ~q["price_cents"].rlike("^[0-9]+$")), F.lit("invalid_cents")),
-        F.when(bad(lambda q: q["currency"] != "USD"), F.lit("invalid_currency")),
-        F.when(bad(lambda q: (q["availability"] == "in_stock") & q["price_cents"].isNull()), F.lit("missing_price")),
+        F.when(F.size("_o") == 0, F.lit("no_offers")),
+        *[any_offer(name) for name in ("invalid_quantity", "invalid_cents", "invalid_currency", "missing_price")],
         F.when(F.size(F.array_distinct(keys)) < F.size(keys), F.lit("duplicate_quantity_context")),
     ]
-    return observations.withColumn("reasons", F.array_compact(F.array(*checks)))
+    return staged.withColumn("reasons", F.array_compact(F.array(*checks))).drop("_o")
 
 
 STRENGTH_UNIT = "(?:mcg|µg|μg|ug|mg|g|u|units?|iu|meq|%)"

@@ -241,19 +241,18 @@ def candidates(
 
     postings = ids.select("rxcui", "concept_tokens", F.explode("concept_tokens").alias("word"))
     spread = postings.groupBy("word").agg(F.count(F.lit(1)).alias("_df"))
-    name_words = asked.select("input_hash", text.tokens(F.col("norm_name")).alias("name_tokens"))
+    names = asked.select("norm_name").distinct().select("norm_name", text.tokens(F.col("norm_name")).alias("name_tokens"))
     rarest = (
-        name_words.select("input_hash", "name_tokens", F.explode("name_tokens").alias("word"))
+        names.select("norm_name", "name_tokens", F.explode("name_tokens").alias("word"))
         .join(spread, "word")
-        .groupBy("input_hash", "name_tokens")
+        .groupBy("norm_name", "name_tokens")
         .agg(F.min_by("word", F.struct("_df", "word")).alias("word"), F.count(F.lit(1)).alias("_known"))
         # A word no concept has means no concept holds them all.
         .where(F.col("_known") == F.size("name_tokens"))
     )
-    by_name = (
-        rarest.join(postings, "word")
-        .where(text.subset(F.col("name_tokens"), F.col("concept_tokens")))
-        .select("input_hash", "rxcui", F.lit(4).alias("rank"))
+    held = rarest.join(postings, "word").where(text.subset(F.col("name_tokens"), F.col("concept_tokens")))
+    by_name = asked.select("input_hash", "norm_name").join(held.select("norm_name", "rxcui"), "norm_name").select(
+        "input_hash", "rxcui", F.lit(4).alias("rank")
     )
     found = by_code.unionByName(by_text).unionByName(by_words)
     if approximate:

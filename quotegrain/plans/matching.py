@@ -36,11 +36,13 @@ def best_name_match(results: DataFrame) -> DataFrame:
 
     ``results``: search_id, target, seq, drug_name.
     """
-    keyed = results.withColumns(
-        {"target_parts": text.drug_parts(F.col("target")), "result_parts": text.drug_parts(F.col("drug_name"))}
-    ).withColumns(
-        {"target_key": F.array_join("target_parts", ";"), "result_key": F.array_join("result_parts", ";")}
+    # The same names come back in many searches, so each distinct text is cleaned once.
+    names = results.select(F.col("target").alias("text")).union(results.select("drug_name")).distinct()
+    cleaned = names.select("text", text.drug_parts(F.col("text")).alias("parts"))
+    side = lambda name, prefix: cleaned.select(
+        F.col("text").alias(name), F.col("parts").alias(f"{prefix}_parts"), F.array_join("parts", ";").alias(f"{prefix}_key")
     )
+    keyed = results.join(side("target", "target"), "target").join(side("drug_name", "result"), "drug_name")
     inside = F.forall("result_parts", lambda p: F.contains(F.col("target_key"), p)) | F.forall(
         "target_parts", lambda p: F.contains(F.col("result_key"), p)
     )

@@ -51,3 +51,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out when a scan has fewer partitions than there are cores, before row work that is
+    heavy on the processor. A large input has more partitions than that and passes through unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

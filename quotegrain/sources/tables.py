@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotegrain.operators import ordered
+from quotegrain.session import spread
 from quotegrain.sources.bridge import AS_OF, VIEWS
 
 OFFER_KEY = ["listing_id", "quantity"]
@@ -39,6 +40,10 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table dealt out over the cores when its files give fewer partitions."""
+        return spread(self.table(name))
+
     def sql(self, text: str) -> DataFrame:
         """Run SQL whose FROM/JOIN names are tables or views of this folder."""
         used: dict[str, DataFrame] = {}
