@@ -9,8 +9,8 @@ The rules, per listing and in the order rows arrived:
 * a history row is written for a first sighting and for every change of state.
 
 Acceptance depends on earlier acceptance, yet no listing is folded row by row: listings with one
-identity need a running max only, the few others are solved by repeated windows over runs of
-equal identity.
+identity need a running max only, and the few others fold runs of equal identity, a bounded
+number at a time.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from quotegrain.session import cut_lineage
 IDENTITY = ["source_name", "sold_as", "content_quantity", "content_unit", "brand_name"]
 STATE = ["price_cents", "availability", "active", "terms", "valid_until"]
 LISTING = ["listing_id"]
-FOLD_LIMIT = 256
+FOLD_LIMIT = 5_000
 
 
 @dataclass(frozen=True)
@@ -106,29 +106,37 @@ def _decide_mixed(rows: DataFrame, rows_per_task: int | None) -> DataFrame:
     return joined.withColumn("outcome", outcome).drop("run_seq", "stored", "_in_run")
 
 
-def _solve(runs: DataFrame, rows_per_task: int | None, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+def _solve(runs: DataFrame, rows_per_task: int | None) -> DataFrame:
     """``stored``: what was stored when each run began.
 
-    A run changes the stored row when the last run that did so agrees with it and is not newer. Listings
-    of at most ``fold_limit`` runs are folded in order inside one row; longer ones go to the loop.
+    A run changes the stored row when the last run that did so agrees with it and is not newer. Runs are
+    changes of identity, so a listing has few of them however many rows it has. They are folded in order
+    inside one row, FOLD_LIMIT at a time: a listing with more goes on in the next round from where it
+    stopped, and one round takes the next part of every such listing.
     """
-    runs = cut_lineage(runs)
-    counted = runs.groupBy(*LISTING).agg(F.count(F.lit(1)).alias("_n"))
-    long = counted.where(F.col("_n") > fold_limit).select(*LISTING)
-    short = runs.join(long, LISTING, "left_anti")
-    folded = _fold(short)
-    if long.limit(1).count() == 0:
-        return folded
-    looped = _loop(runs.join(long, LISTING, "left_semi"), rows_per_task)
-    return folded.unionByName(looped.select(*folded.columns))
-
-
-def _fold(runs: DataFrame) -> DataFrame:
-    ordered_runs = F.sort_array(F.collect_list(F.struct("run_seq", "identity", "top")))
+    placed = ordered.rank_rows(runs, LISTING, ["run_seq"], F.col("run_seq"), "_place", rows_per_task)
+    placed = cut_lineage(placed.withColumn("_part", F.floor((F.col("_place") - 1) / FOLD_LIMIT)))
+    last = placed.agg(F.max("_part")).first()[0] or 0
+    begin, parts = None, []
+    for part in range(last + 1):
+        folded = cut_lineage(_fold(placed.where(F.col("_part") == part), begin))
+        parts.append(folded.select(*LISTING, F.inline("out")))
+        begin = folded.select(*LISTING, F.col("stored").alias("begin"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _fold(runs: DataFrame, begin: DataFrame | None) -> DataFrame:
     kind = runs.select(F.struct("identity", "top").alias("x")).schema["x"].dataType.simpleString()
-    none = F.lit(None).cast(kind)
+    grouped = runs.groupBy(*LISTING).agg(
+        F.sort_array(F.collect_list(F.struct("run_seq", "identity", "top"))).alias("runs")
+    )
+    if begin is None:
+        grouped = grouped.withColumn("begin", F.lit(None).cast(kind))
+    else:
+        grouped = grouped.join(begin, LISTING, "left")
     start = F.struct(
-        none.alias("stored"), F.array().cast(f"array<struct<run_seq:bigint,stored:{kind}>>").alias("out")
+        F.col("begin").cast(kind).alias("stored"),
+        F.array().cast(f"array<struct<run_seq:bigint,stored:{kind}>>").alias("out"),
     )
 
     def step(acc, run):
@@ -146,30 +154,8 @@ def _fold(runs: DataFrame) -> DataFrame:
             ).alias("out"),
         )
 
-    done = runs.groupBy(*LISTING).agg(F.aggregate(ordered_runs, start, step)["out"].alias("out"))
-    return done.select(*LISTING, F.inline("out"))
-
-
-def _loop(runs: DataFrame, rows_per_task: int | None) -> DataFrame:
-    """Same answer for long listings, without putting one in a task.
-
-    Starting from "every run is accepted", the rule is applied to the whole table until nothing moves.
-    Each round fixes at least the next run of every listing, so the end is the sequential answer; runs
-    of different full identities settle in two or three rounds. Settled listings leave the loop.
-    """
-    state, settled = runs.withColumn("taken", F.lit(True)), []
-    while True:
-        mark = F.when(F.col("taken"), F.struct("identity", "top"))
-        seen = ordered.last_value(state, LISTING, ["run_seq"], F.col("run_seq"), mark, "stored", rows_per_task)
-        good = F.col("stored").isNull() | (
-            _agrees("stored.identity", "identity") & (F.col("stored.top") <= F.col("top"))
-        )
-        seen = cut_lineage(seen.withColumn("_good", good))
-        moving = seen.where("taken <> _good").select(*LISTING).distinct()
-        if moving.limit(1).count() == 0:
-            return reduce(DataFrame.unionByName, settled, seen.drop("_good"))
-        settled.append(seen.drop("_good").join(moving, LISTING, "left_anti"))
-        state = seen.join(moving, LISTING, "left_semi").withColumn("taken", F.col("_good")).drop("_good", "stored")
+    done = F.aggregate("runs", start, step)
+    return grouped.select(*LISTING, done.alias("done")).select(*LISTING, "done.stored", "done.out")
 
 
 def expand_offers(accepted: DataFrame, stored: DataFrame | None = None, rows_per_task=ordered.ROWS_PER_TASK):
