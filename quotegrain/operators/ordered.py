@@ -172,14 +172,14 @@ def last_value(
     local = F.last("_v", ignorenulls=True).over(window)
     if rows_per_task is None:
         return _drop_helpers(sliced.withColumn(out, local), "_v")
+    # Rows without a value have no order, so the pick passes over them.
     edges = (
-        sliced.where(F.col("_hot") & F.col("_v").isNotNull())
+        sliced.where("_hot")
         .groupBy(*keys, "_slice")
-        .agg(pick("_v", F.struct(*order)).alias("_edge"))
+        .agg(pick("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_edge"))
     )
-    slices = sliced.where("_hot").select(*keys, "_slice").distinct()
     along = F.col("_slice").desc() if forward else F.col("_slice").asc()
-    carry = slices.join(edges, [*keys, "_slice"], "left").withColumn(
+    carry = edges.withColumn(
         "_carry",
         F.last("_edge", ignorenulls=True).over(
             Window.partitionBy(*keys).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
