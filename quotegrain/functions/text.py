@@ -111,6 +111,16 @@ def drug_key(text: Column) -> Column:
     return F.array_join(drug_parts(text), ";")
 
 
+def key_parts(key: Column) -> Column:
+    """Parts of a finished key. An entry written with "&" carries blanks into its parts, so it matches nothing."""
+    return F.split(key, ";")
+
+
+def search_key(text: Column) -> Column:
+    """``drug_key`` of a search text: commas separate too, and one common short form is spelled out."""
+    return drug_key(F.regexp_replace(F.replace(text, F.lit(","), F.lit(";")), r"(?i)\bHCTZ\b", "Hydrochlorothiazide"))
+
+
 def label_words(text: Column) -> Column:
     return _drug_words(F.regexp_replace(text, "[-/]", " "))
 

@@ -15,7 +15,8 @@ def scope_filter(labels: DataFrame, entries: DataFrame, most_words: int = 6) ->
     ``labels``: label_id, label. ``entries``: entry. Labels explode into short word runs that meet the
     ingredients by equality; ``most_words`` must be at least the words of the longest ingredient.
     """
-    parts = entries.select(text.drug_parts(F.col("entry")).alias("parts")).where(F.size("parts") > 0).distinct()
+    keys = entries.select(text.drug_key(F.col("entry")).alias("key")).where("key <> ''").distinct()
+    parts = keys.select(text.key_parts(F.col("key")).alias("parts"))
     wanted = parts.select(
         F.array_join("parts", ";").alias("entry_key"), F.size(F.array_distinct("parts")).alias("need"),
         F.explode(F.array_distinct("parts")).alias("part"),
@@ -38,9 +39,9 @@ def best_name_match(results: DataFrame) -> DataFrame:
     """
     # The same names come back in many searches, so each distinct text is cleaned once.
     names = results.select(F.col("target").alias("text")).union(results.select("drug_name")).distinct()
-    cleaned = names.select("text", text.drug_parts(F.col("text")).alias("parts"))
+    cleaned = names.select("text", text.search_key(F.col("text")).alias("key"))
     side = lambda name, prefix: cleaned.select(
-        F.col("text").alias(name), F.col("parts").alias(f"{prefix}_parts"), F.array_join("parts", ";").alias(f"{prefix}_key")
+        F.col("text").alias(name), text.key_parts(F.col("key")).alias(f"{prefix}_parts"), F.col("key").alias(f"{prefix}_key")
     )
     keyed = results.join(side("target", "target"), "target").join(side("drug_name", "result"), "drug_name")
     inside = F.forall("result_parts", lambda p: F.contains(F.col("target_key"), p)) | F.forall(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +18,7 @@ def write_version(df: DataFrame, root: str, version: str, partition_by: str | No
 
 def point_to(spark: SparkSession, root: str, version: str) -> None:
     """Publish ``version``. A one-line file, written last, so a failed job leaves the old version current."""
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").json(
-        f"{root}/_pointer/{version}-{uuid.uuid4().hex[:8]}"
-    )
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_current")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     out = fs.create(hadoop, True)
     try:
@@ -33,11 +28,11 @@ def point_to(spark: SparkSession, root: str, version: str) -> None:
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_current")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(hadoop):
         return None
-    return spark.read.text(f"{root}/_current").first()["value"]
+    return spark.read.text(f"{root}/CURRENT").first()["value"]
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
