@@ -257,3 +257,14 @@ def directory_sweep(t):
 
     results = embedded_results(t.sql(DIRECTORY_SQL))
     return directory_sightings(results, "https://dir.example.com/details").select("url", "probe_id")
+
+
+@query("json_ld_products", "SCL-24", oracle="""
+SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'sku-' || CAST(page_id AS VARCHAR) END AS sku FROM pages""")
+def json_ld_products(t):
+    """Pages with a product block added: one product in a graph for every third page, two for the next."""
+    item = F.concat(F.lit('{"@type":["Thing","Product"],"sku":"sku-'), F.col("page_id").cast("string"), F.lit('"}'))
+    items = F.when(F.col("page_id") % 3 == 0, item).when(F.col("page_id") % 3 == 1, F.concat(item, F.lit(","), item)).otherwise(F.lit('{"@type":"Offer"}'))
+    block = F.concat(F.lit('<script type="application/ld+json">[{"@graph":['), items, F.lit("]}]</script></head>"))
+    pages = t.spread("pages").withColumn("html", F.replace(F.col("html"), F.lit("</head>"), block))
+    return plan.page_snapshots(pages).select("page_id", F.get_json_object("product", "$.sku").alias("sku"))

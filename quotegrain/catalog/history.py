@@ -296,3 +296,16 @@ def json_rowset(t):
 SELECT medication_id, name, strength, form, brand_name, superseded_by_id FROM b_medications""")
 def scan_tables(t):
     return t.medications
+
+
+@query("failed_runs_excluded", "ING-04", oracle=f"""
+WITH runs AS ({RUN_CHECK_SQL})
+SELECT listing_id, quantity, price_cents, availability, active, observed_at FROM (
+  SELECT o.*, ROW_NUMBER() OVER (PARTITION BY listing_id, quantity ORDER BY observed_at DESC, l_orderkey DESC, l_linenumber DESC, l_suppkey DESC) AS rn
+  FROM b_observations o JOIN runs r ON r.run_month = o.run_month AND r.offer_source = o.l_suppkey % 4 WHERE r.status <> 'succeeded') x WHERE rn = 1""")
+def failed_runs_excluded(t):
+    """The July runs failed here: their rows never replace the last good price."""
+    runs = t.sql(RUN_CHECK_SQL).withColumn("failed", F.col("status") == "succeeded")
+    obs = t.observations.withColumn("offer_source", (F.col("l_suppkey") % 4).cast("long"))
+    good = obs.join(runs.where("NOT failed").select("run_month", "offer_source"), ["run_month", "offer_source"], "left_semi")
+    return ordered.latest(good, OFFER_KEY, TIME_ORDER, ["price_cents", "availability", "active", "observed_at"])

@@ -116,7 +116,7 @@ priced AS (SELECT r.*, CASE WHEN NOT r.deleted AND b.best IS NOT NULL THEN b.bes
   FROM rx r LEFT JOIN best b ON b.prescription_id = r.prescription_id AND b.line_id = r.line_id AND b.medication_id = r.medication_id)"""
 
 
-@query("price_households", "HH-01", oracle=f"""
+@query("price_households", "HH-01", "UDF-02", oracle=f"""
 {PRICED_SQL} SELECT line_id, medication_id, quantity, deleted, CAST(unit_price AS DOUBLE) AS unit_price, CAST(total AS DOUBLE) AS total FROM priced""")
 def price_households(t):
     return priced(t).select(

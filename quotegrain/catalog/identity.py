@@ -172,7 +172,7 @@ def compatible_concepts(t):
     return ids.join(judged, "input_hash").select("medication_id", "rxcui", "method")
 
 
-@query("match_decisions", "IDN-05", oracle=f"""
+@query("match_decisions", "IDN-05", "UDF-01", oracle=f"""
 WITH {DECISION_CTES} SELECT medication_id, status, method, reason, normalized_key, canonical_name FROM final""")
 def match_decisions(t):
     return decisions(t).select("medication_id", "status", "method", "reason", "normalized_key", "canonical_name")

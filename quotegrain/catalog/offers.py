@@ -75,7 +75,7 @@ def estimates_opt_in(t):
     )
 
 
-@query("fresh_offers", "FLT-04", oracle=f"""
+@query("fresh_offers", "FLT-04", "STR-06", oracle=f"""
 SELECT o.offer_id, o.last_checked_at, o.valid_until FROM b_offer_rows o WHERE {FRESH}""")
 def fresh_offers(t):
     return t.offer_rows.where(plan.fresh(rules())).select("offer_id", "last_checked_at", "valid_until")

@@ -62,7 +62,7 @@ def dq_foreign(t):
     return count(lines, "orders").unionByName(count(tenants, "tenant"))
 
 
-@query("redirect_targets", "DQ-06", oracle="""
+@query("redirect_targets", "DQ-06", "UDF-05", oracle="""
 WITH m AS (SELECT medication_id, superseded_by_id, CASE WHEN medication_id % 3 = 0 THEN 'verified' ELSE 'legacy' END AS status FROM b_medications)
 SELECT a.medication_id, a.superseded_by_id, CASE WHEN b.medication_id IS NULL THEN 'missing_target' WHEN b.superseded_by_id IS NOT NULL THEN 'target_is_redirect' ELSE 'target_not_verified' END AS reason
 FROM m a LEFT JOIN m b ON b.medication_id = a.superseded_by_id WHERE a.superseded_by_id IS NOT NULL
@@ -83,3 +83,28 @@ def evidence_conflicts(t):
     rows = evidence_rows(t.pages.select("page_id", F.lit("source").alias("source"), F.col("url").alias("key"), F.col("html").alias("body")))
     broken = F.when(F.col("page_id") % 25 == 0, F.concat("body", F.lit("x"))).otherwise(F.col("body"))
     return conflicts(rows.withColumn("body", broken))
+
+
+@query("dose_safety", "DQ-07", oracle="""
+SELECT CAST(COUNT(*) AS BIGINT) AS pairs, CAST(0 AS BIGINT) AS collapsed FROM part WHERE p_partkey % 37 <> 0""")
+def dose_safety(t):
+    """Each identity beside one that differs in strength, form, release, brand or species: keys must differ."""
+    from quotegrain.plans import identity
+
+    number = (5 * (1 + F.col("p_size") % 4)).cast("string")
+    kind = F.col("p_partkey") % 5
+    row = lambda other: F.struct(
+        F.col("p_name").alias("name"),
+        F.concat(number, F.when(F.lit(other) & (kind == 0), " mg/mL").otherwise(" mg")).alias("strength"),
+        F.when(F.lit(other) & (kind == 1), "capsule").otherwise("tablet").alias("form"),
+        F.lit("oral").alias("route"),
+        F.when(F.lit(other) & (kind == 2), "ER").otherwise("immediate").alias("release_type"),
+        F.when(F.lit(other) & (kind == 3), F.col("p_brand")).alias("brand_name"),
+        F.lit(None).cast("string").alias("ndc"),
+        F.when(F.lit(other) & (kind == 4), F.array(F.lit("dog"))).otherwise(F.array().cast("array<string>")).alias("species"),
+        F.lit(True).alias("reviewed"),
+    )
+    pairs = t.part.where("p_partkey % 37 <> 0").select(F.col("p_partkey").alias("pair_id"), F.inline(F.array(row(False), row(True))))
+    keyed = identity.normalize(pairs).select("pair_id", identity.local_key().alias("normalized_key"))
+    per_pair = keyed.groupBy("pair_id").agg(F.count("normalized_key").alias("keys"), F.count_distinct("normalized_key").alias("different"))
+    return per_pair.agg(F.count_if(F.col("keys") == 2).alias("pairs"), F.count_if(F.col("different") < F.col("keys")).alias("collapsed"))
