@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quotegrain.session import tune
 from quotegrain.sources.bridge import VIEWS
 from quotegrain.sources.tables import Tables
 
@@ -57,7 +58,12 @@ def query(name: str, *operators: str, oracle: str | None = None):
     def register(fn):
         if name in QUERIES:
             raise ValueError(f"query {name} is already registered")
-        QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder))
+
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            tune(spark)
+            return fn(Tables(spark, folder))
+
+        QUERIES[name] = run
         OPERATORS[name] = operators
         if oracle:
             ORACLES[name] = with_views(oracle)

@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a hot join key even when the split costs another shuffle.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.ansi.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
@@ -29,6 +31,13 @@ def build_session(master: str | None = None, app: str = "quotegrain", **extra: s
     return spark
 
 
+def tune(spark: SparkSession) -> None:
+    """Runtime settings the jobs rely on, for a session somebody else made."""
+    for key in SETTINGS:
+        if key.startswith("spark.sql.adaptive."):
+            spark.conf.set(key, SETTINGS[key])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and staged tables.
 
