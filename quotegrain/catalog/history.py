@@ -65,7 +65,8 @@ SELECT listing_id, quantity, run_month, COUNT(*) AS states FROM (
   SELECT DISTINCT listing_id, quantity, run_month, price_cents, availability, active FROM b_observations) x
 GROUP BY listing_id, quantity, run_month HAVING COUNT(*) > 1""")
 def conflicting_states(t):
-    return plan.conflicting_states(t.observations, OFFER_KEY, "run_month")
+    found = plan.conflicting_states(t.observations, OFFER_KEY, "run_month")
+    return found.withColumn("run_month", F.col("run_month").cast("timestamp_ntz"))
 
 
 @query("upsert_state", "SNK-01", oracle="SELECT * FROM b_offers")
