@@ -9,6 +9,7 @@ from quotegrain.catalog.status import PAGES_SQL, RUNS_SQL, crawl_pages, runs
 from quotegrain.functions import vocab
 from quotegrain.operators import fingerprint, ordered, redirects
 from quotegrain.plans import frontier, history, matching
+from quotegrain.session import spread
 from quotegrain.sources.tables import OFFER_KEY, TIME_ORDER, as_of
 
 
@@ -69,7 +70,7 @@ l AS (SELECT label_id, ' ' || {drug_words("regexp_replace(label, '[-/]', ' ', 'g
 SELECT label_id, MIN(array_to_string(parts, ';')) AS entry_key, COUNT(*) AS entries FROM l JOIN e ON len(parts) > 0
   AND len(list_filter(parts, lambda p: NOT CONTAINS(words, ' ' || p || ' '))) = 0 GROUP BY label_id""")
 def scope_filter(t):
-    return matching.scope_filter(t.sql(LABEL_SQL), t.sql(ENTRY_SQL))
+    return matching.scope_filter(spread(t.sql(LABEL_SQL)), t.sql(ENTRY_SQL))
 
 
 RESULT_SQL = """SELECT o.o_orderkey AS search_id, w.p_name AS target, l.l_linenumber * 100000 + l.l_suppkey AS seq,
