@@ -48,12 +48,19 @@ def crc_mod(doc_id: str, mod: int):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
-def labelled_sample(df: DataFrame, key: str, by: str, limit: int) -> DataFrame:
-    """At most ``limit`` rows per value of ``by``: those whose id hashes lowest, whatever the table's size."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(by).orderBy(F.xxhash64(key), F.col(key))
-    return df.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).drop("_n")
+def hash_share(rows: DataFrame, counted: DataFrame, by: str | None, limit: int) -> DataFrame:
+    """About ``limit`` rows per value of ``by`` (of the whole table if None), those whose doc_id hashes lowest.
+
+    The share is set from a count of ``counted``, so the sample stays as large whatever the table's size, and is all of a small one.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    if by is None:
+        return rows.where(place < int(min(1.0, limit / max(1, counted.count())) * 1_000_000))
+    totals = {r[by]: r["count"] for r in counted.groupBy(by).count().collect()}
+    keep = F.lit(False)
+    for value, n in totals.items():
+        keep = keep | ((F.col(by) == value) & (place < int(min(1.0, limit / n) * 1_000_000)))
+    return rows.where(keep)
 
 
 def texts(column: pa.Array) -> list[str]:

@@ -6,16 +6,40 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quotegrain.llm import mixing, simhash, substring_dedup, tokens
+from quotegrain.llm import compression, decontamination, html_content, language, mixing, pii, simhash, substring_dedup, tokens, toxicity
 from quotegrain.llm.common import read
 from quotegrain.session import shared_dir
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.substring_dedup(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_id(read(spark, sf_dir, "documents"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(read(spark, sf_dir, "documents"))
+
+
+def op5_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.compression_quality(read(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op7_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_content.extract(read(spark, sf_dir, "pages"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -32,7 +56,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_language_id": op3_language_id,
+    "op4_pii": op4_pii,
+    "op5_compression": op5_compression,
+    "op6_toxicity": op6_toxicity,
+    "op7_html_content": op7_html_content,
     "op8_simhash": op8_simhash,
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,

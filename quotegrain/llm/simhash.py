@@ -197,10 +197,36 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataF
     doc_id take part under their fingerprint; a group of nothing else has a null component_id. Other columns are ignored.
     """
     prints = staged(fingerprints(docs, width))
-    owners = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(owners.select(F.col("fp").alias("node")), links(owners, distance))
-    named = roots.join(owners.withColumnRenamed("fp", "node"), "node")
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = named.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    return prints.join(by_print, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_print = grouped(prints, distance)
+    least = by_print.join(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fp").groupBy("root").agg(F.min("first").alias("component_id"))
+    named = by_print.join(least, "root").select("fp", "component_id")
+    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def grouped(prints: DataFrame, distance: int) -> DataFrame:
+    """(fp, root): the component of every distinct fingerprint."""
+    nodes = prints.select(F.col("fp").alias("node")).distinct()
+    return components(nodes, links(prints, distance)).select(F.col("node").alias("fp"), "root")
+
+
+def one_of_each(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
+    """One row of each group of ``docs``, all columns as they are: the one with the smallest doc_id.
+
+    Rows without doc_id come last; of rows with one id the one with the least row hash stays, and rows alike in every
+    column are one row.
+    """
+    columns = docs.columns
+    keyed = docs.select(F.struct(*(docs[c] for c in columns)).alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(*(docs[c] for c in columns)).alias("own_hash"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        codes = np.array([fingerprint(t, width) for t in raw(batch["text"])], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch["own_id"], batch["own_hash"], pa.array(codes)], names=["own_id", "own_hash", "fp"])
+
+    texts = keyed.select("own_id", "own_hash", F.col("row.text").cast("string").alias("text"))
+    prints = staged(texts.mapInArrow(each_batch(run), "own_id long, own_hash long, fp long"))
+    order = F.struct(F.col("own_id").isNull(), F.col("own_id"), F.col("own_hash"))
+    first = prints.groupBy("fp").agg(F.min(order).alias("first"))
+    kept = grouped(prints, distance).join(first, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    kept = kept.select(F.col("first.own_id").alias("kept_id"), F.col("first.own_hash").alias("kept_hash"))
+    rows = keyed.join(kept, (keyed["own_hash"] == kept["kept_hash"]) & keyed["own_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    return rows.dropDuplicates(["own_hash", "own_id"]).select("row.*")

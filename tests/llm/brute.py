@@ -101,3 +101,96 @@ def mix(docs, share=1.5, most=2.0):
             target[s] = most * total[s]
             stopped.add(s)
     return [(d, n, total[s], round(target[s], 6)) for d, s, n in size]
+
+
+def compression_base(docs):
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed) per row."""
+    out = []
+    for d, t in docs:
+        t = t or ""
+        w = WORD.findall(t)
+        seen, dup = set(), 0
+        for line in t.split("\n"):
+            if WORD.search(line):
+                dup += line in seen
+                seen.add(line)
+        grams = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
+        count = defaultdict(int)
+        for g in grams:
+            count[g] += 1
+        cover = {k + j for k, g in enumerate(grams) if count[g] > 1 for j in range(8)}
+        failed = len(w) < 20 or 100 * len(cover) > 30 * len(w)
+        out.append((d, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(cover), failed))
+    return out
+
+
+def base_pii(text):
+    """Spans of the plain formats, each kind by one regular expression and its rule."""
+
+    def luhn(s):
+        n = [int(c) for c in reversed(s)]
+        return (sum(n[0::2]) + sum(sum(divmod(2 * x, 10)) for x in n[1::2])) % 10 == 0
+
+    text = text or ""
+    rules = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 13 <= len(re.sub("[^0-9]", "", s)) <= 19 and luhn(re.sub("[^0-9]", "", s))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= len(re.sub("[^0-9]", "", s)) <= 15),
+    ]
+    return [(k, m.start(), m.end()) for k, p, ok in rules for m in re.finditer(p, text) if ok(m[0])]
+
+
+def personal_data(docs):
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256) per row."""
+    out = []
+    for d, t in docs:
+        spans = base_pii(t)
+        said = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        out.append((d, *(sum(k == kind for k, _, _ in spans) for kind in ("email", "ip", "card", "phone")), hashlib.sha256(said.encode()).hexdigest()))
+    return out
+
+
+def bm25_leaks(docs, items, score=0.6, overlap=0.5, stride=128, run=3):
+    """(doc_id, item_id) pairs: every passage scored against every item, no index and no bounds. Items of one entry only."""
+    import math
+
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    body = {i: words(t) for i, t in items if words(t)}
+    mean = sum(map(len, body.values())) / max(1, len(body))
+    df = defaultdict(int)
+    for w in body.values():
+        for x in set(w):
+            df[x] += 1
+    n = len(body)
+
+    def impact(x, w):
+        tf = w.count(x)
+        return math.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
+
+    def held(part, region):
+        k = min(run, len(part))
+        have = {tuple(region[j : j + k]) for j in range(len(region) - k + 1)}
+        cover = {j + i for j in range(len(part) - k + 1) if tuple(part[j : j + k]) in have for i in range(k)}
+        return len(cover) / len(part) if part else 1.0
+
+    out = set()
+    for d, t in docs:
+        w = words(t)
+        for at in range(0, max(1, len(w)), stride):
+            passage = set(w[at : at + 2 * stride])
+            for i, t2 in items:
+                own = body.get(i)
+                if not own:
+                    continue
+                if sum(impact(x, own) for x in set(own) & passage) >= score * sum(impact(x, own) for x in set(own)) - 1e-9:
+                    cut = [p for p in (words(s) for s in re.split(r"(?<=[.?!\n])\s+", t2)) if p]
+                    q, a = ([x for p in cut[:-1] for x in p], cut[-1]) if len(cut) > 1 else (cut[0][: len(cut[0]) - len(cut[0]) // 3], cut[0][len(cut[0]) - len(cut[0]) // 3 :])
+                    region = w[max(0, at - len(own)) : at + 2 * stride + len(own)]
+                    if len(own) < 8:
+                        ok = any(region[j : j + len(own)] == own for j in range(len(region)))
+                    else:
+                        ok = held(q, region) >= overlap and held(a, region) >= overlap
+                    if ok:
+                        out.add((d, i))
+    return out
