@@ -64,15 +64,15 @@ def price_comparison(t):
 
 @query("per_day_monotone", "PRC-05", oracle=f"""
 WITH {MODELS_SQL} SELECT p_partkey, supplier, days_supply FROM (
-  SELECT *, LAG(price_per_day_cents) OVER (PARTITION BY p_partkey, supplier ORDER BY days_supply) AS prev FROM full_prices WHERE NOT (supplier = 'amazon' AND days_supply = 30)) x
+  SELECT *, LAG(price_per_day_cents) OVER (PARTITION BY p_partkey, supplier ORDER BY days_supply) AS prev FROM full_prices) x
 WHERE price_per_day_cents > prev""")
 def per_day_monotone(t):
-    return plan.rises_with_supply(prices(t).where("NOT (supplier = 'amazon' AND days_supply = 30)"), ["p_partkey"])
+    return plan.rises_with_supply(prices(t), ["p_partkey"])
 
 
 @query("pick_strength", "PRC-04", oracle="""
 WITH s AS (SELECT p_name AS medicine, p_partkey AS position, CAST(5 * (1 + p_size % 4) AS VARCHAR) || CASE WHEN p_partkey % 2 = 0 THEN 'MG' ELSE '-mg' END AS strength FROM part),
-r AS (SELECT p_partkey AS request_id, p_name AS medicine, CASE p_partkey % 3 WHEN 0 THEN '10 mg' WHEN 1 THEN '20mg' END AS wanted FROM part WHERE p_partkey % 5 = 0),
+r AS (SELECT p_partkey AS request_id, p_name AS medicine, CASE p_partkey % 3 WHEN 0 THEN '10 mg' WHEN 1 THEN '20mg' END AS wanted FROM part),
 j AS (SELECT r.request_id, r.medicine, s.strength, s.position, COALESCE(TRIM(regexp_replace(LOWER(s.strength), '[^a-z0-9]+', ' ', 'g')) = TRIM(regexp_replace(LOWER(r.wanted), '[^a-z0-9]+', ' ', 'g')), FALSE) AS hit
   FROM r JOIN s ON s.medicine = r.medicine)
 SELECT request_id, medicine, strength, NOT hit AS defaulted FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY request_id ORDER BY NOT hit, position) AS rn FROM j) x WHERE rn = 1""")
@@ -82,7 +82,7 @@ def pick_strength(t):
         F.col("p_name").alias("medicine"), F.col("p_partkey").alias("position"),
         F.concat(number, F.when(F.col("p_partkey") % 2 == 0, "MG").otherwise("-mg")).alias("strength"),
     )
-    requests = t.part.where("p_partkey % 5 = 0").select(
+    requests = t.part.select(
         F.col("p_partkey").alias("request_id"), F.col("p_name").alias("medicine"),
         F.when(F.col("p_partkey") % 3 == 0, "10 mg").when(F.col("p_partkey") % 3 == 1, "20mg").alias("wanted"),
     )

@@ -17,12 +17,10 @@ FROM b_prescriptions p JOIN b_medications m ON m.medication_id = p.medication_id
 KEY_SQL = "LOWER(TRIM({0}name)) || '|' || regexp_replace(LOWER({0}strength), '\\s', '', 'g') || '|' || LOWER(TRIM({0}form))"
 UNIQUE_CTE = f"""uniq AS (SELECT {KEY_SQL.format('')} AS k, MIN(medication_id) AS medication_id FROM b_medications GROUP BY 1 HAVING COUNT(*) = 1)"""
 
-BASE_PRICES = {"red bolt": "12.5", "hot gear": "8.75", "old rod": "5.2", "blue anvil": "15.0", "new ring": "6.4"}
-PHARMACIES = [("CVS Pharmacy", "1.0"), ("Walgreens", "1.1"), ("Costco Pharmacy", "0.85")]
-MATRIX_SQL = f"""quotes AS (SELECT r.prescription_id, r.line_id, r.medication_id, v.position, v.pharmacy,
-  ROUND(CAST(COALESCE(b.base, 9.99) AS DECIMAL(10,4)) * v.factor, 2) AS price
-  FROM rx r LEFT JOIN (VALUES ('red bolt', 12.5), ('hot gear', 8.75), ('old rod', 5.2), ('blue anvil', 15.0), ('new ring', 6.4)) AS b(name, base) ON b.name = LOWER(TRIM(r.rx_name))
-  CROSS JOIN (VALUES (0, 'CVS Pharmacy', CAST(1.0 AS DECIMAL(6,3))), (1, 'Walgreens', CAST(1.1 AS DECIMAL(6,3))), (2, 'Costco Pharmacy', CAST(0.85 AS DECIMAL(6,3)))) AS v(position, pharmacy, factor))"""
+MATRIX_SQL = f"""best AS (SELECT l.medication_id, s.slug AS pharmacy, CAST(MIN(o.price_cents) / 100.0 AS DECIMAL(18,2)) AS price {FROM_ALL}
+  WHERE o.active AND o.price_cents IS NOT NULL GROUP BY l.medication_id, s.slug),
+placed AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY medication_id ORDER BY pharmacy) - 1 AS position FROM best),
+quotes AS (SELECT r.prescription_id, r.line_id, r.medication_id, v.position, v.pharmacy, v.price FROM rx r JOIN placed v ON v.medication_id = r.medication_id)"""
 
 LINE = ["prescription_id", "line_id", "medication_id"]
 
@@ -32,8 +30,7 @@ def rx(t):
 
 
 def matrix(t):
-    lines = rx(t).withColumn("rx_name", F.trim("rx_name"))
-    return plan.quote_matrix(lines, BASE_PRICES, "9.99", PHARMACIES)
+    return plan.quote_matrix(rx(t), plan.seller_quotes(enriched(t)))
 
 
 @query("ambiguous_identity_anti", "JOIN-08", oracle=f"WITH {UNIQUE_CTE} SELECT k AS key, medication_id FROM uniq")
@@ -87,7 +84,7 @@ def household_deals(t):
     )
 
 
-@query("quote_matrix", "JOIN-12", "PRC-06", "SCL-32", oracle=f"""
+@query("quote_matrix", "JOIN-12", "PRC-06", oracle=f"""
 WITH rx AS ({RX_SQL}), {MATRIX_SQL} SELECT line_id, medication_id, position, pharmacy, CAST(price AS DOUBLE) AS price FROM quotes""")
 def quote_matrix(t):
     return matrix(t).select("line_id", "medication_id", "position", "pharmacy", F.col("price").cast("double").alias("price"))
@@ -104,16 +101,16 @@ def rank_quotes(t):
 
 
 def priced(t):
-    quotes = matrix(t).where("medication_id % 4 <> 0").select(*LINE, "price")
+    quotes = matrix(t).select(*LINE, "price")
     lines = rx(t).withColumns({"unit_price": F.lit("1.00").cast(plan.MONEY), "total": F.col("quantity").cast(plan.MONEY)})
     return plan.price_lines(lines, quotes, LINE)
 
 
 PRICED_SQL = f"""WITH rx AS ({RX_SQL}), {MATRIX_SQL},
-best AS (SELECT prescription_id, line_id, medication_id, MIN(price) AS best FROM quotes WHERE medication_id % 4 <> 0 GROUP BY ALL),
+cheapest AS (SELECT prescription_id, line_id, medication_id, MIN(price) AS best FROM quotes GROUP BY ALL),
 priced AS (SELECT r.*, CASE WHEN NOT r.deleted AND b.best IS NOT NULL THEN b.best ELSE 1.00 END AS unit_price,
   CASE WHEN NOT r.deleted AND b.best IS NOT NULL THEN ROUND(r.quantity * b.best, 2) ELSE r.quantity END AS total
-  FROM rx r LEFT JOIN best b ON b.prescription_id = r.prescription_id AND b.line_id = r.line_id AND b.medication_id = r.medication_id)"""
+  FROM rx r LEFT JOIN cheapest b ON b.prescription_id = r.prescription_id AND b.line_id = r.line_id AND b.medication_id = r.medication_id)"""
 
 
 @query("price_households", "HH-01", "UDF-02", oracle=f"""
@@ -183,14 +180,14 @@ def rejected_updates(t):
 
 
 @query("rx_document", "AGG-06", "HH-04", oracle="""
-SELECT prescription_id, line_no // 1000 AS part, COUNT(DISTINCT member_id) AS members, COUNT(*) AS lines,
+SELECT prescription_id, COUNT(DISTINCT member_id) AS members, COUNT(*) AS lines,
   array_to_string(list(CAST(line_no AS VARCHAR) || ':' || CAST(medication_id AS VARCHAR) ORDER BY member_id, line_no, medication_id, l_suppkey, quantity), ',') AS line_list
-FROM b_prescriptions GROUP BY prescription_id, line_no // 1000""")
+FROM b_prescriptions GROUP BY prescription_id""")
 def rx_document(t):
     docs = plan.nest(t.prescriptions, "prescription_id", "line_no", ["medication_id", "l_suppkey", "quantity"])
     lines = F.flatten(F.transform("members", lambda m: m["lines"]))
     return docs.select(
-        "prescription_id", "part", F.size("members").alias("members"), F.size(lines).alias("lines"),
+        "prescription_id", F.size("members").alias("members"), F.size(lines).alias("lines"),
         F.array_join(F.transform(lines, lambda x: F.concat_ws(":", x["line_no"].cast("string"), x["medication_id"].cast("string"))), ",").alias("line_list"),
     )
 

@@ -60,7 +60,7 @@ def drug_parts(x):
 
 
 ENTRY_SQL = """SELECT DISTINCT CASE WHEN p_size % 3 = 0 THEN REPLACE(p_name, ' ', ' 10 mg; ') ELSE p_name || ' oral tablet' END AS entry
-FROM part WHERE p_partkey % 29 = 0"""
+FROM part"""
 LABEL_SQL = "SELECT medication_id AS label_id, name || ' ' || strength || '/' || form || ' by ' || brand_name AS label FROM b_medications"
 
 
@@ -89,7 +89,7 @@ def best_name_match(t):
 
 
 PRODUCT_SQL = """SELECT p_name AS name, CAST(5 * (1 + p_size % 4) AS VARCHAR(10)) || ' MG' AS strength,
-  'https://www.example.com/medications/' || CAST(CASE WHEN p_size % 2 = 0 THEN p_size % 4 ELSE p_partkey END AS VARCHAR(10)) AS url FROM part WHERE p_partkey % 3 = 0"""
+  'https://www.example.com/medications/' || CAST(CASE WHEN p_size % 2 = 0 THEN p_size % 4 ELSE p_partkey END AS VARCHAR(10)) AS url FROM part"""
 
 
 @query("unique_link", "JOIN-17", "SCL-04", oracle=f"""
@@ -174,7 +174,7 @@ def representative_url(t):
     return frontier.representative_url(hosts, "host").select("host", "page_id", "url")
 
 
-QUERY_SQL = """SELECT MIN(p_partkey) AS query_id, SUBSTRING(p_name, 1 + CAST(p_size % 4 AS INT), 3 + CAST(p_partkey % 4 AS INT)) AS query FROM part WHERE p_partkey % 5 = 0
+QUERY_SQL = """SELECT MIN(p_partkey) AS query_id, SUBSTRING(p_name, 1 + CAST(p_size % 4 AS INT), 3 + CAST(p_partkey % 4 AS INT)) AS query FROM part
 GROUP BY SUBSTRING(p_name, 1 + CAST(p_size % 4 AS INT), 3 + CAST(p_partkey % 4 AS INT))
 UNION ALL SELECT 1000000 + MIN(p_partkey) AS query_id, p_brand AS query FROM part GROUP BY p_brand"""
 
@@ -242,13 +242,13 @@ def attempt_state(t):
 WITH r AS ({RUNS_SQL}), p AS ({PAGES_SQL}),
 n AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY source_id ORDER BY started_at DESC, run_id DESC) AS rn FROM r) x WHERE rn = 1),
 d AS (SELECT source_id, MAX(finished_at) AS done_at FROM r WHERE status = 'succeeded' GROUP BY source_id),
-m AS (SELECT source_id, COUNT(*) FILTER (WHERE page_type <> 'ignored' AND last_success_at IS NULL AND last_result IS DISTINCT FROM 'not_found' AND source_id <> 2) AS remaining FROM p GROUP BY source_id),
+m AS (SELECT source_id, COUNT(*) FILTER (WHERE page_type <> 'ignored' AND last_success_at IS NULL AND last_result IS DISTINCT FROM 'not_found') AS remaining FROM p GROUP BY source_id),
 j AS (SELECT s.source_id, COALESCE(n.status IN ('partial', 'interrupted', 'running', 'failed'), FALSE) AS resume, COALESCE(m.remaining, 0) AS remaining,
   COALESCE(d.done_at > TIMESTAMP '2024-01-10 00:00:00' - INTERVAL 7 DAY, FALSE) AS recent, COALESCE(n.run_id % 2 = 0, FALSE) AS had_cutoff
   FROM b_sources s LEFT JOIN n ON n.source_id = s.source_id LEFT JOIN d ON d.source_id = s.source_id LEFT JOIN m ON m.source_id = s.source_id)
 SELECT source_id, CASE WHEN NOT resume AND remaining = 0 AND recent THEN 'weekly_discovery_not_due' WHEN CASE WHEN resume THEN had_cutoff ELSE remaining = 0 END THEN 'refresh_due' ELSE 'initial' END AS decision FROM j""")
 def discovery_due(t):
-    left = frontier.remaining(crawl_pages(t).where("source_id <> 2"), as_of())
+    left = frontier.remaining(crawl_pages(t), as_of())
     rows = runs(t).withColumn("had_cutoff", F.col("run_id") % 2 == 0)
     return frontier.discovery_due(t.sources, rows, left, as_of("2024-01-10 00:00:00"))
 
@@ -287,7 +287,11 @@ def version_differences(t):
 
 
 @query("collection_plan_digest", "REL-02", "AGG-13", oracle="""
-SELECT CAST(COUNT(*) AS BIGINT) AS listings FROM b_listings WHERE source_id < 2""")
+WITH h AS (SELECT sha256('{"listing_id":' || CAST(listing_id AS VARCHAR) || ',"source_id":' || CAST(source_id AS VARCHAR) || '}') AS h FROM b_listings),
+g AS (SELECT SUBSTR(h, 1, 4) AS g, COUNT(*) AS n, SUM(CAST(CAST('0x' || SUBSTR(h, 1, 12) AS BIGINT) AS HUGEINT)) AS s0, SUM(CAST(CAST('0x' || SUBSTR(h, 13, 12) AS BIGINT) AS HUGEINT)) AS s1,
+  SUM(CAST(CAST('0x' || SUBSTR(h, 25, 12) AS BIGINT) AS HUGEINT)) AS s2, SUM(CAST(CAST('0x' || SUBSTR(h, 37, 12) AS BIGINT) AS HUGEINT)) AS s3, SUM(CAST(CAST('0x' || SUBSTR(h, 49, 12) AS BIGINT) AS HUGEINT)) AS s4 FROM h GROUP BY 1),
+x AS (SELECT n, g || ':' || n || ':' || s0 || ':' || s1 || ':' || s2 || ':' || s3 || ':' || s4 AS line FROM g)
+SELECT CAST(SUM(n) AS BIGINT) AS listings, sha256(array_to_string(list(line ORDER BY line), chr(10))) AS digest FROM x""")
 def collection_plan_digest(t):
-    rows = t.listings.where("source_id < 2").select("source_id", "listing_id")
-    return fingerprint.table_fingerprint(rows, "manifest").select(F.col("rows").alias("listings"))
+    rows = t.listings.select("source_id", "listing_id")
+    return fingerprint.table_fingerprint(rows, "manifest").select(F.col("rows").alias("listings"), "digest")

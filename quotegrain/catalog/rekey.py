@@ -148,7 +148,7 @@ def apply_rekey_listings(t):
 WITH {ITEM_CTES}, meds AS (SELECT * FROM legacy UNION ALL SELECT * FROM active) SELECT medication_id, status, superseded_by_id, normalized_key, strength FROM meds""")
 def undo_rekey(t):
     approved, new = applied(t)
-    back = plan.undo(new, medications(t), rekey_listings(t), approved)
+    back = plan.undo(new, medications(t), rekey_listings(t), approved, "run-1")
     return back.medications.select("medication_id", "status", "superseded_by_id", "normalized_key", "strength")
 
 
@@ -163,7 +163,7 @@ def undo_blockers(t):
         F.when(F.col("rekey_run").isNotNull() & (F.col("listing_id") % 301 == 0), 5).otherwise(F.col("medication_id")),
     )
     blockers = plan.undo_blockers(moved, rekey_listings(t), approved, "run-1")
-    return blockers.where("reason = 'listing_changed'").select("listing_id", "reason")
+    return blockers.select("listing_id", "reason")
 
 
 @query("rekey_run_status", "BKF-08", "BKF-03", oracle="""

@@ -98,10 +98,9 @@ def outcome_counts(t):
 
 @query("listings_per_source", "AGG-18", oracle="""
 SELECT s.slug AS source, COUNT(l.listing_id) AS listings FROM b_sources s
-LEFT JOIN b_listings l ON l.source_id = s.source_id AND l.medication_id % 2 = 0 AND l.source_id <> 1 GROUP BY s.slug""")
+LEFT JOIN b_listings l ON l.source_id = s.source_id GROUP BY s.slug""")
 def listings_per_source(t):
-    some = t.listings.where("medication_id % 2 = 0 AND source_id <> 1")
-    return plan.listings_per_source(t.sources, some)
+    return plan.listings_per_source(t.sources, t.listings)
 
 
 @query("latency_percentiles", "AGG-10", "REL-10", oracle="""

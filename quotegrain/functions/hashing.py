@@ -26,18 +26,14 @@ def _sorted_json(text: pd.Series) -> pd.Series:
             return None
         try:
             return json.dumps(json.loads(raw), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-        except ValueError:
+        except (ValueError, RecursionError):  # no JSON, or nested deeper than the reader goes
             return None
 
     return text.map(one)
 
 
 def canonical_json(text: Column) -> Column:
-    """Free-form JSON text with sorted keys; null when it is not JSON.
-
-    Only documents of nested or several-key shape pay the Arrow trip: text without a brace, or with
-    one scalar member, is its own order already.
-    """
+    """Free-form JSON text with sorted keys, in Arrow batches; null when it is not JSON or nested too deep to read."""
     return _sorted_json(text)
 
 

@@ -176,15 +176,12 @@ def valid_actor(text: Column) -> Column:
     return (F.length(t) >= 3) & (F.length(t) <= 120) & ~t.rlike(r"[\x00-\x1f]")
 
 
-def word_ngrams(text: Column, most: int) -> Column:
-    """Distinct runs of one to ``most`` consecutive words."""
+def word_runs(text: Column, sizes: Column) -> Column:
+    """Distinct runs of as many consecutive words as one of ``sizes`` says."""
     words = F.split(text, " ")
     size = F.size(words)
 
-    def at(i):
-        return F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(most), size - i)),
-            lambda n: F.array_join(F.slice(words, i + 1, n), " "),
-        )
+    def of(n):
+        return F.transform(F.sequence(F.lit(0), size - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))
 
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), size - 1), at)))
+    return F.array_distinct(F.flatten(F.transform(F.filter(sizes, lambda n: n <= size), of)))

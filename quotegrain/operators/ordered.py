@@ -1,17 +1,13 @@
-"""Ordered per-key operators (previous row, running max, rank) that survive a hot key.
+"""Ordered per-key operators (previous row, running max, last value, rank) that survive a hot key.
 
-A plain window puts all rows of a key in one task. Here a key with more than ``rows_per_task``
-rows is cut into consecutive slices along a numeric ``position`` that never decreases in the
-row order. Each slice is windowed on its own, a one-row summary per slice is carried forward,
-and the carry is joined back. Whether any key is that large is found by one count over the key
-columns before the plan is made; when none is, the plan is the plain window.
+A plain window puts all rows of a key in one task. With ``rows_per_task`` a key's rows are cut into consecutive slices of
+about that many rows instead, each slice is windowed alone, a one-row summary per slice is carried on, and the carry is
+joined back. Slices follow ``position``, a value that never decreases in the row order (nulls first, as rows sort). Equal
+positions stay in one slice. The cut comes from a count per key and position, an aggregate that combines before
+its shuffle, so it holds for any number of hot keys and for bunched positions, and nothing runs while the plan is made.
 
-The hot-key list holds at most ``MAX_HOT_KEYS`` rows, so broadcasting it is safe at any data size. Keys
-beyond the list are smaller than 1/MAX_HOT_KEYS of the data and remain whole. The list only
-chooses the physical split; every row is kept and the result does not depend on it.
-
-A caller that runs several of these over one staged frame asks ``split_limit`` itself and passes the
-answer on: ``rows_per_task=None`` means no key is hot.
+``rows_per_task=None`` plans the plain window. Results are the same for every value, so a caller that has its rows staged
+may ask ``split_limit`` whether any key needs slices and save the extra steps.
 """
 
 from __future__ import annotations
@@ -22,7 +18,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 2_000_000
-MAX_HOT_KEYS = 10_000
 
 
 def _same(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
@@ -33,44 +28,27 @@ def _same(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -
 
 
 def split_limit(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> int | None:
-    """``rows_per_task`` when some key holds more rows than that, else None. Runs one count."""
+    """``rows_per_task`` when some key holds more rows than that, else None. Runs one count, so it is for staged rows."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return rows_per_task if sizes.where(F.col("_n") > rows_per_task).limit(1).count() else None
+    return None if sizes.where(F.col("_n") > rows_per_task).isEmpty() else rows_per_task
 
 
-def with_slices(
-    df: DataFrame,
-    keys: Sequence[str],
-    position: Column,
-    rows_per_task: int | None = ROWS_PER_TASK,
-) -> DataFrame:
-    """Add ``_pos``, ``_slice`` (0 for ordinary keys) and ``_hot``."""
+def with_slices(df: DataFrame, keys: Sequence[str], position: Column, rows_per_task: int | None = ROWS_PER_TASK) -> DataFrame:
+    """Add ``_slice``, rows of a key before this position divided by ``rows_per_task``, and ``_hot``; smaller keys are slice 0."""
     if rows_per_task is None:
         return df.withColumns({"_slice": F.lit(0).cast("long"), "_hot": F.lit(False)})
-    df = df.withColumn("_pos", position.cast("double"))
-    counted = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_lo"), F.max("_pos").alias("_hi")
-    )
-    hot = (
-        counted.where(F.col("_n") > rows_per_task)
-        .orderBy(F.col("_n").desc(), *keys)
-        .limit(MAX_HOT_KEYS)
-        .select(
-            *[F.col(k).alias(f"_hk{i}") for i, k in enumerate(keys)],
-            F.ceil(F.col("_n") / F.lit(rows_per_task)).alias("_slices"),
-            "_lo",
-            "_hi",
-        )
-    )
-    joined = df.join(
-        F.broadcast(hot), _same(df, hot, [(k, f"_hk{i}") for i, k in enumerate(keys)]), "left"
+    df = df.withColumn("_pos", position)
+    counted = df.groupBy(*keys, "_pos").agg(F.count(F.lit(1)).alias("_n"))
+    along = Window.partitionBy(*keys).orderBy(F.col("_pos").asc_nulls_first())
+    before = F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = F.sum("_n").over(Window.partitionBy(*keys))
+    cuts = counted.withColumns({"_before": before, "_whole": whole}).where(F.col("_whole") > rows_per_task).select(
+        *[F.col(k).alias(f"_hk{i}") for i, k in enumerate(keys)], F.col("_pos").alias("_hp"),
+        F.floor(F.col("_before") / F.lit(rows_per_task)).cast("long").alias("_cut"),
     )
-    share = (F.col("_pos") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + F.lit(1.0))
-    cut = F.least(F.col("_slices") - 1, F.floor(share * F.col("_slices")))
-    return joined.select(
-        *df.columns,
-        F.coalesce(cut, F.lit(0)).cast("long").alias("_slice"),
-        F.col("_slices").isNotNull().alias("_hot"),
+    pairs = [(k, f"_hk{i}") for i, k in enumerate(keys)] + [("_pos", "_hp")]
+    return df.join(cuts, _same(df, cuts, pairs), "left").select(
+        *df.columns, F.coalesce("_cut", F.lit(0).cast("long")).alias("_slice"), F.col("_cut").isNotNull().alias("_hot")
     )
 
 
@@ -95,8 +73,6 @@ def neighbours(
 
     Both sides use one partitioning and one sort; leave a name None to skip that side.
     """
-    if rows_per_task is not None:
-        rows_per_task = split_limit(df, keys, rows_per_task)
     sliced = with_slices(df, keys, position, rows_per_task)
     payload = F.struct(*values)
     window = Window.partitionBy(*keys, "_slice").orderBy(*order)
@@ -132,8 +108,6 @@ def previous(df: DataFrame, keys, order, position, values, out="prev", rows_per_
 
 def running_max(df: DataFrame, keys, order, position, value: Column, out, rows_per_task=ROWS_PER_TASK):
     """Add ``out``: largest ``value`` among all earlier rows of the key (null if none)."""
-    if rows_per_task is not None:
-        rows_per_task = split_limit(df, keys, rows_per_task)
     sliced = with_slices(df.withColumn("_v", value), keys, position, rows_per_task)
     window = (
         Window.partitionBy(*keys, "_slice")
@@ -159,8 +133,6 @@ def last_value(
     df: DataFrame, keys, order, position, value: Column, out, rows_per_task=ROWS_PER_TASK, forward=False
 ):
     """Add ``out``: nearest non-null ``value`` strictly before the row (after it if ``forward``)."""
-    if rows_per_task is not None:
-        rows_per_task = split_limit(df, keys, rows_per_task)
     sliced = with_slices(df.withColumn("_v", value), keys, position, rows_per_task)
     sort = [F.col(c).desc() if forward else F.col(c).asc() for c in order]
     window = (
@@ -193,8 +165,6 @@ def last_value(
 
 def rank_rows(df: DataFrame, keys, order, position, out="rank", rows_per_task=ROWS_PER_TASK):
     """Add ``out``: 1-based row number within the key."""
-    if rows_per_task is not None:
-        rows_per_task = split_limit(df, keys, rows_per_task)
     sliced = with_slices(df, keys, position, rows_per_task)
     local = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*order))
     if rows_per_task is None:

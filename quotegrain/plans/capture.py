@@ -102,11 +102,16 @@ class _Reader(HTMLParser):
 
 
 def flatten_json_ld(value) -> list[dict]:
-    if isinstance(value, list):
-        return [x for item in value for x in flatten_json_ld(item)]
-    if isinstance(value, dict):
-        return [value, *flatten_json_ld(value.get("@graph"))]
-    return []
+    """Objects of lists and graphs, in document order, on a stack, so depth does not matter."""
+    found, todo = [], [value]
+    while todo:
+        item = todo.pop()
+        if isinstance(item, list):
+            todo += reversed(item)
+        elif isinstance(item, dict):
+            found.append(item)
+            todo.append(item.get("@graph"))
+    return found
 
 
 def _product(blocks: list[str]):
@@ -115,7 +120,7 @@ def _product(blocks: list[str]):
     for block in blocks:
         try:
             found = flatten_json_ld(json.loads(block))
-        except ValueError:
+        except (ValueError, RecursionError):  # no JSON, or nested deeper than the reader goes
             continue
         for item in found:
             kind = item.get("@type")
@@ -176,9 +181,8 @@ def observation_reasons(observations: DataFrame) -> DataFrame:
             (q["price_cents"].isNotNull() & ~q["price_cents"].rlike("^[0-9]+$")).alias("invalid_cents"),
             (F.coalesce(q["currency"], F.lit("")) != "USD").alias("invalid_currency"),
             ((q["availability"] == "in_stock") & q["price_cents"].isNull()).alias("missing_price"),
-            F.concat_ws(
-                "|", quantity.cast("string"), q["seller_key"], q["location_key"], q["program_key"], q["currency"]
-            ).alias("key"),
+            # A struct, since a joined text would take a null part and its neighbour for each other.
+            F.struct(quantity.alias("quantity"), q["seller_key"], q["location_key"], q["program_key"], q["currency"]).alias("key"),
         )
 
     staged = observations.withColumn("_o", F.transform("offers", parsed))

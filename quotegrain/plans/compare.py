@@ -127,14 +127,18 @@ def rises_with_supply(prices: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def pick_strength(strengths: DataFrame, requests: DataFrame) -> DataFrame:
-    """Requested strength by normalised text, else the first in the catalogue."""
-    joined = strengths.join(requests, "medicine")
-    miss = ~F.coalesce(
-        text.catalog_text(F.col("strength")) == text.catalog_text(F.col("wanted")), F.lit(False)
-    )
-    order = F.struct(miss, F.col("position"))
-    return joined.groupBy("request_id", "medicine").agg(
-        F.min_by("strength", order).alias("strength"), F.min(order)["col1"].alias("defaulted")
+    """Requested strength by normalised text, else the first in the catalogue.
+
+    The catalogue is reduced to its first row per medicine and per strength before any request meets it.
+    """
+    first = F.min_by("strength", "position")
+    keyed = strengths.withColumn("_key", text.catalog_text(F.col("strength")))
+    exact = keyed.groupBy("medicine", "_key").agg(first.alias("_exact"))
+    default = strengths.groupBy("medicine").agg(first.alias("_first"))
+    asked = requests.withColumn("_key", text.catalog_text(F.col("wanted")))
+    joined = asked.join(default, "medicine").join(exact, ["medicine", "_key"], "left")
+    return joined.select(
+        "request_id", "medicine", F.coalesce("_exact", "_first").alias("strength"), F.col("_exact").isNull().alias("defaulted")
     )
 
 

@@ -12,7 +12,6 @@ from quotegrain.operators import ordered
 MONEY = "decimal(18,2)"
 MAX_LINES = 40
 OFFERS_SHOWN = 500
-DOCUMENT_PART = 1000
 
 # Headings a transcription may return as if they were medicines.
 HEADINGS = [
@@ -66,8 +65,11 @@ def household_offers(linked: DataFrame, offers: DataFrame, top: int = OFFERS_SHO
     order = Window.partitionBy("household_id").orderBy(
         F.col("confirmed_at").desc(), "price_cents", "offer_id", "prescription_id", "line_no", "l_suppkey"
     )
+    # A line shows no more than ``top`` offers, so dearer ones of its medication need not meet it.
+    cheap = Window.partitionBy("medication_id").orderBy("price_cents", "offer_id")
+    few = offers.withColumn("_n", F.row_number().over(cheap)).where(F.col("_n") <= top).drop("_n")
     return (
-        linked.join(offers, "medication_id")
+        linked.join(few, "medication_id")
         .withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= top)
     )
@@ -98,20 +100,25 @@ def deals(lines: DataFrame, shown: DataFrame, members: DataFrame, research: Data
     )
 
 
-def quote_matrix(lines: DataFrame, base_prices: dict[str, str], default: str, pharmacies: list[tuple[str, str]]):
-    """A quote per line and pharmacy. The pharmacies are a fixed short list inside the row: no join."""
-    base = F.coalesce(text.lookup(F.lower("rx_name"), base_prices), F.lit(default)).cast("decimal(10,4)")
-    quotes = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("position"),
-                F.lit(name).alias("pharmacy"),
-                F.round(base * F.lit(factor).cast("decimal(6,3)"), 2).cast(MONEY).alias("price"),
-            )
-            for i, (name, factor) in enumerate(pharmacies)
-        ]
+def seller_quotes(offers: DataFrame) -> DataFrame:
+    """Cheapest offered price per medication and source, as one row per medication with its sources in name order.
+
+    ``offers``: medication_id, source, active, price_cents. The array holds one entry per source.
+    """
+    cheapest = (
+        offers.where("active AND price_cents IS NOT NULL")
+        .groupBy("medication_id", "source")
+        .agg((F.min("price_cents").cast("decimal(20,0)") / 100).cast(MONEY).alias("price"))
+    )
+    return cheapest.groupBy("medication_id").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("source").alias("pharmacy"), "price"))).alias("_quotes")
     )
-    return lines.select("*", F.inline(quotes))
+
+
+def quote_matrix(lines: DataFrame, quotes: DataFrame) -> DataFrame:
+    """A quote per line and source that offers its medication; ``quotes`` as ``seller_quotes`` gives them."""
+    met = lines.join(quotes, "medication_id").select(*lines.columns, F.posexplode("_quotes").alias("position", "_quote"))
+    return met.select("*", "_quote.pharmacy", "_quote.price").drop("_quote")
 
 
 def rank_quotes(quotes: DataFrame, line_keys: list[str], rows_per_task=ordered.ROWS_PER_TASK) -> DataFrame:
@@ -190,17 +197,15 @@ def unknown_deletes(documents: DataFrame, requests: DataFrame, document: str) ->
 
 
 def nest(lines: DataFrame, document: str, line: str, fields: list[str]) -> DataFrame:
-    """Lines to nested documents, members and lines in order.
+    """Lines to one nested document each, members and lines in order.
 
-    An array never holds more than DOCUMENT_PART line numbers of one member: longer documents continue in
-    further parts, so no task has to hold a whole oversized document.
+    Lines are gathered per member first, so a document's members are spread over tasks until the last step.
     """
-    part = F.floor(F.col(line) / DOCUMENT_PART).alias("part")
-    members = lines.groupBy(document, part, "member_id").agg(
-        F.first("nickname").alias("nickname"),
+    members = lines.groupBy(document, "member_id").agg(
+        F.min("nickname").alias("nickname"),
         F.sort_array(F.collect_list(F.struct(line, *fields))).alias("lines"),
     )
-    return members.groupBy(document, "part").agg(
+    return members.groupBy(document).agg(
         F.sort_array(F.collect_list(F.struct("member_id", "nickname", "lines"))).alias("members")
     )
 

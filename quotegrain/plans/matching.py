@@ -9,11 +9,11 @@ from quotegrain.functions import text
 from quotegrain.operators import ordered, paging
 
 
-def scope_filter(labels: DataFrame, entries: DataFrame, most_words: int = 6) -> DataFrame:
+def scope_filter(labels: DataFrame, entries: DataFrame) -> DataFrame:
     """Labels that hold every ingredient of some reference entry as whole words.
 
     ``labels``: label_id, label. ``entries``: entry. Labels explode into short word runs that meet the
-    ingredients by equality; ``most_words`` must be at least the words of the longest ingredient.
+    ingredients by equality. Only lengths that some ingredient has are made, so a long label gives few runs.
     """
     keys = entries.select(text.drug_key(F.col("entry")).alias("key")).where("key <> ''").distinct()
     parts = keys.select(text.key_parts(F.col("key")).alias("parts"))
@@ -21,7 +21,10 @@ def scope_filter(labels: DataFrame, entries: DataFrame, most_words: int = 6) ->
         F.array_join("parts", ";").alias("entry_key"), F.size(F.array_distinct("parts")).alias("need"),
         F.explode(F.array_distinct("parts")).alias("part"),
     )
-    words = labels.select("label_id", F.explode(text.word_ngrams(text.label_words(F.col("label")), most_words)).alias("part"))
+    sizes = wanted.select(F.size(F.split("part", " ")).alias("size")).distinct()
+    lengths = sizes.agg(F.sort_array(F.collect_list("size")).alias("sizes")).scalar()
+    split = labels.select("label_id", text.label_words(F.col("label")).alias("words"), lengths.alias("sizes"))
+    words = split.select("label_id", F.explode(text.word_runs(F.col("words"), F.col("sizes"))).alias("part"))
     return (
         words.join(wanted, "part")
         .groupBy("label_id", "entry_key", "need")

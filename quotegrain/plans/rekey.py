@@ -187,11 +187,13 @@ def apply(medications: DataFrame, listings: DataFrame, items: DataFrame, decisio
     target = approved.select(F.col("legacy_id").alias("medication_id"), F.col("survivor_id").alias("_to"))
     repointed = listings.join(target, "medication_id", "left")
     touched = F.col("_to").isNotNull() & (F.col("match_status") == "verified")
+    # Marks of earlier runs stay, else those could not be undone.
+    earlier = F.col("rekey_run") if "rekey_run" in listings.columns else F.lit(None).cast("string")
     new_listings = repointed.select(
         *[c for c in listings.columns if c not in ("medication_id", "content_unit", "rekey_run")],
         F.when(touched, F.col("_to")).otherwise(F.col("medication_id")).alias("medication_id"),
         F.when(touched, unit_code(F.col("content_unit"))).otherwise(F.col("content_unit")).alias("content_unit"),
-        F.when(touched, F.lit(run_id)).alias("rekey_run"),
+        F.when(touched, F.lit(run_id)).otherwise(earlier).alias("rekey_run"),
     )
     components = canonical.select(
         F.col("survivor_id").alias("medication_id"), F.lit(1).alias("sequence"),
@@ -224,8 +226,8 @@ def undo_blockers(current_listings: DataFrame, original_listings: DataFrame, ite
     return changed.unionByName(foreign)
 
 
-def undo(current: Rekeyed, raw_medications: DataFrame, raw_listings: DataFrame, items: DataFrame) -> Rekeyed:
-    """Put back the raw rows of applied items; evidence stays, components of the run go."""
+def undo(current: Rekeyed, raw_medications: DataFrame, raw_listings: DataFrame, items: DataFrame, run_id: str) -> Rekeyed:
+    """Put back the raw rows of applied items; evidence and other runs' components stay, components of the run go."""
     touched = items.where("approval_status IN ('approved', 'applied')")
     ids = touched.select(F.col("legacy_id").alias("medication_id"))
     kept = current.medications.join(ids, "medication_id", "left_anti")
@@ -233,4 +235,5 @@ def undo(current: Rekeyed, raw_medications: DataFrame, raw_listings: DataFrame,
     back = raw_listings.join(ids, "medication_id", "left_semi")
     others = current.listings.join(back.select("listing_id"), "listing_id", "left_anti")
     listings = others.select(*raw_listings.columns).unionByName(back)
-    return Rekeyed(medications, listings, current.components.limit(0), current.matches)
+    components = current.components.where(~F.col("rekey_run").eqNullSafe(F.lit(run_id)))
+    return Rekeyed(medications, listings, components, current.matches)

@@ -76,26 +76,39 @@ def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(path)
 
 
-def replace_children(quotes: DataFrame, path: str, parent: str, spark: SparkSession, buckets: int = 256) -> None:
-    """Replace every child row of the documents in ``quotes``.
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def replace_children(
+    quotes: DataFrame, path: str, parent: str, spark: SparkSession, buckets: int = 256, documents: DataFrame | None = None
+) -> None:
+    """Replace every child row of the documents in ``quotes``, and clear those of ``documents`` that have none there.
 
     Documents hash into a fixed number of folders. The folders touched are rewritten whole: their
-    other documents are kept, those in ``quotes`` are replaced. Rewritten rows are staged first, so
-    no folder is read while it is overwritten.
+    other documents are kept, those replaced go. Rewritten rows are staged first, so no folder is read while it is
+    overwritten. Only a path that does not exist counts as a first write; a failed read stops the job.
     """
     from quotegrain.session import cut_lineage
 
     bucket = F.pmod(F.xxhash64(parent), F.lit(buckets))
     fresh = quotes.withColumn("bucket", bucket)
-    touched = fresh.select("bucket").distinct()
-    replaced = quotes.select(parent).distinct()
-    try:
-        stored = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - the first write has nothing to keep
-        merged = fresh
-    else:
-        kept = stored.join(touched, "bucket", "left_semi").join(replaced, parent, "left_anti")
-        merged = kept.unionByName(fresh)
-    cut_lineage(merged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "bucket"
-    ).parquet(path)
+    replaced = quotes.select(parent)
+    if documents is not None:
+        replaced = replaced.unionByName(documents.select(parent))
+    replaced = replaced.distinct()
+    if not _exists(spark, path):
+        cut_lineage(fresh).write.mode("append").partitionBy("bucket").parquet(path)
+        return
+    touched = replaced.select(bucket.alias("bucket")).distinct()
+    stored = spark.read.parquet(path)
+    kept = stored.join(touched, "bucket", "left_semi").join(replaced, parent, "left_anti")
+    merged = cut_lineage(kept.unionByName(fresh))
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    # A folder whose last document went has no rows to overwrite it with.
+    left = {r["bucket"] for r in merged.select("bucket").distinct().collect()}
+    for row in touched.collect():
+        if row["bucket"] not in left:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={row['bucket']}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

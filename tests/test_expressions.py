@@ -165,3 +165,14 @@ def test_panel(spark):
     review = spark.createDataFrame([(1, "lisinopril", "20 mg", "tablet")], "page_id long, name string, strength string, form string")
     assert capture.panel_listings(blocks, review).first()["reason"] is None
     assert capture.panel_listings(blocks, review.limit(0)).first()["reason"] == "review_required"
+
+
+def test_deep_json_is_passed_over(spark):
+    deep = "[" * 100_000 + "]" * 100_000
+    rows = spark.createDataFrame([(1, deep), (2, '{"b":1,"a":2}'), (3, "x")], "id long, text string")
+    got = {r["id"]: r["j"] for r in rows.select("id", hashing.canonical_json(F.col("text")).alias("j")).collect()}
+    assert got == {1: None, 2: '{"a":2,"b":1}', 3: None}
+    nested = [{"@type": "Product", "name": "x"}]
+    for _ in range(5000):
+        nested = [nested]
+    assert len(capture.flatten_json_ld(nested)) == 1

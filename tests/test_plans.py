@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quotegrain.operators import fingerprint, redirects
-from quotegrain.plans import frontier, household, identity, offers, quality, reliability, rekey, research
+from quotegrain.plans import capture, compare, frontier, household, identity, matching, offers, quality, reliability, rekey, research
 from quotegrain.sources import captures, sinks
 
 NOW = dt.datetime(2024, 5, 2, 12)
@@ -130,9 +130,16 @@ def test_rekey_round_trip(spark):
     assert {r["listing_id"]: (r["medication_id"], r["content_unit"]) for r in new.listings.collect()} == {11: (1, "tablet"), 12: (1, "tablet"), 13: (3, "tabs")}
     assert rekey.undo_blockers(new.listings, listings, items, "r1").count() == 0
     assert quality.bad_redirects(new.medications).count() == 0
-    back = rekey.undo(new, meds, listings, items)
+    back = rekey.undo(new, meds, listings, items, "r1")
     assert fingerprint.differences(meds, back.medications.select(*meds.columns)).count() == 0
     assert fingerprint.differences(listings, back.listings.select(*listings.columns)).count() == 0
+    # A later run keeps the marks and components of this one, and its undo takes only its own.
+    marked = new.listings.select("listing_id", "medication_id", "match_status", "content_unit", "rekey_run")
+    later = rekey.apply(new.medications, marked, items.limit(0), decisions, "r2")
+    assert {r["rekey_run"] for r in later.listings.where("listing_id < 13").collect()} == {"r1"}
+    both = rekey.Rekeyed(new.medications, new.listings, new.components.unionByName(new.components.withColumn("rekey_run", F.lit("r0"))), new.matches)
+    left = rekey.undo(both, meds, listings, items, "r1").components.collect()
+    assert {r["rekey_run"] for r in left} == {"r0"} and len(left) == new.components.count()
     foreign = new.listings.unionByName(new.listings.limit(1).withColumn("listing_id", F.lit(99).cast("long")).withColumn("medication_id", F.lit(1).cast("long")))
     assert {r["reason"] for r in rekey.undo_blockers(foreign, listings, items, "r1").collect()} == {"new_reference"}
     assert rekey.may_stage({"restore_verified": True, "database_state_hash": "a"}, "a", "h", "h2") == ["snapshot_changed_during_planning"]
@@ -178,6 +185,12 @@ def test_sinks(spark, tmp_path):
     sinks.replace_children(quotes([(1, 10), (1, 11), (2, 20)]), path, "doc", spark, buckets=1)
     sinks.replace_children(quotes([(1, 12)]), path, "doc", spark, buckets=1)
     assert sorted((r["doc"], r["price"]) for r in spark.read.parquet(path).collect()) == [(1, 12), (2, 20)]
+    # A document with no quote left is cleared, alone in its folder or not.
+    cleared = spark.createDataFrame([(1,)], "doc long")
+    sinks.replace_children(quotes([]), path, "doc", spark, buckets=1, documents=cleared)
+    assert [(r["doc"], r["price"]) for r in spark.read.parquet(path).collect()] == [(2, 20)]
+    sinks.replace_children(quotes([]), path, "doc", spark, buckets=1, documents=spark.createDataFrame([(2,)], "doc long"))
+    assert spark.read.schema("doc long, price long").parquet(path).count() == 0
 
     root = str(tmp_path / "table")
     for version in ("v1", "v2"):
@@ -195,3 +208,43 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "history")).count() == 2
     sinks.write_report(history, str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report")).count() == 2
+
+
+def test_scope_filter_finds_long_entries(spark):
+    labels = spark.createDataFrame([(1, "the alpha beta gamma delta epsilon zeta eta theta kit"), (2, "alpha beta"), (3, "")], "label_id long, label string")
+    entries = spark.createDataFrame([("alpha beta gamma delta epsilon zeta eta theta",), ("alpha beta",)], "entry string")
+    got = {r["label_id"]: r["entries"] for r in matching.scope_filter(labels, entries).collect()}
+    assert got == {1: 2, 2: 1}
+    assert matching.scope_filter(labels, entries.limit(0)).count() == 0
+
+
+def test_long_documents_are_one_row(spark):
+    rows = [(1, m, f"n{m}", k, k) for m in (1, 2) for k in range(1500)]
+    lines = spark.createDataFrame(rows, "doc long, member_id long, nickname string, line_no long, medication_id long")
+    docs = household.nest(lines, "doc", "line_no", ["medication_id"]).collect()
+    assert len(docs) == 1 and [len(m["lines"]) for m in docs[0]["members"]] == [1500, 1500]
+
+
+def test_quotes_come_from_offers(spark):
+    lines = spark.createDataFrame([(1, 7), (2, 8), (3, 9)], "line_id long, medication_id long")
+    offers = spark.createDataFrame(
+        [(7, "b", True, 500), (7, "b", True, 450), (7, "a", True, 700), (7, "c", False, 1), (8, "a", True, None)], "medication_id long, source string, active boolean, price_cents long"
+    )
+    got = household.quote_matrix(lines, household.seller_quotes(offers)).collect()
+    assert sorted((r["line_id"], r["position"], r["pharmacy"], float(r["price"])) for r in got) == [(1, 0, "a", 7.0), (1, 1, "b", 4.5)]
+
+
+def test_requested_strength(spark):
+    strengths = spark.createDataFrame([("m", 2, "10 MG"), ("m", 1, "5mg"), ("m", 3, "10-mg"), ("n", 4, "1 mg")], "medicine string, position long, strength string")
+    asked = spark.createDataFrame([(1, "m", "10 mg"), (2, "m", "7 mg"), (3, "n", None), (4, "x", "1 mg")], "request_id long, medicine string, wanted string")
+    got = {r["request_id"]: (r["strength"], r["defaulted"]) for r in compare.pick_strength(strengths, asked).collect()}
+    assert got == {1: ("10 MG", False), 2: ("5mg", True), 3: ("1 mg", True)}
+
+
+def test_offer_keys_with_null_parts(spark):
+    kind = "array<struct<quantity:string,price_cents:string,currency:string,availability:string,seller_key:string,location_key:string,program_key:string>>"
+    row = lambda location, program: ("30", "5", "USD", "in_stock", "s", location, program)
+    rows = [(1, [row(None, "p"), row("p", None)]), (2, [row(None, "p"), row(None, "p")])]
+    df = spark.createDataFrame(rows, f"id long, offers {kind}").select("*", F.lit("k").alias("source_product_key"), F.lit("n").alias("source_name"), F.current_timestamp().alias("observed_at"))
+    got = {r["id"]: r["reasons"] for r in capture.observation_reasons(df).collect()}
+    assert got == {1: [], 2: ["duplicate_quantity_context"]}
