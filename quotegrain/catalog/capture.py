@@ -51,13 +51,15 @@ def query_parameters(t):
     return t.pages.select("page_id", urls.query_value(F.col("url"), "page", "utm_source").alias("value"), urls.encode_component(title).alias("encoded"))
 
 
-@query("page_snapshot", "SRC-04", "UDF-04", oracle="""
-SELECT page_id, REPLACE(REPLACE(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '&nbsp;', chr(160)) AS title,
-  len(regexp_extract_all(html, '<h1')) AS headings, len(list_distinct(regexp_extract_all(html, '<a [^>]*?href="([^"]*)"', 1))) AS links, FALSE AS has_product FROM pages""")
+@query("page_snapshot", "SRC-04", "UDF-04", oracle=f"""
+WITH h AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS origin, UNNEST(list_distinct(regexp_extract_all(html, '<a [^>]*?href="([^"]*)"', 1))) AS href FROM pages),
+l AS (SELECT page_id, array_to_string(list(origin || {PERCENT.format("REPLACE(href, '&amp;', '&')")} ORDER BY origin || {PERCENT.format("REPLACE(href, '&amp;', '&')")}), ' ') AS links FROM h GROUP BY page_id)
+SELECT p.page_id, REPLACE(REPLACE(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '&nbsp;', chr(160)) AS title,
+  len(regexp_extract_all(html, '<h1')) AS headings, COALESCE(l.links, '') AS links, FALSE AS has_product, CAST(NULL AS VARCHAR) AS reason FROM pages p LEFT JOIN l ON l.page_id = p.page_id""")
 def page_snapshot(t):
     snaps = plan.page_snapshots(t.spread("pages"))
     return snaps.select(
-        "page_id", "title", F.size("h1").alias("headings"), F.size("links").alias("links"), F.col("product").isNotNull().alias("has_product")
+        "page_id", "title", F.size("h1").alias("headings"), F.array_join(F.array_sort("links"), " ").alias("links"), F.col("product").isNotNull().alias("has_product"), "reason"
     )
 
 
@@ -134,13 +136,15 @@ def panel_listings(t):
 SNAP_SQL = """SELECT p_partkey AS page_id, 'SKU' || CAST(p_partkey AS VARCHAR(10)) AS sku, p_name || CASE p_size % 4 WHEN 0 THEN ' 90 Count tablets' WHEN 1 THEN ' 10 ml vial' WHEN 2 THEN ' tablets' ELSE ' 30ct' END AS name, p_size, p_brand FROM part"""
 
 
-@query("product_offers", "OBS-01", "SCL-21", "SCL-22", oracle=f"""
+PRODUCT_OFFERS_SQL = f"""
 WITH s AS ({SNAP_SQL})
 SELECT page_id, CASE WHEN page_id % 13 = 0 THEN 'sku_mismatch' WHEN page_id % 17 = 0 THEN 'no_validated_quantities' WHEN page_id % 19 = 0 THEN 'currency_mismatch' WHEN page_id % 23 = 0 THEN 'default_price_mismatch' END AS reason,
   CASE p_size % 4 WHEN 0 THEN 'pack' WHEN 1 THEN 'vial' ELSE 'tablet' END AS sold_as, CASE p_size % 4 WHEN 0 THEN '90' WHEN 1 THEN '10' WHEN 2 THEN '1' END AS content_quantity,
   CASE p_size % 4 WHEN 0 THEN 'tablet' WHEN 1 THEN 'ml' WHEN 2 THEN 'tablet' END AS content_unit,
-  CASE WHEN page_id % 17 = 0 THEN '' ELSE '30:' || CAST(1000 + p_size AS VARCHAR) || ':in_stock,90:2500:' || CASE WHEN page_id % 2 = 0 THEN 'out_of_stock' ELSE 'unknown' END END AS tiers FROM s""")
-def product_offers(t):
+  CASE WHEN page_id % 17 = 0 THEN '' ELSE '30:' || CAST(1000 + p_size AS VARCHAR) || ':in_stock,90:2500:' || CASE WHEN page_id % 2 = 0 THEN 'out_of_stock' ELSE 'unknown' END END AS tiers FROM s"""
+
+
+def product_snapshots(t):
     snap = t.sql(SNAP_SQL)
     p = F.col("page_id")
     offer = lambda q, price, stock: F.struct(F.lit(q).alias("quantity"), price.alias("price"), F.when(p % 19 == 0, "EUR").otherwise("USD").alias("currency"), stock.alias("availability"))
@@ -153,7 +157,10 @@ def product_offers(t):
         offer("90", F.lit("25.00"), F.when(p % 2 == 0, "https://schema.org/SoldOut").otherwise("https://schema.org/PreOrder")),
         offer("365", F.lit("50.00"), F.lit("https://schema.org/InStock")),
     )
-    rows = snap.select("page_id", "sku", "name", panel.alias("panel"), labels.alias("button_labels"), offers.alias("offers"))
+    return snap.select("page_id", "sku", "name", panel.alias("panel"), labels.alias("button_labels"), offers.alias("offers"))
+
+
+def shown_offers(rows):
     tier = lambda x: F.concat_ws(":", x["quantity"], x["price_cents"].cast("string"), x["availability"])
     return plan.product_offers(rows).select(
         "page_id", "reason", "package.sold_as", "package.content_quantity", "package.content_unit",
@@ -161,6 +168,26 @@ def product_offers(t):
     )
 
 
+@query("product_offers", "OBS-01", "SCL-21", "SCL-22", oracle=PRODUCT_OFFERS_SQL)
+def product_offers(t):
+    return shown_offers(product_snapshots(t))
+
+
+@query("captured_offers", "SRC-04", "OBS-01", oracle=PRODUCT_OFFERS_SQL)
+def captured_offers(t):
+    """The same products as whole pages: parsed, then read as offers."""
+    rows = product_snapshots(t)
+    offer = lambda o: F.struct(
+        o["price"].alias("price"), o["currency"].alias("priceCurrency"), o["availability"].alias("availability"), F.struct(o["quantity"].alias("value")).alias("eligibleQuantity"))
+    product = F.to_json(F.struct(F.lit("Product").alias("@type"), "sku", "name", F.transform("offers", offer).alias("offers")))
+    lines = F.array_join(F.transform(F.split("panel", "\n"), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), "")
+    buttons = F.array_join(F.transform("button_labels", lambda x: F.concat(F.lit('<button aria-label="'), x, F.lit('">+</button>'))), "")
+    html = F.concat(
+        F.lit('<html><head><title>t</title><script type="application/ld+json">'), product, F.lit("</script></head><body><main>"), lines, F.lit("</main>"), buttons, F.lit("</body></html>"))
+    pages = rows.select("page_id", F.lit("https://shop.example.com/p").alias("url"), html.alias("html"))
+    return shown_offers(plan.offer_snapshots(plan.page_snapshots(pages)))
+
+
 CATALOG_SQL = """SELECT CASE WHEN p_partkey % 50 = 0 THEN 'bad' ELSE LPAD(CAST(p_partkey AS VARCHAR(11)), 11, '0') END AS ndc, p_partkey, p_name AS medication_name, CAST(5 * (1 + p_size % 4) AS VARCHAR(10)) || 'mg' AS strength, 'Tablet' AS form, CASE WHEN p_size % 3 = 0 THEN p_brand END AS brand_name, p_size FROM part"""
 
 

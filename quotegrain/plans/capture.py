@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
 from html.parser import HTMLParser
+from urllib.parse import quote, urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from quotegrain.functions import money, text, urls, vocab
 from quotegrain.functions.hashing import sha256_text
@@ -57,31 +60,41 @@ def page_loops(states: DataFrame) -> DataFrame:
     return marked.groupBy("page_id", "fingerprint").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1")
 
 
+# Fixed values of HTML: elements that begin and end a line of shown text.
+LINES = frozenset("address article aside blockquote br button dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
+
+
 class _Reader(HTMLParser):
-    """Title, headings, links, main text and JSON-LD of one page."""
+    """Title, headings, links, buttons, main text and JSON-LD of one page."""
 
-    SKIP = {"script", "style"}
+    SKIP = ("script", "style")
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.title, self.h1, self.links, self.main, self.json_ld = [], [], [], [], []
+        self.title, self.h1, self.links, self.main, self.json_ld, self.buttons = [], [], [], [], [], []
         self.open: list[str] = []
         self.typed = False
 
     def handle_starttag(self, tag, attrs):
         attrs = dict(attrs)
-        if tag == "a" and attrs.get("href"):
+        if tag == "a" and attrs.get("href") is not None:
             self.links.append(attrs["href"])
         if tag == "h1":
             self.h1.append("")
+        if tag == "button":
+            self.buttons.append(["", attrs.get("aria-label") or "", attrs.get("aria-pressed")])
         if tag == "script":
             self.typed = attrs.get("type") == "application/ld+json"
             if self.typed:
                 self.json_ld.append("")
-        if tag in ("title", "h1", "main", "article", *self.SKIP):
+        if tag in LINES and "main" in self.open:
+            self.main.append("\n")
+        if tag in ("title", "h1", "main", "button", *self.SKIP):
             self.open.append(tag)
 
     def handle_endtag(self, tag):
+        if tag in LINES and "main" in self.open:
+            self.main.append("\n")
         if tag in self.open:
             while self.open and self.open.pop() != tag:
                 pass
@@ -97,8 +110,23 @@ class _Reader(HTMLParser):
             self.title.append(data)
         if "h1" in self.open and self.h1:
             self.h1[-1] += data
-        if "main" in self.open or "article" in self.open:
-            self.main.append(data)
+        if "button" in self.open and self.buttons:
+            self.buttons[-1][0] += data
+        if "main" in self.open:
+            self.main.append(re.sub(r"\s+", " ", data))
+
+    def panel(self) -> str:
+        """Shown text of the main element, one line per block, blanks folded."""
+        lines = (" ".join(line.split()) for line in "".join(self.main).split("\n"))
+        return "\n".join(line for line in lines if line)
+
+
+def _absolute(href: str, base: str) -> str | None:
+    """Absolute link with other characters than a URL's own percent-coded; null when it cannot be read."""
+    try:
+        return quote(urljoin(base, href.strip()), safe="!#$%&'()*+,/:;=?@[\\]^_{|}~-.")
+    except ValueError:
+        return None
 
 
 def flatten_json_ld(value) -> list[dict]:
@@ -129,30 +157,55 @@ def _product(blocks: list[str]):
     if len(products) != 1:
         return None
     keep = {k: products[0][k] for k in ("name", "sku", "brand", "offers", "productID") if k in products[0]}
+    if "offers" in keep and not isinstance(keep["offers"], list):
+        keep["offers"] = [keep["offers"]]
     return json.dumps(keep, ensure_ascii=False)
 
 
-SNAPSHOT = "page_id long, url string, title string, h1 array<string>, links array<string>, panel string, product string"
+BUTTON = pa.struct([("text", pa.string()), ("label", pa.string()), ("pressed", pa.string())])
+SNAPSHOT = pa.schema([
+    ("page_id", pa.int64()), ("url", pa.string()), ("title", pa.string()), ("h1", pa.list_(pa.string())), ("links", pa.list_(pa.string())),
+    ("panel", pa.string()), ("buttons", pa.list_(BUTTON)), ("product", pa.string()), ("reason", pa.string()),
+])
+
+
+def snapshot(page_id, url: str | None, html: str | None) -> dict:
+    reader = _Reader()
+    reader.feed(html or "")
+    title, panel = "".join(reader.title), reader.panel()
+    links = (_absolute(href, url or "") for href in reader.links)
+    return {
+        "page_id": page_id, "url": url, "title": title, "h1": [h.strip() for h in reader.h1], "links": list(dict.fromkeys(x for x in links if x)),
+        "panel": panel, "buttons": [{"text": t.strip(), "label": label, "pressed": pressed} for t, label, pressed in reader.buttons],
+        "product": _product(reader.json_ld), "reason": None if title or panel else "empty_or_non_html_page",
+    }
 
 
 def page_snapshots(pages: DataFrame) -> DataFrame:
-    """Parse whole pages with the standard HTML parser, in Arrow batches on the executors."""
+    """Parse whole pages with the standard HTML parser, in Arrow batches. A page without title and main text has a reason."""
 
     def parse(batches):
         for batch in batches:
-            rows = []
-            for page_id, url, html in zip(batch["page_id"], batch["url"], batch["html"]):
-                reader = _Reader()
-                reader.feed(html or "")
-                rows.append(
-                    (
-                        page_id, url, "".join(reader.title), [h.strip() for h in reader.h1],
-                        list(dict.fromkeys(reader.links)), " ".join("".join(reader.main).split()), _product(reader.json_ld),
-                    )
-                )
-            yield pd.DataFrame(rows, columns=["page_id", "url", "title", "h1", "links", "panel", "product"])
-
-    return pages.select("page_id", "url", "html").mapInPandas(parse, SNAPSHOT)
+            rows = [snapshot(*r) for r in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "html")), strict=True)]
+            yield pa.RecordBatch.from_pylist(rows, schema=SNAPSHOT)
+
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(parse, from_arrow_schema(SNAPSHOT))
+
+
+PRODUCT = (
+    "name string, sku string, offers array<struct<price:string,priceCurrency:string,availability:string,eligibleQuantity:struct<value:string>>>"
+)
+
+
+def offer_snapshots(snapshots: DataFrame) -> DataFrame:
+    """Page snapshots in the shape that ``product_offers`` reads."""
+    product = F.from_json("product", PRODUCT)
+    rows = snapshots.where("reason IS NULL").select("page_id", "panel", product.alias("p"), F.col("buttons.label").alias("button_labels"))
+    offers = F.transform(
+        F.coalesce("p.offers", F.array().cast("array<struct<price:string,priceCurrency:string,availability:string,eligibleQuantity:struct<value:string>>>")),
+        lambda o: F.struct(o["eligibleQuantity"]["value"].alias("quantity"), o["price"].alias("price"), o["priceCurrency"].alias("currency"), o["availability"].alias("availability")),
+    )
+    return rows.select("page_id", "p.sku", "p.name", "panel", "button_labels", offers.alias("offers"))
 
 
 def review_overlay(base: DataFrame, reviews: DataFrame, key: str, plain: list[str], nullable: list[str]) -> DataFrame:

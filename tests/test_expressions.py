@@ -136,8 +136,20 @@ def test_page_snapshot(spark):
         "<script>var x = '<a href=\"/no\">';</script></head><body><h1> One </h1><a href='/a'>a</a><a href=\"/a\">b</a><main>Hello\n  there</main></body></html>"
     )
     row = capture.page_snapshots(spark.createDataFrame([(1, "https://x.example/", html)], "page_id long, url string, html string")).first()
-    assert (row["title"], row["h1"], row["links"], row["panel"]) == ("T & U", ["One"], ["/a"], "Hello there")
-    assert '"sku": "S1"' in row["product"]
+    assert (row["title"], row["h1"], row["links"], row["panel"]) == ("T & U", ["One"], ["https://x.example/a"], "Hello there")
+    assert '"sku": "S1"' in row["product"] and row["reason"] is None
+
+
+def test_page_snapshot_parts(spark):
+    html = (
+        "<title>T</title><article>left out</article><main><p>SKU: S1</p><div>Count <b>5</b></div><button aria-label='Select quantity 30' aria-pressed='true'> 30 </button>"
+        "<a href='../y'>y</a><a href='/é b'>z</a><a href='http://[bad'>n</a></main>"
+    )
+    rows = [(1, "https://x.example/a/b/c", html), (2, "https://x.example/", "<p>text</p>"), (3, None, None), (4, "https://x.example/", "<title>t</title>" + '<script type="application/ld+json">' + "[" * 5000)]
+    got = {r["page_id"]: r for r in capture.page_snapshots(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1]["links"] == ["https://x.example/a/y", "https://x.example/%C3%A9%20b"] and got[1]["panel"] == "SKU: S1\nCount 5\n30\nyzn"
+    assert got[1]["buttons"][0].asDict() == {"text": "30", "label": "Select quantity 30", "pressed": "true"}
+    assert [got[k]["reason"] for k in (1, 2, 3, 4)] == [None, "empty_or_non_html_page", "empty_or_non_html_page", None] and got[4]["product"] is None
 
 
 PANEL = """Generic Alternative:
