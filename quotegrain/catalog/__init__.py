@@ -18,7 +18,7 @@ OPERATORS: dict[str, tuple[str, ...]] = {}
 
 MODULES = [
     "offers", "status", "history", "joins", "household", "compare", "identity",
-    "rekey", "reliability", "capture", "quality", "research", "expressions", "streams",
+    "rekey", "reliability", "capture", "quality", "research", "expressions", "streams", "files",
 ]
 
 

@@ -191,7 +191,7 @@ def captured_offers(t):
 CATALOG_SQL = """SELECT CASE WHEN p_partkey % 50 = 0 THEN 'bad' ELSE LPAD(CAST(p_partkey AS VARCHAR(11)), 11, '0') END AS ndc, p_partkey, p_name AS medication_name, CAST(5 * (1 + p_size % 4) AS VARCHAR(10)) || 'mg' AS strength, 'Tablet' AS form, CASE WHEN p_size % 3 = 0 THEN p_brand END AS brand_name, p_size FROM part"""
 
 
-@query("catalogue_quotes", "OBS-03", "SRC-03", oracle="""
+@query("catalogue_quotes", "OBS-03", oracle="""
 SELECT CASE WHEN p_partkey % 50 = 0 THEN 'bad' ELSE LPAD(CAST(p_partkey AS VARCHAR), 11, '0') END AS ndc, v.q AS quantity, CASE WHEN p_partkey % 50 = 0 THEN 'invalid_catalogue_identity'
   WHEN p_partkey % 7 = 0 OR (p_partkey % 9 = 0 AND v.q = '30') OR p_partkey % 13 = 0 THEN 'ambiguous_or_missing_quote' WHEN p_partkey % 11 = 0 THEN 'quote_identity_mismatch' END AS reason,
   CASE WHEN p_partkey % 50 <> 0 AND p_partkey % 7 <> 0 AND NOT (p_partkey % 9 = 0 AND v.q = '30') AND p_partkey % 13 <> 0 AND p_partkey % 11 <> 0 THEN CAST(v.q AS BIGINT) * 10 + p_size END AS price_cents

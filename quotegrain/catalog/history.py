@@ -16,7 +16,7 @@ ROW = ["listing_id", "quantity", "observed_at", "l_orderkey", "l_linenumber", "l
 ROW_SQL = ", ".join(ROW)
 
 
-@query("price_changes", "WIN-03", "SNK-02", oracle=f"""
+@query("price_changes", "WIN-03", oracle=f"""
 SELECT {ROW_SQL}, price_cents, availability, active FROM (
   SELECT *, ROW_NUMBER() OVER w AS rn, LAG(price_cents) OVER w AS pp, LAG(availability) OVER w AS pa, LAG(active) OVER w AS pv
   FROM b_observations WINDOW w AS ({BY_TIME})) x

@@ -197,7 +197,7 @@ def first_n_distinct(t):
     return matching.first_n_distinct(rows, "household_id", "medication_id", "position", 4)
 
 
-@query("union_priority", "SET-01", "SNK-07", oracle="""
+@query("union_priority", "SET-01", oracle="""
 WITH u AS (SELECT p_name AS name, p_size % 4 AS strength, p_partkey AS id, 'stored' AS origin, 0 AS pr FROM part WHERE p_partkey % 9 = 0
   UNION ALL SELECT p_name, p_size % 4, p_partkey, 'catalogue', 1 FROM part)
 SELECT name, strength, id, origin FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY name, strength ORDER BY pr, id) AS rn FROM u) x WHERE rn = 1""")

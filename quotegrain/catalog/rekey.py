@@ -166,7 +166,7 @@ def undo_blockers(t):
     return blockers.select("listing_id", "reason")
 
 
-@query("rekey_run_status", "BKF-08", "BKF-03", oracle="""
+@query("rekey_run_status", "BKF-08", oracle="""
 SELECT event_id AS run_id, event_type AS status, ts AS created_at FROM events ORDER BY event_id DESC LIMIT 1""")
 def rekey_run_status(t):
     runs = t.events.select(F.col("event_id").alias("run_id"), F.col("event_type").alias("status"), F.col("ts").alias("created_at"))

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quotegrain.operators import fingerprint
 from quotegrain.functions import text, vocab
 
 STRUCTURE = ["strength", "form", "route", "release_type", "rxcui", "term_type"]
@@ -144,16 +145,39 @@ def approve(items: DataFrame, collisions: bool = False) -> DataFrame:
     return items.withColumn("approval_status", F.when(state.isin(open_states), "approved").otherwise(state))
 
 
-def may_stage(backup: dict, recovery_hash: str, planned_hash: str, current_hash: str) -> list[str]:
-    """Why a plan must not be staged; empty when it may."""
-    problems = []
-    if not backup.get("restore_verified"):
-        problems.append("restore_verified_backup_required")
-    if backup.get("database_state_hash") != recovery_hash:
-        problems.append("backup_database_state_mismatch")
-    if planned_hash != current_hash:
-        problems.append("snapshot_changed_during_planning")
-    return problems
+def stage_problems(backup: DataFrame, planned: DataFrame, current: DataFrame) -> DataFrame:
+    """One row (problems): why a plan must not be staged, empty when it may.
+
+    ``backup``: database_state_hash, restore_verified, its newest record. ``planned`` and ``current``: fingerprints of
+    the tables when planning began and now.
+    """
+    was = fingerprint.snapshot_hash(planned).select(F.col("snapshot_hash").alias("planned_hash"))
+    now = fingerprint.snapshot_hash(current).select(F.col("snapshot_hash").alias("current_hash"))
+    record = backup.select("database_state_hash", "restore_verified")
+    facts = now.select(
+        "current_hash", was.scalar().alias("planned_hash"), record.select("database_state_hash").scalar().alias("saved_hash"), record.select("restore_verified").scalar().alias("verified")
+    )
+    same = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
+    checks = [
+        F.when(~F.coalesce("verified", F.lit(False)), F.lit("restore_verified_backup_required")),
+        F.when(~same("saved_hash", "planned_hash"), F.lit("backup_database_state_mismatch")),
+        F.when(~same("planned_hash", "current_hash"), F.lit("snapshot_changed_during_planning")),
+    ]
+    return facts.select(F.array_compact(F.array(*checks)).alias("problems"))
+
+
+def stage(items: DataFrame, backup: DataFrame, planned: DataFrame, current: DataFrame, path: str, run_id: str) -> DataFrame:
+    """Write a plan's items under its run and return the event: (run_id, items, problems).
+
+    A run that exists is never written again. With a problem nothing is written.
+    """
+    problems = stage_problems(backup, planned, current).first()["problems"]
+    spark, rows = items.sparkSession, 0
+    if not problems:
+        target = f"{path}/run_id={run_id}"
+        items.write.mode("error").parquet(target)
+        rows = spark.read.parquet(target).count()
+    return spark.createDataFrame([(run_id, rows, ",".join(problems))], "run_id string, items long, problems string")
 
 
 @dataclass(frozen=True)
