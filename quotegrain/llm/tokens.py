@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tokenizers
@@ -21,9 +23,9 @@ from pyspark.sql import functions as F
 from quotegrain.llm.common import each_batch, raw, staged
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
-#: Words whose counts a task remembers.
-MEMO = 200_000
-#: Words of ASCII text as the vocabulary's pre-tokenizer cuts them, for lower-cased text.
+#: Words and pieces of words whose counts a worker remembers, each, and pieces that are encoded in one go.
+MEMO, TOGETHER = 300_000, 2000
+#: Pieces of lower-cased ASCII words as the vocabulary's pre-tokenizer cuts them.
 ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x20\x09-\x0Da-z0-9]+")
 
 
@@ -34,35 +36,59 @@ def version(path: str) -> str:
 
 
 class Counter:
-    """Counts tokens with the tokenizers library. Tokens never cross ASCII white space, so words are encoded once each."""
+    """Counts tokens with the tokenizers library.
+
+    Tokens never cross ASCII white space, nor the cuts of the pre-tokenizer, so each distinct word and each distinct piece of one is
+    counted once and remembered. Pieces are encoded many at a time, told apart by the library's word numbers.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, int] = {}
+        self.words: dict[bytes, int] = {}
+        self.pieces: dict[str, int] = {}
 
     def count(self, docs: list[bytes]) -> list[int]:
-        cut = [_pieces(t) for t in docs]
-        known = self.known
-        if len(known) > MEMO:
-            known.clear()
-        fresh = list({w for words in cut for w in words if w not in known})
-        for k in range(0, len(fresh), 5000):
-            part = fresh[k : k + 5000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[word] = len(e)
-        return [sum(map(known.__getitem__, words)) for words in cut]
-
-
-def _pieces(text: bytes) -> list[str]:
-    """ASCII text without special strings as lower-case pieces, any other text as its words."""
-    if text.isascii() and b"<|" not in text:
-        return ASCII_PIECE.findall(text.decode().lower())
-    return text.decode().translate(BREAKS).split(" ") if text else []
-
-
-BREAKS = {c: " " for c in range(9, 14)}
+        cut = [t.split() for t in docs]
+        if len(self.words) > MEMO:
+            self.words.clear()
+        fresh = list({w for words in cut for w in words if w not in self.words})
+        self.words.update(zip(fresh, self._count_words(fresh), strict=True))
+        return [sum(map(self.words.__getitem__, words)) for words in cut]
+
+    def _count_words(self, words: list[bytes]) -> list[int]:
+        cut = [_pieces(w) for w in words]
+        if len(self.pieces) > MEMO:
+            self.pieces.clear()
+        fresh = list({p for pieces in cut for p in pieces if p not in self.pieces})
+        plain = [p for p in fresh if p.isalpha()]
+        for k in range(0, len(plain), TOGETHER):
+            part = plain[k : k + TOGETHER]
+            numbers = self.tokenizer.encode(" ".join(part), add_special_tokens=False).word_ids
+            if numbers[-1] + 1 == len(part):
+                self.pieces.update(zip(part, np.bincount(numbers).tolist(), strict=True))
+            else:  # lower-casing has made more than one word of a piece
+                self._count_alone(part)
+        self._count_alone([p for p in fresh if not p.isalpha()])
+        return [sum(map(self.pieces.__getitem__, pieces)) for pieces in cut]
+
+    def _count_alone(self, pieces: list[str]) -> None:
+        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False) if pieces else []
+        self.pieces.update((p, len(e)) for p, e in zip(pieces, found, strict=True))
+
+
+@lru_cache(2)
+def counter(path: str) -> Counter:
+    """One per Python worker, so that what a task has counted serves the next."""
+    return Counter(path)
+
+
+def _pieces(word: bytes) -> list[str]:
+    """Lower-case pieces of an ASCII word without special strings; any other word as it is."""
+    if word.isascii() and b"<|" not in word:
+        return ASCII_PIECE.findall(word.decode().lower())
+    return [word.decode()]
 
 
 def digest(text: bytes) -> bytes:
@@ -83,12 +109,12 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def _encoded(path: str, ship: bool):
     def run(batches):
-        counter = Counter(SparkFiles.get(path) if ship else path)
+        own = counter(SparkFiles.get(path) if ship else path)
         for batch in batches:
             for k in range(0, batch.num_rows, 100):
                 part = batch.slice(k, 100)
                 yield pa.RecordBatch.from_arrays(
-                    [part["digest"], pa.array(counter.count(raw(part["text"])), pa.int64())], names=["digest", "n_tokens"])
+                    [part["digest"], pa.array(own.count(raw(part["text"])), pa.int64())], names=["digest", "n_tokens"])
 
     return run
 
@@ -108,9 +134,9 @@ def token_counts(docs: DataFrame, cache: str, tokenizer: str = "word_bpe_49k.jso
     missing = keys.select("digest").distinct().join(known, "digest", "left_anti")
     # The first document of a missing digest carries its text to the encoder.
     chosen = keys.join(missing, "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    bodies = _bodies(rows, chosen)
-    bodies.mapInArrow(_encoded(path, ship), "digest binary, n_tokens long").select(
-        F.lit(mark).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
+    # Rows alike in id and text come twice, and are one row of the cache.
+    counted = _bodies(rows, chosen).mapInArrow(_encoded(path, ship), "digest binary, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counted.select(F.lit(mark).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
     counts = stored(spark, cache).where(F.col("version") == mark).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     return keys.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
