@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from quotegrain.llm.common import crc_mod, each_batch, hash_share, staged, texts
 
 #: About how many labelled documents teach, and the most words a lexicon holds.
-SAMPLE, LEXICON = 30_000, 400
+SAMPLE, LEXICON = 12_000, 400
 #: Toxic contexts that a word needs for each other context, and contexts for each of its toxic occurrences.
 LIFT, VARIETY = 4.0, 0.2
 #: How unlikely a word's toxic contexts must be by chance, over all words.
