@@ -89,29 +89,29 @@ def insert_if_absent(t):
     return plan.insert_if_absent(old, new.select(*OFFER_KEY).distinct(), OFFER_KEY)
 
 
-@query("history_audit", "ING-06", oracle=f"""
-WITH cuts AS (SELECT TIMESTAMP '1999-12-31 00:00:00' AS t),
-ranked AS (SELECT o.*, ROW_NUMBER() OVER (PARTITION BY listing_id, quantity, observed_at <= t
-  ORDER BY observed_at DESC, l_orderkey DESC, l_linenumber DESC, l_suppkey DESC) AS rn, observed_at <= t AS early FROM b_observations o, cuts),
-old AS (SELECT * FROM ranked WHERE early AND rn = 1),
-final AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY listing_id, quantity ORDER BY observed_at DESC, l_orderkey DESC, l_linenumber DESC, l_suppkey DESC) AS r2 FROM b_observations) x WHERE r2 = 1),
-h AS (SELECT listing_id, quantity, COUNT(*) AS history_rows FROM (
-  SELECT *, ROW_NUMBER() OVER w AS rn, LAG(price_cents) OVER w AS pp, LAG(availability) OVER w AS pa, LAG(active) OVER w AS pv
-  FROM b_observations WINDOW w AS ({BY_TIME})) x, cuts
-  WHERE observed_at > t AND l_linenumber <> 3 AND (rn = 1 OR price_cents IS DISTINCT FROM pp OR availability IS DISTINCT FROM pa OR active IS DISTINCT FROM pv)
-  GROUP BY listing_id, quantity)
-SELECT f.listing_id, f.quantity, TRUE AS differs, CAST(0 AS BIGINT) AS history_rows FROM final f
-LEFT JOIN old o ON o.listing_id = f.listing_id AND o.quantity = f.quantity LEFT JOIN h ON h.listing_id = f.listing_id AND h.quantity = f.quantity
-WHERE h.history_rows IS NULL AND (o.listing_id IS NULL OR o.price_cents IS DISTINCT FROM f.price_cents
-  OR o.availability IS DISTINCT FROM f.availability OR o.active IS DISTINCT FROM f.active)""")
+@query("history_audit", "ING-06", oracle="""
+WITH ranked AS (SELECT *, observed_at <= TIMESTAMP '1999-12-31 00:00:00' AS early, ROW_NUMBER() OVER (PARTITION BY listing_id, quantity, observed_at <= TIMESTAMP '1999-12-31 00:00:00'
+  ORDER BY observed_at DESC, l_orderkey DESC, l_linenumber DESC, l_suppkey DESC) AS rn FROM b_observations),
+old AS (SELECT * FROM ranked WHERE early AND rn = 1), run AS (SELECT * FROM ranked WHERE NOT early AND rn = 1),
+j AS (SELECT r.listing_id, r.quantity, o.listing_id IS NOT NULL AS known, o.listing_id IS NULL OR o.price_cents IS DISTINCT FROM r.price_cents OR o.availability IS DISTINCT FROM r.availability
+  OR o.active IS DISTINCT FROM r.active AS differs FROM run r LEFT JOIN old o ON o.listing_id = r.listing_id AND o.quantity = r.quantity),
+k AS (SELECT *, CASE WHEN differs AND listing_id % 10 <> 1 THEN CASE WHEN listing_id % 10 = 2 THEN 2 ELSE 1 END WHEN NOT differs AND listing_id % 10 = 3 THEN 1 ELSE 0 END AS n FROM j)
+SELECT listing_id, quantity, CASE WHEN differs AND n = 0 THEN 'missing_history' WHEN differs AND n > 1 THEN 'repeated_history' WHEN NOT differs AND n > 0 THEN 'needless_history' ELSE 'check_time_not_refreshed' END AS problem,
+  CAST(n AS BIGINT) AS history_rows FROM k WHERE (differs AND n <> 1) OR (NOT differs AND n > 0) OR (known AND listing_id % 10 = 4)""")
 def history_audit(t):
-    """The recorded history here lacks the rows of line number 3, which the audit has to notice."""
-    cut, values = as_of("1999-12-31 00:00:00"), plan.STATE
+    """One run over every offer seen after the cut. Its history lacks, repeats or adds rows, and some check times stand still."""
+    cut, values = as_of("1999-12-31 00:00:00"), [*plan.STATE, "observed_at"]
     before = plan.state_as_of(t.observations, OFFER_KEY, TIME_ORDER, cut, values)
-    after = ordered.latest(t.observations, OFFER_KEY, TIME_ORDER, values)
-    changes = plan.price_changes(t.observations, OFFER_KEY, TIME_ORDER, time_position())
-    recorded = changes.where((F.col("observed_at") > cut) & (F.col("l_linenumber") != 3))
-    return plan.history_audit(before, after, recorded, OFFER_KEY)
+    run = ordered.latest(t.observations.where(F.col("observed_at") > cut), OFFER_KEY, TIME_ORDER, values)
+    was = before.select(*OFFER_KEY, F.struct(*plan.STATE).alias("_was"), F.col("observed_at").alias("_checked"))
+    met = run.join(was, OFFER_KEY, "left")
+    kind = F.col("listing_id") % 10
+    changed = ~F.col("_was").eqNullSafe(F.struct(*plan.STATE))
+    copies = F.when(changed & (kind != 1), F.when(kind == 2, 2).otherwise(1)).when(~changed & (kind == 3), 1).otherwise(0)
+    recorded = met.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*OFFER_KEY)
+    stood = met.withColumn("observed_at", F.when((kind == 4) & F.col("_checked").isNotNull(), F.col("_checked")).otherwise(F.col("observed_at")))
+    after = plan.upsert_state(before, stood.select(*OFFER_KEY, *values), OFFER_KEY, values)
+    return plan.history_audit(before, after, recorded, OFFER_KEY, run, "observed_at")
 
 
 RUN_CHECK_SQL = """SELECT DISTINCT run_month, CAST(l_suppkey % 4 AS BIGINT) AS offer_source,

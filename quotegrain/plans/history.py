@@ -69,18 +69,23 @@ def insert_if_absent(existing: DataFrame, incoming: DataFrame, keys: list[str])
     return incoming.join(existing.select(*keys).distinct(), keys, "left_anti")
 
 
-def history_audit(before, after, history, keys, state=STATE) -> DataFrame:
-    """Offers whose history rows between two versions do not match their state changes.
+def history_audit(before, after, history, keys, planned, checked: str, state=STATE) -> DataFrame:
+    """Offers of one run whose history does not match their state, or whose check time stood still: (keys, problem, history_rows).
 
-    ``history`` has one row per recorded change since ``before``. An offer whose state differs needs
-    at least one, an offer with none must be unchanged.
+    A changed or new offer has exactly one history row of the run, an unchanged one none. ``planned`` are the offers that the run had
+    to check; each must carry a later ``checked`` than before.
     """
     counts = history.groupBy(*keys).agg(F.count(F.lit(1)).alias("history_rows"))
-    old = before.select(*keys, F.struct(*state).alias("_old"))
-    new = after.select(*keys, F.struct(*state).alias("_new"))
-    joined = old.join(new, keys, "full").join(counts, keys, "left")
-    return joined.select(
-        *keys,
-        (~F.col("_old").eqNullSafe(F.col("_new"))).alias("differs"),
-        F.coalesce("history_rows", F.lit(0)).alias("history_rows"),
-    ).where(F.col("differs") & (F.col("history_rows") == 0))
+    old = before.select(*keys, F.struct(*state).alias("_old"), F.col(checked).alias("_was"))
+    new = after.select(*keys, F.struct(*state).alias("_new"), F.col(checked).alias("_is"))
+    due = planned.select(*keys, F.lit(True).alias("_due")).distinct()
+    joined = old.join(new, keys, "full").join(counts, keys, "left").join(due, keys, "left")
+    differs, rows = ~F.col("_old").eqNullSafe(F.col("_new")), F.coalesce("history_rows", F.lit(0))
+    later = F.col("_was").isNull() | (F.col("_is") > F.col("_was"))
+    problem = (
+        F.when(differs & (rows == 0), "missing_history")
+        .when(differs & (rows > 1), "repeated_history")
+        .when(~differs & (rows > 0), "needless_history")
+        .when(F.col("_due") & ~F.coalesce(later, F.lit(False)), "check_time_not_refreshed")
+    )
+    return joined.select(*keys, problem.alias("problem"), rows.alias("history_rows")).where("problem IS NOT NULL")
