@@ -193,14 +193,6 @@ def batch_quotes(t):
     )
 
 
-def request_items(t, rule):
-    rows = enriched(t)
-    asked = quote_requests(t).withColumnsRenamed({"quantity": "asked_quantity", "unit": "asked_unit"})
-    return asked.join(rows, "medication_id").withColumn(
-        "exact", plan.exact_tier(F.col("asked_quantity"), F.col("asked_unit"))
-    )
-
-
 @query("quote_status", "QRY-04", oracle=f"""
 WITH {REQUESTS_SQL}, hits AS (
   SELECT r.request_id, COUNT(*) AS n, COUNT(*) FILTER (WHERE o.availability = 'unknown') AS unconfirmed {FROM_ALL}
@@ -259,27 +251,8 @@ SELECT r.request_id, CASE WHEN h.n IS NOT NULL THEN 'available' WHEN j.tier AND
   ELSE 'unavailable' END AS outcome
 FROM requests r LEFT JOIN hits h ON h.request_id = r.request_id LEFT JOIN judged j ON j.request_id = r.request_id""")
 def result_outcome(t):
-    rule = rules()
-    rows = request_items(t, rule)
-    found = rows.select(
-        "request_id",
-        plan.exclusion_reason(rule, F.col("exact")).alias("reason"),
-        (F.coalesce(plan.eligible(rule), F.lit(False)) & F.col("exact")).cast("int").alias("hit"),
-    )
-    synthetic = missing_reasons(t).select("request_id", "reason", F.lit(0).alias("hit"))
-    # The reason domain is a fixed short list, so the collected set per request stays small.
-    judged = found.unionByName(synthetic).groupBy("request_id").agg(
-        F.sum("hit").alias("n"), F.collect_set("reason").alias("reasons")
-    )
-    empty = F.array().cast("array<string>")
-    return (
-        quote_requests(t)
-        .join(judged, "request_id", "left")
-        .select(
-            "request_id",
-            plan.result_outcome(F.coalesce("n", F.lit(0)), F.coalesce("reasons", empty)).alias("outcome"),
-        )
-    )
+    asked = quote_requests(t).withColumnsRenamed({"quantity": "asked_quantity", "unit": "asked_unit"})
+    return plan.request_outcomes(asked, t.listings, t.offer_rows, t.sources, rules())
 
 
 @query("medication_offers", "QRY-01", "JOIN-11", oracle=f"""

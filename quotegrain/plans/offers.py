@@ -178,6 +178,35 @@ def result_outcome(items: Column, reasons: Column) -> Column:
     return F.when(items > 0, "available").when(unsupported, "unsupported_quantity").otherwise("unavailable")
 
 
+def request_outcomes(requests: DataFrame, listings: DataFrame, offers: DataFrame, sources: DataFrame, rules: OfferRules) -> DataFrame:
+    """(request_id, outcome) in one pass over the requests' listings and offers.
+
+    ``requests``: request_id, medication_id, asked_quantity, asked_unit. A source without a listing is not matched, one without an
+    offer of the exact tier does not support it. Sources and reasons are short fixed lists, so the sets per request stay small.
+    """
+    named = sources.select("source_id", F.col("slug").alias("source"), "enabled")
+    rows = requests.join(listings.join(named, "source_id").join(offers, "listing_id", "left"), "medication_id")
+    exact = exact_tier(F.col("asked_quantity"), F.col("asked_unit"))
+    offered = F.col("offer_id").isNotNull()
+    flags = rows.select(
+        "request_id", "source", (offered & exact).alias("exact"), F.when(offered, exclusion_reason(rules, exact)).alias("reason"),
+        (offered & F.coalesce(eligible(rules), F.lit(False)) & exact).cast("int").alias("hit"),
+    )
+    judged = flags.groupBy("request_id").agg(
+        F.sum("hit").alias("n"), F.collect_set("reason").alias("reasons"), F.collect_set("source").alias("known"),
+        F.collect_set(F.when(F.col("exact"), F.col("source"))).alias("served"),
+    )
+    every = sources.agg(F.count_distinct("slug").alias("n")).scalar()
+    none = F.array().cast("array<string>")
+    known = F.coalesce("known", none)
+    missing = F.array_compact(F.array(
+        F.when(F.size(known) < every, F.lit("not_matched")), F.when(F.size(F.array_except(known, F.coalesce("served", none))) > 0, F.lit("unsupported_quantity"))
+    ))
+    reasons = F.array_distinct(F.concat(F.coalesce("reasons", none), missing))
+    joined = requests.select("request_id").join(judged, "request_id", "left")
+    return joined.select("request_id", result_outcome(F.coalesce("n", F.lit(0)), reasons).alias("outcome"))
+
+
 def missing_reasons(requests: DataFrame, known: DataFrame, source_names: list[str]) -> DataFrame:
     """Reasons for sources without a row: not matched at all, or matched without the tier.
 
