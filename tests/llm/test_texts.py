@@ -112,7 +112,7 @@ def test_language_of_nothing(spark):
 def test_base_spans(spark):
     texts = [
         "a@b.co, x.y@z.example.org. ip 1.2.3.4.5 999.1.1.1 007.8.9.10 +1 (269) 555-3296 4111 1111 1111 1111", "card 4111-1111-1111-1112 5 4111111111111111", None, "",
-        "+49 30 123456-7 and +1 2 üé@x.y ä 10.0.0.1", "0" * 5000 + ".1.2.3",
+        "+49 30 123456-7 and +1 2 üé@x.y ä 10.0.0.1", "0" * 3000 + ".1.2.3",
     ]
     rows = [{"doc_id": k, "text": t, "lang": None, "source": None, "n_chars": 0} for k, t in enumerate(texts)] + ROWS
     got = pii.personal_data(fixtures.frame(spark, rows)).collect()
