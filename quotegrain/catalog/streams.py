@@ -1,4 +1,4 @@
-"""Streaming jobs run over the tables as a file stream until the input is used up."""
+"""Streaming jobs run over the tables as file streams of several micro-batches until the input is used up."""
 
 from pyspark.sql import functions as F
 
@@ -10,19 +10,28 @@ from quotegrain.sources.tables import ARRIVAL_ORDER, OFFER_KEY, arrival_position
 from quotegrain.streaming import ingest as streaming
 
 
-def table_stream(t, name):
-    """One table as a file stream. A folder of many files gives many micro-batches."""
-    schema = t.table(name).schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.folder)
+#: Micro-batches that a table arrives in.
+PARTS = 4
+
+
+def table_stream(t, name, order):
+    """One table as a file stream that arrives in PARTS micro-batches, by ranges of ``order``."""
+    path = streaming.new_root(t.spark, "arrivals")
+    rows = t.table(name)
+    top = rows.agg(F.max(order)).first()[0] or 0
+    part = F.least(F.floor(F.coalesce(F.col(order), F.lit(0)) * PARTS / F.lit(top + 1)), F.lit(PARTS - 1))
+    for k in range(PARTS):
+        rows.where(part == k).repartition(2).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
 def observation_stream(t):
-    """Observation rows as a stream: the bridge text over the streamed lines."""
+    """Observation rows as a stream: the bridge text over the streamed lines, in arrival order."""
     text = VIEWS["b_observations"].replace("FROM lineitem", "FROM {lines}")
-    return t.spark.sql(text, lines=table_stream(t, "lineitem"))
+    return t.spark.sql(text, lines=table_stream(t, "lineitem", "l_orderkey"))
 
 
-@query("stream_price_changes", "STR-02", "STR-03", oracle="""
+@query("stream_price_changes", "STR-02", oracle="""
 WITH a AS (SELECT *, MAX(observed_at) OVER (PARTITION BY listing_id, quantity ORDER BY l_orderkey, l_linenumber, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM b_observations),
 k AS (SELECT * FROM a WHERE newest IS NULL OR newest <= observed_at),
 c AS (SELECT *, ROW_NUMBER() OVER w AS rn, LAG(price_cents) OVER w AS pp, LAG(availability) OVER w AS pa, LAG(active) OVER w AS pv FROM k WINDOW w AS (PARTITION BY listing_id, quantity ORDER BY l_orderkey, l_linenumber, l_suppkey))
@@ -50,22 +59,39 @@ def stream_ingest(t):
     )
 
 
+@query("stream_late_rows", "STR-03", oracle="""
+WITH a AS (SELECT *, MAX(observed_at) OVER (PARTITION BY listing_id, quantity ORDER BY l_orderkey, l_linenumber, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM b_observations)
+SELECT CAST(COUNT(*) AS BIGINT) AS late_rows FROM a WHERE newest > observed_at""")
+def stream_late_rows(t):
+    """Rows that the change stream refused as late, over all its micro-batches."""
+    root = streaming.new_root(t.spark, "late")
+    handle = streaming.change_stream(root, OFFER_KEY, ARRIVAL_ORDER, arrival_position(), "observed_at", STATE)
+    streaming.run(observation_stream(t), root, handle).awaitTermination()
+    return streaming.read_table(t.spark, root, "late").agg(F.sum("late_rows").alias("late_rows"))
+
+
 @query("stream_dedupe", "STR-04", oracle="""
-SELECT request_key, COUNT(*) AS kept FROM (SELECT DISTINCT user_id % 97 AS request_key FROM events) x GROUP BY request_key""")
+SELECT event_type, COUNT(*) AS kept FROM events GROUP BY event_type""")
 def stream_dedupe(t):
-    rows = table_stream(t, "events").select((F.col("user_id") % 97).alias("request_key"), F.col("ts").cast("timestamp").alias("ts"))
-    first = streaming.dedupe_replays(rows, "request_key", "ts", "400 days")
+    """Every request once, and every third one a second time in the same or a later micro-batch."""
+    again = F.when(F.col("event_id") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    path = streaming.new_root(t.spark, "replays")
+    rows = t.events.select(F.col("event_id").alias("request_key"), "event_type", F.col("ts").cast("timestamp").alias("ts"), F.explode(again).alias("copy"))
+    for part in (rows.where("copy = 0 OR request_key % 2 = 0"), rows.where("copy = 1 AND request_key % 2 = 1")):
+        part.repartition(2).write.mode("append").parquet(path)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    first = streaming.dedupe_replays(stream, "request_key", "ts", "400 days")
     root = streaming.new_root(t.spark, "dedupe")
     done = first.writeStream.option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).format("parquet").start(f"{root}/rows")
     done.awaitTermination()
-    return t.spark.read.parquet(f"{root}/rows").groupBy("request_key").agg(F.count(F.lit(1)).alias("kept"))
+    return t.spark.read.parquet(f"{root}/rows").groupBy("event_type").agg(F.count(F.lit(1)).alias("kept"))
 
 
 @query("stream_daily_runs", "STR-05", oracle="""
 SELECT user_id % 2 AS source_id, date_trunc('day', ts - INTERVAL 6 HOUR) + INTERVAL 6 HOUR AS window_start, COUNT(*) AS runs,
   COUNT(*) FILTER (WHERE ts < date_trunc('day', ts - INTERVAL 6 HOUR) + INTERVAL 8 HOUR) AS in_time FROM events GROUP BY ALL""")
 def stream_daily_runs(t):
-    rows = table_stream(t, "events").select((F.col("user_id") % 2).alias("source_id"), F.col("ts").cast("timestamp").alias("ts"))
+    rows = table_stream(t, "events", "event_id").select((F.col("user_id") % 2).alias("source_id"), F.col("ts").cast("timestamp").alias("ts"))
     counted = streaming.daily_runs(rows, "ts", "6 hours", "2 days", "source_id")
     root = streaming.new_root(t.spark, "daily")
 
