@@ -23,6 +23,8 @@ from quotegrain.llm.common import WordHash, inside, partitions, raw, rolling
 
 #: Bases of the rolling hashes: anchors, and two for windows.
 ANCHOR, FIRST, SECOND = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+#: Bits of a run's hash that chunks report, and the widest gap between two of a chunk.
+SPACE_BITS, WIDEST = 46, 2**30 - 1
 NO_ID = np.int64(2**63 - 1)
 
 
@@ -55,7 +57,7 @@ class Chunk:
 
 
 def _by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
-    """Slices of sorted hashes that fall into the same bucket, by the high 32 bits."""
+    """Slices of sorted hashes that fall into the same bucket, by the high 32 bits of each."""
     owner = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     cuts = np.flatnonzero(np.diff(owner.astype(np.int64))) + 1
     for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(keys)], strict=True):
@@ -85,15 +87,32 @@ def _report_runs(block: int, buckets: int):
 
 
 def _packed(key: np.ndarray) -> bytes:
-    """Seven bytes of a hash: flags stay, the eight bits above them go."""
-    short = ((key >> np.uint64(8)) & ~np.uint64(3)) | (key & np.uint64(3))
-    return short.view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+    """The first of sorted hashes, then gaps of 30 bits, two flag bits each: a chunk's runs lie that close among 2^SPACE_BITS values.
+
+    A wider gap is bridged by values that no run has; they can only make a needless anchor, as equal short hashes can.
+    """
+    place = key >> np.uint64(64 - SPACE_BITS)
+    gap = np.diff(place, prepend=place[:1])
+    extra = (gap // np.uint64(WIDEST)).astype(np.int64)
+    out = np.zeros(len(key) + int(extra.sum()), np.uint32)
+    own = np.arange(len(key)) + np.cumsum(extra)
+    out[:] = WIDEST << 2
+    out[own] = ((gap % np.uint64(WIDEST)) << np.uint64(2)) | (key & np.uint64(3))
+    return place[:1].tobytes() + out.tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 7, 8), np.uint8)
-    out[:, :7] = np.frombuffer(data, np.uint8).reshape(-1, 7)
-    return out.reshape(-1).view(np.uint64)
+    """Short hash times four plus flags."""
+    base, gaps = np.frombuffer(data, np.uint64, 1), np.frombuffer(data, np.uint32, offset=8)
+    return ((base + np.cumsum(gaps >> np.uint32(2), dtype=np.uint64)) << np.uint64(2)) | (gaps & np.uint32(3)).astype(np.uint64)
+
+
+def _by_owner(owner: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(owner, its positions in order) of every owner."""
+    order = np.argsort(owner, kind="stable")
+    own = owner[order]
+    for part in np.split(order, np.flatnonzero(own[1:] != own[:-1]) + 1) if len(owner) else []:
+        yield int(owner[part[0]]), part
 
 
 def _rows(rows: list[tuple], fields: list[tuple]) -> pa.Table:
@@ -117,9 +136,7 @@ def _shared_runs(table: pa.Table) -> pa.Table:
     hit = ((flags & np.uint64(1)) > 0) & (((flags & np.uint64(2)) > 0) | (count > 1))
     keep = np.repeat(hit, count)
     bare, owner = bare[keep], owner[keep]
-    rows = []
-    for k in np.unique(owner):
-        rows.append((chunks[k], bare[owner == k].tobytes()))
+    rows = [(chunks[k], bare[own].tobytes()) for k, own in _by_owner(owner)]
     return _rows(rows, [("chunk", pa.int64()), ("anchors", pa.binary())])
 
 
@@ -130,7 +147,7 @@ def _extended(c: Chunk, answers: pa.Table, window: int, block: int):
     if not found or n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     run, ok = c.anchors(block)
-    anchor = ok & np.isin(run >> np.uint64(10), np.concatenate(found))
+    anchor = ok & np.isin(run >> np.uint64(64 - SPACE_BITS), np.concatenate(found))
     near = np.r_[0, np.cumsum(anchor)]
     span = window - block + 1
     touched = (near[span : span + n] - near[:n]) > 0
@@ -151,35 +168,39 @@ def _report_windows(window: int, block: int, buckets: int):
         if not len(at):
             return _rows([], fields)
         ids = c.ids[c.owner(int(at[-1]) + 1)[at]]
-        order = np.lexsort((ids, b, a))
+        b = _short(b)
+        order = np.lexsort((b, a))
         a, b, ids = a[order], b[order], ids[order]
-        first = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-        a, b, ids = a[first], (b[first] & np.uint64(0xFFFFFFFF)).astype(np.uint32), ids[first]
+        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        a, b, several = a[first], b[first], np.maximum.reduceat(ids, first) != np.minimum.reduceat(ids, first)
+        b, ids = b | several.astype(np.uint32), np.minimum.reduceat(ids, first)
         chunk = docs["chunk"][0].as_py()
         return _rows([(k, chunk, a[s].tobytes(), b[s].tobytes(), ids[s].tobytes()) for k, s in _by_bucket(a, buckets)], fields)
 
     return run
 
 
-WINDOW_ROW = np.dtype([("a", np.uint64), ("b", np.uint32)])
+def _short(b: np.ndarray) -> np.ndarray:
+    """31 bits of the second hash, above a free bit."""
+    return ((b >> np.uint64(32)) & ~np.uint64(1)).astype(np.uint32)
 
 
 def _first_owner(table: pa.Table) -> pa.Table:
-    """For each chunk the windows of the bucket that an earlier document holds, with that document's id."""
+    """For each chunk its windows of the bucket that a document before its last holds, with the first document's id."""
     chunks = table["chunk"].to_pylist()
     a = [np.frombuffer(x, np.uint64) for x in table["first"].to_pylist()]
     b = [np.frombuffer(x, np.uint32) for x in table["second"].to_pylist()]
     ids = [np.frombuffer(x, np.int64) for x in table["ids"].to_pylist()]
     owner = np.repeat(np.arange(len(a)), [len(x) for x in a])
     a, b, ids = np.concatenate(a), np.concatenate(b), np.concatenate(ids)
-    order = np.lexsort((b, a))
+    order = np.lexsort((b, a))  # the free bit is lowest, so equal windows stay together
     a, b, ids, owner = a[order], b[order], ids[order], owner[order]
+    several, b = (b & np.uint32(1)) > 0, b & ~np.uint32(1)
     first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
     least = np.repeat(np.minimum.reduceat(ids, first), np.diff(np.r_[first, len(a)]))
-    rows = []
-    for k in np.unique(owner):
-        own = owner == k
-        rows.append((chunks[k], a[own].tobytes(), b[own].tobytes(), least[own].tobytes()))
+    told = several | (least < ids)
+    a, b, least, owner = a[told], b[told], least[told], owner[told]
+    rows = [(chunks[k], a[own].tobytes(), b[own].tobytes(), least[own].tobytes()) for k, own in _by_owner(owner)]
     return _rows(rows, [("chunk", pa.int64()), ("first", pa.binary()), ("second", pa.binary()), ("least", pa.binary())])
 
 
@@ -195,8 +216,7 @@ def _verdicts(window: int, block: int):
             least = np.concatenate([np.frombuffer(x, np.int64) for x in owners["least"].to_pylist()])
             order = np.lexsort((kb, ka))
             ka, kb, least = ka[order], kb[order], least[order]
-            b = (b & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            place = _find(ka, kb, a, b)
+            place = _find(ka, kb, a, _short(b))
             owner = c.owner(int(at[-1]) + 1)[at] if len(at) else at
             mine = c.ids[owner]
             dead = at[(place >= 0) & (least[np.maximum(place, 0)] < mine) & (mine != NO_ID)] if len(at) else at
@@ -240,19 +260,20 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
     ``removed`` lists the maximal repeats [start, end) in words. A word goes if a ``window`` that covers it starts in a
     document with a smaller doc_id; windows are judged on the input. Null or empty text: no words, the hash of the empty
     text. Texts shorter than a window keep all. Rows with the same id are no copies of each other. A null id neither
-    removes nor loses words. Other columns of ``docs`` are ignored. Windows count as equal by 96 bits of hash plus bucket.
+    removes nor loses words. Other columns of ``docs`` are ignored. Windows count as equal by 95 bits of hash.
     """
     spark = docs.sparkSession
     block = (window + 1) // 2
-    pieces = 4 * partitions(spark)
+    # A chunk sends a row to each bucket, as a map task sends a block to each reducer.
+    chunks, buckets = 2 * partitions(spark), partitions(spark)
     dealt = docs.select(
-        F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(pieces)).alias("chunk"),
+        F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(chunks)).alias("chunk"),
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
     )
-    runs = dealt.groupBy("chunk").applyInArrow(_report_runs(block, pieces), "bucket long, chunk long, runs binary")
+    runs = dealt.groupBy("chunk").applyInArrow(_report_runs(block, buckets), "bucket long, chunk long, runs binary")
     anchors = runs.groupBy("bucket").applyInArrow(_shared_runs, "chunk long, anchors binary")
     candidates = dealt.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInArrow(
-        _report_windows(window, block, pieces), "bucket long, chunk long, first binary, second binary, ids binary")
+        _report_windows(window, block, buckets), "bucket long, chunk long, first binary, second binary, ids binary")
     owners = candidates.groupBy("bucket").applyInArrow(_first_owner, "chunk long, first binary, second binary, least binary")
     replies = anchors.select(
         "chunk", "anchors", *(F.lit(None).cast("binary").alias(c) for c in ("first", "second", "least"))
