@@ -182,7 +182,7 @@ def _kind(node: Node) -> str:
     return tag + node.hint + ("^" if node.parent == 0 else "")
 
 
-FAMILIES = frozenset("# p h1 h2 h3 h4 ul ol li div section article main nav header footer aside form table tr td blockquote pre figure".split())
+FAMILIES = frozenset("# p h1 h2 h3 h4 ul ol li div section article main nav header footer aside form dialog table tr td blockquote pre figure".split())
 
 
 def evidence(node: Node) -> Iterator[tuple[str, str]]:
@@ -310,8 +310,8 @@ def _clutter(r: random.Random) -> str:
         lambda: f"<ul>{links()}</ul>", lambda: f"<p>{_words(r, 4, 40)}</p>", lambda: _words(r, 2, 30), lambda: f"<h3>{_words(r, 1, 4)}</h3><ul>{links()}</ul>",
         lambda: f"<div><b>{_words(r, 1, 2)}</b><p>{_words(r, 5, 60)}</p></div>" * r.randint(1, 3), lambda: f"<h2>{_words(r, 1, 3)}</h2><p>{_words(r, 5, 60)}</p><p>{_words(r, 5, 60)}</p>",
     ))()
-    tag = r.choice(("div", "div", "section", "nav", "aside", "header", "footer", "form", "ul"))
-    if tag in ("nav", "aside", "header", "footer", "form") and r.random() < 0.6:
+    tag = r.choice(("div", "div", "section", "nav", "aside", "header", "footer", "form", "ul", "dialog"))
+    if tag in ("nav", "aside", "header", "footer", "form", "dialog") and r.random() < 0.6:
         attribute = ""
     else:
         attribute = f' {r.choice(("class", "class", "id"))}="{name}"'
