@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quotegrain.llm import compression, decontamination, html_content, language, mixing, pii, simhash, substring_dedup, tokens, toxicity
+from quotegrain.llm import compression, decontamination, html_content, language, mixing, oracles, pii, simhash, substring_dedup, tokens, toxicity
 from quotegrain.llm.common import read
 from quotegrain.session import shared_dir
 
@@ -67,4 +67,4 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_substring_dedup": oracles.SUBSTRING_DEDUP, "op10_mixing": oracles.MIXING}

@@ -327,3 +327,20 @@ def test_fill():
     assert mixing.fill([10, 10, 10], [5, 2, 1], 1.5, 2.0) == [20.0, pytest.approx(50 / 3), pytest.approx(25 / 3)]
     assert mixing.fill([0, 4], [5, 2], 1.5, 2.0) == [0.0, 6.0]
     assert mixing.fill([], [], 1.5, 2.0) == []
+
+
+def test_sql_twins(spark, tmp_path):
+    """The registered SQL texts on the small table, with nulls and repeated rows but for the null id, which SQL sorts otherwise."""
+    import duckdb
+
+    from quotegrain.llm import queries
+
+    rows = [r for r in ROWS if r["doc_id"] is not None][:-1]
+    fixtures.frame(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for name, text in queries.ORACLES.items():
+        df = queries.QUERIES[name](spark, str(tmp_path))
+        cursor = con.execute(text)
+        at = [[d[0] for d in cursor.description].index(c) for c in df.columns]
+        assert Counter(map(tuple, df.collect())) == Counter(tuple(r[k] for k in at) for r in cursor.fetchall()), name
