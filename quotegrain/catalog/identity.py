@@ -178,6 +178,18 @@ def match_decisions(t):
     return decisions(t).select("medication_id", "status", "method", "reason", "normalized_key", "canonical_name")
 
 
+@query("decision_log", "IDN-08", oracle=f"""
+WITH {CANDIDATE_CTES} SELECT j.medication_id, j.rxcui, j.method, j.compatible, CASE WHEN r.strength LIKE '5%' THEN 'r1' ELSE 'r2' END AS run FROM judged j JOIN raw r ON r.medication_id = j.medication_id""")
+def decision_log(t):
+    """A first run over part of the inputs, then one over all of them, which adds only what the log lacks."""
+    inputs, terms, codes = distinct_inputs(t), concepts(t), ndc_map(t)
+    stored = plan.decision_log(inputs.where("strength LIKE '5%'"), terms, codes, "v1")
+    added = plan.new_evidence(stored, plan.decision_log(inputs, terms, codes, "v1"))
+    log = stored.withColumn("run", F.lit("r1")).unionByName(added.withColumn("run", F.lit("r2")))
+    ids = keyed_inputs(t).select("medication_id", "input_hash")
+    return ids.join(log, "input_hash").select("medication_id", "rxcui", "method", "compatible", "run")
+
+
 @query("canonical_medications", "IDN-07", oracle=f"""
 WITH {DECISION_CTES} SELECT normalized_key, MIN(medication_id) AS medication_id, COUNT(*) AS members,
   MIN_BY(canonical_name, medication_id) AS canonical_name,

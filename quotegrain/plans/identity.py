@@ -301,6 +301,21 @@ def judged_candidates(
     )
 
 
+def decision_log(inputs: DataFrame, concepts: DataFrame, ndc_map: DataFrame, version: str) -> DataFrame:
+    """Evidence of decisions: every candidate of every lookup, approximate ones too, per input and version of the terms.
+
+    (input_hash, rxcui, method, compatible, version). A product of the inputs with their candidates only; nothing is paired by common words.
+    """
+    open_inputs = inputs.where(gate_reason().isNull())
+    judged = judged_candidates(open_inputs, concepts, ndc_map)
+    return judged.select("input_hash", "rxcui", "method", F.coalesce("compatible", F.lit(False)).alias("compatible"), F.lit(version).alias("version"))
+
+
+def new_evidence(stored: DataFrame, log: DataFrame) -> DataFrame:
+    """Rows of inputs that the log does not hold in this version; a decision is written once."""
+    return log.join(stored.select("input_hash", "version").distinct(), ["input_hash", "version"], "left_anti")
+
+
 def decide(inputs: DataFrame, concepts: DataFrame, ndc_map: DataFrame) -> DataFrame:
     """One decision per input_hash: status, method, reason, key.
 
