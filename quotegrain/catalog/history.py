@@ -78,7 +78,7 @@ def upsert_state(t):
     return plan.upsert_state(old, new, OFFER_KEY, values).withColumnRenamed("observed_at", "last_checked_at")
 
 
-@query("insert_if_absent", "SNK-06", "SNK-01", oracle="""
+@query("insert_if_absent", "SNK-06", oracle="""
 SELECT DISTINCT listing_id, quantity FROM b_observations o WHERE observed_at > TIMESTAMP '1999-12-31 00:00:00'
 AND NOT EXISTS (SELECT 1 FROM b_observations p WHERE p.listing_id = o.listing_id AND p.quantity = o.quantity
   AND p.observed_at <= TIMESTAMP '1999-12-31 00:00:00')""")
