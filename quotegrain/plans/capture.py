@@ -15,6 +15,29 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from quotegrain.functions import money, text, urls, vocab
 from quotegrain.functions.hashing import sha256_text
 
+# Words and formats of the captured pages, which readers must know as they are written there.
+UNITS = ["mcg", "µg", "μg", "ug", "mg", "g", "u", "units?", "iu", "meq", "%"]
+RELEASES = ["extended release", "delayed release", "immediate release", "ER", "XR", "XL", "SR", "DR", "EC"]
+ROUTES = ["oral", "topical", "ophthalmic", "otic", "nasal", "inhalation", "rectal", "vaginal", "subcutaneous", "intramuscular", "intravenous", "transdermal"]
+SPECIES = {"dog": ["dogs?", "canine"], "cat": ["cats?", "feline"]}
+CONTAINERS = ["bottle", "vial", "tube"]
+SOLIDS = ["tablet", "capsule"]
+PER = ["ml", "l", "g", "tablet", "capsule", "dose"]
+NUMBER = r"[0-9]+(?:\.[0-9]+)?"
+STRENGTH = rf"(?i)\b{NUMBER}\s*(?:{'|'.join(UNITS)})(?:\s*/\s*(?:{NUMBER}\s*)?(?:{'|'.join(PER)}))?"
+# Two amounts before one unit, or one amount per another that is no volume or weight.
+COMBINED = rf"(?i)\b{NUMBER}\s*(?:[-–/]\s*{NUMBER}\s*(?:{'|'.join(UNITS)})|(?:{'|'.join(UNITS)})\s*/\s*{NUMBER}\s*(?:{'|'.join(u for u in UNITS if u != 'g')}))"
+VOLUME = rf"(?i)(?:^|[\s-])({NUMBER})\s*(ml|g)\s*(?:{'|'.join(CONTAINERS)}|$)"
+PACK = r"(?i)(?:\b|,\s*)([0-9]+)\s*(?:Count|ct)\b"
+PANEL_SKU = r"SKU:\s*([^\n]+)"
+PANEL_SELECTED = rf"Selected quantity:\s*({NUMBER})"
+PANEL_TOTAL = r"Total price updated to \$([0-9,.]+)"
+PANEL_UNIT = r"Count\s*•\s*([^\n/$]+)\s*/"
+BUTTON_QUANTITY = r"^Select quantity ([0-9.]+)"
+CASH = r"(?i)cash price\s*[:\-]?\s*\$([0-9,]+\.[0-9]{2})\s*(?:for|/)\s*([0-9]+(?:\.[0-9]+)?)\s*(tablets?|capsules?|milliliters?|ml)\b"
+AMOUNT = r"[0-9]+(?:\.[0-9]+)?(?:-[0-9]+(?:\.[0-9]+)?)?\s*(?:mg|mcg|g|gm|ml|%)(?:/[0-9]+(?:\.[0-9]+)?\s*(?:mg|mcg|g|gm|ml))?"
+ROW_NAME = rf"(?i)^(.+?)\s+({AMOUNT})\s+([A-Za-z]+)(?:\s+(.+))?$"
+LABEL = "(?:Generic Alternative|Brand Name):"
 HREF = r"""(?i)<a\s[^>]*?href\s*=\s*(?:"([^"]*)"|'([^']*)')"""
 
 
@@ -251,60 +274,38 @@ def observation_reasons(observations: DataFrame) -> DataFrame:
     return staged.withColumn("reasons", F.array_compact(F.array(*checks))).drop("_o")
 
 
-STRENGTH_UNIT = "(?:mcg|µg|μg|ug|mg|g|u|units?|iu|meq|%)"
-RELEASE_WORD = r"(?i)\b(extended release|delayed release|immediate release|ER|XR|XL|SR|DR|EC)\b"
-
-
 def title_identity(title: Column, brand: Column) -> Column:
-    """Identity candidate from a product title; null for combinations or when strength, form or name is missing."""
-    combined = title.rlike(rf"(?i)\b[0-9]+(?:\.[0-9]+)?\s*[-–/]\s*[0-9]+(?:\.[0-9]+)?\s*{STRENGTH_UNIT}") | title.rlike(
-        rf"(?i)\b[0-9]+(?:\.[0-9]+)?\s*{STRENGTH_UNIT}\s*/\s*[0-9]+(?:\.[0-9]+)?\s*(?:mcg|µg|μg|ug|mg|u|units?|iu|meq|%)"
-    )
-    pattern = rf"(?i)\b[0-9]+(?:\.[0-9]+)?\s*{STRENGTH_UNIT}(?:\s*/\s*(?:[0-9]+(?:\.[0-9]+)?\s*)?(?:ml|l|g|tablet|capsule|dose))?"
-    strength = F.regexp_extract(title, pattern, 0)
-
-    def build(s):
-        t, strength = s["t"], s["strength"]
-        before = F.substr(t, F.lit(1), F.greatest(F.instr(F.lower(t), F.lower(strength)) - 1, F.lit(0)))
-        name = F.regexp_replace(F.regexp_replace(before, r"\([^)]*\)", " "), RELEASE_WORD, " ")
-        name = F.trim(F.regexp_replace(name, r"\s+", " "))
-        blank = lambda c: F.when(c != "", c)
-        found = (strength != "") & s["form"].isNotNull() & (name != "") & ~s["combined"]
-        return F.when(
-            found,
-            F.struct(
-                name.alias("name"),
-                strength.alias("strength"),
-                s["form"].alias("form"),
-                blank(F.regexp_extract(t, r"(?i)\b(oral|topical|ophthalmic|otic|nasal|inhalation|rectal|vaginal|subcutaneous|intramuscular|intravenous|transdermal)\b", 1)).alias("route"),
-                blank(F.regexp_extract(t, RELEASE_WORD, 1)).alias("release_type"),
-                s["brand"].alias("brand_name"),
-                F.when(t.rlike(r"(?i)\b(?:dogs?|canine)\b"), F.array(F.lit("dog")))
-                .when(t.rlike(r"(?i)\b(?:cats?|feline)\b"), F.array(F.lit("cat")))
-                .otherwise(F.array().cast("array<string>")).alias("species"),
-            ),
-        )
+    """Identity candidate from a product title; null for combinations or when strength, form or name is missing.
 
-    form = text.form_code(text.alias_key(title))
-    return text.bind(
-        F.struct(title.alias("t"), strength.alias("strength"), form.alias("form"), combined.alias("combined"), brand.alias("brand")),
-        build,
+    The first strength splits the title: what stands before it, less remarks in brackets and release words, is the name.
+    """
+    word = lambda words: F.regexp_extract(title, rf"(?i)\b({'|'.join(words)})\b", 1)
+    given = lambda c: F.when(c != "", c)
+    strength = F.regexp_extract(title, STRENGTH, 0)
+    ahead = F.split(title, STRENGTH, 2)[0]
+    name = F.trim(F.regexp_replace(F.regexp_replace(ahead, rf"(?i)\([^)]*\)|\b(?:{'|'.join(RELEASES)})\b", " "), r"\s+", " "))
+    species = F.array_compact(F.array(*[F.when(word(words) != "", F.lit(animal)) for animal, words in SPECIES.items()]))
+    candidate = F.struct(
+        name.alias("name"), strength.alias("strength"), text.form_code(text.alias_key(title)).alias("form"), given(word(ROUTES)).alias("route"),
+        given(word(RELEASES)).alias("release_type"), brand.alias("brand_name"), F.slice(species, 1, 1).alias("species"),
     )
+    complete = lambda c: F.when((c["strength"] != "") & (c["name"] != "") & c["form"].isNotNull(), c)
+    return F.when(~title.rlike(COMBINED), text.bind(candidate, complete))
 
 
 def package(title: Column, unit: Column) -> Column:
-    """Struct(sold_as, content_quantity, content_unit): volumes, counted packs, else loose units."""
-    volume = r"(?i)(?:^|[\s-])([0-9]+(?:\.[0-9]+)?)\s*(ml|g)\s*(?:bottle|vial|tube|$)"
-    packed = r"(?i)(?:\b|,\s*)([0-9]+)\s*(?:Count|ct)\b"
-    has_volume, has_pack = title.rlike(volume), title.rlike(packed)
-    pack_unit = F.when(title.rlike("(?i)capsules?"), "capsule").otherwise("tablet")
-    container = F.when(title.rlike("(?i)vial"), "vial").when(title.rlike("(?i)tube"), "tube").otherwise("bottle")
-    counted = has_pack & title.rlike("(?i)tablets?|capsules?")
-    loose = unit.isin("tablet", "capsule") & ~has_pack
-    return F.struct(
-        F.when(has_volume, container).when(counted, "pack").otherwise(unit).alias("sold_as"),
-        F.when(has_volume, F.regexp_extract(title, volume, 1)).when(counted, F.regexp_extract(title, packed, 1)).when(loose, "1").alias("content_quantity"),
-        F.when(has_volume, F.lower(F.regexp_extract(title, volume, 2))).when(counted, pack_unit).when(loose, unit).alias("content_unit"),
+    """Struct(sold_as, content_quantity, content_unit): the first that fits of a volume, a counted pack, a loose unit, the bare unit."""
+    shape = lambda sold, quantity, content: F.struct(
+        sold.alias("sold_as"), quantity.cast("string").alias("content_quantity"), content.cast("string").alias("content_unit"))
+    part = lambda pattern, group: F.regexp_extract(title, pattern, group)
+    container = F.coalesce(*[F.when(F.contains(F.lower(title), F.lit(c)), F.lit(c)) for c in CONTAINERS[1:]], F.lit(CONTAINERS[0]))
+    solid = F.lower(part(rf"(?i)({'|'.join(reversed(SOLIDS))})s?", 1))
+    has_capsule = F.contains(F.lower(title), F.lit(SOLIDS[1]))
+    return F.coalesce(
+        F.when(part(VOLUME, 0) != "", shape(container, part(VOLUME, 1), F.lower(part(VOLUME, 2)))),
+        F.when((part(PACK, 0) != "") & (solid != ""), shape(F.lit("pack"), part(PACK, 1), F.when(has_capsule, F.lit(SOLIDS[1])).otherwise(F.lit(SOLIDS[0])))),
+        F.when((part(PACK, 0) == "") & unit.isin(*SOLIDS), shape(unit, F.lit("1"), unit)),
+        shape(unit, F.lit(None), F.lit(None)),
     )
 
 
@@ -319,8 +320,6 @@ def panel_form(word: Column) -> Column:
     return F.coalesce(text.lookup(w, vocab.PANEL_FORMS), F.regexp_replace(w, "s$", ""))
 
 
-AMOUNT = r"[0-9]+(?:\.[0-9]+)?(?:-[0-9]+(?:\.[0-9]+)?)?\s*(?:mg|mcg|g|gm|ml|%)(?:/[0-9]+(?:\.[0-9]+)?\s*(?:mg|mcg|g|gm|ml))?"
-ROW_NAME = rf"(?i)^(.+?)\s+({AMOUNT})\s+([A-Za-z]+)(?:\s+(.+))?$"
 
 
 def row_name(value: Column) -> Column:
@@ -339,7 +338,6 @@ def row_name(value: Column) -> Column:
     )
 
 
-LABEL = "(?:Generic Alternative|Brand Name):"
 
 
 def panel_blocks(panels: DataFrame) -> DataFrame:
@@ -410,11 +408,11 @@ def product_offers(snapshots: DataFrame) -> DataFrame:
 
     ``snapshots``: page_id, sku, name, panel, button_labels, offers array<quantity, price, currency, availability>.
     """
-    panel_sku = F.trim(F.regexp_extract("panel", r"SKU:\s*([^\n]+)", 1))
-    selected = F.regexp_extract("panel", r"Selected quantity:\s*([0-9]+(?:\.[0-9]+)?)", 1)
-    total = F.regexp_extract("panel", r"Total price updated to \$([0-9,.]+)", 1)
-    unit = F.lower(F.trim(F.regexp_extract("panel", r"Count\s*•\s*([^\n/$]+)\s*/", 1)))
-    choices = F.transform("button_labels", lambda b: F.regexp_extract(b, r"^Select quantity ([0-9.]+)", 1))
+    panel_sku = F.trim(F.regexp_extract("panel", PANEL_SKU, 1))
+    selected = F.regexp_extract("panel", PANEL_SELECTED, 1)
+    total = F.regexp_extract("panel", PANEL_TOTAL, 1)
+    unit = F.lower(F.trim(F.regexp_extract("panel", PANEL_UNIT, 1)))
+    choices = F.transform("button_labels", lambda b: F.regexp_extract(b, BUTTON_QUANTITY, 1))
     tiers = F.transform(
         F.filter("offers", lambda o: F.array_contains(choices, o["quantity"])),
         lambda o: F.struct(
@@ -478,7 +476,6 @@ def catalogue_quotes(requests: DataFrame, responses: DataFrame) -> DataFrame:
     )
 
 
-CASH = r"(?i)cash price\s*[:\-]?\s*\$([0-9,]+\.[0-9]{2})\s*(?:for|/)\s*([0-9]+(?:\.[0-9]+)?)\s*(tablets?|capsules?|milliliters?|ml)\b"
 
 
 def cash_price(page_text: Column) -> Column:
