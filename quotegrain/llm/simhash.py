@@ -9,7 +9,7 @@ spanning forest of the verified links leaves the list, so a group of m near copi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -209,24 +209,29 @@ def grouped(prints: DataFrame, distance: int) -> DataFrame:
     return components(nodes, links(prints, distance)).select(F.col("node").alias("fp"), "root")
 
 
-def one_of_each(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
+def first_of_each(docs: DataFrame, prints_of: Callable[[DataFrame], DataFrame], grouped_of: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """One row of each group of ``docs``, all columns as they are: the one with the smallest doc_id.
 
     Rows without doc_id come last; of rows with one id the one with the least row hash stays, and rows alike in every
-    column are one row.
+    column are one row. ``prints_of`` adds the fingerprint fp to (own_id, own_hash, text), ``grouped_of`` gives (fp, root).
     """
     columns = docs.columns
     keyed = docs.select(F.struct(*(docs[c] for c in columns)).alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(*(docs[c] for c in columns)).alias("own_hash"))
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codes = np.array([fingerprint(t, width) for t in raw(batch["text"])], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch["own_id"], batch["own_hash"], pa.array(codes)], names=["own_id", "own_hash", "fp"])
-
     texts = keyed.select("own_id", "own_hash", F.col("row.text").cast("string").alias("text"))
-    prints = staged(texts.mapInArrow(each_batch(run), "own_id long, own_hash long, fp long"))
+    prints = staged(prints_of(texts))
     order = F.struct(F.col("own_id").isNull(), F.col("own_id"), F.col("own_hash"))
     first = prints.groupBy("fp").agg(F.min(order).alias("first"))
-    kept = grouped(prints, distance).join(first, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    kept = grouped_of(prints, texts).join(first, "fp").groupBy("root").agg(F.min("first").alias("first"))
     kept = kept.select(F.col("first.own_id").alias("kept_id"), F.col("first.own_hash").alias("kept_hash"))
     rows = keyed.join(kept, (keyed["own_hash"] == kept["kept_hash"]) & keyed["own_id"].eqNullSafe(kept["kept_id"]), "left_semi")
     return rows.dropDuplicates(["own_hash", "own_id"]).select("row.*")
+
+
+def one_of_each(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
+    """One row of each group of SimHash near copies; see ``first_of_each``."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        codes = np.array([fingerprint(t, width) for t in raw(batch["text"])], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch["own_id"], batch["own_hash"], pa.array(codes)], names=["own_id", "own_hash", "fp"])
+
+    return first_of_each(docs, lambda texts: texts.mapInArrow(each_batch(run), "own_id long, own_hash long, fp long"), lambda prints, _: grouped(prints, distance))
