@@ -4,7 +4,7 @@ Items are the indexed documents, passages the queries. Impacts are scaled by an
 of the item that a passage holds and one threshold serves all items. A passage is dropped as soon as the upper bounds of its
 terms stay below the threshold; then blocks of items are, by their block maxima; what is left is scored document at a time with
 pivoting. Every item above the threshold comes back and is verified: word runs of its question and of its answer must both
-stand in the text. Passages overlap by half, so every run of ``STRIDE`` words lies whole in one.
+stand in the text, or runs of nearly the whole item, since a short answer is soon lost to a cut or a changed word. Passages overlap by half, so every run of ``STRIDE`` words lies whole in one.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ STRIDE = 128
 K1, B = 1.2, 0.75
 #: Share of an item's own score, and of the words of question and answer in common runs, that count as a leak.
 SCORE, OVERLAP = 0.6, 0.5
+#: Share of all words of an item in common runs that counts whichever of them are its answer.
+WHOLE = 0.75
 RUN = 3
 #: Items with fewer words must stand in the text word for word.
 SHORT = 8
@@ -146,13 +148,14 @@ class Index:
             question, answer = self.bodies[k]
             size = len(question) + len(answer)
             region = words[doc][max(0, start - size) : start + 2 * STRIDE + size]
-            need, width = (1.0, size) if size < SHORT else (OVERLAP, RUN)
             if size < SHORT:
                 q = a = overlap(question + answer, _runs(region, size), size)
+                held = q >= 1.0
             else:
                 runs = _runs(region, RUN)
-                q, a = (overlap(p, runs if len(p) >= RUN else _runs(region, len(p)), width) for p in (question, answer))
-            if q >= need and a >= need and score > out[doc].get(k, (0.0,))[0]:
+                q, a = (overlap(p, runs if len(p) >= RUN else _runs(region, len(p))) for p in (question, answer))
+                held = (q >= OVERLAP and a >= OVERLAP) or overlap(question + answer, runs) >= WHOLE
+            if held and score > out[doc].get(k, (0.0,))[0]:
                 out[doc][k] = (score, q, a)
         return out
 

@@ -1,5 +1,6 @@
 """Operators that judge one text at a time, against plain versions, truth by construction or held-out accuracy."""
 
+import math
 import random
 from collections import Counter
 
@@ -68,6 +69,21 @@ def test_leaks_of_nothing(spark, docs):
     assert decontamination.leaks(fixtures.empty(spark), spark.createDataFrame(items(random.Random(1)), "item_id long, text string")).collect() == []
 
 
+def test_cut_and_edited_copies_of_every_item_leak():
+    """Short answers among them: a copy that stops at 80 % of the words, and one with any single word changed."""
+    r = random.Random(17)
+    tests = [(k, fixtures.prose(r, r.randint(11, 50)) + ". " + fixtures.prose(r, r.randint(1, 9)).title() + ".") for k in range(40)]
+    bodies = [decontamination.terms(t) for _, t in tests]
+    df = Counter(w for b in bodies for w in set(b))
+    index = decontamination.Index.build(tests, df, len(bodies), sum(map(len, bodies)) / len(bodies))
+    around = [fixtures.prose(r, 30, "de").split(), fixtures.prose(r, 30, "de").split()]
+    for k, body in enumerate(bodies):
+        copies = [body[: math.ceil(0.8 * len(body))], body[: math.ceil(0.9 * len(body))]]
+        copies += [[*body[:at], "zzz", *body[at + 1 :]] for at in range(len(body))]
+        assert all(k in found for found in index.asked([around[0] + c + around[1] for c in copies])), body
+        assert not any(k in found for found in index.asked([around[0] + body[: len(body) // 2] + around[1]]))
+
+
 # Language ID
 
 
