@@ -36,6 +36,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 SPELLED = re.compile(r"[A-Za-z0-9._%+-]+\s?(?:@|\(at\)|\[at\]|\bat\b)\s?[A-Za-z0-9-]+(?:\s?(?:\.|\(dot\)|\[dot\]|\bdot\b)\s?[A-Za-z0-9-]+)+", re.I)
+#: A full stop after which a spelled-out address may be over.
+STOP = re.compile(r"\.\s")
 DOTTED = re.compile(r"[0-9]{1,3}(?=((?:[.,][0-9]{1,3}){3}))")
 GROUPS = re.compile(r"[0-9]+(?:[\x20./-][0-9]+)*")
 NATIONAL = re.compile(r"(?:\([0-9]{2,5}\)|\b[0-9]{2,5})[\x20./-]{0,2}[0-9]{3,4}[\x20./-][0-9]{3,5}\b|\b00[0-9](?:[\x20().-]{0,2}[0-9]){7,13}\b")
@@ -79,14 +81,20 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 DIGIT = re.compile("[0-9]")
-PROMPT = re.compile(r"@|[0-9]|\bat\b|[(\[]at[)\]]", re.I)
+#: What every spelled-out address holds.
+AT = re.compile(r"@|\bat\b|[(\[]at[)\]]", re.I)
+PROMPT = re.compile(rf"[0-9]|{AT.pattern}", re.I)
 
 
 def proposals(text: str) -> list[tuple[str, int, int]]:
     """Candidate spans of every kind, overlapping, besides those of the plain formats."""
     out = set()
-    if "@" in text or "dot" in text.lower():
-        out |= {("email", m.start(), m.end()) for m in SPELLED.finditer(text)}
+    if AT.search(text):
+        for m in SPELLED.finditer(text):
+            out.add(("email", m.start(), m.end()))
+            end = STOP.search(text, m.start(), m.end())
+            if end and SPELLED.fullmatch(text, m.start(), end.start()):
+                out.add(("email", m.start(), end.start()))
     if not DIGIT.search(text):
         return sorted(out)
     for m in DOTTED.finditer(text):
@@ -126,7 +134,7 @@ def describe(text: str, kind: str, a: int, b: int) -> list[float]:
         float(before.isalnum()), float(after.isalnum()), float(before in ".,-+/=#_" and before != ""), float(after in "-/=_@" and after != ""),
         float(after in "." and text[b + 1 : b + 2].isdigit()), float(before == "." and text[max(0, a - 2) : a - 1].isdigit()),
         float(any(h in w for w in context for h in HINTS[kind])), float(any(w in AGAINST for w in context)), float(digits[:1] in ("3", "4", "5", "6")),
-        float(len(s.rsplit(".", 1)[-1]) if kind == "email" else 0),
+        float(len(s.rsplit(".", 1)[-1]) if kind == "email" else 0), float(bool(STOP.search(s))),
     ]
 
 

@@ -150,6 +150,18 @@ def test_detector_on_held_out_insertions():
     assert right / found > 0.97 and right / true > 0.85
 
 
+def test_a_spelled_out_address_alone_is_found():
+    """No '@' and no 'dot' anywhere else in the text."""
+    for address in ("jane.roe (at) example.com", "jane [at] example.org", "jane at example.org"):
+        assert ("email", 6, 6 + len(address)) in pii.proposals(f"write {address}, please")
+    bodies = [fixtures.prose(random.Random(k), 150) for k in range(120)]
+    model = pii.train([r for k, b in enumerate(bodies) for r in pii.lessons(b, k)])
+    for name in ("jane", "bob.roe", "carl17"):
+        text = f"some words before mail {name} (at) example.com and after"
+        at = text.index(name)
+        assert model.spans(text) == [("email", at, text.index(" and"))]
+
+
 def test_redaction(docs):
     assert pii.redacted("x a@b.co y", [("email", 2, 8)]) == "x [EMAIL] y"
     out = pii.redact(docs)
