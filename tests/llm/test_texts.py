@@ -197,6 +197,29 @@ def test_compression_rejects_repetition_and_noise():
         assert compression.in_band(len(body), *compression.ratios(body, press)) == fine, body[:40]
 
 
+def test_compression_of_mixtures():
+    """Blocks of base64 and of repeats in prose are rejected at a part of the text, wherever they stand and however long it is."""
+    import base64
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=compression.LEVEL)
+    r = random.Random(6)
+    known = ["".join(r.choice(("the", "an", "ri", "o", "ent", "sh", "ing", "ou", "er", "st", "le", "wa")) for _ in range(r.randint(1, 3))) for _ in range(400)]
+    for size in (700, 1500, 4096, 10240, 20480, 40960):
+        prose = " ".join(r.choice(known) for _ in range(size)).encode()
+        assert compression.in_band(size, *compression.ratios(prose[:size], press))
+        for part in (0.5, 0.7, 0.9):
+            cut = size - int(part * size)
+            made = base64.encodebytes(r.randbytes(size))[: size - cut], (b"click here to read more and sign up now. " * (size // 40 + 1))[: size - cut]
+            for block in made if part > 0.5 else made[:1]:
+                for at in (0, cut // 2, cut):
+                    body = prose[:at] + block + prose[at:cut]
+                    assert len(body) == size and not compression.in_band(size, *compression.ratios(body, press)), (size, part, at)
+    tail = fixtures.prose(r, 400).encode()[:1100] + base64.encodebytes(r.randbytes(900))[:900]
+    assert compression.ratios(tail, press)[1:] == (4, 2)
+    assert compression.ratios(tail[:1900], press)[1] == 4  # the last chunk ends with the text
+
+
 def test_compression_of_nothing(spark):
     assert compression.compression_quality(fixtures.empty(spark)).collect() == []
 
