@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quotegrain.llm import compression, decontamination, html_content, language, mixing, oracles, pii, simhash, substring_dedup, tokens, toxicity
+from quotegrain.llm import compression, decontamination, html_content, language, lm, mixing, oracles, pii, simhash, substring_dedup, tokens, toxicity
 from quotegrain.llm.common import read
 from quotegrain.session import shared_dir
 
@@ -55,6 +55,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.language_model(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_substring_dedup": op2_substring_dedup,
@@ -66,5 +70,6 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
+    "op11_language_model": op11_language_model,
 }
 ORACLES = {"op2_substring_dedup": oracles.SUBSTRING_DEDUP, "op10_mixing": oracles.MIXING}
