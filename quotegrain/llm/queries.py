@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quotegrain.llm import compression, decontamination, html_content, language, lm, mixing, oracles, pii, simhash, substring_dedup, tokens, toxicity
+from quotegrain.llm import compression, decontamination, html_content, language, lm, mixing, oracles, phrases, pii, simhash, substring_dedup, tokens, toxicity, vectors
 from quotegrain.llm.common import read
 from quotegrain.session import shared_dir
 
@@ -59,6 +59,14 @@ def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.language_model(read(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.vector_codes(read(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_substring_dedup": op2_substring_dedup,
@@ -71,5 +79,12 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
     "op11_language_model": op11_language_model,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_collocations": op13_collocations,
+}
+ORACLES = {
+    "op2_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op10_mixing": oracles.MIXING,
+    "op12_vector_codes": oracles.VECTOR_CODES,
+    "op13_collocations": oracles.COLLOCATIONS,
 }
-ORACLES = {"op2_substring_dedup": oracles.SUBSTRING_DEDUP, "op10_mixing": oracles.MIXING}
