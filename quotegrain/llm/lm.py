@@ -57,7 +57,7 @@ def keys_of(words: list[np.ndarray]) -> np.ndarray:
     return mixed(out)
 
 
-def _merge(words: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+def merged_runs(words: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Distinct runs in the order of their keys with summed values."""
     keys = keys_of(words)
     order = np.argsort(keys)
@@ -70,7 +70,7 @@ def _merge(words: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarra
 
 def _dealt(words: list[np.ndarray], values: list[np.ndarray], bits: int) -> Iterator[tuple[int, bytes]]:
     """(shard, packed runs); within a shard by first word, which packs well."""
-    keys, words, values = _merge(words, values)
+    keys, words, values = merged_runs(words, values)
     shards = shard_of(keys, bits)
     order = np.lexsort((words[0], shards))
     cuts = np.flatnonzero(np.r_[True, shards[order][1:] != shards[order][:-1]]) if len(order) else []
@@ -129,7 +129,7 @@ def _level(k: int, bits: int, folder: str):
         blobs = [unpack(d) for d in group["data"].to_pylist()]
         words = [np.concatenate([np.cumsum(b[0], dtype=np.uint64) if c == 0 else b[c] for b in blobs]) for c in range(k)]
         values = [np.concatenate([b[k + c].astype(np.int64) for b in blobs]) for c in range(len(VALUES))]
-        keys, words, values = _merge(words, values)
+        keys, words, values = merged_runs(words, values)
         count, seen = values[0], values[5]
         stored = dict(zip(VALUES, values, strict=True))
         if k > 1:

@@ -1,17 +1,19 @@
 """Phrase collocations, counted in HAT-tries that spill sorted runs.
 
-A task counts runs of one to four words in a trie over word ids whose containers are hash tables: a container holds everything below one
-word and bursts into one per next word when it is full. When a task holds too much, the largest subtrees leave it whole, as sorted
-runs with the words that they use. Runs are dealt by a hash of their leading words and merged per prefix partition, so every count is
-complete in one place and a hot first word is spread by what follows it.
+A task counts runs of one to four words in a trie over word ids whose containers are hash tables: at first one for a range of words,
+which bursts into one per word, which bursts into one per next word, whenever it is full. When a task holds too much, the largest
+subtrees leave it whole, as sorted runs. Runs are dealt by a hash of their leading words and merged per prefix partition, so every count
+is complete in one place and a hot first word is spread by what follows it.
 
 There are two passes. The first counts words and pairs; pairs that occur often enough are stored as sorted hash arrays. The second
 maps these and counts three and four words only where every pair in them is frequent, since no run is more frequent than its parts: that
-leaves out nothing which could be a candidate. Scores, covers and ranks are DataFrame operations over the frequent runs.
+leaves out nothing which could be a candidate. Words are told apart by 64 bits of their hash between tasks; the texts of frequent
+words come back by it. Scores, covers and ranks are DataFrame operations over the frequent runs.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections import _count_elements  # counts a list into a dict, in C
 from collections.abc import Iterator
 
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quotegrain.llm.arrays import HashArrays, new_folder, pack, save, shard_of, smallest, unpack
 from quotegrain.llm.common import raw, staged
-from quotegrain.llm.lm import keys_of
+from quotegrain.llm.lm import keys_of, merged_runs
 
 #: A candidate's least count, the words of the longest, phrases per language, and the share of its count at which a longer one covers it.
 LEAST, LONGEST, TOP, COVER = 30, 4, 2000, 80
@@ -32,98 +34,111 @@ LEAST, LONGEST, TOP, COVER = 30, 4, 2000, 80
 ENDS = b".,;:!?\n\x0b\x0c\r"
 PIECES = bytes.maketrans(ENDS, ENDS[:1] * len(ENDS))
 #: Entries of a container that bursts, and of a trie that spills half of them.
-BURST, HELD = 4096, 1_000_000
-#: Bits of a word id; a run of four is a first word and three more in one number.
-BITS = 21
-FULL = (1 << BITS) - 2
+BURST, HELD = 32_768, 1_000_000
+#: Bits of a word id, and of the range of words that one container of the root holds in the pass over pairs.
+BITS, RANGE = 21, 10
+LOW = (1 << BITS) - 1
 SHARD_BYTES = 32_000_000
-RUNS = "part int, langs array<string>, words binary, lang_of binary, run binary"
-COUNTS = "lang string, phrase string, words long, f long"
+RUNS = "part int, run binary, langs array<string>, lang_of binary, words binary"
+COUNTS = "lang string, word string, codes array<long>, f long"
 
 
 # --- the trie -----------------------------------------------------------------------------------------------------
 
 
 class Node:
-    """Children by word id; a child is a container (rest of the run -> count) or, once burst, a node."""
+    """Children by the leading bits of a run; a child is a container (rest of the run -> count) or, once burst, a node.
 
-    __slots__ = ("children", "shift")
+    ``shifts``: where the next levels cut the rest; a container below the last one never bursts.
+    """
+
+    __slots__ = ("children", "shifts")
 
-    def __init__(self, shift: int):
+    def __init__(self, shifts: tuple[int, ...]):
         self.children: dict[int, dict | Node] = {}
-        self.shift = shift
+        self.shifts = shifts
 
-    def add(self, first: np.ndarray, rest: np.ndarray) -> int:
-        """Counts runs, sorted by ``first``; returns the new entries."""
-        if not len(first):
+    def add(self, lead: np.ndarray, rest: np.ndarray) -> int:
+        """Counts runs, sorted by ``lead``; returns the new entries."""
+        if not len(lead):
             return 0
-        cuts = np.flatnonzero(np.r_[True, first[1:] != first[:-1]]).tolist()
-        words, plain, new = first[cuts].tolist(), rest.tolist(), 0
-        for word, a, b in zip(words, cuts, [*cuts[1:], len(plain)], strict=True):
-            child = self.children.get(word)
+        cuts = np.flatnonzero(np.r_[True, lead[1:] != lead[:-1]])
+        new = 0
+        for at, a, b in zip(lead[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(lead)], strict=True):
+            child = self.children.get(at)
             if child is None:
-                child = self.children[word] = {}
+                child = self.children[at] = {}
             if type(child) is dict:
                 before = len(child)
-                _count_elements(child, plain[a:b])
+                _count_elements(child, rest[a:b].tolist())
                 new += len(child) - before
-                if len(child) > BURST and self.shift:
-                    self.children[word] = self._burst(child)
+                if len(child) > BURST and self.shifts:
+                    self.children[at] = self._burst(child)
             else:
-                new += child.add(*child.split(rest[a:b]))
+                new += child.add(*child.split(rest[a:b], self.shifts[0]))
         return new
 
-    def split(self, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Next word and what follows it, sorted by that word."""
-        first = rest >> self.shift
-        order = np.argsort(first, kind="stable")
-        return first[order], (rest & ((1 << self.shift) - 1))[order]
+    @staticmethod
+    def split(rest: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
+        """Leading bits and what follows them, sorted by those."""
+        lead = rest >> shift
+        order = np.argsort(lead, kind="stable")
+        return lead[order], (rest & ((1 << shift) - 1))[order]
 
     def _burst(self, container: dict[int, int]) -> Node:
-        node = Node(self.shift - BITS)
-        low = (1 << node.shift) - 1
+        node, shift = Node(self.shifts[1:]), self.shifts[0]
+        low = (1 << shift) - 1
         for rest, n in container.items():
-            node.children.setdefault(rest >> node.shift, {})[rest & low] = n
+            node.children.setdefault(rest >> shift, {})[rest & low] = n
         return node
 
     def entries(self) -> int:
         return sum(len(c) if type(c) is dict else c.entries() for c in self.children.values())
 
-    def flat(self) -> tuple[list[int], list[int]]:
-        """All runs below, as numbers of ``shift`` + BITS bits, and their counts."""
-        runs, counts = [], []
-        for word, child in self.children.items():
-            lead = word << self.shift
-            rests, own = (child.keys(), child.values()) if type(child) is dict else child.flat()
-            runs += [lead | r for r in rests]
-            counts += own
-        return runs, counts
+    def flat(self, at: int) -> tuple[np.ndarray, np.ndarray]:
+        """All runs below child ``at`` as the numbers that this node's containers hold, and their counts."""
+        child = self.children[at]
+        if type(child) is dict:
+            return np.fromiter(child.keys(), np.int64, len(child)), np.fromiter(child.values(), np.int64, len(child))
+        parts = [(k << self.shifts[0], child.flat(k)) for k in child.children]
+        return np.concatenate([lead | rests for lead, (rests, _) in parts]), np.concatenate([counts for _, (_, counts) in parts])
 
 
 class Counter:
-    """Trie of one task with the words behind its ids."""
+    """Trie of one task over runs of up to ``width`` words, with the words behind its ids."""
 
-    def __init__(self, prefix: int, bits: int):
-        self.prefix, self.bits = prefix, bits
+    def __init__(self, width: int, prefix: int, bits: int):
+        self.width, self.prefix, self.bits = width, prefix, bits
+        # Runs of two fit one number with a range of first words; longer ones hang below their first word.
+        self.range = RANGE if width == 2 else 0
+        self.shifts = tuple(BITS * k for k in range(width - 1 if self.range else width - 2, 0, -1))
         self.langs: list[str] = []
         self.clear()
 
     def clear(self) -> None:
-        self.root, self.held = Node((LONGEST - 1) * BITS), 0
+        self.root, self.held = Node(self.shifts), 0
         self.ids: dict[str, Ids] = {}
         self.words: list[bytes] = [b""]
-        self.lang_of: list[int] = [0]
-        self.codes: list[int] = [0]
+        self.lang_of = array("L", [0])
+        self.codes = array("Q", [0])
 
     def of(self, lang: str) -> Ids:
         if lang not in self.ids:
             self.ids[lang] = Ids(self, lang)
         return self.ids[lang]
 
+    def code(self, ids: np.ndarray) -> np.ndarray:
+        return np.array(self.codes, np.uint64)[ids]
+
     def add(self, first: np.ndarray, rest: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(first, kind="stable")
-        self.held += self.root.add(first[order], rest[order])
-        if len(self.words) > FULL // 2:
+        """Counts runs: ids of their first words, and the others ``BITS`` bits each in one number, none as zero."""
+        if self.range:
+            lead, rest = first >> self.range, (first & ((1 << self.range) - 1)) << BITS | rest
+        else:
+            lead = first
+        order = np.argsort(lead, kind="stable")
+        self.held += self.root.add(lead[order], rest[order])
+        if len(self.words) > LOW // 2:
             yield from self.spill(0)
             self.clear()
         elif self.held > HELD:
@@ -131,45 +146,43 @@ class Counter:
 
     def spill(self, left: int) -> Iterator[pa.RecordBatch]:
         """Takes subtrees out, the largest first, until at most ``left`` entries are held."""
-        sizes = {w: len(c) if type(c) is dict else c.entries() for w, c in self.root.children.items()}
-        out = Node(self.root.shift)
-        for word in sorted(sizes, key=sizes.__getitem__, reverse=True):
+        sizes = {k: len(c) if type(c) is dict else c.entries() for k, c in self.root.children.items()}
+        leads, rests, counts = [], [], []
+        for at in sorted(sizes, key=sizes.__getitem__, reverse=True):
             if self.held <= left:
                 break
-            out.children[word] = self.root.children.pop(word)
-            self.held -= sizes[word]
-        if not out.children:
+            rest, count = self.root.flat(at)
+            leads.append(np.full(len(rest), at))
+            rests.append(rest)
+            counts.append(count)
+            del self.root.children[at]
+            self.held -= sizes[at]
+        if not leads:
             return
-        firsts = np.fromiter(out.children, np.int64, len(out.children))
-        parts = [(list(c), list(c.values())) if type(c) is dict else c.flat() for c in out.children.values()]
-        rest = np.array([r for p, _ in parts for r in p], np.int64)
-        count = np.array([n for _, c in parts for n in c], np.int64)
-        first = np.repeat(firsts, [len(p) for p, _ in parts])
-        low = (1 << BITS) - 1
-        yield from self._runs([first, rest >> 2 * BITS, (rest >> BITS) & low, rest & low], count)
+        lead, rest = np.concatenate(leads), np.concatenate(rests)
+        if self.range:
+            ids = [lead << self.range | rest >> BITS, rest & LOW]
+        else:
+            ids = [lead, *(rest >> BITS * k & LOW for k in range(self.width - 2, -1, -1))]
+        yield from self._runs(ids, np.concatenate(counts))
 
     def _runs(self, ids: list[np.ndarray], count: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """One sorted run per prefix partition."""
+        """One sorted run per prefix partition; texts go with the words that stand alone."""
         codes = np.array(self.codes, np.uint64)
-        part = shard_of(keys_of([codes[i] for i in ids[: self.prefix]]), self.bits)
-        order = np.argsort(part, kind="stable")
+        words = [codes[i] for i in ids]
+        part = shard_of(keys_of(words[: self.prefix]), self.bits)
+        order = np.lexsort((*words[::-1], part))
         cuts = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]])
         for a, b in zip(cuts, np.r_[cuts[1:], len(order)], strict=True):
             at = order[a:b]
-            used = np.unique(np.concatenate([i[at] for i in ids]))
-            used = used[used > 0].tolist()
-            used.sort(key=lambda i: (self.langs[self.lang_of[i]], self.words[i]))
-            rank = np.zeros(len(self.words), np.int64)
-            rank[used] = np.arange(1, len(used) + 1)
-            own = [rank[i[at]] for i in ids]
-            sort = np.lexsort(own[::-1])
-            run = [np.diff(own[0][sort], prepend=0), *(o[sort] for o in own[1:]), count[at][sort]]
+            run = [np.diff(words[0][at], prepend=np.uint64(0)), *(w[at] for w in words[1:]), smallest(count[at])]
+            alone = ids[0][at][ids[1][at] == 0].tolist()
+            texts = b"\n".join([self.words[i] for i in alone])
             cols = [
-                pa.array([int(part[at[0]])], pa.int32()), pa.array([self.langs], pa.list_(pa.string())),
-                pa.array([zstandard.compress(b"\n".join(self.words[i] for i in used), 1)]),
-                pa.array([pack([smallest(np.array([self.lang_of[i] for i in used], np.int64))])]), pa.array([pack([smallest(c) for c in run])]),
+                pa.array([int(part[at[0]])], pa.int32()), pa.array([pack(run)]), pa.array([self.langs], pa.list_(pa.string())),
+                pa.array([pack([np.array([self.lang_of[i] for i in alone], np.uint32)])]), pa.array([zstandard.compress(texts, 1)]),
             ]
-            yield pa.RecordBatch.from_arrays(cols, names=["part", "langs", "words", "lang_of", "run"])
+            yield pa.RecordBatch.from_arrays(cols, names=["part", "run", "langs", "lang_of", "words"])
 
 
 class Ids(dict):
@@ -180,21 +193,18 @@ class Ids(dict):
         self.counter = counter
         if lang not in counter.langs:
             counter.langs.append(lang)
-        self.lang, self.seed = counter.langs.index(lang), lang.encode()
+        self.lang, self.seed = counter.langs.index(lang), lang.encode() + b"\n"
 
     def __missing__(self, word: bytes) -> int:
         c = self.counter
         out = self[word] = len(c.words)
         c.words.append(word)
         c.lang_of.append(self.lang)
-        c.codes.append(word_code(self.seed, word))
+        # Zero is no word.
+        c.codes.append(xxhash.xxh64_intdigest(self.seed + word) or 1)
         return out
 
 
-def word_code(lang: bytes, word: bytes) -> int:
-    return xxhash.xxh64_intdigest(lang + b"\n" + word)
-
-
 # --- passes -------------------------------------------------------------------------------------------------------
 
 
@@ -212,14 +222,14 @@ def _short_runs(bits: int):
     """Words and pairs of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(2, bits)
+        counter = Counter(2, 2, bits)
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids = _stream(batch, counter)
             pair = (ids[:-1] > 0) & (ids[1:] > 0)
             words = ids[ids > 0]
-            yield from counter.add(np.r_[words, ids[:-1][pair]], np.r_[np.zeros(len(words), np.int64), ids[1:][pair] << 2 * BITS])
+            yield from counter.add(np.r_[words, ids[:-1][pair]], np.r_[np.zeros(len(words), np.int64), ids[1:][pair]])
         yield from counter.spill(0)
 
     return run
@@ -229,12 +239,12 @@ def _long_runs(bits: int, folder: str):
     """Three and four words of the texts in which every pair is frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, pairs = Counter(3, bits), HashArrays(folder, "pairs", bits)
+        counter, pairs = Counter(LONGEST, 3, bits), HashArrays(folder, "pairs", bits)
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids = np.r_[_stream(batch, counter), np.zeros(LONGEST, np.int64)]
-            codes = np.array(counter.codes, np.uint64)[ids]
+            codes = counter.code(ids)
             good = np.zeros(len(ids), bool)
             at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
             good[at] = pairs.find(keys_of([codes[at], codes[at + 1]]), [])[0]
@@ -249,47 +259,40 @@ def _long_runs(bits: int, folder: str):
 
 
 def _merged(bits: int, folder: str, least: int):
-    """Merges the runs of one prefix partition: frequent ones, the words of each language, and frequent pairs as a hash array."""
+    """Merges the runs of one prefix partition: frequent ones, the texts of frequent words, the words of each language (no codes),
+    and frequent pairs as a hash array."""
 
     def run(group: pa.Table) -> pa.Table:
-        listed = []
-        for langs, words, lang_of in zip(group["langs"].to_pylist(), group["words"].to_pylist(), group["lang_of"].to_pylist(), strict=True):
-            own = [langs[k] for k in unpack(lang_of)[0].tolist()]
-            listed.append(list(zip(own, zstandard.decompress(words).split(b"\n"), strict=True)))
-        every = sorted(set().union(*listed))
-        rank = {w: k for k, w in enumerate(every, 1)}
-        runs = [[] for _ in range(LONGEST + 1)]
-        for words, data in zip(listed, group["run"].to_pylist(), strict=True):
-            to = np.array([0, *(rank[w] for w in words)], np.int64)
-            first, *others, count = unpack(data)
-            for held, column in zip(runs, [to[np.cumsum(first, dtype=np.int64)], *(to[o] for o in others), count.astype(np.int64)], strict=True):
-                held.append(column)
-        *ids, count = (np.concatenate(r) for r in runs)
-        order = np.lexsort([i for i in ids[::-1] if i.any()])
-        new = np.zeros(len(order), bool)
-        new[0] = True
-        for i in ids:
-            new[1:] |= i[order][1:] != i[order][:-1]
-        first = np.flatnonzero(new)
-        count = np.add.reduceat(count[order], first)
-        ids = [i[order][first] for i in ids]
-        totals: dict[str, int] = {}
-        alone = np.flatnonzero(ids[1] == 0)
-        for k, n in zip(ids[0][alone].tolist(), count[alone].tolist(), strict=True):
-            lang = every[k - 1][0]
-            totals[lang] = totals.get(lang, 0) + n
-        kept = np.flatnonzero(count >= least)
-        pair = kept[(ids[1][kept] > 0) & (ids[2][kept] == 0)]
-        if len(pair):
-            codes = np.array([0, *(word_code(lang.encode(), w) for lang, w in every)], np.uint64)
-            keys = np.unique(keys_of([codes[ids[0][pair]], codes[ids[1][pair]]]))
-            save(folder, "pairs", int(group["part"][0].as_py()), bits, keys, {})
-        rows = [[every[k - 1] for k in r if k] for r in zip(*(i[kept].tolist() for i in ids), strict=True)]
-        cols = [
-            pa.array([*totals, *(r[0][0] for r in rows)], pa.string()), pa.array([None] * len(totals) + [b" ".join(w for _, w in r).decode() for r in rows], pa.string()),
-            pa.array([0] * len(totals) + [len(r) for r in rows], pa.int64()), pa.array([*totals.values(), *count[kept].tolist()], pa.int64()),
-        ]
-        return pa.Table.from_arrays(cols, names=["lang", "phrase", "words", "f"])
+        unpacked = [unpack(d) for d in group["run"].to_pylist()]
+        words = [np.concatenate([np.cumsum(r[0], dtype=np.uint64) if k == 0 else r[k] for r in unpacked]) for k in range(len(unpacked[0]) - 1)]
+        keys, words, (count,) = merged_runs(words, [np.concatenate([r[-1].astype(np.int64) for r in unpacked])])
+        sizes = sum((w > 0).astype(np.int64) for w in words)
+        often = count >= least
+        pair = often & (sizes == 2)
+        if pair.any():
+            save(folder, "pairs", int(group["part"][0].as_py()), bits, keys[pair], {})
+        of = dict(zip(words[0][sizes == 1].tolist(), count[sizes == 1].tolist(), strict=True))
+        texts, totals = {}, {}
+        for r, langs, lang_of, text in zip(unpacked, group["langs"].to_pylist(), group["lang_of"].to_pylist(), group["words"].to_pylist(), strict=True):
+            alone = r[1] == 0
+            if not alone.any():
+                continue
+            own, (which,) = np.cumsum(r[0], dtype=np.uint64)[alone], unpack(lang_of)
+            for k, n in enumerate(np.bincount(which, r[-1][alone], len(langs)).astype(np.int64).tolist()):
+                totals[langs[k]] = totals.get(langs[k], 0) + n
+            for code, k, word in zip(own.tolist(), which.tolist(), zstandard.decompress(text).split(b"\n"), strict=True):
+                if of[code] >= least:
+                    texts[code] = (langs[k], word.decode())
+        kept = np.flatnonzero(often & (sizes > 1))
+        codes = [w[kept].view(np.int64).tolist() for w in words]
+        listed = [[c for c in row if c] for row in zip(*codes, strict=True)]
+        signed = lambda code: code - (1 << 64) if code >= 1 << 63 else code
+        rows = [(lang, None, None, n) for lang, n in totals.items() if n]
+        rows += [(lang, word, [signed(code)], of[code]) for code, (lang, word) in texts.items()]
+        rows += [(None, None, row, n) for row, n in zip(listed, count[kept].tolist(), strict=True)]
+        kinds = [pa.string(), pa.string(), pa.list_(pa.int64()), pa.int64()]
+        cols = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], kind) for kind in kinds]
+        return pa.Table.from_arrays(cols, names=["lang", "word", "codes", "f"])
 
     return run
 
@@ -307,7 +310,18 @@ def frequent_runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
     def counted(runs):
         return staged(texts.mapInArrow(runs, RUNS).groupBy("part").applyInArrow(_merged(bits, folder, least), COUNTS))
 
-    return counted(_short_runs(bits)).unionByName(counted(_long_runs(bits, folder)).where("words > 0"))
+    short = counted(_short_runs(bits))
+    runs = short.where("size(codes) > 1").unionByName(counted(_long_runs(bits, folder)).where("size(codes) > 1"))
+    totals = short.where("codes IS NULL").groupBy("lang").agg(F.sum("f").alias("f"))
+    alone = short.where("size(codes) = 1").select("lang", "word", F.col("codes")[0].alias("code"), "f")
+    # Every word of a frequent run is frequent, so its text is among these.
+    spelled = runs.select("codes", "f", F.posexplode("codes").alias("place", "code")).join(alone.select("lang", "word", "code"), "code")
+    spelled = spelled.groupBy("codes").agg(
+        F.first("lang").alias("lang"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]), " ").alias("phrase"), F.first("f").alias("f"))
+    return (
+        totals.select("lang", F.lit(None).cast("string").alias("phrase"), F.lit(0).cast("long").alias("words"), "f")
+        .unionByName(alone.select("lang", F.col("word").alias("phrase"), F.lit(1).cast("long").alias("words"), "f"))
+        .unionByName(spelled.select("lang", "phrase", F.size("codes").cast("long").alias("words"), "f")))
 
 
 # --- candidates ---------------------------------------------------------------------------------------------------
@@ -319,7 +333,7 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     Null texts are empty, null languages are ``und``. Repeated rows count as often as they occur. Ties are settled by count and phrase.
     A language without candidates has no rows, so has an empty table. Other columns are ignored.
     """
-    found = frequent_runs(docs, least)
+    found = staged(frequent_runs(docs, least))
     totals = found.where("phrase IS NULL").groupBy("lang").agg(F.sum("f").alias("n"))
     runs = found.where("phrase IS NOT NULL")
     spans = runs.where("words > 1").withColumn("w", F.split("phrase", " "))

@@ -2,7 +2,8 @@
 
 import random
 import re
-from collections import Counter, defaultdict
+from collections import Counter as TallyOf
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from tests.llm import fixtures
 
 
 def plain(rows, least, top):
-    counts, totals = defaultdict(Counter), Counter()
+    counts, totals = defaultdict(TallyOf), TallyOf()
     for r in rows:
         lang = r["lang"] if r["lang"] is not None else "und"
         text = (r["text"] or "").translate({c: c + 32 for c in range(65, 91)})
@@ -65,17 +66,23 @@ def test_defaults_and_empty(spark):
     assert phrases.collocations(fixtures.empty(spark)).collect() == []
 
 
-def test_trie_counts_what_a_table_counts(monkeypatch):
+@pytest.mark.parametrize("width", [2, 4])
+def test_trie_counts_what_a_table_counts(monkeypatch, width):
+    """Through bursts on every level, and out again in one spill."""
     monkeypatch.setattr(phrases, "BURST", 20)
+    monkeypatch.setattr(phrases, "HELD", 10**9)
     r = np.random.default_rng(2)
-    low = phrases.BITS
-    first, words = r.integers(1, 6, 4000), r.integers(0, 5, (3, 4000))
-    rest = words[0] << 2 * low | words[1] << low | words[2]
-    node, want = phrases.Node(3 * low), Counter(zip(first.tolist(), rest.tolist(), strict=True))
-    new = 0
+    counter = phrases.Counter(width, 2, 0)
+    ids = counter.of("x")
+    words = [ids[b"w%d" % k] for k in range(3000)]
+    runs = r.choice(words[:6] + words[-3:], (width, 4000))
+    rest = sum(runs[k].astype(np.int64) << phrases.BITS * (width - 1 - k) for k in range(1, width))
     for at in np.array_split(np.arange(4000), 7):
-        at = at[np.argsort(first[at], kind="stable")]
-        new += node.add(first[at], rest[at])
-    runs, counts = node.flat()
-    assert new == node.entries() == len(want)
-    assert dict(zip(runs, counts, strict=True)) == {f << 3 * low | x: n for (f, x), n in want.items()}
+        assert list(counter.add(runs[0][at], rest[at])) == []
+    want = TallyOf(zip(*runs.tolist(), strict=True))
+    assert counter.held == len(want)
+    code = counter.code(np.arange(len(counter.words)))
+    (batch,) = counter.spill(0)
+    first, *others, count = phrases.unpack(batch["run"][0].as_py())
+    got = dict(zip(zip(np.cumsum(first, dtype=np.uint64).tolist(), *(o.tolist() for o in others), strict=True), count.tolist(), strict=True))
+    assert got == {tuple(int(code[i]) for i in row): n for row, n in want.items()} and counter.held == 0
