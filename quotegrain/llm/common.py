@@ -31,9 +31,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, prunes columns, survives lost executors."""
+    """Write to the shared folder and read back: cuts lineage, prunes columns, survives lost executors.
+
+    The results of later steps read these files, so the caller removes them: all of one application lie in one folder, by its id.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/quotegrain-llm/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/quotegrain-llm/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -51,18 +54,23 @@ def crc_mod(doc_id: str, mod: int):
 def hash_share(rows: DataFrame, counted: DataFrame, by: str | None, limit: int) -> DataFrame:
     """About ``limit`` rows per value of ``by`` (of the whole table if None), those whose doc_id hashes lowest.
 
-    The share is set from a count of ``counted``, so the sample stays as large whatever the table's size, and is all of a small one.
+    The share is set from a count of ``counted`` and taken from all 64 bits of the hash, so the sample stays as large whatever the
+    table's size, and is all of a small one.
     """
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     if by is None:
-        return rows.where(place < int(min(1.0, limit / max(1, counted.count())) * 1_000_000))
+        return rows.where(F.xxhash64("doc_id") <= F.lit(highest(limit, counted.count())))
     totals = {r[by]: r["count"] for r in counted.groupBy(by).count().collect()}
     keep = F.lit(False)
     for value, n in totals.items():
-        keep = keep | ((F.col(by) == value) & (place < int(min(1.0, limit / n) * 1_000_000)))
+        keep = keep | ((F.col(by) == value) & (F.xxhash64("doc_id") <= F.lit(highest(limit, n))))
     return rows.where(keep)
 
 
+def highest(limit: int, n: int) -> int:
+    """Largest signed 64-bit hash of a sample of ``limit`` out of ``n`` rows."""
+    return -(1 << 63) + min(limit, n) * ((1 << 64) - 1) // max(1, n)
+
+
 def texts(column: pa.Array) -> list[str]:
     """Texts of an Arrow column, null as empty."""
     return [t or "" for t in column.to_pylist()]

@@ -26,6 +26,8 @@ from quotegrain.llm.common import each_batch, hash_share, texts
 KINDS = ("email", "ip", "card", "phone")
 #: About how many documents teach, and the share of right spans that a threshold must reach on held-out rows.
 SAMPLE, PRECISION = 600, 0.99
+#: Filler texts that teach beside the sample.
+FILLERS = 60
 #: Insertions into each of them.
 INSERTIONS = 40
 
@@ -232,7 +234,7 @@ class Detector:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Detector:
     """Train on about ``sample`` documents, chosen by a hash of the id. Tasks write the insertions and describe the candidates.
 
-    A table too small to teach is replaced by plain filler texts.
+    Plain filler texts with insertions teach beside them, at every size of the table, so that a small or empty one has a detector too.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -244,7 +246,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Detector:
     rows = hash_share(docs.where("text is not null").select("doc_id", "text"), docs.select("doc_id"), None, sample)
     found = rows.mapInArrow(each_batch(run), "held boolean, x array<float>, y float").toArrow()
     taught = [(h, x, y) for h, x, y in zip(*(c.to_pylist() for c in found.columns), strict=True)]
-    return train(sorted(taught) if len(taught) > 2000 else [r for k in range(200) for r in lessons("a b c " * 200, k)])
+    return train(sorted(taught) + [r for k in range(FILLERS) for r in lessons("a b c " * 200, k)])
 
 
 def lessons(text: str, seed: int) -> list[tuple[bool, list[float], float]]:

@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from quotegrain.llm.common import crc_mod, each_batch, hash_share, staged, texts
 
 #: About how many labelled documents teach, and the most words a lexicon holds.
-SAMPLE, LEXICON = 12_000, 400
+SAMPLE = 12_000
+#: Intercept of a model that was taught nothing.
+UNTAUGHT = -3.0
 #: Toxic contexts that a word needs for each other context, and contexts for each of its toxic occurrences.
 LIFT, VARIETY = 4.0, 0.2
 #: How unlikely a word's toxic contexts must be by chance, over all words.
@@ -220,11 +222,12 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 25)
     return w
 
 
-def learn_lexicon(taught: DataFrame, most: int = LEXICON) -> list[str]:
+def learn_lexicon(taught: DataFrame) -> list[str]:
     """Words by how many different words they follow in toxic and in other documents.
 
     Counting contexts, and asking for many of them per occurrence, keeps the plain words of a toxic document with many near copies out.
-    The least number of contexts is set so that a word that falls on toxic documents by chance is not expected even once.
+    The least number of contexts is set so that a word that falls on toxic documents by chance is not expected even once. That alone sets
+    the size of the lexicon; the sample bounds it.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -251,11 +254,14 @@ def learn_lexicon(taught: DataFrame, most: int = LEXICON) -> list[str]:
         return []
     least = math.log(whole["words"] / CHANCE) / -math.log(whole["t"] / (whole["t"] + whole["c"]))
     top = counts.where((F.col("t") >= least) & (F.col("t") >= LIFT * F.col("c")) & (F.col("t") >= VARIETY * F.col("n")))
-    return [r["word"] for r in top.orderBy(F.desc("t"), "word").limit(most).collect()]
+    return [r["word"] for r in top.orderBy(F.desc("t"), "word").collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Lexicon and weights from about ``sample`` labelled rows of ``docs``(doc_id, text), chosen by a hash of the id."""
+    """Lexicon and weights from about ``sample`` labelled rows of ``docs``(doc_id, text), chosen by a hash of the id.
+
+    Labels of one kind only, or none, teach nothing: every score is then below a half.
+    """
     marked = labels.where("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     part = hash_share(marked, marked, None, sample).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = hash_share(docs, marked, None, sample)
@@ -268,8 +274,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), batch["toxic"]], names=["x", "toxic"])
 
     rows = taught.mapInArrow(each_batch(run), "x array<double>, toxic int").groupBy("x", "toxic").count().collect()
-    if not rows:
-        return Model([], np.zeros(1 + len(FEATURES)))
+    if len({r["toxic"] for r in rows}) < 2:
+        return Model([], np.r_[UNTAUGHT, np.zeros(len(FEATURES))])
     count = [r["count"] for r in rows]
     x = np.repeat(np.array([r["x"] for r in rows]), count, axis=0)
     y = np.repeat(np.array([r["toxic"] for r in rows], float), count)
@@ -292,7 +298,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 0, folds: int = 5) -> DataFrame:
     """(doc_id, held_out, score, predicted) per row of ``docs``; rows of fold ``held_out`` teach nothing.
 
-    Rows without a label only get a score. Without any labelled row every score is 0.5. Repeated labels of an id: the
+    Rows without a label only get a score. Without labels of both kinds every score is the same, below 0.5. Repeated labels of an id: the
     highest counts. Repeated rows and ids stay. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
