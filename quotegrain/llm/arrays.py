@@ -77,14 +77,24 @@ def save(folder: str, table: str, shard: int, bits: int, keys: np.ndarray, colum
         at += -(-column.nbytes // 8) * 8
     head = json.dumps({"n": len(keys), "run": run, "fields": fields}).encode()
     head += b" " * (-(len(head) + 8) % 8)
+    whole = [len(head).to_bytes(8, "little"), head, *(column.tobytes() + b"\0" * (-column.nbytes % 8) for column in parts.values())]
+    put(folder, f"{table}-{shard}", b"".join(whole))
+
+
+def put(folder: str, name: str, data: bytes) -> None:
+    """Write one file whole; of a task that runs twice the last one stays."""
     fs, path = _place(folder)
     fs.create_dir(path, recursive=True)
     own = f"{path}/.{uuid.uuid4().hex}"
     with fs.open_output_stream(own) as out:
-        out.write(len(head).to_bytes(8, "little") + head)
-        for column in parts.values():
-            out.write(column.tobytes() + b"\0" * (-column.nbytes % 8))
-    fs.move(own, f"{path}/{table}-{shard}")
+        out.write(data)
+    fs.move(own, f"{path}/{name}")
+
+
+def get(folder: str, name: str) -> bytes:
+    fs, path = _place(folder)
+    with fs.open_input_file(f"{path}/{name}") as file:
+        return file.read()
 
 
 class HashArrays:

@@ -10,8 +10,10 @@ stand in the text, or runs of nearly the whole item, since a short answer is soo
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quotegrain.llm.arrays import get, new_folder, put
 from quotegrain.llm.common import each_batch, texts
 
 #: Words between passage starts, which are twice as long; longer items are indexed in parts of that length.
@@ -68,7 +71,7 @@ def overlap(part: list[str], runs: set[tuple], width: int = RUN) -> float:
 class Index:
     """Postings of one shard of items, by block of ``BLOCK`` entries. An entry is an item or a part of a long one."""
 
-    items: list[int]
+    items: list[int | None]
     bodies: list[tuple[list[str], list[str]]]
     entry_item: list[int] = field(default_factory=list)
     vocabulary: dict[str, int] = field(default_factory=dict)
@@ -79,7 +82,7 @@ class Index:
     @classmethod
     def build(cls, rows: list[tuple[int, str]], df: dict[str, int], n_entries: int, average: float) -> Index:
         """From (item_id, text), with the document frequencies, entries and mean length of the whole collection."""
-        rows = sorted(rows)
+        rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         index = cls([i for i, _ in rows], [question_answer(t) for _, t in rows])
         weights: dict[str, list[tuple[int, float]]] = {}
         for k, (_, text) in enumerate(rows):
@@ -203,76 +206,98 @@ def parts(text: str) -> list[list[str]]:
     return [words[k : k + STRIDE] for k in range(0, len(words), STRIDE)]
 
 
-def indexes(items: DataFrame) -> list[Index]:
-    """Indexes over ``items``(item_id, text), at most about SHARD items each. Null and empty texts are in none.
+def indexes(items: DataFrame) -> tuple[str, list[int]]:
+    """Builds the indexes over ``items``(item_id, text) in tasks, about SHARD items each: their folder and numbers.
 
-    Document frequencies are of the whole collection, so results do not depend on the number of indexes.
+    Null and empty texts are in none. Document frequencies are of the whole collection, so results do not depend on the number of indexes.
     """
     from pyspark.sql.types import ArrayType, StringType
 
     rows = items.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    n = rows.count()
-    shards = max(1, -(-n // SHARD))
+    shards = max(1, -(-rows.count() // SHARD))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
     cut = F.udf(lambda t: parts(t), ArrayType(ArrayType(StringType())), useArrow=True)
-    entries = rows.select("item_id", F.explode(cut("text")).alias("words"), F.pmod(F.xxhash64("item_id"), F.lit(shards)).alias("shard"))
+    entries = rows.select("shard", F.explode(cut("text")).alias("words"))
     total = entries.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("mean")).first()
+    folder = new_folder(items.sparkSession, "benchmark")
     if not total["n"]:
-        return []
+        return folder, []
     counts = entries.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    made = []
-    for shard in range(shards):
-        own = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard)
-        used = entries.where(F.col("shard") == shard).select(F.explode(F.array_distinct("words")).alias("term")).distinct()
-        df = {r["term"]: r["df"] for r in counts.join(used, "term", "left_semi").collect()}
-        made.append(Index.build([(r["item_id"], r["text"]) for r in own.collect() if terms(r["text"])], df, total["n"], total["mean"]))
-    return made
+    used = entries.select("shard", F.explode(F.array_distinct("words")).alias("term")).distinct().join(counts, "term")
+    n, mean = total["n"], total["mean"]
+
+    def build(own: pa.Table, terms_of: pa.Table) -> pa.Table:
+        if own.num_rows:
+            df = dict(zip(terms_of["term"].to_pylist(), terms_of["df"].to_pylist(), strict=True))
+            made = Index.build([(i, t) for i, t in zip(own["item_id"].to_pylist(), own["text"].to_pylist(), strict=True) if terms(t)], df, n, mean)
+            put(folder, f"index-{own['shard'][0].as_py()}", pickle.dumps(made))
+        return own.select(["shard"]).slice(0, 1)
+
+    made = rows.groupBy("shard").cogroup(used.select(F.col("shard").alias("of"), "term", "df").groupBy("of")).applyInArrow(build, "shard long").collect()
+    return folder, sorted(r["shard"] for r in made)
+
+
+def _loaded(folder: str, shards: list[int]) -> list[Index]:
+    return [pickle.loads(get(folder, f"index-{s}")) for s in shards]
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): one row per row of ``docs``(doc_id, text) and item that it leaks.
 
-    Null and empty texts leak nothing. Repeated documents and items each give their rows. Other columns are ignored.
+    Null and empty texts leak nothing. Repeated documents and items, and items without item_id, each give their rows. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     found = None
-    for group in _passes(indexes(items)):
-        part = rows.mapInArrow(each_batch(_leaks_of(group)), schema)
+    folder, shards = indexes(items)
+    for group in _passes(shards):
+        part = rows.mapInArrow(_leaks_of(folder, group), schema)
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def _passes(made: list[Index]) -> list[list[Index]]:
+def _passes(shards: list[int]) -> list[list[int]]:
     """Indexes that one pass asks together; one pass at least."""
-    return [made[k : k + TOGETHER] for k in range(0, max(1, len(made)), TOGETHER)]
+    return [shards[k : k + TOGETHER] for k in range(0, max(1, len(shards)), TOGETHER)]
 
 
-def _leaks_of(group: list[Index]):
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = [terms(t) for t in texts(batch["text"])]
-        ids = batch["doc_id"].to_pylist()
-        rows = [(doc, index.items[k], *found[k]) for index in group for doc, found in zip(ids, index.asked(words), strict=True) for k in sorted(found)]
-        cols = list(zip(*rows, strict=True)) or [()] * 5
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+def _leaks_of(folder: str, shards: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = _loaded(folder, shards)
+
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            words = [terms(t) for t in texts(batch["text"])]
+            ids = batch["doc_id"].to_pylist()
+            rows = [(doc, index.items[k], *found[k]) for index in group for doc, found in zip(ids, index.asked(words), strict=True) for k in sorted(found)]
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+
+        yield from each_batch(one)(batches)
 
     return run
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Rows of ``docs`` that leak no item, all columns as they are."""
-    for group in _passes(indexes(items)):
-        docs = docs.mapInArrow(each_batch(_clean_of(group)), docs.schema)
+    folder, shards = indexes(items)
+    for group in _passes(shards):
+        docs = docs.mapInArrow(_clean_of(folder, group), docs.schema)
     return docs
 
 
-def _clean_of(group: list[Index]):
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = [terms(t) for t in texts(batch["text"])]
-        clean = [True] * len(words)
-        for index in group:
-            clean = [c and not f for c, f in zip(clean, index.asked(words), strict=True)]
-        return batch.filter(pa.array(clean, pa.bool_()))
+def _clean_of(folder: str, shards: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = _loaded(folder, shards)
+
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            words = [terms(t) for t in texts(batch["text"])]
+            clean = [True] * len(words)
+            for index in group:
+                clean = [c and not f for c, f in zip(clean, index.asked(words), strict=True)]
+            return batch.filter(pa.array(clean, pa.bool_()))
+
+        yield from each_batch(one)(batches)
 
     return run

@@ -27,6 +27,9 @@ ANCHOR, FIRST, SECOND = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD64
 SPACE_BITS, WIDEST = 46, 2**30 - 1
 NO_ID = np.int64(2**63 - 1)
 
+#: Bytes of text of the largest chunk, and whose runs make up the largest bucket.
+CHUNK_BYTES, BUCKET_BYTES = 128_000_000, 256_000_000
+
 
 class Chunk:
     """Documents of one chunk laid end to end as word codes."""
@@ -264,10 +267,12 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
     """
     spark = docs.sparkSession
     block = (window + 1) // 2
-    # A chunk sends a row to each bucket, as a map task sends a block to each reducer.
-    chunks, buckets = 2 * partitions(spark), partitions(spark)
+    # A chunk sends a row to each bucket, as a map task sends a block to each reducer. A task holds a chunk or a bucket, so their number
+    # follows the bytes of the table.
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    chunks, buckets = max(2 * partitions(spark), -(-size // CHUNK_BYTES)), max(partitions(spark), -(-size // BUCKET_BYTES))
     dealt = docs.select(
-        F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(chunks)).alias("chunk"),
+        F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), F.lit(chunks)).alias("chunk"),
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
     )
     runs = dealt.groupBy("chunk").applyInArrow(_report_runs(block, buckets), "bucket long, chunk long, runs binary")
