@@ -7,6 +7,7 @@ from quotegrain.catalog import sqltext as q
 from quotegrain.functions import hashing, money, text
 from quotegrain.plans import capture
 from quotegrain.plans import identity as identity_plan
+from quotegrain.plans import offers as offers_plan
 
 
 @query("search_text", "SCL-01", "SCL-18", "UDF-03", oracle=f"""
@@ -95,27 +96,34 @@ def inferred_route_release(t):
     )
 
 
-@query("json_paths", "SCL-25", "SCL-26", oracle="""
-SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, '{"a":"' || event_type || '","k":' || json_extract_string(props, '$.k') || '}' AS canonical,
-  'kind=' || event_type || ',note=new' AS merged FROM events""")
+@query("json_paths", "SCL-25", oracle="""
+SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, '{"a":"' || event_type || '","k":' || json_extract_string(props, '$.k') || '}' AS canonical FROM events""")
 def json_paths(t):
     raw = F.concat(F.lit('{ "k": '), F.get_json_object("props", "$.k"), F.lit(', "a" : "'), F.col("event_type"), F.lit('" }'))
-    base = F.create_map(F.lit("kind"), F.col("event_type"), F.lit("note"), F.lit("old"), F.lit("gone"), F.lit("x"))
-    over = F.create_map(F.lit("note"), F.lit("new"))
-    kept = F.map_filter(base, lambda k, _: ~k.isin("gone", "note"))
-    merged = F.array_join(F.array_sort(F.transform(F.map_entries(F.map_concat(kept, over)), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",")
-    return t.events.select(
-        "event_id", F.try_variant_get(F.parse_json("props"), "$.k", "bigint").alias("k"), hashing.canonical_json(raw).alias("canonical"), merged.alias("merged")
-    )
+    return t.events.select("event_id", F.try_variant_get(F.parse_json("props"), "$.k", "bigint").alias("k"), hashing.canonical_json(raw).alias("canonical"))
+
+
+def entries(column):
+    return F.array_join(F.array_sort(F.transform(F.map_entries(column), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",")
+
+
+@query("metadata_merge", "SCL-26", oracle="""
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'k=' || json_extract_string(props, '$.k') || ',' END || 'note=' || event_type || CASE WHEN event_id % 2 = 0 THEN ',seen=' || CAST(user_id AS VARCHAR) ELSE '' END AS merged FROM events""")
+def metadata_merge(t):
+    """What was stored of an event, what a later one says about it, and a key that goes."""
+    stored = F.when(F.col("event_id") % 3 != 0, F.from_json("props", "map<string,string>"))
+    said = F.map_concat(F.create_map(F.lit("note"), F.col("event_type")), F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("seen"), F.col("user_id").cast("string"))).otherwise(F.create_map(F.lit("gone"), F.lit("x"))))
+    return t.events.select("event_id", entries(hashing.merged_map(stored, said, ["gone"])).alias("merged"))
 
 
 @query("row_hashes", "SCL-27", oracle="""
-SELECT p_partkey, sha256('{"name":"' || p_name || '","note":null,"size":' || CAST(p_size AS VARCHAR) || '}') AS row_hash, sha256('{"a":null}' || p_brand) AS offer_key FROM part""")
+SELECT p_partkey, sha256('{"name":"' || p_name || '","note":null,"size":' || CAST(p_size AS VARCHAR) || '}') AS row_hash, sha256('["' || CAST(p_size AS VARCHAR) || '","' || p_brand || '",' || CASE WHEN p_partkey % 3 = 0 THEN 'null' ELSE '"shop ' || CAST(p_partkey % 5 AS VARCHAR) || '"' END || ',"cash","USD"]') AS offer_key FROM part""")
 def row_hashes(t):
     rows = t.part.select("p_partkey", "p_brand", F.col("p_size").alias("size"), F.col("p_name").alias("name"), F.lit(None).cast("string").alias("note"))
+    location = F.when(F.col("p_partkey") % 3 != 0, F.concat(F.lit("shop "), (F.col("p_partkey") % 5).cast("string")))
     return rows.select(
         "p_partkey", F.sha2(hashing.canonical_struct(["size", "name", "note"]), 256).alias("row_hash"),
-        hashing.sha256_text(F.concat(F.lit('{"a":null}'), "p_brand")).alias("offer_key"),
+        hashing.sha256_text(hashing.offer_key(F.col("size"), F.col("p_brand"), location, F.lit("cash"), F.lit("USD"))).alias("offer_key"),
     )
 
 
@@ -134,11 +142,16 @@ def medication_view(t):
 
 
 @query("public_listing", "PRJ-04", oracle="""
-SELECT listing_id, source_id, match_status, 'kept=1' AS metadata FROM b_listings""")
+SELECT listing_id, source_id, match_status, 'tiers=' || CAST(tiers AS VARCHAR) || CASE WHEN unit IS NULL THEN '' ELSE ',unit=' || unit END AS metadata
+FROM (SELECT l.listing_id, l.source_id, l.match_status, MAX(l.content_unit) AS unit, COUNT(DISTINCT o.quantity) AS tiers FROM b_listings l JOIN b_observations o ON o.listing_id = l.listing_id GROUP BY l.listing_id, l.source_id, l.match_status) x""")
 def public_listing(t):
-    rows = t.listings.withColumn("metadata", F.create_map(F.lit("kept"), F.lit("1"), F.lit("rekey"), F.lit("2")))
-    public = F.map_filter("metadata", lambda k, _: k != "rekey")
-    return rows.select("listing_id", "source_id", "match_status", F.array_join(F.transform(F.map_entries(public), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("metadata"))
+    """Listings as they may be shown: the metadata that a normaliser gathered, without its internal keys."""
+    tiers = t.observations.groupBy("listing_id").agg(F.count_distinct("quantity").alias("tiers"), F.max("l_orderkey").alias("newest"))
+    rows = t.listings.join(tiers, "listing_id")
+    unit = F.when(F.col("content_unit").isNotNull(), F.create_map(F.lit("unit"), F.col("content_unit"))).otherwise(F.create_map().cast("map<string,string>"))
+    internal = F.create_map(F.lit("rekey_run"), F.col("newest").cast("string"), F.lit("input_hash"), F.sha2(F.col("listing_id").cast("string"), 256))
+    metadata = F.map_concat(F.create_map(F.lit("tiers"), F.col("tiers").cast("string")), unit, internal)
+    return offers_plan.public_listing(rows.withColumn("metadata", metadata)).select("listing_id", "source_id", "match_status", entries(F.col("metadata")).alias("metadata"))
 
 
 @query("stock_values", "SCL-22", oracle="""

@@ -13,7 +13,7 @@ from quotegrain.plans import history as history_plan
 from quotegrain.plans import rekey
 from quotegrain.session import shared_dir
 from quotegrain.sources import captures, sinks
-from quotegrain.sources.tables import OFFER_KEY, TIME_ORDER, time_position
+from quotegrain.sources.tables import OFFER_KEY, TIME_ORDER
 
 
 def folder(t) -> str:
@@ -78,7 +78,7 @@ WHERE rn = 1 OR price_cents IS DISTINCT FROM pp OR availability IS DISTINCT FROM
 def history_append(t):
     """Changes appended in two runs, the second half after the first."""
     path = folder(t)
-    changes = history_plan.price_changes(t.observations, OFFER_KEY, TIME_ORDER, time_position()).select(*OFFER_KEY, "observed_at", "price_cents", "availability", "active")
+    changes = history_plan.price_changes(t.observations, OFFER_KEY, TIME_ORDER).select(*OFFER_KEY, "observed_at", "price_cents", "availability", "active")
     cut = F.lit("1995-06-30").cast("timestamp_ntz")
     sinks.append_history(changes.where(F.col("observed_at") <= cut), path)
     sinks.append_history(changes.where(F.col("observed_at") > cut), path)

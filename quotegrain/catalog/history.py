@@ -6,9 +6,9 @@ from quotegrain.catalog import query
 from quotegrain.operators import ordered
 from quotegrain.plans import history as plan
 from quotegrain.plans import ingest
-from quotegrain.sources.tables import (
-    ARRIVAL_ORDER, OFFER_KEY, TIME_ORDER, arrival_position, as_of, time_position,
-)
+from quotegrain.sources import observations, releases
+from quotegrain.sources.tables import ARRIVAL_ORDER, OFFER_KEY, TIME_ORDER, as_of
+from quotegrain.streaming import ingest as streaming
 
 BY_TIME = "PARTITION BY listing_id, quantity ORDER BY observed_at, l_orderkey, l_linenumber, l_suppkey"
 BY_ARRIVAL = "PARTITION BY listing_id, quantity ORDER BY l_orderkey, l_linenumber, l_suppkey"
@@ -22,7 +22,7 @@ SELECT {ROW_SQL}, price_cents, availability, active FROM (
   FROM b_observations WINDOW w AS ({BY_TIME})) x
 WHERE rn = 1 OR price_cents IS DISTINCT FROM pp OR availability IS DISTINCT FROM pa OR active IS DISTINCT FROM pv""")
 def price_changes(t):
-    rows = plan.price_changes(t.observations, OFFER_KEY, TIME_ORDER, time_position())
+    rows = plan.price_changes(t.observations, OFFER_KEY, TIME_ORDER)
     return rows.select(*ROW, "price_cents", "availability", "active")
 
 
@@ -31,7 +31,7 @@ SELECT {ROW_SQL}, newest_before FROM (SELECT *, MAX(observed_at) OVER (
   {BY_ARRIVAL} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest_before FROM b_observations) x
 WHERE newest_before > observed_at""")
 def late_observations(t):
-    rows = plan.late_rows(t.observations, OFFER_KEY, ARRIVAL_ORDER, arrival_position())
+    rows = plan.late_rows(t.observations, OFFER_KEY, ARRIVAL_ORDER)
     return rows.where("late").select(*ROW, "newest_before")
 
 
@@ -39,7 +39,7 @@ def late_observations(t):
 SELECT {ROW_SQL}, price_cents, LAG(price_cents) OVER w AS previous_cents, price_cents - LAG(price_cents) OVER w AS delta_cents,
   LEAD(observed_at) OVER w AS valid_to FROM b_observations WINDOW w AS ({BY_TIME})""")
 def price_timeline(t):
-    rows = plan.timeline(t.observations, OFFER_KEY, TIME_ORDER, time_position())
+    rows = plan.timeline(t.observations, OFFER_KEY, TIME_ORDER)
     return rows.select(*ROW, "price_cents", "previous_cents", "delta_cents", "valid_to")
 
 
@@ -71,11 +71,15 @@ def conflicting_states(t):
 
 @query("upsert_state", "SNK-01", oracle="SELECT * FROM b_offers")
 def upsert_state(t):
+    """A stored state, a batch merged into it, and the state that readers find after it was published."""
     cut, values = as_of("1999-12-31 00:00:00"), ["price_cents", "availability", "active", "observed_at"]
-    old = plan.state_as_of(t.observations, OFFER_KEY, TIME_ORDER, cut, values)
+    root = streaming.new_root(t.spark, "offers")
+    first = releases.replace(t.spark, root, {"offers": plan.state_as_of(t.observations, OFFER_KEY, TIME_ORDER, cut, values)}, None)
     batch = t.observations.where(F.col("observed_at") > cut)
     new = plan.state_as_of(batch, OFFER_KEY, TIME_ORDER, as_of(), values)
-    return plan.upsert_state(old, new, OFFER_KEY, values).withColumnRenamed("observed_at", "last_checked_at")
+    merged = plan.upsert_state(releases.read(t.spark, first, "offers"), new, OFFER_KEY, values)
+    releases.replace(t.spark, root, {"offers": merged}, first)
+    return releases.read(t.spark, releases.load(t.spark, root), "offers").withColumnRenamed("observed_at", "last_checked_at")
 
 
 @query("insert_if_absent", "SNK-06", oracle="""
@@ -177,7 +181,7 @@ def nested_observations(t):
 
 def number_arrivals(rows):
     """Give each observation of a listing its arrival number."""
-    return ordered.rank_rows(rows, ["listing_id"], ARRIVAL_ORDER, arrival_position(), "seq")
+    return ordered.rank_rows(rows, ["listing_id"], ARRIVAL_ORDER, "seq")
 
 
 def arrivals(t):
@@ -188,10 +192,11 @@ def arrivals(t):
 SELECT o.listing_id, o.l_orderkey, o.l_linenumber, o.l_suppkey, v.q AS quantity, o.price_cents + v.q AS price_cents, o.availability, o.active
 FROM b_observations o JOIN (VALUES (30), (60), (90)) AS v(q) ON v.q <= o.quantity""")
 def obs_flatten(t):
-    rows = nested_observations(t).select("listing_id", *ARRIVAL_ORDER, F.explode("offers").alias("o"))
-    return rows.select(
-        "listing_id", *ARRIVAL_ORDER, "o.quantity", "o.price_cents", "o.availability", "o.active"
-    )
+    """Observations as JSON documents in files, read with the fixed schema of the captures and taken apart."""
+    path = streaming.new_root(t.spark, "documents")
+    nested_observations(t).write.json(path)
+    rows = observations.flatten(observations.read(t.spark, path, "l_orderkey long, l_linenumber long, l_suppkey long"), ARRIVAL_ORDER)
+    return rows.select("listing_id", *ARRIVAL_ORDER, "quantity", "price_cents", "availability", "active")
 
 
 # Sequential semantics in SQL: walk each listing in arrival order with its stored identity and time.
@@ -234,6 +239,63 @@ def ingest_decisions(t):
     return ingest.decide(arrivals(t)).select("listing_id", "seq", "outcome")
 
 
+# Decisions of a product over time: a first one, later ones that name another identity or none. Runs by month and source.
+DECISIONS_SQL = """SELECT p_partkey AS product, TIMESTAMP '1990-01-01 00:00:00' AS observed_at, 'verified' AS decision_status, 'rxnorm:' || CAST(p_partkey % 1100 AS VARCHAR(10)) AS decision_key FROM part WHERE p_partkey % 3 <> 0
+UNION ALL SELECT p_partkey, TIMESTAMP '1996-03-01 00:00:00', CASE WHEN p_partkey % 4 = 1 THEN 'needs_review' ELSE 'verified' END, CASE WHEN p_partkey % 4 <> 1 THEN 'rxnorm:' || CAST(p_partkey % 1100 + p_partkey % 2 AS VARCHAR(10)) END
+FROM part WHERE p_partkey % 5 = 0"""
+INGEST_RUNS_SQL = """SELECT CAST(run_month AS VARCHAR(30)) || '/' || CAST(s AS VARCHAR(5)) AS run_id, CASE WHEN s = 2 AND EXTRACT(YEAR FROM run_month) = 1997 AND EXTRACT(MONTH FROM run_month) = 2 THEN 1 ELSE s END AS source_id,
+  CASE WHEN EXTRACT(MONTH FROM run_month) = 9 AND s = 1 THEN 'succeeded' ELSE 'running' END AS status FROM (SELECT DISTINCT run_month, CAST(l_suppkey % 4 AS BIGINT) AS s FROM b_observations) m"""
+OUTCOMES_SQL = f"""
+runs AS ({INGEST_RUNS_SQL}), decisions AS ({DECISIONS_SQL}),
+arrived AS (SELECT listing_id, ROW_NUMBER() OVER (PARTITION BY listing_id ORDER BY l_orderkey, l_linenumber, l_suppkey) AS seq, observed_at, l_partkey, l_linenumber,
+  CASE WHEN l_partkey % 7 = 0 AND l_linenumber = 7 THEN 'other ' ELSE 'product ' END AS name, CASE WHEN l_partkey % 5 = 0 AND l_linenumber % 3 <> 0 THEN l_linenumber % 2 END AS brand,
+  CASE WHEN l_partkey % 101 = 0 AND l_linenumber = 2 THEN 'missing_identity' WHEN r.source_id IS DISTINCT FROM l_suppkey % 4 OR r.status <> 'running' THEN 'invalid_observation_run' END AS problem
+  FROM b_observations o LEFT JOIN runs r ON r.run_id = CAST(o.run_month AS VARCHAR(30)) || '/' || CAST(o.l_suppkey % 4 AS VARCHAR(5))),
+dec AS (SELECT *, LEAD(observed_at) OVER (PARTITION BY product ORDER BY observed_at) AS until FROM decisions),
+obs AS (SELECT a.*, CASE WHEN l_linenumber % 4 <> 0 THEN d.decision_status END AS ds, CASE WHEN l_linenumber % 4 <> 0 THEN d.decision_key END AS dk,
+  ROW_NUMBER() OVER (PARTITION BY a.listing_id ORDER BY seq) AS n FROM arrived a LEFT JOIN dec d ON d.product = a.l_partkey AND d.observed_at <= a.observed_at AND (d.until IS NULL OR d.until > a.observed_at) WHERE problem IS NULL),
+walk(listing_id, n, seq, outcome, name, brand, k, t) AS (
+  SELECT listing_id, n, seq, 'accepted', name, brand, CASE WHEN ds = 'verified' THEN dk END, observed_at FROM obs WHERE n = 1
+  UNION ALL
+  SELECT listing_id, n, seq, outcome, CASE WHEN outcome = 'accepted' THEN name ELSE oname END, CASE WHEN outcome = 'accepted' THEN brand ELSE obrand END,
+    CASE WHEN outcome = 'accepted' THEN COALESCE(ok, CASE WHEN ds = 'verified' THEN dk END) ELSE ok END, CASE WHEN outcome = 'accepted' THEN observed_at ELSE ot END FROM (
+    SELECT o.listing_id, o.n, o.seq, o.name, o.brand, o.ds, o.dk, o.observed_at, w.name AS oname, w.brand AS obrand, w.k AS ok, w.t AS ot,
+      CASE WHEN w.t > o.observed_at THEN 'older_observation' WHEN o.name <> w.name OR COALESCE(o.brand <> w.brand, FALSE) OR (w.k IS NOT NULL AND o.ds IS NOT NULL AND o.dk IS DISTINCT FROM w.k)
+        THEN 'identity_conflict' ELSE 'accepted' END AS outcome
+    FROM walk w JOIN obs o ON o.listing_id = w.listing_id AND o.n = w.n + 1) x)"""
+
+
+def full_arrivals(t):
+    """Arrivals with everything an ingest may refuse them for: own defects, their runs, the decisions of their time."""
+    rows = arrivals(t).withColumns({
+        "product": F.col("listing_id") % 1_000_000_000, "source_id": F.floor(F.col("listing_id") / 1_000_000_000).cast("long"), "source_product_key": F.lit("key")})
+    broken = (F.col("product") % 101 == 0) & (F.col("l_linenumber") == 2)
+    rows = rows.withColumns({
+        "source_product_key": F.when(~broken, F.col("source_product_key")).otherwise(""),
+        "run_id": F.concat_ws("/", F.col("run_id").cast("date").cast("string"), F.col("source_id").cast("string"))})
+    rows = rows.withColumn("problem", F.when(F.col("source_product_key") == "", "missing_identity"))
+    runs = t.sql(INGEST_RUNS_SQL).withColumn("run_id", F.regexp_replace("run_id", " 00:00:00", ""))
+    rows = ingest.run_problem(rows, runs)
+    rows = ingest.decided_as_of(rows, t.sql(DECISIONS_SQL), ["product"], ["listing_id", "seq"])
+    asked = F.col("l_linenumber") % 4 != 0
+    return rows.withColumns({c: F.when(asked, F.col(c)) for c in ingest.DECISION})
+
+
+@query("ingest_outcomes", "ING-01", "IDN-09", "ING-02", "OBS-05", oracle=f"""
+WITH RECURSIVE {OUTCOMES_SQL} SELECT listing_id, seq, outcome FROM walk UNION ALL SELECT listing_id, seq, problem AS outcome FROM arrived WHERE problem IS NOT NULL""")
+def ingest_outcomes(t):
+    return ingest.decide(full_arrivals(t)).select("listing_id", "seq", "outcome")
+
+
+@query("ingest_links", "IDN-09", oracle=f"""
+WITH RECURSIVE {OUTCOMES_SQL}, last AS (SELECT listing_id, k, ROW_NUMBER() OVER (PARTITION BY listing_id ORDER BY n DESC) AS rn FROM walk),
+q AS (SELECT listing_id, BOOL_OR(outcome = 'identity_conflict') AS needs_review FROM walk GROUP BY listing_id)
+SELECT l.listing_id, l.k AS canonical_key, q.needs_review FROM last l JOIN q ON q.listing_id = l.listing_id WHERE l.rn = 1""")
+def ingest_links(t):
+    """Canonical identity and review mark of each listing after all arrivals."""
+    return ingest.apply(full_arrivals(t), ["quantity"]).listings.select("listing_id", "canonical_key", "needs_review")
+
+
 @query("identity_conflicts", "IDN-09", oracle=f"""
 WITH RECURSIVE {WALK_SQL} SELECT listing_id, COUNT(*) AS conflicts FROM walk WHERE outcome = 'identity_conflict' GROUP BY listing_id""")
 def identity_conflicts(t):

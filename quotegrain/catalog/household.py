@@ -101,9 +101,9 @@ def rank_quotes(t):
 
 
 def priced(t):
-    quotes = matrix(t).select(*LINE, "price")
+    """A line takes the least price of its medication, so the quotes shrink to one a medication before they meet the lines."""
     lines = rx(t).withColumns({"unit_price": F.lit("1.00").cast(plan.MONEY), "total": F.col("quantity").cast(plan.MONEY)})
-    return plan.price_lines(lines, quotes, LINE)
+    return plan.price_lines(lines, plan.offer_prices(enriched(t)), ["medication_id"])
 
 
 PRICED_SQL = f"""WITH rx AS ({RX_SQL}), {MATRIX_SQL},
@@ -275,6 +275,14 @@ def idempotent_intake(t):
     return done.select(F.col("seq").alias("event_id"), "request_key", "outcome", "draft_id")
 
 
+@query("intake_batch_sizes", "HH-05", oracle="""
+SELECT c.c_custkey AS intake_id, COUNT(l.l_orderkey) AS lines, COUNT(l.l_orderkey) BETWEEN 1 AND 40 AS size_ok
+FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY c.c_custkey""")
+def intake_batch_sizes(t):
+    lines = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("intake_id"))
+    return plan.batch_sizes(lines, t.customer.select(F.col("c_custkey").alias("intake_id")), "intake_id")
+
+
 MEMBER_SQL = """SELECT c_nationkey AS household_id, c_custkey AS member_id,
   CASE WHEN c_custkey % 2 = 0 THEN ' Ann ' ELSE 'aNN' END || CAST(c_custkey % 12 AS VARCHAR(5)) AS nickname FROM customer"""
 

@@ -266,10 +266,11 @@ def reviewed_links(t):
 
 
 @query("normalization_coverage", "IDN-13", oracle=f"""
-WITH {DECISION_CTES} SELECT l.source_id, f.status, COUNT(*) AS inputs, GROUPING(l.source_id, f.status) AS level
-FROM b_listings l JOIN final f ON f.medication_id = l.medication_id GROUP BY ROLLUP (l.source_id, f.status)""")
+WITH {DECISION_CTES}, v AS (SELECT l.source_id, f.status, CASE WHEN l.medication_id % 3 = 0 THEN 'v2' ELSE 'v1' END AS version, f.reason FROM b_listings l JOIN final f ON f.medication_id = l.medication_id)
+SELECT source_id, status, version, reason, COUNT(*) AS inputs, GROUPING(source_id, status, version, reason) AS level FROM v GROUP BY ROLLUP (source_id, status, version, reason)""")
 def normalization_coverage(t):
-    decided = decisions(t).select("medication_id", "status")
+    version = F.when(F.col("medication_id") % 3 == 0, "v2").otherwise("v1")
+    decided = decisions(t).select("medication_id", "status", "reason").withColumn("version", version)
     return plan.coverage(t.listings.join(decided, "medication_id"))
 
 

@@ -64,7 +64,7 @@ FROM part"""
 LABEL_SQL = "SELECT medication_id AS label_id, name || ' ' || strength || '/' || form || ' by ' || brand_name AS label FROM b_medications"
 
 
-@query("scope_filter", "JOIN-15", "IDN-12", "SCL-03", oracle=f"""
+@query("scope_filter", "JOIN-15", "SCL-03", oracle=f"""
 WITH e AS (SELECT DISTINCT {drug_parts('entry')} AS parts FROM ({ENTRY_SQL}) e0),
 l AS (SELECT label_id, ' ' || {drug_words("regexp_replace(label, '[-/]', ' ', 'g')")} || ' ' AS words FROM ({LABEL_SQL}) l0)
 SELECT label_id, MIN(array_to_string(parts, ';')) AS entry_key, COUNT(*) AS entries FROM l JOIN e ON len(parts) > 0
@@ -73,6 +73,19 @@ def scope_filter(t):
     return matching.scope_filter(spread(t.sql(LABEL_SQL)), t.sql(ENTRY_SQL))
 
 
+SCOPE_SQL = """SELECT medication_id AS label_id, name || ' ' || strength AS label, CASE medication_id % 4 WHEN 0 THEN UPPER(name) || ' tablets' WHEN 1 THEN 'unlisted ' || CAST(medication_id AS VARCHAR(10)) END AS drug_name FROM b_medications"""
+
+
+@query("in_scope", "IDN-12", oracle=f"""
+WITH e AS (SELECT DISTINCT {drug_parts('entry')} AS parts FROM ({ENTRY_SQL}) e0),
+l AS (SELECT label_id, array_to_string({drug_parts('drug_name')}, ';') AS key, ' ' || {drug_words("regexp_replace(label, '[-/]', ' ', 'g')")} || ' ' AS words FROM ({SCOPE_SQL}) l0),
+n AS (SELECT DISTINCT label_id FROM l JOIN e ON len(parts) > 0 AND array_to_string(parts, ';') = key),
+w AS (SELECT DISTINCT label_id FROM l JOIN e ON len(parts) > 0 AND len(list_filter(parts, lambda p: NOT CONTAINS(words, ' ' || p || ' '))) = 0)
+SELECT label_id, 'name' AS by FROM n UNION ALL SELECT label_id, 'label' AS by FROM w WHERE label_id NOT IN (SELECT label_id FROM n)""")
+def in_scope(t):
+    return matching.in_scope(spread(t.sql(SCOPE_SQL)), t.sql(ENTRY_SQL))
+
+
 RESULT_SQL = """SELECT o.o_orderkey AS search_id, w.p_name AS target, l.l_linenumber * 100000 + l.l_suppkey AS seq,
   CASE WHEN l.l_linenumber % 2 = 0 THEN r.p_name || ' tablets' ELSE REPLACE(r.p_name, ' ', ';') END AS drug_name
 FROM orders o JOIN part w ON w.p_partkey = o.o_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN part r ON r.p_partkey = l.l_partkey"""
@@ -283,7 +296,7 @@ UNION ALL SELECT listing_id, quantity, 0 AS price_cents, 'added' AS side FROM b_
 def version_differences(t):
     old = t.offers.select("listing_id", "quantity", "price_cents")
     bumped = F.when(F.col("listing_id") % 101 == 0, F.coalesce(F.col("price_cents") + 1, F.lit(0))).otherwise(F.col("price_cents"))
-    return fingerprint.differences(old, old.withColumn("price_cents", bumped.cast(old.schema["price_cents"].dataType)))
+    return fingerprint.differences(old, old.withColumn("price_cents", bumped.cast(old.schema["price_cents"].dataType)), OFFER_KEY)
 
 
 @query("collection_plan_digest", "REL-02", "AGG-13", oracle="""

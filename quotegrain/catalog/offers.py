@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from quotegrain.catalog import query
 from quotegrain.operators import paging
 from quotegrain.plans import offers as plan
+from quotegrain.sources import serving
 from quotegrain.sources.bridge import FRESH_DAYS
 from quotegrain.sources.tables import as_of
 
@@ -16,7 +17,8 @@ def rules(**more):
 
 
 def enriched(t):
-    return plan.enrich(t.offer_rows, t.listings, t.sources)
+    """Offers with listing and source, from the stored state."""
+    return serving.rows(t).where("offer_id IS NOT NULL")
 
 
 # Shared SQL fragments of the oracle texts.
@@ -75,7 +77,7 @@ def estimates_opt_in(t):
     )
 
 
-@query("fresh_offers", "FLT-04", "STR-06", oracle=f"""
+@query("fresh_offers", "FLT-04", oracle=f"""
 SELECT o.offer_id, o.last_checked_at, o.valid_until FROM b_offer_rows o WHERE {FRESH}""")
 def fresh_offers(t):
     return t.offer_rows.where(plan.fresh(rules())).select("offer_id", "last_checked_at", "valid_until")
@@ -140,7 +142,7 @@ def unit_price(t):
 @query("offers_enriched", "JOIN-01", oracle=f"""
 SELECT o.offer_id, l.listing_id, s.slug AS source, s.enabled, l.match_status {FROM_ALL}""")
 def offers_enriched(t):
-    return enriched(t).select("offer_id", "listing_id", "source", "enabled", "match_status")
+    return plan.enrich(t.offer_rows, t.listings, t.sources).select("offer_id", "listing_id", "source", "enabled", "match_status")
 
 
 @query("tier_known", "JOIN-06", "AGG-04", oracle="""
@@ -150,7 +152,7 @@ FROM b_listings l JOIN b_sources s ON s.source_id = l.source_id
 LEFT JOIN b_offer_rows o ON o.listing_id = l.listing_id GROUP BY l.medication_id, s.slug""")
 def tier_known(t):
     exact = plan.exact_tier(F.lit(90), F.lit("tablet"))
-    return plan.tier_known(t.listings, t.offer_rows, t.sources, ["medication_id"], exact)
+    return plan.tier_known(serving.rows(t), ["medication_id"], exact)
 
 
 @query("exclusions", "AGG-01", "QRY-03", oracle=f"""
@@ -225,9 +227,7 @@ def missing_reasons(t):
 def known_tiers(t):
     asked = quote_requests(t).withColumnsRenamed({"quantity": "asked_quantity", "unit": "asked_unit"})
     exact = plan.exact_tier(F.col("asked_quantity"), F.col("asked_unit"))
-    return plan.tier_known(
-        t.listings.join(asked, "medication_id"), t.offer_rows, t.sources, ["request_id"], exact
-    )
+    return plan.tier_known(serving.rows(t).join(asked, "medication_id"), ["request_id"], exact)
 
 
 @query("result_outcome", "QRY-05", oracle=f"""
@@ -252,7 +252,7 @@ SELECT r.request_id, CASE WHEN h.n IS NOT NULL THEN 'available' WHEN j.tier AND
 FROM requests r LEFT JOIN hits h ON h.request_id = r.request_id LEFT JOIN judged j ON j.request_id = r.request_id""")
 def result_outcome(t):
     asked = quote_requests(t).withColumnsRenamed({"quantity": "asked_quantity", "unit": "asked_unit"})
-    return plan.request_outcomes(asked, t.listings, t.offer_rows, t.sources, rules())
+    return plan.request_outcomes(asked, serving.rows(t), t.sources, rules())
 
 
 @query("medication_offers", "QRY-01", "JOIN-11", oracle=f"""

@@ -4,6 +4,9 @@ from pyspark.sql import functions as F
 
 from quotegrain.catalog import query
 from quotegrain.plans import rekey as plan
+from quotegrain.session import cut_lineage
+from quotegrain.sources import releases
+from quotegrain.streaming import ingest as streaming
 
 DECISION_SQL = """SELECT l.listing_id, l.medication_id AS legacy_id, CASE WHEN l.medication_id % 4 = 1 THEN l.match_status ELSE 'verified' END AS listing_status,
   CASE WHEN l.medication_id % 41 = 0 AND l.content_unit IS NOT NULL THEN 'barrel' WHEN l.content_unit = 'tablet' THEN 'Tabs' ELSE l.content_unit END AS content_unit,
@@ -166,8 +169,83 @@ def undo_blockers(t):
     return blockers.select("listing_id", "reason")
 
 
+def released(t):
+    """A root whose first release holds the tables of an approved run."""
+    root = streaming.new_root(t.spark, "rekey")
+    listings = rekey_listings(t).withColumn("rekey_run", F.lit(None).cast("string"))
+    components = t.spark.createDataFrame([], "medication_id long, sequence int, ingredient_name string, ingredient_rxcui string, numerator_value decimal(20,6), "
+                                             "numerator_unit string, denominator_value decimal(20,6), denominator_unit string, rekey_run string")
+    matches = t.spark.createDataFrame([], "listing_id long, legacy_id long, selected_id long, status string, reason string, rekey_run string")
+    runs = t.spark.createDataFrame([("run-0", "staged", 0), ("run-1", "approved", 1), ("run-2", "staged", 2)], "run_id string, status string, created long")
+    frames = {"medications": medications(t), "listings": listings, "components": components, "matches": matches, "items": plan.approve(items(t), collisions=True), "runs": runs}
+    return root, releases.replace(t.spark, root, frames, None)
+
+
+def read_back(t, root, step):
+    """What a reader finds: rows of each table, and how many of them the run has touched."""
+    now = releases.load(t.spark, root)
+    marks = {
+        "medications": F.col("status") == "superseded", "listings": F.col("rekey_run") == "run-1", "components": F.col("rekey_run") == "run-1",
+        "matches": F.col("rekey_run") == "run-1", "items": F.col("approval_status") == "applied", "runs": F.col("status") == "applied",
+    }
+    out = None
+    for name, mark in marks.items():
+        part = releases.read(t.spark, now, name).agg(F.count(F.lit(1)).alias("rows"), F.count_if(mark).alias("touched")).select(F.lit(step).alias("step"), F.lit(name).alias("table_name"), "rows", "touched")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("rekey_release", "BKF-05", "SNK-01", oracle=f"""
+WITH {APPLY_CTES}, survivors AS (SELECT COUNT(DISTINCT survivor_id) AS n FROM ok),
+counts AS (SELECT (SELECT COUNT(*) FROM meds) AS m, (SELECT COUNT(*) FROM d) AS l, (SELECT COUNT(*) FROM final) AS i, (SELECT n FROM survivors) AS c,
+  (SELECT COUNT(*) FROM ok WHERE legacy_id <> survivor_id) AS moved, (SELECT COUNT(*) FROM d JOIN ok ON ok.legacy_id = d.legacy_id) AS x,
+  (SELECT COUNT(*) FROM d JOIN ok ON ok.legacy_id = d.legacy_id WHERE d.listing_status = 'verified') AS lx, (SELECT COUNT(*) FROM ok) AS applied)
+SELECT 'interrupted' AS step, v.table_name, CASE v.table_name WHEN 'medications' THEN m WHEN 'listings' THEN l WHEN 'items' THEN i WHEN 'runs' THEN 3 ELSE 0 END AS rows, CAST(0 AS BIGINT) AS touched
+FROM counts, (SELECT UNNEST(['medications', 'listings', 'components', 'matches', 'items', 'runs']) AS table_name) v
+UNION ALL SELECT 'applied', v.table_name, CASE v.table_name WHEN 'medications' THEN m WHEN 'listings' THEN l WHEN 'items' THEN i WHEN 'runs' THEN 3 WHEN 'components' THEN c ELSE x END,
+  CASE v.table_name WHEN 'medications' THEN moved WHEN 'listings' THEN lx WHEN 'items' THEN applied WHEN 'runs' THEN 1 WHEN 'components' THEN c ELSE x END
+FROM counts, (SELECT UNNEST(['medications', 'listings', 'components', 'matches', 'items', 'runs']) AS table_name) v""")
+def rekey_release(t):
+    """A run that dies after writing some of its tables, which nobody sees, and the run again to its end."""
+    root, first = released(t)
+    half = plan.apply(*(releases.read(t.spark, first, n) for n in ("medications", "listings", "items")), decisions(t), "run-1")
+    releases.write(half.medications, root, "medications")
+    releases.write(half.listings, root, "listings")
+    interrupted = cut_lineage(read_back(t, root, "interrupted"))
+    plan.apply_and_publish(t.spark, root, decisions(t), "run-1")
+    return interrupted.unionByName(read_back(t, root, "applied"))
+
+
+@query("rekey_components", "BKF-05", oracle=f"""
+WITH {APPLY_CTES} SELECT survivor_id AS medication_id, 1 AS sequence, c AS ingredient_name, CAST(regexp_extract(s, '^[0-9]+') AS DOUBLE) AS numerator_value, 'mg' AS numerator_unit, regexp_extract(k, '[0-9]+$') AS ingredient_rxcui FROM surv""")
+def rekey_components(t):
+    rows = applied(t)[1].components
+    return rows.select("medication_id", "sequence", "ingredient_name", F.col("numerator_value").cast("double").alias("numerator_value"), "numerator_unit", "ingredient_rxcui")
+
+
+@query("rekey_problems", "BKF-05", oracle=f"""
+WITH {APPLY_CTES}, taken AS (SELECT survivor_id FROM ok GROUP BY survivor_id), act AS (SELECT medication_id FROM active WHERE medication_id % 30 = 0),
+p AS (SELECT o.legacy_id, 'survivor_not_active' AS problem FROM ok o JOIN act a ON a.medication_id = o.survivor_id
+  UNION SELECT legacy_id, 'legacy_changed' FROM ok WHERE legacy_id % 59 = 0 AND legacy_id <> survivor_id
+  UNION SELECT o.legacy_id, 'survivor_conflict' FROM ok o WHERE o.survivor_id % 59 = 0 AND o.survivor_id < 10000000
+  UNION SELECT d.legacy_id, 'listing_decision_missing' FROM d JOIN ok ON ok.legacy_id = d.legacy_id WHERE d.listing_status = 'verified' AND d.listing_id % 37 = 0)
+SELECT DISTINCT legacy_id, problem FROM p""")
+def rekey_problems(t):
+    """The tables moved on after the approval: some survivors redirect, some legacy rows became canonical, some decisions are gone."""
+    approved = plan.approve(items(t), collisions=True)
+    own = F.col("medication_id") % 59 == 0
+    moved = medications(t).withColumns({
+        "superseded_by_id": F.when((F.col("medication_id") > 10_000_000) & (F.col("medication_id") % 30 == 0), F.lit(5).cast("long")).otherwise(F.col("superseded_by_id")),
+        "normalized_key": F.when(own & (F.col("medication_id") < 10_000_000), "rxnorm:elsewhere").otherwise(F.col("normalized_key"))})
+    return plan.apply_problems(moved, rekey_listings(t), approved, decisions(t).where("listing_id % 37 <> 0")).distinct()
+
+
 @query("rekey_run_status", "BKF-08", oracle="""
-SELECT event_id AS run_id, event_type AS status, ts AS created_at FROM events ORDER BY event_id DESC LIMIT 1""")
+SELECT 'by_id' AS asked, 'run-1' AS run_id, 'applied' AS status UNION ALL SELECT 'newest', 'run-2', 'staged'""")
 def rekey_run_status(t):
-    runs = t.events.select(F.col("event_id").alias("run_id"), F.col("event_type").alias("status"), F.col("ts").alias("created_at"))
-    return runs.orderBy(F.col("run_id").desc()).limit(1)
+    """Of the runs of a release after one was applied: one by its id, and the newest."""
+    root, _ = released(t)
+    plan.apply_and_publish(t.spark, root, decisions(t), "run-1")
+    runs = releases.read(t.spark, releases.load(t.spark, root), "runs")
+    by_id, newest = plan.run_status(runs, "run-1"), plan.run_status(runs)
+    return by_id.select(F.lit("by_id").alias("asked"), "run_id", "status").unionByName(newest.select(F.lit("newest").alias("asked"), "run_id", "status"))

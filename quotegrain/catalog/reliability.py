@@ -117,4 +117,12 @@ SELECT row_id, CASE WHEN source = 'elsewhere' OR NOT regexp_matches(page_id, '^[
   WHEN product_key IS NULL OR plan_text IS NULL THEN 'product_and_quantities_required' END AS reason FROM c""")
 def manifest_checks(t):
     manifest = t.sql(MANIFEST_SQL).withColumn("planned_quantities", F.split("plan_text", ",")).drop("plan_text")
-    return plan.manifest_checks(manifest, ["source_0", "source_1"], 100).select("row_id", "reason")
+    return plan.manifest_checks(manifest, ["source_0", "source_1"]).select("row_id", "reason")
+
+
+@query("cohort_sizes", "REL-01", oracle=f"""
+WITH m AS ({MANIFEST_SQL}), s AS (SELECT UNNEST(['source_0', 'source_1', 'source_2']) AS source)
+SELECT s.source, COUNT(m.row_id) AS listings, COUNT(m.row_id) = 100 AS size_ok FROM s LEFT JOIN m ON m.source = s.source GROUP BY s.source""")
+def cohort_sizes(t):
+    """Every graded source must plan as many listings as the cohort asks for; one without any is wrong, too."""
+    return plan.cohort_sizes(t.sql(MANIFEST_SQL), ["source_0", "source_1", "source_2"], 100)

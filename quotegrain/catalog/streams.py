@@ -1,34 +1,46 @@
 """Streaming jobs run over the tables as file streams of several micro-batches until the input is used up."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from quotegrain.catalog import query
-from quotegrain.catalog.history import nest_row, STATE_SQL, number_arrivals
+from quotegrain.catalog.history import STATE_SQL, nest_row, number_arrivals
 from quotegrain.plans.history import STATE
-from quotegrain.sources.bridge import VIEWS
-from quotegrain.sources.tables import ARRIVAL_ORDER, OFFER_KEY, arrival_position
+from quotegrain.sources import releases
+from quotegrain.sources.bridge import FRESH_DAYS, VIEWS
+from quotegrain.sources.tables import ARRIVAL_ORDER, OFFER_KEY
 from quotegrain.streaming import ingest as streaming
+from quotegrain.streaming import keyed
 
 
-#: Micro-batches that a table arrives in.
-PARTS = 4
+#: Micro-batches that a table arrives in, and more of them for the ingest, whose state is folded on the way.
+PARTS, MORE_PARTS = 4, 10
 
 
-def table_stream(t, name, order):
-    """One table as a file stream that arrives in PARTS micro-batches, by ranges of ``order``."""
+def table_stream(t, name, order, parts=PARTS):
+    """One table as a file stream that arrives in ``parts`` micro-batches, by ranges of the number ``order``."""
     path = streaming.new_root(t.spark, "arrivals")
     rows = t.table(name)
-    top = rows.agg(F.max(order)).first()[0] or 0
-    part = F.least(F.floor(F.coalesce(F.col(order), F.lit(0)) * PARTS / F.lit(top + 1)), F.lit(PARTS - 1))
-    for k in range(PARTS):
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    low, high = low or 0, high or 0
+    part = F.least(F.floor((F.coalesce(order, F.lit(low)) - low) * parts / F.lit(high - low + 1)), F.lit(parts - 1))
+    for k in range(parts):
         rows.where(part == k).repartition(2).write.mode("append").parquet(path)
     return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
-def observation_stream(t):
-    """Observation rows as a stream: the bridge text over the streamed lines, in arrival order."""
+def observation_stream(t, order=None, parts=PARTS):
+    """Observation rows as a stream: the bridge text over the streamed lines, in arrival order unless another is given."""
     text = VIEWS["b_observations"].replace("FROM lineitem", "FROM {lines}")
-    return t.spark.sql(text, lines=table_stream(t, "lineitem", "l_orderkey"))
+    return t.spark.sql(text, lines=table_stream(t, "lineitem", F.col("l_orderkey") if order is None else order, parts))
+
+
+def changes_and_late_rows(t):
+    """Output of the keyed change stream over all micro-batches."""
+    root = streaming.new_root(t.spark, "changes")
+    keyed.to_files(keyed.changes(observation_stream(t), OFFER_KEY, ARRIVAL_ORDER, "observed_at", STATE), root).awaitTermination()
+    return t.spark.read.parquet(f"{root}/rows")
 
 
 @query("stream_price_changes", "STR-02", oracle="""
@@ -38,10 +50,7 @@ c AS (SELECT *, ROW_NUMBER() OVER w AS rn, LAG(price_cents) OVER w AS pp, LAG(av
 SELECT listing_id, quantity, observed_at, l_orderkey, price_cents, availability, active FROM c
 WHERE rn = 1 OR price_cents IS DISTINCT FROM pp OR availability IS DISTINCT FROM pa OR active IS DISTINCT FROM pv""")
 def stream_price_changes(t):
-    root = streaming.new_root(t.spark, "changes")
-    handle = streaming.change_stream(root, OFFER_KEY, ARRIVAL_ORDER, arrival_position(), "observed_at", STATE)
-    streaming.run(observation_stream(t), root, handle).awaitTermination()
-    rows = streaming.read_table(t.spark, root, "history")
+    rows = changes_and_late_rows(t).where("kind = 'change'")
     return rows.select("listing_id", "quantity", "observed_at", "l_orderkey", "price_cents", "availability", "active")
 
 
@@ -50,10 +59,10 @@ WITH RECURSIVE {STATE_SQL}
 SELECT listing_id, quantity, price_cents, availability, active, observed_at AS last_checked_at FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY listing_id, quantity ORDER BY seq DESC) AS rn FROM kept) x WHERE rn = 1""")
 def stream_ingest(t):
-    root = streaming.new_root(t.spark, "ingest")
-    nested = observation_stream(t).transform(nest_row)
-    streaming.run(nested, root, streaming.ingest_stream(root, ["quantity"], number_arrivals)).awaitTermination()
-    offers = streaming.latest_version(t.spark, root, "offers")
+    store = streaming.ingest_state(streaming.new_root(t.spark, "ingest"), ["quantity"])
+    nested = observation_stream(t, parts=MORE_PARTS).transform(nest_row)
+    streaming.run(nested, store.root, streaming.ingest_stream(store, ["quantity"], number_arrivals)).awaitTermination()
+    offers = store.rows(t.spark, releases.load(t.spark, store.root), "offers")
     return offers.select(
         "listing_id", "quantity", "price_cents", "availability", "active", F.col("observed_at").alias("last_checked_at")
     )
@@ -64,10 +73,21 @@ WITH a AS (SELECT *, MAX(observed_at) OVER (PARTITION BY listing_id, quantity OR
 SELECT CAST(COUNT(*) AS BIGINT) AS late_rows FROM a WHERE newest > observed_at""")
 def stream_late_rows(t):
     """Rows that the change stream refused as late, over all its micro-batches."""
-    root = streaming.new_root(t.spark, "late")
-    handle = streaming.change_stream(root, OFFER_KEY, ARRIVAL_ORDER, arrival_position(), "observed_at", STATE)
-    streaming.run(observation_stream(t), root, handle).awaitTermination()
-    return streaming.read_table(t.spark, root, "late").agg(F.sum("late_rows").alias("late_rows"))
+    return changes_and_late_rows(t).agg(F.count_if(F.col("kind") == "late").alias("late_rows"))
+
+
+@query("stream_expiries", "STR-06", oracle=f"""
+WITH o AS (SELECT DISTINCT listing_id, quantity, observed_at FROM b_observations WHERE observed_at IS NOT NULL),
+n AS (SELECT *, LEAD(observed_at) OVER (PARTITION BY listing_id, quantity ORDER BY observed_at) AS following, MAX(observed_at) OVER () - INTERVAL 1 DAY AS reached FROM o)
+SELECT listing_id, quantity, observed_at, observed_at + INTERVAL {FRESH_DAYS} DAY + INTERVAL 1 MILLISECOND AS expired_at FROM n
+WHERE COALESCE(following, reached) > observed_at + INTERVAL {FRESH_DAYS} DAY""")
+def stream_expiries(t):
+    """Every time an offer left the fresh set, while observations arrived in the order of their days."""
+    stream = observation_stream(t, F.unix_date(F.to_date("l_shipdate")))
+    root = streaming.new_root(t.spark, "expiries")
+    keyed.to_files(keyed.expiries(stream, OFFER_KEY, "observed_at", dt.timedelta(days=FRESH_DAYS), "1 day"), root).awaitTermination()
+    rows = t.spark.read.parquet(f"{root}/rows")
+    return rows.select("listing_id", "quantity", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("observed_at", "expired_at")))
 
 
 @query("stream_dedupe", "STR-04", oracle="""
@@ -91,7 +111,7 @@ def stream_dedupe(t):
 SELECT user_id % 2 AS source_id, date_trunc('day', ts - INTERVAL 6 HOUR) + INTERVAL 6 HOUR AS window_start, COUNT(*) AS runs,
   COUNT(*) FILTER (WHERE ts < date_trunc('day', ts - INTERVAL 6 HOUR) + INTERVAL 8 HOUR) AS in_time FROM events GROUP BY ALL""")
 def stream_daily_runs(t):
-    rows = table_stream(t, "events", "event_id").select((F.col("user_id") % 2).alias("source_id"), F.col("ts").cast("timestamp").alias("ts"))
+    rows = table_stream(t, "events", F.col("event_id")).select((F.col("user_id") % 2).alias("source_id"), F.col("ts").cast("timestamp").alias("ts"))
     counted = streaming.daily_runs(rows, "ts", "6 hours", "2 days", "source_id")
     root = streaming.new_root(t.spark, "daily")
 

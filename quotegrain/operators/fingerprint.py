@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quotegrain.session import cut_lineage
+
 PREFIX = 4
+#: Buckets whose digests are compared before any row is.
+BUCKETS = 4096
 
 
 def row_hash(columns: list[str]):
@@ -62,9 +66,31 @@ def reconcile(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-def differences(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Rows on one side only, with multiplicity."""
+def bucket_digests(df: DataFrame, bucket: Column, columns: list[str]) -> DataFrame:
+    """(bucket, n, d0, d1): count and two sums of row hashes per bucket; equal multisets give equal digests. Combined before the shuffle."""
+    hashes = [F.sum(F.xxhash64(F.lit(seed), *columns).cast("decimal(38,0)")).alias(f"d{seed}") for seed in (0, 1)]
+    return df.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), *hashes)
+
+
+def differing(before: DataFrame, after: DataFrame, by: list[str], columns: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """(bucket): buckets of ``by`` in which the two sides do not hold the same rows; at most ``buckets`` rows."""
+    place = F.pmod(F.xxhash64(*by), F.lit(buckets))
+    b, a = (bucket_digests(df, place, columns).select("bucket", F.struct("n", "d0", "d1").alias(side)) for df, side in ((before, "_b"), (after, "_a")))
+    return b.join(a, "bucket", "full").where(~F.col("_b").eqNullSafe(F.col("_a"))).select("bucket")
+
+
+def differences(before: DataFrame, after: DataFrame, by: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """Rows on one side only, with multiplicity.
+
+    Digests are compared first, by buckets of the key columns ``by`` (all columns without any); only rows of buckets whose digests differ
+    are shuffled and compared, so equal versions cost an aggregate and one changed row costs its bucket.
+    """
     columns = before.columns
-    gone = before.exceptAll(after.select(*columns)).withColumn("side", F.lit("removed"))
-    new = after.select(*columns).exceptAll(before).withColumn("side", F.lit("added"))
+    by = by or columns
+    place = F.pmod(F.xxhash64(*by), F.lit(buckets))
+    # The list of buckets is bounded by their number and read by both sides.
+    wrong = cut_lineage(differing(before, after.select(*columns), by, columns, buckets))
+    b, a = (df.select(*columns, place.alias("bucket")).join(F.broadcast(wrong), "bucket", "left_semi").select(*columns) for df in (before, after))
+    gone = b.exceptAll(a).withColumn("side", F.lit("removed"))
+    new = a.exceptAll(b).withColumn("side", F.lit("added"))
     return gone.unionByName(new)

@@ -1,13 +1,13 @@
 """Ordered per-key operators (previous row, running max, last value, rank) that survive a hot key.
 
-A plain window puts all rows of a key in one task. With ``rows_per_task`` a key's rows are cut into consecutive slices of
-about that many rows instead, each slice is windowed alone, a one-row summary per slice is carried on, and the carry is
-joined back. Slices follow ``position``, a value that never decreases in the row order (nulls first, as rows sort). Equal
-positions stay in one slice. The cut comes from a count per key and position, an aggregate that combines before
-its shuffle, so it holds for any number of hot keys and for bunched positions, and nothing runs while the plan is made.
-
-``rows_per_task=None`` plans the plain window. Results are the same for every value, so a caller that has its rows staged
-may ask ``split_limit`` whether any key needs slices and save the extra steps.
+A plain window puts all rows of a key in one task. A key with more than ``rows_per_task`` rows is cut into consecutive slices of about
+that many rows instead: splitters are places of the row order, taken from a small sample of the key's rows, and a row's slice is the
+number of splitters up to it. Each slice is windowed alone, a one-row summary per slice is carried on (a prefix over slices), and
+the carry is joined back. Splitters are whole order tuples, so distinct rows are always told apart, however bunched a single column is.
+
+The sample is drawn once, while the plan is made, by a hash of the row; no key reaching the size means the plain window with nothing
+added. Rows are shuffled once either way. Sampling decides where slices begin, never a result. A caller that has its rows staged may ask
+``split_limit`` whether any key needs slices; ``rows_per_task=None`` plans the plain window without asking.
 """
 
 from __future__ import annotations
@@ -17,14 +17,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_TASK = 2_000_000
-
+from quotegrain.session import cut_lineage
 
-def _same(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
-    cond = F.lit(True)
-    for a, b in pairs:
-        cond = cond & left[a].eqNullSafe(right[b])
-    return cond
+ROWS_PER_TASK = 2_000_000
+#: Sampled rows that stand for one slice.
+SAMPLES = 64
+#: Splitters that are sent to every task; more are joined by a shuffle.
+BROADCAST_CUTS = 100_000
 
 
 def split_limit(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> int | None:
@@ -33,153 +32,117 @@ def split_limit(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PE
     return None if sizes.where(F.col("_n") > rows_per_task).isEmpty() else rows_per_task
 
 
-def with_slices(df: DataFrame, keys: Sequence[str], position: Column, rows_per_task: int | None = ROWS_PER_TASK) -> DataFrame:
-    """Add ``_slice``, rows of a key before this position divided by ``rows_per_task``, and ``_hot``; smaller keys are slice 0."""
+def splitters(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_task: int) -> DataFrame:
+    """(_key, _cuts): for keys of more than about ``rows_per_task`` rows, the places in the row order where slices begin."""
+    one_in = max(1, rows_per_task // SAMPLES)
+    sample = df.where(F.pmod(F.xxhash64(*keys, *order), F.lit(one_in)) == 0).select(F.struct(*keys).alias("_key"), F.struct(*order).alias("_at"))
+    place = F.row_number().over(Window.partitionBy("_key").orderBy("_at"))
+    cuts = sample.withColumn("_place", place).where(F.col("_place") % max(1, rows_per_task // one_in) == 0)
+    return cuts.groupBy("_key").agg(F.sort_array(F.collect_set("_at")).alias("_cuts"))
+
+
+def with_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_task: int | None = ROWS_PER_TASK) -> tuple[DataFrame, bool] | None:
+    """``df`` with ``_slice`` (0 for keys that are whole) and ``_hot``, and whether carries are small; None when no key needs slices."""
     if rows_per_task is None:
-        return df.withColumns({"_slice": F.lit(0).cast("long"), "_hot": F.lit(False)})
-    df = df.withColumn("_pos", position)
-    counted = df.groupBy(*keys, "_pos").agg(F.count(F.lit(1)).alias("_n"))
-    along = Window.partitionBy(*keys).orderBy(F.col("_pos").asc_nulls_first())
-    before = F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    whole = F.sum("_n").over(Window.partitionBy(*keys))
-    cuts = counted.withColumns({"_before": before, "_whole": whole}).where(F.col("_whole") > rows_per_task).select(
-        *[F.col(k).alias(f"_hk{i}") for i, k in enumerate(keys)], F.col("_pos").alias("_hp"),
-        F.floor(F.col("_before") / F.lit(rows_per_task)).cast("long").alias("_cut"),
-    )
-    pairs = [(k, f"_hk{i}") for i, k in enumerate(keys)] + [("_pos", "_hp")]
-    return df.join(cuts, _same(df, cuts, pairs), "left").select(
-        *df.columns, F.coalesce("_cut", F.lit(0).cast("long")).alias("_slice"), F.col("_cut").isNotNull().alias("_hot")
-    )
-
-
-def _carry_back(sliced: DataFrame, keys: Sequence[str], carry: DataFrame, name: str) -> DataFrame:
+        return None
+    cuts = splitters(df, keys, order, rows_per_task)
+    if cuts.isEmpty():
+        return None
+    cuts = cut_lineage(cuts)
+    small = cuts.agg(F.sum(F.size("_cuts"))).first()[0] <= BROADCAST_CUTS
+    met = df.withColumn("_own", F.struct(*keys)).join(F.broadcast(cuts) if small else cuts, F.col("_own") == F.col("_key"), "left")
+    up_to = F.size(F.filter("_cuts", lambda cut: cut <= F.struct(*order)))
+    return met.select(
+        *df.columns, F.when(F.col("_cuts").isNotNull(), up_to.cast("long")).otherwise(F.lit(0).cast("long")).alias("_slice"), F.col("_cuts").isNotNull().alias("_hot")
+    ), small
+
+
+def _carry_back(sliced: DataFrame, keys: Sequence[str], carry: DataFrame, small: bool) -> DataFrame:
     """Left-join per-slice carries (rows only for hot keys) onto the sliced rows."""
-    right = carry.select(
-        *[F.col(k).alias(f"_ck{i}") for i, k in enumerate(keys)], F.col("_slice").alias("_cs"), name
-    )
-    pairs = [(k, f"_ck{i}") for i, k in enumerate(keys)] + [("_slice", "_cs")]
-    kept = [c for c in sliced.columns]
-    return sliced.join(right, _same(sliced, right, pairs), "left").select(*kept, name)
+    right = carry.select(F.struct(*keys, "_slice").alias("_place"), "_carry")
+    met = sliced.join(F.broadcast(right) if small else right, F.struct(*keys, "_slice") == F.col("_place"), "left")
+    return met.select(*sliced.columns, "_carry")
+
+
+def _before() -> tuple[int, int]:
+    return Window.unboundedPreceding, -1
 
 
 def _drop_helpers(df: DataFrame, *more: str) -> DataFrame:
-    return df.drop("_pos", "_slice", "_hot", *more)
+    return df.drop("_slice", "_hot", *more)
 
 
-def neighbours(
-    df: DataFrame, keys, order, position, values, prev="prev", following=None, rows_per_task=ROWS_PER_TASK
-) -> DataFrame:
+def neighbours(df: DataFrame, keys, order, values, prev="prev", following=None, rows_per_task=ROWS_PER_TASK) -> DataFrame:
     """Add structs of ``values`` from the previous and next row of the key (null at the ends).
 
     Both sides use one partitioning and one sort; leave a name None to skip that side.
     """
-    sliced = with_slices(df, keys, position, rows_per_task)
     payload = F.struct(*values)
-    window = Window.partitionBy(*keys, "_slice").orderBy(*order)
+
+    def local(window) -> dict[str, Column]:
+        return ({prev: F.lag(payload).over(window)} if prev else {}) | ({following: F.lead(payload).over(window)} if following else {})
+
+    found = with_slices(df, keys, order, rows_per_task)
+    if found is None:
+        return df.withColumns(local(Window.partitionBy(*keys).orderBy(*order)))
+    sliced, small = found
     across = Window.partitionBy(*keys).orderBy("_slice")
-    sides = []
-    if prev:
-        sides.append((prev, F.lag(payload).over(window), F.max_by, F.lag))
-    if following:
-        sides.append((following, F.lead(payload).over(window), F.min_by, F.lead))
-    if rows_per_task is None:
-        return _drop_helpers(sliced.withColumns({name: column for name, column, _, _ in sides}))
-    edges = (
-        sliced.where("_hot")
-        .groupBy(*keys, "_slice")
-        .agg(*[pick(payload, F.struct(*order)).alias(f"_edge_{name}") for name, _, pick, _ in sides])
-    )
-    carry = edges.withColumn(
-        "_carry",
-        F.struct(*[step(f"_edge_{name}").over(across).alias(name) for name, _, _, step in sides]),
-    )
-    local = sliced.withColumns({name: column for name, column, _, _ in sides})
-    joined = _carry_back(local, keys, carry, "_carry")
-    filled = joined.withColumns(
-        {name: F.coalesce(F.col(name), F.col(f"_carry.{name}")) for name, _, _, _ in sides}
-    )
-    return _drop_helpers(filled, "_carry")
-
-
-def previous(df: DataFrame, keys, order, position, values, out="prev", rows_per_task=ROWS_PER_TASK):
+    sides = [(prev, F.max_by, F.lag)] * bool(prev) + [(following, F.min_by, F.lead)] * bool(following)
+    edges = sliced.where("_hot").groupBy(*keys, "_slice").agg(*[pick(payload, F.struct(*order)).alias(f"_edge_{name}") for name, pick, _ in sides])
+    carry = edges.withColumn("_carry", F.struct(*[step(f"_edge_{name}").over(across).alias(name) for name, _, step in sides]))
+    rows = sliced.withColumns(local(Window.partitionBy(*keys, "_slice").orderBy(*order)))
+    joined = _carry_back(rows, keys, carry, small)
+    return _drop_helpers(joined.withColumns({name: F.coalesce(F.col(name), F.col(f"_carry.{name}")) for name, _, _ in sides}), "_carry")
+
+
+def previous(df: DataFrame, keys, order, values, out="prev", rows_per_task=ROWS_PER_TASK):
     """Add ``out``: struct of ``values`` from the previous row of the key, null on the first row."""
-    return neighbours(df, keys, order, position, values, out, None, rows_per_task)
+    return neighbours(df, keys, order, values, out, None, rows_per_task)
 
 
-def running_max(df: DataFrame, keys, order, position, value: Column, out, rows_per_task=ROWS_PER_TASK):
+def running_max(df: DataFrame, keys, order, value: Column, out, rows_per_task=ROWS_PER_TASK):
     """Add ``out``: largest ``value`` among all earlier rows of the key (null if none)."""
-    sliced = with_slices(df.withColumn("_v", value), keys, position, rows_per_task)
-    window = (
-        Window.partitionBy(*keys, "_slice")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    if rows_per_task is None:
-        return _drop_helpers(sliced.withColumn(out, F.max("_v").over(window)), "_v")
+    df = df.withColumn("_v", value)
+    found = with_slices(df, keys, order, rows_per_task)
+    if found is None:
+        return df.withColumn(out, F.max("_v").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(*_before()))).drop("_v")
+    sliced, small = found
     tops = sliced.where("_hot").groupBy(*keys, "_slice").agg(F.max("_v").alias("_top"))
-    carry = tops.withColumn(
-        "_carry",
-        F.max("_top").over(
-            Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-        ),
-    )
-    joined = _carry_back(sliced.withColumn(out, F.max("_v").over(window)), keys, carry, "_carry")
-    return _drop_helpers(
-        joined.withColumn(out, F.greatest(F.col(out), F.col("_carry"))), "_carry", "_v"
-    )
-
-
-def last_value(
-    df: DataFrame, keys, order, position, value: Column, out, rows_per_task=ROWS_PER_TASK, forward=False
-):
+    carry = tops.withColumn("_carry", F.max("_top").over(Window.partitionBy(*keys).orderBy("_slice").rowsBetween(*_before())))
+    window = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(*_before())
+    joined = _carry_back(sliced.withColumn(out, F.max("_v").over(window)), keys, carry, small)
+    return _drop_helpers(joined.withColumn(out, F.greatest(F.col(out), F.col("_carry"))), "_carry", "_v")
+
+
+def last_value(df: DataFrame, keys, order, value: Column, out, rows_per_task=ROWS_PER_TASK, forward=False):
     """Add ``out``: nearest non-null ``value`` strictly before the row (after it if ``forward``)."""
-    sliced = with_slices(df.withColumn("_v", value), keys, position, rows_per_task)
+    df = df.withColumn("_v", value)
     sort = [F.col(c).desc() if forward else F.col(c).asc() for c in order]
-    window = (
-        Window.partitionBy(*keys, "_slice")
-        .orderBy(*sort)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    local = lambda *by: F.last("_v", ignorenulls=True).over(Window.partitionBy(*by).orderBy(*sort).rowsBetween(*_before()))
+    found = with_slices(df, keys, order, rows_per_task)
+    if found is None:
+        return df.withColumn(out, local(*keys)).drop("_v")
+    sliced, small = found
     pick = F.min_by if forward else F.max_by
-    local = F.last("_v", ignorenulls=True).over(window)
-    if rows_per_task is None:
-        return _drop_helpers(sliced.withColumn(out, local), "_v")
     # Rows without a value have no order, so the pick passes over them.
-    edges = (
-        sliced.where("_hot")
-        .groupBy(*keys, "_slice")
-        .agg(pick("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_edge"))
-    )
+    edges = sliced.where("_hot").groupBy(*keys, "_slice").agg(pick("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_edge"))
     along = F.col("_slice").desc() if forward else F.col("_slice").asc()
-    carry = edges.withColumn(
-        "_carry",
-        F.last("_edge", ignorenulls=True).over(
-            Window.partitionBy(*keys).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
-        ),
-    )
-    joined = _carry_back(sliced.withColumn(out, local), keys, carry, "_carry")
-    return _drop_helpers(
-        joined.withColumn(out, F.coalesce(F.col(out), F.col("_carry"))), "_carry", "_v"
-    )
-
-
-def rank_rows(df: DataFrame, keys, order, position, out="rank", rows_per_task=ROWS_PER_TASK):
+    carry = edges.withColumn("_carry", F.last("_edge", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(along).rowsBetween(*_before())))
+    joined = _carry_back(sliced.withColumn(out, local(*keys, "_slice")), keys, carry, small)
+    return _drop_helpers(joined.withColumn(out, F.coalesce(F.col(out), F.col("_carry"))), "_carry", "_v")
+
+
+def rank_rows(df: DataFrame, keys, order, out="rank", rows_per_task=ROWS_PER_TASK):
     """Add ``out``: 1-based row number within the key."""
-    sliced = with_slices(df, keys, position, rows_per_task)
-    local = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*order))
-    if rows_per_task is None:
-        return _drop_helpers(sliced.withColumn(out, local.cast("long")))
+    local = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")
+    found = with_slices(df, keys, order, rows_per_task)
+    if found is None:
+        return df.withColumn(out, local(*keys))
+    sliced, small = found
     sizes = sliced.where("_hot").groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_size"))
-    carry = sizes.withColumn(
-        "_carry",
-        F.sum("_size").over(
-            Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-        ),
-    )
-    joined = _carry_back(sliced.withColumn(out, local), keys, carry, "_carry")
-    return _drop_helpers(
-        joined.withColumn(out, F.col(out).cast("long") + F.coalesce("_carry", F.lit(0))), "_carry"
-    )
+    carry = sizes.withColumn("_carry", F.sum("_size").over(Window.partitionBy(*keys).orderBy("_slice").rowsBetween(*_before())))
+    joined = _carry_back(sliced.withColumn(out, local(*keys, "_slice")), keys, carry, small)
+    return _drop_helpers(joined.withColumn(out, F.col(out) + F.coalesce("_carry", F.lit(0))), "_carry")
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str] | None = None):

@@ -18,23 +18,23 @@ def changed(prev: str = "prev", state: list[str] = STATE) -> Column:
     return F.col(prev).isNull() | differs
 
 
-def price_changes(obs, keys, order, position, state=STATE, rows_per_task=ordered.ROWS_PER_TASK):
+def price_changes(obs, keys, order, state=STATE, rows_per_task=ordered.ROWS_PER_TASK):
     """Rows that open a new state of their offer."""
-    return ordered.previous(obs, keys, order, position, state, rows_per_task=rows_per_task).where(
+    return ordered.previous(obs, keys, order, state, rows_per_task=rows_per_task).where(
         changed(state=state)
     )
 
 
-def late_rows(obs, keys, arrival, position, time="observed_at", rows_per_task=ordered.ROWS_PER_TASK):
+def late_rows(obs, keys, arrival, time="observed_at", rows_per_task=ordered.ROWS_PER_TASK):
     """Add ``late``: an earlier arrival of the key already carried a newer time. Equal times pass."""
-    seen = ordered.running_max(obs, keys, arrival, position, F.col(time), "newest_before", rows_per_task)
+    seen = ordered.running_max(obs, keys, arrival, F.col(time), "newest_before", rows_per_task)
     return seen.withColumn("late", F.coalesce(F.col("newest_before") > F.col(time), F.lit(False)))
 
 
-def timeline(obs, keys, order, position, rows_per_task=ordered.ROWS_PER_TASK):
+def timeline(obs, keys, order, rows_per_task=ordered.ROWS_PER_TASK):
     """Each observation with the previous price, the change and the time the next one takes over."""
     rows = ordered.neighbours(
-        obs, keys, order, position, ["price_cents", "observed_at"], "prev", "next", rows_per_task
+        obs, keys, order, ["price_cents", "observed_at"], "prev", "next", rows_per_task
     )
     return rows.withColumns(
         {

@@ -100,6 +100,12 @@ def deals(lines: DataFrame, shown: DataFrame, members: DataFrame, research: Data
     )
 
 
+def offer_prices(offers: DataFrame) -> DataFrame:
+    """(medication_id, price) of every offer that can be bought at a known price."""
+    price = (F.col("price_cents").cast("decimal(20,0)") / 100).cast(MONEY)
+    return offers.where("active AND price_cents IS NOT NULL").select("medication_id", price.alias("price"))
+
+
 def seller_quotes(offers: DataFrame) -> DataFrame:
     """Cheapest offered price per medication and source, as one row per medication with its sources in name order.
 
@@ -121,9 +127,9 @@ def quote_matrix(lines: DataFrame, quotes: DataFrame) -> DataFrame:
     return met.select("*", "_quote.pharmacy", "_quote.price").drop("_quote")
 
 
-def rank_quotes(quotes: DataFrame, line_keys: list[str], rows_per_task=ordered.ROWS_PER_TASK) -> DataFrame:
-    """Cheapest first within a line; equal prices keep input order."""
-    return ordered.rank_rows(quotes, line_keys, ["price", "position"], F.col("price"), "rank", rows_per_task)
+def rank_quotes(quotes: DataFrame, line_keys: list[str]) -> DataFrame:
+    """Cheapest first within a line; equal prices keep input order. A line has a quote per source, so no line needs slices."""
+    return ordered.rank_rows(quotes, line_keys, ["price", "position"], "rank", None)
 
 
 def price_lines(lines: DataFrame, quotes: DataFrame, line_keys: list[str]) -> DataFrame:
@@ -240,8 +246,11 @@ def idempotent_intake(requests: DataFrame, saved: DataFrame) -> DataFrame:
     ).drop("_first", "_want")
 
 
-def valid_batch_size(lines: Column) -> Column:
-    return (lines >= 1) & (lines <= MAX_LINES)
+def batch_sizes(lines: DataFrame, batches: DataFrame, key: str) -> DataFrame:
+    """(key, lines, size_ok) of every batch: one line at least and MAX_LINES at most."""
+    counts = lines.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    size = F.coalesce("_n", F.lit(0))
+    return batches.select(key).join(counts, key, "left").select(key, size.alias("lines"), size.between(1, MAX_LINES).alias("size_ok"))
 
 
 def dedupe_members(members: DataFrame) -> DataFrame:

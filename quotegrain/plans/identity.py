@@ -426,21 +426,12 @@ def apply_reviews(listings: DataFrame, reviews: DataFrame) -> DataFrame:
 
 
 def coverage(decisions: DataFrame) -> DataFrame:
-    """Counts by source and reason with totals per source and overall."""
-    return decisions.rollup("source_id", "status").agg(
+    """Counts by source, status, version and reason, with totals of each level above and overall."""
+    return decisions.rollup("source_id", "status", "version", "reason").agg(
         F.count(F.lit(1)).alias("inputs"), F.grouping_id().alias("level")
     )
 
 
-def conflict_fields(old: str, new: str, fields: list[str]) -> Column:
-    """Names of fields that changed between two known values."""
-    changed = [
-        F.when(F.col(f"{old}.{f}").isNotNull() & F.col(f"{new}.{f}").isNotNull() & (F.col(f"{old}.{f}") != F.col(f"{new}.{f}")), F.lit(f))
-        for f in fields
-    ]
-    return F.array_compact(F.array(*changed))
-
-
 def milligrams(amount: Column, unit: Column) -> Column:
     factor = text.lookup(F.lower(unit), vocab.MASS_TO_MG).cast("decimal(10,3)")
     return (amount.cast("decimal(20,9)") * factor).cast("decimal(30,9)")

@@ -2,22 +2,25 @@
 
 The rules, per listing and in the order rows arrived:
 
+* an observation that breaks a rule of its own, or whose run is not running for its source, is refused before it is looked at;
 * an observation older than the newest accepted one is dropped (equal times pass);
-* one whose identity disagrees with the stored identity is dropped and the listing goes to review;
-* any other replaces the stored identity, nulls included;
+* one whose identity disagrees with the stored identity is dropped and the listing goes to review; so is one whose listing is linked
+  to a canonical identity and whose own decision names another one, or none;
+* any other replaces the stored identity, nulls included; the first verified decision links the listing for good;
 * a complete observation retires active offers it does not mention;
 * a history row is written for a first sighting and for every change of state.
 
 Acceptance depends on earlier acceptance, yet no listing is folded row by row: listings with one
-identity need a running max only, and the few others fold runs of equal identity, a bounded
-number at a time.
+identity need a running max only, and the runs of equal identity of the few others pass through one
+sorted stream.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +28,10 @@ from quotegrain.operators import ordered
 from quotegrain.session import cut_lineage
 
 IDENTITY = ["source_name", "sold_as", "content_quantity", "content_unit", "brand_name"]
+#: What the newest decision of the observed identity said, if there was one: its status and canonical key.
+DECISION = ["decision_status", "decision_key"]
 STATE = ["price_cents", "availability", "active", "terms", "valid_until"]
 LISTING = ["listing_id"]
-FOLD_LIMIT = 5_000
 
 
 @dataclass(frozen=True)
@@ -47,8 +51,46 @@ def _fields_agree(stored: Column, incoming: Column) -> Column:
     return ok
 
 
-def _agrees(stored: str, incoming: str) -> Column:
-    return _fields_agree(F.col(stored), F.col(incoming))
+def _canonical_agrees(linked: Column) -> Column:
+    """The listing is not linked yet, or nothing was decided, or the decision names the identity it is linked to."""
+    return linked.isNull() | F.col("decision_status").isNull() | F.coalesce(F.col("decision_key") == linked, F.lit(False))
+
+
+def _links() -> Column:
+    """Canonical key that an accepted observation gives its listing."""
+    return F.when(F.col("decision_status") == "verified", F.col("decision_key"))
+
+
+def run_problem(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """Add ``problem``: the run is unknown, belongs to another source or is not running. ``runs``: run_id, source_id, status, one row a run.
+
+    A problem that a row already has stays.
+    """
+    known = runs.select("run_id", F.col("source_id").alias("_run_source"), F.col("status").alias("_run_status"))
+    sound = (F.col("_run_source") == F.col("source_id")) & (F.col("_run_status") == "running")
+    own = F.when(~F.coalesce(sound, F.lit(False)), "invalid_observation_run")
+    before = F.col("problem") if "problem" in rows.columns else F.lit(None).cast("string")
+    return rows.join(known, "run_id", "left").withColumn("problem", F.coalesce(before, own)).drop("_run_source", "_run_status")
+
+
+def decided_as_of(observations: DataFrame, decisions: DataFrame, keys: list[str], order: list[str], rows_per_task: int | None = ordered.ROWS_PER_TASK) -> DataFrame:
+    """Add the decision that was the newest when each observation was made.
+
+    ``decisions``: keys, observed_at (when it was made), decision_status, decision_key. Both sides go through one ordered pass per key, decisions
+    of the same moment first; a key with many rows is cut into slices like any other. ``order`` tells observations of one moment apart.
+    """
+    made = F.struct(*DECISION)
+    sides = observations.select(*observations.columns, F.lit(1).alias("_side"), F.lit(None).cast(_kind(decisions.select(made.alias("x")))).alias("_made"))
+    given = decisions.select(
+        *[F.col(c) if c in (*keys, "observed_at") else F.lit(None).cast(observations.schema[c].dataType).alias(c) for c in observations.columns],
+        F.lit(0).alias("_side"), made.alias("_made"))
+    marked = ordered.last_value(sides.unionByName(given), keys, ["observed_at", "_side", *order], F.col("_made"), "_newest", rows_per_task)
+    rows = marked.where("_side = 1")
+    return rows.select(*observations.columns, *(F.col(f"_newest.{c}").alias(c) for c in DECISION))
+
+
+def _kind(one: DataFrame) -> str:
+    return one.schema["x"].dataType.simpleString()
 
 
 def _stage(observations: DataFrame, rows_per_task: int | None) -> tuple[DataFrame, int | None]:
@@ -56,106 +98,101 @@ def _stage(observations: DataFrame, rows_per_task: int | None) -> tuple[DataFram
 
     An offer occurs at most once per observation, so no offer key is hot when no listing is.
     """
-    rows = cut_lineage(observations.withColumn("identity", F.struct(*IDENTITY)))
+    optional = {c: F.lit(None).cast("string") for c in (*DECISION, "problem") if c not in observations.columns}
+    rows = cut_lineage(observations.withColumns(optional).withColumn("identity", F.struct(*IDENTITY, *DECISION)))
     return rows, ordered.split_limit(rows, LISTING, rows_per_task) if rows_per_task else None
 
 
 def decide(observations: DataFrame, rows_per_task: int | None = ordered.ROWS_PER_TASK) -> DataFrame:
-    """Add ``outcome``: accepted, older_observation or identity_conflict.
+    """Add ``outcome``: accepted, older_observation, identity_conflict, or the problem the row came with.
 
-    ``observations``: listing_id, seq (arrival number, unique in the listing), observed_at, identity fields.
+    ``observations``: listing_id, seq (arrival number, unique in the listing), observed_at, identity fields; decision columns and
+    problem where there are any.
     """
     return _decide(*_stage(observations, rows_per_task))
 
 
 def _decide(rows: DataFrame, limit: int | None) -> DataFrame:
+    refused = rows.where("problem IS NOT NULL").withColumn("outcome", F.col("problem"))
+    rows = rows.where("problem IS NULL")
     spread = rows.groupBy(*LISTING).agg(F.min("identity").alias("_a"), F.max("identity").alias("_b"))
     mixed = spread.where(~F.col("_a").eqNullSafe(F.col("_b"))).select(*LISTING)
     plain = ordered.running_max(
-        rows.join(mixed, LISTING, "left_anti"), LISTING, ["seq"], F.col("seq"), F.col("observed_at"), "_newest", limit
+        rows.join(mixed, LISTING, "left_anti"), LISTING, ["seq"], F.col("observed_at"), "_newest", limit
     ).withColumn(
         "outcome",
         F.when(F.col("_newest") > F.col("observed_at"), "older_observation").otherwise("accepted"),
     ).drop("_newest")
-    return plain.unionByName(_decide_mixed(rows.join(mixed, LISTING, "left_semi"), limit))
+    return plain.unionByName(_decide_mixed(rows.join(mixed, LISTING, "left_semi"), limit)).unionByName(refused)
 
 
 def _decide_mixed(rows: DataFrame, rows_per_task: int | None) -> DataFrame:
-    position = F.col("seq")
-    marked = ordered.previous(rows, LISTING, ["seq"], position, ["identity"], "_p", rows_per_task)
+    marked = ordered.previous(rows, LISTING, ["seq"], ["identity"], "_p", rows_per_task)
     opens = F.col("_p").isNull() | ~F.col("_p.identity").eqNullSafe(F.col("identity"))
     marked = marked.withColumn("_open", F.when(opens, F.col("seq"))).drop("_p")
-    marked = ordered.last_value(marked, LISTING, ["seq"], position, F.col("_open"), "_earlier", rows_per_task)
+    marked = ordered.last_value(marked, LISTING, ["seq"], F.col("_open"), "_earlier", rows_per_task)
     marked = cut_lineage(marked.withColumn("run_seq", F.coalesce("_open", "_earlier")).drop("_open", "_earlier"))
 
     runs = marked.groupBy(*LISTING, F.col("run_seq").cast("long").alias("run_seq")).agg(
         F.first("identity").alias("identity"), F.max("observed_at").alias("top")
     )
-    solved = _solve(runs, rows_per_task).select(*LISTING, "run_seq", "stored")
+    solved = _solve(runs).select(*LISTING, "run_seq", "stored", "linked")
     joined = marked.join(solved, [*LISTING, "run_seq"])
     joined = ordered.running_max(
-        joined, [*LISTING, "run_seq"], ["seq"], position, F.col("observed_at"), "_in_run", rows_per_task
+        joined, [*LISTING, "run_seq"], ["seq"], F.col("observed_at"), "_in_run", rows_per_task
     )
-    agrees = F.col("stored").isNull() | _agrees("stored.identity", "identity")
+    agrees = F.col("stored").isNull() | (_fields_agree(F.col("stored.identity"), F.col("identity")) & _canonical_agrees(F.col("linked")))
     newest = F.greatest(F.col("stored.top"), F.when(agrees, F.col("_in_run")))
     outcome = (
         F.when(newest > F.col("observed_at"), "older_observation")
         .when(~agrees, "identity_conflict")
         .otherwise("accepted")
     )
-    return joined.withColumn("outcome", outcome).drop("run_seq", "stored", "_in_run")
+    return joined.withColumn("outcome", outcome).drop("run_seq", "stored", "linked", "_in_run")
 
 
-def _solve(runs: DataFrame, rows_per_task: int | None) -> DataFrame:
-    """``stored``: what was stored when each run began.
+def _solve(runs: DataFrame) -> DataFrame:
+    """``stored``: what was stored when each run began, and ``linked``: the canonical key the listing had by then.
 
-    A run changes the stored row when the last run that did so agrees with it and is not newer. Runs are
-    changes of identity, so a listing has few of them however many rows it has. They are folded in order
-    inside one row, FOLD_LIMIT at a time: a listing with more goes on in the next round from where it
-    stopped, and one round takes the next part of every such listing.
+    A run changes the stored row when the last run that did so agrees with it and is not newer. Runs are changes of identity, so
+    a listing has few of them however many rows it has. They pass through in order, as a sorted stream of which a task holds one
+    batch and the stored run, and each is given the number of the run that it meets; that run's values are joined to it. The jobs
+    are the same for any number of changes.
     """
-    placed = ordered.rank_rows(runs, LISTING, ["run_seq"], F.col("run_seq"), "_place", rows_per_task)
-    placed = cut_lineage(placed.withColumn("_part", F.floor((F.col("_place") - 1) / FOLD_LIMIT)))
-    last = placed.agg(F.max("_part")).first()[0] or 0
-    begin, parts = None, []
-    for part in range(last + 1):
-        folded = cut_lineage(_fold(placed.where(F.col("_part") == part), begin))
-        parts.append(folded.select(*LISTING, F.inline("out")))
-        begin = folded.select(*LISTING, F.col("stored").alias("begin"))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _fold(runs: DataFrame, begin: DataFrame | None) -> DataFrame:
-    kind = runs.select(F.struct("identity", "top").alias("x")).schema["x"].dataType.simpleString()
-    grouped = runs.groupBy(*LISTING).agg(
-        F.sort_array(F.collect_list(F.struct("run_seq", "identity", "top"))).alias("runs")
-    )
-    if begin is None:
-        grouped = grouped.withColumn("begin", F.lit(None).cast(kind))
-    else:
-        grouped = grouped.join(begin, LISTING, "left")
-    start = F.struct(
-        F.col("begin").cast(kind).alias("stored"),
-        F.array().cast(f"array<struct<run_seq:bigint,stored:{kind}>>").alias("out"),
-    )
-
-    def step(acc, run):
-        stored = acc["stored"]
-        good = stored.isNull() | (
-            _fields_agree(stored["identity"], run["identity"]) & (stored["top"] <= run["top"])
-        )
-        return F.struct(
-            F.when(good, F.struct(run["identity"].alias("identity"), run["top"].alias("top")))
-            .otherwise(stored)
-            .cast(kind)
-            .alias("stored"),
-            F.array_append(
-                acc["out"], F.struct(run["run_seq"].alias("run_seq"), stored.alias("stored"))
-            ).alias("out"),
-        )
-
-    done = F.aggregate("runs", start, step)
-    return grouped.select(*LISTING, done.alias("done")).select(*LISTING, "done.stored", "done.out")
+    fields = [F.col(f"identity.{c}").cast("string").alias(f"_i{k}") for k, c in enumerate([*IDENTITY, *DECISION])]
+    ordered_runs = runs.select(*LISTING, "run_seq", F.col("top").cast("timestamp_ntz").alias("top"), *fields)
+    ordered_runs = ordered_runs.repartition(*LISTING).sortWithinPartitions(*LISTING, "run_seq")
+    kind = runs.schema[LISTING[0]].dataType.simpleString()
+    met = ordered_runs.mapInArrow(_met, f"{LISTING[0]} {kind}, run_seq long, met long, linked string")
+    state = runs.select(*LISTING, F.col("run_seq").alias("met"), F.struct("identity", "top").alias("stored"))
+    return met.join(state, [*LISTING, "met"], "left").select(*LISTING, "run_seq", "stored", "linked")
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs in the order of their listings to (listing, run, the run stored when it began, the key linked by then)."""
+    listing = seq = top = linked = None
+    identity: tuple = ()
+    size = len(IDENTITY)
+    for batch in batches:
+        met, keys = [], []
+        columns = [batch[c].to_pylist() for c in [*LISTING, "run_seq"]] + [batch["top"].cast(pa.int64()).to_pylist()]
+        names = zip(*(batch[f"_i{k}"].to_pylist() for k in range(size + len(DECISION))), strict=True)
+        for own, own_seq, own_top, own_identity in zip(*columns, names, strict=True):
+            if own != listing:
+                listing, seq, top, linked, identity = own, None, None, None, ()
+            met.append(seq)
+            keys.append(linked)
+            status, key = own_identity[size:]
+            if seq is None or (
+                top <= own_top
+                and all(a is None or b is None or a == b for a, b in zip(identity, own_identity[:size], strict=True))
+                and (linked is None or status is None or linked == key)
+            ):
+                seq, top, identity = own_seq, own_top, own_identity[:size]
+                if linked is None and status == "verified":
+                    linked = key
+        yield pa.RecordBatch.from_arrays(
+            [*(batch[c] for c in LISTING), batch["run_seq"], pa.array(met, pa.int64()), pa.array(keys, pa.string())], names=[*LISTING, "run_seq", "met", "linked"])
 
 
 def expand_offers(accepted: DataFrame, stored: DataFrame | None = None, rows_per_task=ordered.ROWS_PER_TASK):
@@ -165,7 +202,7 @@ def expand_offers(accepted: DataFrame, stored: DataFrame | None = None, rows_per
     """
     closing = F.when(F.col("complete"), F.struct("seq", "observed_at", "run_id"))
     marked = ordered.last_value(
-        accepted, LISTING, ["seq"], F.col("seq"), closing, "closing", rows_per_task, forward=True
+        accepted, LISTING, ["seq"], closing, "closing", rows_per_task, forward=True
     )
     rows = marked.select(
         *LISTING, "seq", "observed_at", "run_id", "closing", F.explode("offers").alias("offer")
@@ -177,19 +214,17 @@ def expand_offers(accepted: DataFrame, stored: DataFrame | None = None, rows_per
 
 
 def stored_observations(listings: DataFrame, like: DataFrame) -> DataFrame:
-    """Stored listing rows as the observation before the batch: seq -1, no offers, never complete.
+    """Stored listing rows as the observation before the batch: seq -1, no offers, never complete, linked as they are.
 
-    ``listings``: listing_id, identity fields, observed_at (newest accepted time), needs_review.
+    ``listings``: listing_id, identity fields, observed_at (newest accepted time), needs_review, canonical_key.
     """
-    none = {
-        c: F.lit(None).cast(like.schema[c].dataType)
-        for c in like.columns
-        if c not in (*LISTING, *IDENTITY, "observed_at", "seq", "complete", "offers")
+    linked = F.col("canonical_key") if "canonical_key" in listings.columns else F.lit(None).cast("string")
+    set_ = {
+        "seq": F.lit(-1).cast(like.schema["seq"].dataType), "complete": F.lit(False), "offers": F.array().cast(like.schema["offers"].dataType),
+        "decision_key": linked, "decision_status": F.when(linked.isNotNull(), "verified"),
     }
-    empty = F.array().cast(like.schema["offers"].dataType)
-    return listings.withColumns(
-        {"seq": F.lit(-1).cast(like.schema["seq"].dataType), "complete": F.lit(False), "offers": empty, **none}
-    ).select(*like.columns)
+    kept = (*LISTING, *IDENTITY, "observed_at")
+    return listings.select(*[F.col(c) if c in kept else set_.get(c, F.lit(None).cast(like.schema[c].dataType)).alias(c) for c in like.columns])
 
 
 def apply(
@@ -201,9 +236,10 @@ def apply(
 ) -> Ingested:
     """One batch: decide, retire, detect changes.
 
-    ``observations``: listing_id, seq >= 0 (arrival number in the listing), observed_at, run_id, complete,
-    identity fields, offers (array of key and state fields). Stored frames are what ``Ingested`` returned before.
+    ``observations``: listing_id, seq >= 0 (arrival number in the listing), observed_at, run_id, complete, identity fields, offers (array of
+    key and state fields); decision columns and problem where there are any. Stored frames are what ``Ingested`` returned before.
     """
+    observations = observations.withColumns({c: F.lit(None).cast("string") for c in DECISION if c not in observations.columns})
     arrived = observations
     if stored_listings is not None:
         arrived = observations.unionByName(stored_observations(stored_listings, observations))
@@ -213,7 +249,7 @@ def apply(
     keys = [*LISTING, *offer_key]
     rows = expand_offers(accepted, stored_offers, rows_per_task)
     rows = ordered.neighbours(
-        rows, keys, ["seq"], F.col("seq"), ["seq", *STATE, "closing"], "prev", "next", rows_per_task
+        rows, keys, ["seq"], ["seq", *STATE, "closing"], "prev", "next", rows_per_task
     )
     retired_before = F.coalesce(F.col("prev.active") & (F.col("prev.closing.seq") < F.col("seq")), F.lit(False))
     kept = F.lit(True)
@@ -243,12 +279,13 @@ def apply(
         rows.where("next IS NULL AND NOT retires").select(*columns).unionByName(closed.where("_last").select(*columns))
     )
     newest = ordered.latest(accepted, LISTING, ["seq"], [*IDENTITY, "observed_at"])
+    links = F.when(F.col("outcome") == "accepted", _links())
     reviews = decided.groupBy(*LISTING).agg(
-        F.bool_or(F.col("outcome") == "identity_conflict").alias("needs_review")
+        F.bool_or(F.col("outcome") == "identity_conflict").alias("needs_review"), F.min_by(links, F.when(links.isNotNull(), F.col("seq"))).alias("canonical_key")
     )
     if stored_listings is not None:
         before = stored_listings.select(*LISTING, F.col("needs_review").alias("_before"))
         reviews = reviews.join(before, LISTING, "left").select(
-            *LISTING, (F.col("needs_review") | F.coalesce("_before", F.lit(False))).alias("needs_review")
+            *LISTING, (F.col("needs_review") | F.coalesce("_before", F.lit(False))).alias("needs_review"), "canonical_key"
         )
     return Ingested(decided.where("seq >= 0"), current, history, newest.join(reviews, LISTING))

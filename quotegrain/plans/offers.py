@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quotegrain.functions.hashing import without_keys
+
 # Reason codes, statuses and the two terms that mark a documented estimate.
 ESTIMATE = "estimate"
 ESTIMATE_BASIS = "not_provided_by_api"
@@ -93,6 +95,12 @@ def enrich(offers: DataFrame, listings: DataFrame, sources: DataFrame) -> DataFr
     return offers.join(listings, "listing_id").join(named, "source_id")
 
 
+def listings_with_offers(offers: DataFrame, listings: DataFrame, sources: DataFrame) -> DataFrame:
+    """Every listing with its source and each of its offers; one row with null offer columns if it has none."""
+    named = sources.select("source_id", F.col("slug").alias("source"), "enabled")
+    return listings.join(offers, "listing_id", "left").join(named, "source_id")
+
+
 def project(rows: DataFrame, rules: OfferRules) -> DataFrame:
     """Columns of an offer answer. ``least`` skips nulls, so no expiry means no earlier limit."""
     until = F.col("last_checked_at") + F.expr(f"INTERVAL {rules.fresh_for}")
@@ -107,6 +115,15 @@ def project(rows: DataFrame, rules: OfferRules) -> DataFrame:
     )
 
 
+#: Metadata keys that are for the library's own use.
+INTERNAL_METADATA = ["input_hash", "rekey_run", "identity_conflict_evidence"]
+
+
+def public_listing(listings: DataFrame) -> DataFrame:
+    """``listings`` as readers may see them: gated identity, metadata without internal keys."""
+    return listings.withColumns({"medication_id": gated_medication(), "metadata": without_keys(F.col("metadata"), INTERNAL_METADATA)})
+
+
 def gated_medication() -> Column:
     return F.when(F.col("match_status") == "verified", F.col("medication_id"))
 
@@ -139,15 +156,9 @@ def exclusions(rows: DataFrame, rules: OfferRules, exact: Column | None = None)
     )
 
 
-def tier_known(listings: DataFrame, offers: DataFrame, sources: DataFrame, by: list[str], exact: Column):
+def tier_known(held: DataFrame, by: list[str], exact: Column):
     """Per group and source, whether any offer has the exact tier; listings without offers count as no."""
-    named = sources.select("source_id", F.col("slug").alias("source"))
-    return (
-        listings.join(named, "source_id")
-        .join(offers.select("listing_id", "quantity"), "listing_id", "left")
-        .groupBy(*by, "source")
-        .agg(F.coalesce(F.bool_or(exact), F.lit(False)).alias("has_exact"))
-    )
+    return held.groupBy(*by, "source").agg(F.coalesce(F.bool_or(exact), F.lit(False)).alias("has_exact"))
 
 
 def batch_quotes(requests: DataFrame, rows: DataFrame, rules: OfferRules) -> DataFrame:
@@ -178,14 +189,13 @@ def result_outcome(items: Column, reasons: Column) -> Column:
     return F.when(items > 0, "available").when(unsupported, "unsupported_quantity").otherwise("unavailable")
 
 
-def request_outcomes(requests: DataFrame, listings: DataFrame, offers: DataFrame, sources: DataFrame, rules: OfferRules) -> DataFrame:
-    """(request_id, outcome) in one pass over the requests' listings and offers.
+def request_outcomes(requests: DataFrame, held: DataFrame, sources: DataFrame, rules: OfferRules) -> DataFrame:
+    """(request_id, outcome) in one pass over the requests' listings and offers, ``held`` as ``listings_with_offers`` gives them.
 
     ``requests``: request_id, medication_id, asked_quantity, asked_unit. A source without a listing is not matched, one without an
     offer of the exact tier does not support it. Sources and reasons are short fixed lists, so the sets per request stay small.
     """
-    named = sources.select("source_id", F.col("slug").alias("source"), "enabled")
-    rows = requests.join(listings.join(named, "source_id").join(offers, "listing_id", "left"), "medication_id")
+    rows = requests.join(held, "medication_id")
     exact = exact_tier(F.col("asked_quantity"), F.col("asked_unit"))
     offered = F.col("offer_id").isNotNull()
     flags = rows.select(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quotegrain.operators import fingerprint
 from quotegrain.functions import text, vocab
+from quotegrain.sources import releases
 
 STRUCTURE = ["strength", "form", "route", "release_type", "rxcui", "term_type"]
 CANONICAL = ["canonical_name", "normalized_key", *STRUCTURE]
@@ -186,10 +187,50 @@ class Rekeyed:
     listings: DataFrame
     components: DataFrame
     matches: DataFrame
+    items: DataFrame | None = None
 
 
-def apply(medications: DataFrame, listings: DataFrame, items: DataFrame, decisions: DataFrame, run_id: str):
-    """New versions after approved items: survivors canonical, the rest redirects, listings repointed."""
+#: Columns of a component: one ingredient of a medication with its strength.
+COMPONENT = ["sequence", "ingredient_name", "ingredient_rxcui", "numerator_value", "numerator_unit", "denominator_value", "denominator_unit"]
+
+
+def apply_problems(medications: DataFrame, listings: DataFrame, items: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(legacy_id, problem): why approved items must not be applied to the tables as they are; empty when they may.
+
+    Members of a group must name one key; its survivor must exist, not be a redirect, and if it is canonical already have the group's
+    key and structure; the others must still be legacy; each of their verified listings needs a verified decision and a known unit.
+    """
+    approved = items.where("approval_status = 'approved'")
+    groups = approved.groupBy("survivor_id").agg(
+        F.min("normalized_key").alias("_key"), F.max("normalized_key").alias("_other"), F.min_by(F.struct(*STRUCTURE), "legacy_id").alias("_structure"))
+    stored = medications.select(
+        F.col("medication_id").alias("survivor_id"), F.col("superseded_by_id").alias("_moved"), F.col("normalized_key").alias("_stored_key"), F.struct(*STRUCTURE).alias("_stored"), F.lit(True).alias("_there"))
+    judged = groups.join(stored, "survivor_id", "left")
+    conflict = F.col("_stored_key").isNotNull() & ((F.col("_stored_key") != F.col("_key")) | ~F.col("_stored").eqNullSafe(F.col("_structure")))
+    group_problem = (
+        F.when(~F.coalesce(F.col("_key") == F.col("_other"), F.lit(False)), "group_decision_conflict")
+        .when(F.col("_there").isNull() | F.col("_moved").isNotNull(), "survivor_not_active")
+        .when(conflict, "survivor_conflict")
+    )
+    wrong = judged.select("survivor_id", group_problem.alias("problem")).where("problem IS NOT NULL")
+    by_group = approved.select("legacy_id", "survivor_id").join(wrong, "survivor_id").select("legacy_id", "problem")
+    now = medications.select(F.col("medication_id").alias("legacy_id"), F.col("normalized_key").alias("_stored_key"), F.col("superseded_by_id").alias("_moved"), F.lit(True).alias("_there"))
+    others = approved.where("legacy_id <> survivor_id").select("legacy_id").join(now, "legacy_id", "left")
+    changed = F.col("_stored_key").isNotNull() | F.col("_moved").isNotNull()
+    by_item = others.select("legacy_id", F.when(F.col("_there").isNull(), "legacy_missing").when(changed, "legacy_changed").alias("problem")).where("problem IS NOT NULL")
+    verified = decisions.where("status = 'verified'").select("listing_id", F.lit(True).alias("_decided"))
+    held = listings.where("match_status = 'verified'").select("listing_id", F.col("medication_id").alias("legacy_id"), "content_unit")
+    held = held.join(approved.select("legacy_id"), "legacy_id").join(verified, "listing_id", "left")
+    no_unit = F.col("content_unit").isNotNull() & unit_code(F.col("content_unit")).isNull()
+    by_listing = held.select("legacy_id", F.when(F.col("_decided").isNull(), "listing_decision_missing").when(no_unit, "listing_unit_missing").alias("problem"))
+    return by_group.unionByName(by_item).unionByName(by_listing.where("problem IS NOT NULL").distinct())
+
+
+def apply(medications: DataFrame, listings: DataFrame, items: DataFrame, decisions: DataFrame, run_id: str, stored_components: DataFrame | None = None):
+    """New versions after approved items: survivors canonical, the rest redirects, listings repointed, items applied.
+
+    Components come from the strengths of the canonical identity; a survivor that has components keeps them.
+    """
     approved = items.where("approval_status = 'approved'")
     canonical = approved.groupBy("survivor_id").agg(
         F.min_by(F.struct(*CANONICAL), "legacy_id").alias("_canonical")
@@ -219,14 +260,59 @@ def apply(medications: DataFrame, listings: DataFrame, items: DataFrame, decisio
         F.when(touched, unit_code(F.col("content_unit"))).otherwise(F.col("content_unit")).alias("content_unit"),
         F.when(touched, F.lit(run_id)).otherwise(earlier).alias("rekey_run"),
     )
-    components = canonical.select(
-        F.col("survivor_id").alias("medication_id"), F.lit(1).alias("sequence"),
-        F.col("_canonical.strength").alias("strength"), F.lit(run_id).alias("rekey_run"),
-    )
+    components = canonical.select(F.col("survivor_id").alias("medication_id"), "_canonical.*")
+    components = with_component_columns(components).select("medication_id", *COMPONENT, F.lit(run_id).alias("rekey_run"))
+    if stored_components is not None:
+        components = stored_components.unionByName(components.join(stored_components.select("medication_id").distinct(), "medication_id", "left_anti"))
     matches = decisions.join(
         approved.select("legacy_id", "survivor_id"), "legacy_id"
     ).select("listing_id", "legacy_id", F.col("survivor_id").alias("selected_id"), "status", "reason", F.lit(run_id).alias("rekey_run"))
-    return Rekeyed(new_medications, new_listings, components, matches)
+    state = F.col("approval_status")
+    advanced = items.withColumn("approval_status", F.when(state == "approved", "applied").otherwise(state))
+    return Rekeyed(new_medications, new_listings, components, matches, advanced)
+
+
+def with_component_columns(canonical: DataFrame) -> DataFrame:
+    """One row per ingredient strength of ``canonical``(canonical_name, rxcui, strength, ...): "5 mg", "10 mg/5 ml", parts joined by " / " or "-"."""
+    number = r"([0-9]+(?:\.[0-9]+)?)\s*([a-z%]+)(?:\s*/\s*([0-9]+(?:\.[0-9]+)?)?\s*([a-z]+))?"
+    parts = F.split(F.lower("strength"), r"\s+/\s+|-")
+    rows = canonical.select("*", F.posexplode(parts).alias("_place", "_part"))
+    pick = lambda k: F.regexp_extract("_part", number, k)
+    given = lambda c: F.when(c != "", c)
+    value = lambda c: given(c).cast("decimal(20,6)")
+    alone = F.size(parts) == 1
+    unit = given(pick(4))
+    return rows.withColumns({
+        "sequence": F.col("_place") + 1, "ingredient_name": F.trim(F.get(F.split("canonical_name", " / "), F.col("_place"))),
+        "ingredient_rxcui": F.when(alone, F.col("rxcui")), "numerator_value": value(pick(1)), "numerator_unit": F.when(pick(2) == "%", "percent").otherwise(given(pick(2))),
+        "denominator_value": F.when(unit.isNotNull(), F.coalesce(value(pick(3)), F.lit(1).cast("decimal(20,6)"))), "denominator_unit": unit,
+    })
+
+
+def apply_and_publish(spark, root: str, decisions: DataFrame, run_id: str) -> DataFrame:
+    """Apply an approved run to the newest release under ``root`` and publish all its tables as one: (run_id, status, problems).
+
+    The release holds medications, listings, components, matches, items and runs(run_id, status). With a problem nothing but the run's status
+    changes. Another writer's release in between makes this fail, and nothing of it is seen.
+    """
+    before = releases.load(spark, root)
+    tables = {name: releases.read(spark, before, name) for name in before.tables}
+    problems = sorted(r[0] for r in apply_problems(tables["medications"], tables["listings"], tables["items"], decisions).select("problem").distinct().collect())
+    status = "failed" if problems else "applied"
+    frames = {"runs": tables["runs"].withColumn("status", F.when(F.col("run_id") == run_id, status).otherwise(F.col("status")))}
+    if not problems:
+        new = apply(tables["medications"], tables["listings"], tables["items"], decisions, run_id, tables["components"])
+        frames |= {"medications": new.medications, "listings": new.listings, "components": new.components, "items": new.items}
+        frames["matches"] = tables["matches"].unionByName(new.matches)
+    releases.replace(spark, root, frames, before)
+    return spark.createDataFrame([(run_id, status, ",".join(problems))], "run_id string, status string, problems string")
+
+
+def run_status(runs: DataFrame, run_id: str | None = None) -> DataFrame:
+    """The row of one run, or of the newest by number."""
+    if run_id is not None:
+        return runs.where(F.col("run_id") == run_id)
+    return runs.orderBy(F.col("created").desc(), F.col("run_id").desc()).limit(1)
 
 
 def undo_blockers(current_listings: DataFrame, original_listings: DataFrame, items: DataFrame, run_id: str):

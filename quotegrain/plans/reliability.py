@@ -83,7 +83,7 @@ def collection_metrics(items: DataFrame, results: DataFrame, keys: list[str]) ->
     )
 
 
-def manifest_checks(manifest: DataFrame, sources: list[str], per_source: int) -> DataFrame:
+def manifest_checks(manifest: DataFrame, sources: list[str]) -> DataFrame:
     """First problem per manifest row, null when sound. Duplicates are counted by aggregates.
 
     ``manifest``: row_id, source, page_id (text), url, canonical_url, product_key, planned_quantities (text array).
@@ -116,9 +116,11 @@ def manifest_checks(manifest: DataFrame, sources: list[str], per_source: int) ->
 
 
 def cohort_sizes(manifest: DataFrame, graded: list[str], expected: int) -> DataFrame:
-    return manifest.where(F.col("source").isin(graded)).groupBy("source").agg(
-        F.count(F.lit(1)).alias("listings")
-    ).withColumn("size_ok", F.col("listings") == expected)
+    """(source, listings, size_ok) of every graded source, those without a listing included."""
+    counts = manifest.where(F.col("source").isin(graded)).groupBy("source").agg(F.count(F.lit(1)).alias("_n"))
+    every = manifest.sparkSession.createDataFrame([(g,) for g in graded], "source string")
+    listings = F.coalesce("_n", F.lit(0))
+    return every.join(counts, "source", "left").select("source", listings.alias("listings"), (listings == expected).alias("size_ok"))
 
 
 def daily_window(ts: Column, anchor: Column) -> Column:
@@ -202,7 +204,6 @@ def streaks(grades: DataFrame, now: Column, needed: int = 7) -> DataFrame:
         .groupBy("index")
         .agg(F.every("passed").alias("passed"))
     )
-    whole = Window.partitionBy(F.lit(0)).orderBy("index")
     islands = days.withColumn(
         "_island", F.col("index") - F.row_number().over(Window.partitionBy("passed").orderBy("index"))
     )

@@ -16,19 +16,6 @@ TIME_ORDER = ["observed_at", "l_orderkey", "l_linenumber", "l_suppkey"]
 ARRIVAL_ORDER = ["l_orderkey", "l_linenumber", "l_suppkey"]
 
 
-def time_position() -> Column:
-    """Number that never decreases in TIME_ORDER: day, then order key inside the day.
-
-    The ship dates behind ``observed_at`` carry no time of day, so the day is the whole time.
-    """
-    day = F.unix_date(F.to_date("observed_at")).cast("double")
-    return day * F.lit(2.0**34) + F.least(F.col("l_orderkey"), F.lit(2**34 - 1))
-
-
-def arrival_position() -> Column:
-    return F.col("l_orderkey").cast("double")
-
-
 def as_of(text: str = AS_OF) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 

@@ -1,8 +1,9 @@
-"""Observations as a stream: each micro-batch runs the batch jobs against the state of the one before.
+"""Observations as a stream: each micro-batch runs the batch jobs against the state that the one before published.
 
-State lives in versions named by batch id. A retried batch reads the same earlier version and writes the
-same folders again, so a lost executor or a restart changes nothing. Per-key Python state is not used: the
-batch operators stay in the JVM and split a hot offer over many tasks, which a state store cannot.
+The state lies in key buckets (``streaming.buckets``), so a batch reads and rewrites the buckets of its own listings only. A retried
+batch reads the same release and writes the same folders again, so a lost executor or a restart changes nothing. The jobs inside are
+the batch operators, which stay in the JVM and split a hot listing over many tasks; per-offer change detection and expiry, whose state is
+one small value, use Spark's own state store (``streaming.keyed``).
 """
 
 from __future__ import annotations
@@ -13,10 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quotegrain.operators import ordered
-from quotegrain.plans import history as history_plan
 from quotegrain.plans import ingest
-from quotegrain.session import shared_dir
+from quotegrain.session import cut_lineage, shared_dir
+from quotegrain.streaming.buckets import BucketedState
 
 
 def new_root(spark: SparkSession, name: str) -> str:
@@ -27,10 +27,6 @@ def _version(root: str, table: str, batch_id: int) -> str:
     return f"{root}/{table}/batch={batch_id}"
 
 
-def _previous(spark: SparkSession, root: str, table: str, batch_id: int) -> DataFrame | None:
-    return spark.read.parquet(_version(root, table, batch_id - 1)) if batch_id > 0 else None
-
-
 def run(stream: DataFrame, root: str, handle, available_now: bool = True) -> StreamingQuery:
     """Start ``handle(batch, batch_id)`` per micro-batch with its progress under ``root``."""
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{root}/progress")
@@ -41,70 +37,33 @@ def read_table(spark: SparkSession, root: str, table: str, schema=None) -> DataF
     return spark.read.option("basePath", f"{root}/{table}").parquet(f"{root}/{table}")
 
 
-def latest_version(spark: SparkSession, root: str, table: str) -> DataFrame:
-    rows = read_table(spark, root, table)
-    last = rows.agg(F.max("batch")).first()[0]
-    return rows.where(F.col("batch") == last).drop("batch")
-
-
-def change_stream(root: str, keys: list[str], arrival: list[str], position, time: str, state: list[str]):
-    """Handler that writes a history row per state change and drops late rows, counting them.
-
-    A row older than the newest one its key has taken is late; equal times pass. This is a rule of the
-    key, not a watermark: a slow key may be days behind and still be in order.
-    """
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        columns = [*keys, *arrival, time, *state]
-        rows = batch.select(*columns, F.lit(1).alias("_age"))
-        before = _previous(spark, root, "state", batch_id)
-        if before is not None:
-            # The stored row of a key comes first whatever its arrival numbers.
-            touched = before.join(batch.select(*keys).distinct(), keys, "left_semi")
-            rows = rows.unionByName(touched.select(*columns, F.lit(0).alias("_age")))
-        order = ["_age", *arrival]
-        place = F.when(F.col("_age") == 0, F.lit(-1.0)).otherwise(position)
-        marked = history_plan.late_rows(rows, keys, order, place, time)
-        kept = marked.where("NOT late").drop("late", "newest_before")
-        changed = history_plan.price_changes(kept, keys, order, place, state).where("_age = 1").drop("_age")
-        changed.write.mode("overwrite").parquet(_version(root, "history", batch_id))
-        marked.where("late AND _age = 1").agg(F.count(F.lit(1)).alias("late_rows")).write.mode("overwrite").parquet(
-            _version(root, "late", batch_id)
-        )
-        newest = ordered.latest(kept, keys, order, [*arrival, time, *state])
-        if before is not None:
-            newest = newest.unionByName(before.join(newest.select(*keys), keys, "left_anti").select(*newest.columns))
-        newest.write.mode("overwrite").parquet(_version(root, "state", batch_id))
-
-    return handle
+def ingest_state(root: str, offer_key: list[str], **settings) -> BucketedState:
+    return BucketedState(root, {"listings": ingest.LISTING, "offers": [*ingest.LISTING, *offer_key]}, ingest.LISTING, **settings)
 
 
-def ingest_stream(root: str, offer_key: list[str], number):
+def ingest_stream(store: BucketedState, offer_key: list[str], number):
     """Handler for the full ingest. ``number(batch)`` adds seq, the arrival number within the listing."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = number(batch)
-        listings = _previous(spark, root, "listings", batch_id)
-        offers = _previous(spark, root, "offers", batch_id)
-        touched = rows.select(*ingest.LISTING).distinct()
+        if store.done(spark, batch_id):
+            return
+        rows = cut_lineage(number(batch))
+        buckets = store.touched(rows)
+        before = store.before(spark, batch_id)
+        listings, offers = (store.rows(spark, before, name, buckets) for name in ("listings", "offers"))
         if listings is None:
             done = ingest.apply(rows, offer_key)
         else:
-            mine = listings.join(touched, ingest.LISTING, "left_semi")
-            done = ingest.apply(rows, offer_key, mine, offers.join(touched, ingest.LISTING, "left_semi"))
-        new = {"listings": done.listings, "offers": done.offers}
-        for name, old in (("listings", listings), ("offers", offers)):
-            frame = new[name]
-            if old is not None:
-                rest = old.join(touched, ingest.LISTING, "left_anti")
-                frame = frame.unionByName(rest.select(*frame.columns))
-            frame.write.mode("overwrite").parquet(_version(root, name, batch_id))
-        done.history.write.mode("overwrite").parquet(_version(root, "history", batch_id))
+            touched = rows.select(*ingest.LISTING).distinct()
+            mine = [frame.join(touched, ingest.LISTING, "left_semi") for frame in (listings, offers)]
+            done = ingest.apply(rows, offer_key, *mine)
+        done.history.write.mode("overwrite").parquet(_version(store.root, "history", batch_id))
         done.decisions.where("outcome <> 'accepted'").select(*ingest.LISTING, "observed_at", "outcome").write.mode(
             "overwrite"
-        ).parquet(_version(root, "quarantine", batch_id))
+        ).parquet(_version(store.root, "quarantine", batch_id))
+        # Published last: a batch without its release runs again as a whole.
+        store.write(spark, batch_id, {"listings": done.listings, "offers": done.offers}, buckets)
 
     return handle
 

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quotegrain.plans import ingest
 
@@ -78,11 +79,32 @@ def test_matches_the_model(spark, rows):
     check(ingest.apply(spark.createDataFrame(rows, SCHEMA), ["quantity"]), rows)
 
 
-def test_hot_listing_is_split_and_continued(spark, rows, monkeypatch):
-    monkeypatch.setattr(ingest, "FOLD_LIMIT", 30)
+def test_hot_listing_is_split(spark, rows):
     check(ingest.apply(spark.createDataFrame(rows, SCHEMA), ["quantity"], rows_per_task=40), rows)
 
 
+def test_many_identity_changes_of_one_listing(spark):
+    """As many jobs for 50,000 changes as for 50, and the outcomes of the model."""
+    def jobs(count, group):
+        rng = random.Random(count)
+        data = [(1, k, DAY + dt.timedelta(hours=k + rng.choice([0, 0, -9, 4])), rng.choice("abc"), rng.choice(["x", "y", None])) for k in range(count)]
+        df = spark.createDataFrame(data, "listing_id long, seq long, observed_at timestamp_ntz, source_name string, brand_name string").select(
+            "*", *(F.lit(None).cast("string").alias(c) for c in ("sold_as", "content_quantity", "content_unit")))
+        spark.sparkContext.setJobGroup(group, group)
+        got = {r["seq"]: r["outcome"] for r in ingest.decide(df).select("seq", "outcome").collect()}
+        spark.sparkContext.setJobGroup("", "")
+        want, stored, newest = {}, None, None
+        for _, seq, at, name, brand in data:
+            agrees = stored is None or (stored[0] == name and (stored[1] is None or brand is None or stored[1] == brand))
+            want[seq] = "older_observation" if newest is not None and newest > at else "accepted" if agrees else "identity_conflict"
+            if want[seq] == "accepted":
+                stored, newest = (name, brand), at
+        assert got == want and len(set(want.values())) == 3
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(50, "few") == jobs(50_000, "many")
+
+
 def test_two_batches_equal_one(spark, rows):
     cut = 6
     first = [r for r in rows if r[1] < cut]

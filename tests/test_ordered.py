@@ -31,7 +31,7 @@ def by_key(data):
 @pytest.mark.parametrize("limit", [5, 40, 1_000_000])
 def test_neighbours(rows, limit):
     data, df = rows
-    got = ordered.neighbours(df, ["k"], ["day", "seq"], F.col("day"), ["v", "seq"], "prev", "next", limit)
+    got = ordered.neighbours(df, ["k"], ["day", "seq"], ["v", "seq"], "prev", "next", limit)
     found = {r["seq"]: (r["prev"], r["next"]) for r in got.collect()}
     assert len(found) == len(data)
     for group in by_key(data).values():
@@ -44,10 +44,10 @@ def test_neighbours(rows, limit):
 @pytest.mark.parametrize("limit", [5, 1_000_000])
 def test_running_max_and_last_value(rows, limit):
     data, df = rows
-    order, at = ["day", "seq"], F.col("day")
-    tops = {r["seq"]: r["m"] for r in ordered.running_max(df, ["k"], order, at, F.col("v"), "m", limit).collect()}
-    last = {r["seq"]: r["x"] for r in ordered.last_value(df, ["k"], order, at, F.col("v"), "x", limit).collect()}
-    ahead = {r["seq"]: r["x"] for r in ordered.last_value(df, ["k"], order, at, F.col("v"), "x", limit, True).collect()}
+    order = ["day", "seq"]
+    tops = {r["seq"]: r["m"] for r in ordered.running_max(df, ["k"], order, F.col("v"), "m", limit).collect()}
+    last = {r["seq"]: r["x"] for r in ordered.last_value(df, ["k"], order, F.col("v"), "x", limit).collect()}
+    ahead = {r["seq"]: r["x"] for r in ordered.last_value(df, ["k"], order, F.col("v"), "x", limit, True).collect()}
     for group in by_key(data).values():
         for i, row in enumerate(group):
             before = [r[3] for r in group[:i] if r[3] is not None]
@@ -60,20 +60,40 @@ def test_running_max_and_last_value(rows, limit):
 @pytest.mark.parametrize("limit", [5, 1_000_000])
 def test_rank(rows, limit):
     data, df = rows
-    got = {r["seq"]: r["rank"] for r in ordered.rank_rows(df, ["k"], ["day", "seq"], F.col("day"), "rank", limit).collect()}
+    got = {r["seq"]: r["rank"] for r in ordered.rank_rows(df, ["k"], ["day", "seq"], "rank", limit).collect()}
     for group in by_key(data).values():
         assert [got[r[2]] for r in group] == list(range(1, len(group) + 1))
 
 
 def test_hot_key_is_split(rows):
     _, df = rows
-    sliced = ordered.with_slices(df, ["k"], F.col("day"), 20)
+    sliced, small = ordered.with_slices(df, ["k"], ["day", "seq"], 20)
     sizes = {r["_slice"]: r["count"] for r in sliced.where("k = 'hot'").groupBy("_slice").count().collect()}
-    # A slice begins below the limit and holds all rows of its last position.
-    assert len(sizes) > 5 and max(sizes.values()) <= 20 + 70
+    assert small and len(sizes) >= 10 and max(sizes.values()) <= 20
     assert sliced.where("k <> 'hot' AND _slice > 0 AND NOT _hot").count() == 0
 
 
+def test_key_of_distinct_positions_leaves_no_large_task(spark):
+    """One key with a third of all rows, every position its own: no slice is much over the limit, and the plan shuffles by slice."""
+    limit = 2_000
+    df = spark.range(90_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), (F.col("id") * 7919 % 90_001).alias("at"), (F.col("id") % 11).alias("v"))
+    sliced, _ = ordered.with_slices(df, ["k"], ["at"], limit)
+    sizes = [r["count"] for r in sliced.where("k = -1").groupBy("_slice").count().collect()]
+    assert sum(sizes) == 30_000 and max(sizes) < 2 * limit
+    got = ordered.neighbours(df, ["k"], ["at"], ["v"], rows_per_task=limit)
+    plain = ordered.neighbours(df, ["k"], ["at"], ["v"], rows_per_task=None)
+    assert got.exceptAll(plain).isEmpty() and got.count() == plain.count()
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(k" in text and "_slice" in text.split("hashpartitioning(k", 1)[1].split(")")[0]
+
+
+def test_small_keys_are_planned_as_plain_windows(rows):
+    _, df = rows
+    assert ordered.with_slices(df, ["k"], ["day", "seq"], 1_000_000) is None
+    text = ordered.neighbours(df, ["k"], ["day", "seq"], ["v"])._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1 and "Join" not in text
+
+
 def test_latest_and_earliest(rows):
     data, df = rows
     late = {r["k"]: r["seq"] for r in ordered.latest(df, ["k"], ["day", "seq"]).collect()}
