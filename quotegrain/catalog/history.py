@@ -247,7 +247,7 @@ INGEST_RUNS_SQL = """SELECT CAST(run_month AS VARCHAR(30)) || '/' || CAST(s AS V
   CASE WHEN EXTRACT(MONTH FROM run_month) = 9 AND s = 1 THEN 'succeeded' ELSE 'running' END AS status FROM (SELECT DISTINCT run_month, CAST(l_suppkey % 4 AS BIGINT) AS s FROM b_observations) m"""
 OUTCOMES_SQL = f"""
 runs AS ({INGEST_RUNS_SQL}), decisions AS ({DECISIONS_SQL}),
-arrived AS (SELECT listing_id, ROW_NUMBER() OVER (PARTITION BY listing_id ORDER BY l_orderkey, l_linenumber, l_suppkey) AS seq, observed_at, l_partkey, l_linenumber,
+arrived AS (SELECT listing_id, ROW_NUMBER() OVER (PARTITION BY listing_id ORDER BY l_orderkey, l_linenumber, l_suppkey, observed_at) AS seq, observed_at, l_partkey, l_linenumber,
   CASE WHEN l_partkey % 7 = 0 AND l_linenumber = 7 THEN 'other ' ELSE 'product ' END AS name, CASE WHEN l_partkey % 5 = 0 AND l_linenumber % 3 <> 0 THEN l_linenumber % 2 END AS brand,
   CASE WHEN l_partkey % 101 = 0 AND l_linenumber = 2 THEN 'missing_identity' WHEN r.source_id IS DISTINCT FROM l_suppkey % 4 OR r.status <> 'running' THEN 'invalid_observation_run' END AS problem
   FROM b_observations o LEFT JOIN runs r ON r.run_id = CAST(o.run_month AS VARCHAR(30)) || '/' || CAST(o.l_suppkey % 4 AS VARCHAR(5))),
@@ -267,7 +267,8 @@ walk(listing_id, n, seq, outcome, name, brand, k, t) AS (
 
 def full_arrivals(t):
     """Arrivals with everything an ingest may refuse them for: own defects, their runs, the decisions of their time."""
-    rows = arrivals(t).withColumns({
+    # Some lines agree in all of the arrival order; their times tell them apart.
+    rows = ordered.rank_rows(nested_observations(t), ["listing_id"], [*ARRIVAL_ORDER, "observed_at"], "seq").withColumns({
         "product": F.col("listing_id") % 1_000_000_000, "source_id": F.floor(F.col("listing_id") / 1_000_000_000).cast("long"), "source_product_key": F.lit("key")})
     broken = (F.col("product") % 101 == 0) & (F.col("l_linenumber") == 2)
     rows = rows.withColumns({

@@ -28,8 +28,9 @@ def test_serving_queries_read_stored_state(spark, name):
     """No raw line is read again, and the stored rows are not shuffled."""
     load_all()
     text = plan_of(QUERIES[name](spark, SMALL))
-    assert "lineitem" not in text and text.count("quotegrain_serving") >= 1
-    assert "Bucketed: true" in text or "SelectedBucketsCount" in text
+    assert "lineitem" not in text and "quotegrain_serving" in text
+    # Joined in place: by its buckets, or with the other side sent to it.
+    assert "Bucketed: true" in text or "BroadcastHashJoin" in text
 
 
 def test_serving_table_is_written_once_and_holds_listings_without_offers(spark):
