@@ -180,8 +180,8 @@ def nested_observations(t):
 
 
 def number_arrivals(rows):
-    """Give each observation of a listing its arrival number."""
-    return ordered.rank_rows(rows, ["listing_id"], ARRIVAL_ORDER, "seq")
+    """Give each observation of a listing its arrival number. Some lines agree in all of the arrival order; their times tell them apart."""
+    return ordered.rank_rows(rows, ["listing_id"], [*ARRIVAL_ORDER, "observed_at"], "seq")
 
 
 def arrivals(t):
@@ -201,7 +201,7 @@ def obs_flatten(t):
 
 # Sequential semantics in SQL: walk each listing in arrival order with its stored identity and time.
 WALK_SQL = """
-obs AS (SELECT listing_id, ROW_NUMBER() OVER (PARTITION BY listing_id ORDER BY l_orderkey, l_linenumber, l_suppkey) AS seq,
+obs AS (SELECT listing_id, ROW_NUMBER() OVER (PARTITION BY listing_id ORDER BY l_orderkey, l_linenumber, l_suppkey, observed_at) AS seq,
   observed_at, run_month, quantity AS top_quantity, price_cents, availability, active, l_linenumber % 2 = 0 AS complete,
   CASE WHEN l_partkey % 7 = 0 AND l_linenumber = 7 THEN 'other ' ELSE 'product ' END AS name,
   CASE WHEN l_partkey % 5 = 0 AND l_linenumber % 3 <> 0 THEN l_linenumber % 2 END AS brand FROM b_observations),
@@ -267,8 +267,7 @@ walk(listing_id, n, seq, outcome, name, brand, k, t) AS (
 
 def full_arrivals(t):
     """Arrivals with everything an ingest may refuse them for: own defects, their runs, the decisions of their time."""
-    # Some lines agree in all of the arrival order; their times tell them apart.
-    rows = ordered.rank_rows(nested_observations(t), ["listing_id"], [*ARRIVAL_ORDER, "observed_at"], "seq").withColumns({
+    rows = arrivals(t).withColumns({
         "product": F.col("listing_id") % 1_000_000_000, "source_id": F.floor(F.col("listing_id") / 1_000_000_000).cast("long"), "source_product_key": F.lit("key")})
     broken = (F.col("product") % 101 == 0) & (F.col("l_linenumber") == 2)
     rows = rows.withColumns({
