@@ -3,12 +3,11 @@
 from pyspark.sql import functions as F
 
 from quotegrain.catalog import query
-from quotegrain.catalog import sqltext as q
 from quotegrain.catalog.household import RX_SQL, rx
 from quotegrain.catalog.status import PAGES_SQL, RUNS_SQL, crawl_pages, runs
 from quotegrain.functions import vocab
 from quotegrain.operators import fingerprint, ordered, redirects
-from quotegrain.plans import frontier, history, matching
+from quotegrain.plans import frontier, matching
 from quotegrain.session import spread
 from quotegrain.sources.tables import OFFER_KEY, TIME_ORDER, as_of
 

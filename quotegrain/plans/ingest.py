@@ -265,6 +265,8 @@ def apply(
             & (F.col("next").isNull() | (F.col("next.seq") > F.col("closing.seq"))),
         }
     )
+    # State and history are both read from here.
+    rows = cut_lineage(rows)
     columns = [*keys, *STATE, "observed_at", "run_id", "seq"]
     closed = rows.where("retires").select(
         *keys,

@@ -11,7 +11,6 @@ from __future__ import annotations
 import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quotegrain.plans import offers as plan
 from quotegrain.session import shared_dir
