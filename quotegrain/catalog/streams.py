@@ -15,7 +15,7 @@ from quotegrain.streaming import keyed
 
 
 #: Micro-batches that a table arrives in, and more of them for the ingest, whose state is folded on the way.
-PARTS, MORE_PARTS = 4, 10
+PARTS, MORE_PARTS = 4, 5
 
 
 def table_stream(t, name, order, parts=PARTS):
