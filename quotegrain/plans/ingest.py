@@ -233,8 +233,9 @@ def apply(
     stored_listings: DataFrame | None = None,
     stored_offers: DataFrame | None = None,
     rows_per_task: int = ordered.ROWS_PER_TASK,
+    keep: bool = False,
 ) -> Ingested:
-    """One batch: decide, retire, detect changes.
+    """One batch: decide, retire, detect changes. ``keep`` writes the offer rows down, for a caller that reads both state and history.
 
     ``observations``: listing_id, seq >= 0 (arrival number in the listing), observed_at, run_id, complete, identity fields, offers (array of
     key and state fields); decision columns and problem where there are any. Stored frames are what ``Ingested`` returned before.
@@ -265,8 +266,8 @@ def apply(
             & (F.col("next").isNull() | (F.col("next.seq") > F.col("closing.seq"))),
         }
     )
-    # State and history are both read from here.
-    rows = cut_lineage(rows)
+    if keep:
+        rows = cut_lineage(rows)
     columns = [*keys, *STATE, "observed_at", "run_id", "seq"]
     closed = rows.where("retires").select(
         *keys,

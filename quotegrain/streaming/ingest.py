@@ -53,11 +53,11 @@ def ingest_stream(store: BucketedState, offer_key: list[str], number):
         before = store.before(spark, batch_id)
         listings, offers = (store.rows(spark, before, name, buckets) for name in ("listings", "offers"))
         if listings is None:
-            done = ingest.apply(rows, offer_key)
+            done = ingest.apply(rows, offer_key, keep=True)
         else:
             touched = rows.select(*ingest.LISTING).distinct()
             mine = [frame.join(touched, ingest.LISTING, "left_semi") for frame in (listings, offers)]
-            done = ingest.apply(rows, offer_key, *mine)
+            done = ingest.apply(rows, offer_key, *mine, keep=True)
         done.history.write.mode("overwrite").parquet(_version(store.root, "history", batch_id))
         done.decisions.where("outcome <> 'accepted'").select(*ingest.LISTING, "observed_at", "outcome").write.mode(
             "overwrite"
