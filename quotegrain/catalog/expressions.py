@@ -96,11 +96,18 @@ def inferred_route_release(t):
     )
 
 
-@query("json_paths", "SCL-25", oracle="""
-SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, '{"a":"' || event_type || '","k":' || json_extract_string(props, '$.k') || '}' AS canonical FROM events""")
+@query("json_paths", "SCL-25", "SCL-26", oracle="""
+SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, '{"a":"' || event_type || '","k":' || json_extract_string(props, '$.k') || '}' AS canonical,
+  'kind=' || event_type || ',note=new' AS merged FROM events""")
 def json_paths(t):
     raw = F.concat(F.lit('{ "k": '), F.get_json_object("props", "$.k"), F.lit(', "a" : "'), F.col("event_type"), F.lit('" }'))
-    return t.events.select("event_id", F.try_variant_get(F.parse_json("props"), "$.k", "bigint").alias("k"), hashing.canonical_json(raw).alias("canonical"))
+    base = F.create_map(F.lit("kind"), F.col("event_type"), F.lit("note"), F.lit("old"), F.lit("gone"), F.lit("x"))
+    merged = hashing.merged_map(base, F.create_map(F.lit("note"), F.lit("new")), ["gone"])
+    # Of an event without a type nothing is known to merge.
+    merged = F.when(F.col("event_type").isNotNull(), entries(merged))
+    return t.events.select(
+        "event_id", F.try_variant_get(F.parse_json("props"), "$.k", "bigint").alias("k"), hashing.canonical_json(raw).alias("canonical"), merged.alias("merged")
+    )
 
 
 def entries(column):
