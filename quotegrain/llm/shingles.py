@@ -1,6 +1,8 @@
 """Near copies by the Jaccard similarity of their word shingles, found completely.
 
-Texts are sets of five-word shingles. Of each set the first two fifths (and one) in hash order are counted over the whole table, and
+Texts are sets of five-word shingles. SimHash comes first (``simhash.links`` on fingerprints of the same shingles): each fingerprint meets its closest
+linked one and the texts of its own, and pairs that hold on the whole sets join before anything else. A fingerprint misses pairs at the similarity, so
+the rest is found by counting: of each set the first two fifths (and one) in hash order are counted over the whole table, and
 the shingles met more than once are stored as sorted hash arrays that the tasks map. Two sets at 0.8 or more share a known
 number of these first shingles, so each set keeps the rarest of them that a partner must meet at least once, and no list is
 needed for shingles met once: a text whose shingles are mostly its own has no list at all, whatever passages it shares. Sets of
@@ -21,12 +23,15 @@ from pyspark.sql import functions as F
 
 from quotegrain.llm.arrays import HashArrays, new_folder, pack, save, shard_of, smallest, unpack
 from quotegrain.llm.common import WordHash, each_batch, mixed, partitions, raw, rolling, staged
-from quotegrain.llm.simhash import components, first_of_each
+from quotegrain.llm.simhash import components, fingerprint, first_of_each
+from quotegrain.llm.simhash import links as simhash_links
 
 WIDTH = 5
 #: Similarity that links, as a fraction of whole numbers.
 SHARE, OF = 4, 5
 BASE = 0x9E3779B97F4A7C15
+#: Differing bits at which two SimHash fingerprints propose a pair.
+DISTANCE = 4
 #: One in so many shingles is counted beyond those that a similar set must meet.
 EXTRA = 5
 #: Bytes of text whose counted shingles make up one shard, and shingles that a task counts before it passes them on.
@@ -144,28 +149,30 @@ def _kept(head: np.ndarray, times: np.ndarray, n: int, least: LeastShared) -> np
 
 
 def prints(texts: DataFrame) -> DataFrame:
-    """(own_id, own_hash, fp, n, kept, sketch) per row of ``texts``: the key and size of its set, and its entries for the lists."""
+    """(own_id, own_hash, fp, n, code, kept, sketch) per row of ``texts``: key and size of its set, its SimHash, and its entries for the lists."""
     folder, bits = counted(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, table, least = WordHash(), HashArrays(folder, "repeated", bits), LeastShared()
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingles(t, codes) for t in raw(batch["text"])]
+            texts = raw(batch["text"])
+            sets = [shingles(t, codes) for t in texts]
             heads = [s[: head_size(len(s))] if len(s) else s for s in sets]
             _, (times,) = table.find(_cells(np.concatenate(heads)), ["n"])
             cuts = np.cumsum([0, *map(len, heads)])
             kept = [_kept(h, times[a:b], len(s), least) if len(s) else h for s, h, a, b in zip(sets, heads, cuts[:-1], cuts[1:], strict=True)]
             sketches = [sketch(s) if len(k) else np.zeros(0, np.int64) for s, k in zip(sets, kept, strict=True)]
             cols = [batch["own_id"], batch["own_hash"], pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
+            cols.append(pa.array(np.array([fingerprint(t, WIDTH) for t in texts], np.uint64).view(np.int64)))
             for lists in ([k.view(np.int64) for k in kept], sketches):
                 ends = pa.array(np.cumsum([0, *map(len, lists)]), pa.int32())
                 cols.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(lists))))
-            return pa.RecordBatch.from_arrays(cols, names=["own_id", "own_hash", "fp", "n", "kept", "sketch"])
+            return pa.RecordBatch.from_arrays(cols, names=["own_id", "own_hash", "fp", "n", "code", "kept", "sketch"])
 
         yield from each_batch(one)(batches)
 
-    return texts.mapInArrow(run, "own_id long, own_hash long, fp long, n long, kept array<long>, sketch array<long>")
+    return texts.mapInArrow(run, "own_id long, own_hash long, fp long, n long, code long, kept array<long>, sketch array<long>")
 
 
 def _lists(batches, keys: list[str], others: list[str]):
@@ -285,24 +292,43 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return staged(joined.select("a", "b", "own_a", "own_b").mapInArrow(each_batch(test), "a long, b long"))
 
 
+def joined(links: DataFrame) -> DataFrame:
+    """(node, root) of the sets of ``links``(a, b)."""
+    return staged(components(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), links))
+
+
 def _blocks(salt: int) -> Column:
     """Block of an entry in its list, by its key and a salt; lists of up to LIST_BLOCK entries have one."""
     return F.pmod(F.xxhash64("fp", F.lit(salt)), F.ceil(F.col("len") * F.when(F.col("len") > LIST_BLOCK, 2).otherwise(1) / LIST_BLOCK))
 
 
+def near_prints(rows: DataFrame) -> DataFrame:
+    """(a, b): pairs of sets that SimHash proposes: each with the first one of its fingerprint, and that with the first one of the closest
+    fingerprint linked to it. At most two pairs for each set, however large a group is.
+    """
+    codes = staged(rows.groupBy("fp").agg(F.min("code").alias("code")))
+    first = codes.groupBy("code").agg(F.min("fp").alias("first"))
+    linked = simhash_links(codes.select(F.col("code").alias("fp")), DISTANCE)
+    far = F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
+    # Links point to the lesser fingerprint, so those chosen make trees.
+    closest = linked.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).groupBy("x").agg(F.min_by("y", F.struct(far, "y")).alias("y"))
+    ends = closest.join(first.select(F.col("code").alias("x"), F.col("first").alias("fp")), "x").join(first.select(F.col("code").alias("y"), F.col("first").alias("other")), "y")
+    same = codes.join(first, "code").where("fp <> first").select("fp", F.col("first").alias("other"))
+    return ends.select("fp", "other").unionByName(same).select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
+
+
 def grouped(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """(fp, root): the component of every distinct set of ``rows``(fp, n, kept, sketch) over all pairs at the similarity or more."""
+    """(fp, root): the component of every distinct set of ``rows``(fp, n, code, kept, sketch) over all pairs at the similarity or more."""
     spark = rows.sparkSession
     parts = partitions(spark)
     sets = rows.where(F.size("kept") > 0).groupBy("fp").agg(F.first("n").alias("n"), F.first("kept").alias("kept"), F.first("sketch").alias("sketch"))
     entries = sets.select("fp", "n", *(F.col("sketch")[k].alias(s) for k, s in enumerate(SKETCHED)), F.explode("kept").alias("shingle"))
     lengths = sets.select(F.explode("kept").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("len")).where("len > 1")
     entries = staged(entries.join(lengths, "shingle"))
-    links, comps = None, None
+    links = verified(near_prints(rows), texts)
+    comps = joined(links)
 
     def listed() -> DataFrame:
-        if comps is None:
-            return entries.withColumn("comp", F.col("fp"))
         return entries.join(comps.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("comp", F.coalesce("root", "fp")).drop("root")
 
     for salt in range(ROUNDS):
@@ -310,10 +336,8 @@ def grouped(rows: DataFrame, texts: DataFrame) -> DataFrame:
         found = listed().withColumn("part", _blocks(salt)).select(*order, "n", *SKETCHED)
         found = found.repartition(parts, "shingle", "part").sortWithinPartitions(*order).mapInArrow(_partners, "fp long, other long")
         met = found.groupBy("fp", "other").agg(F.count(F.lit(1)).alias("met")).groupBy("fp").agg(F.max_by("other", F.struct("met", "other")).alias("other"))
-        new = verified(met.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct(), texts)
-        links = new if links is None else links.unionByName(new)
-        own = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        comps = staged(components(own, links))
+        links = links.unionByName(verified(met.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct(), texts))
+        comps = joined(links)
     # What is left: every pair of different components in a list. Long lists meet block by block.
     left = listed().withColumn("own", _blocks(ROUNDS)).withColumn("blocks", F.ceil(F.col("len") * F.when(F.col("len") > LIST_BLOCK, 2).otherwise(1) / LIST_BLOCK))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
