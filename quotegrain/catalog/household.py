@@ -95,7 +95,8 @@ WITH rx AS ({RX_SQL}), {MATRIX_SQL}, d AS (SELECT DISTINCT * FROM quotes)
 SELECT line_id, medication_id, pharmacy, CAST(price AS DOUBLE) AS price,
   ROW_NUMBER() OVER (PARTITION BY prescription_id, line_id, medication_id ORDER BY price, position) AS rank FROM d""")
 def rank_quotes(t):
-    quotes = matrix(t).select(*LINE, "position", "pharmacy", "price").distinct()
+    # A medication's quotes differ among themselves, so lines that differ give quotes that differ.
+    quotes = plan.quote_matrix(rx(t).select(*LINE).distinct(), plan.seller_quotes(enriched(t)))
     ranked = plan.rank_quotes(quotes, LINE)
     return ranked.select("line_id", "medication_id", "pharmacy", F.col("price").cast("double").alias("price"), "rank")
 
