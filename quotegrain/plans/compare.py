@@ -66,7 +66,13 @@ def _price(model: Supplier, days: int, program: dict[int, int], program_supplier
 
 
 def modelled_prices(strengths: DataFrame, suppliers=SUPPLIERS, days=DAYS_SUPPLY, program=PROGRAM_CENTS) -> DataFrame:
-    """One row per strength, supplier and tier, made inside the row."""
+    """One row per strength, supplier and tier, made inside the row.
+
+    A small file of strengths is one task, and what it makes is sorted there before it is grouped; so strengths are dealt out by their
+    content first, in as many parts as the session has for shuffles.
+    """
+    parts = int(strengths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    strengths = strengths.repartition(parts, *strengths.columns)
     offers = [
         F.struct(F.lit(s).alias("supplier_pos"), F.lit(d).alias("tier_pos"), _price(model, tier, program, PROGRAM_SUPPLIER).alias("q"))
         for s, model in enumerate(suppliers)
