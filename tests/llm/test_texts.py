@@ -429,8 +429,12 @@ def test_sql_twins(spark, tmp_path):
 
     rows = [r for r in ROWS if r["doc_id"] is not None][:-1]
     fixtures.frame(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    rng = random.Random(6)
+    vectors = [(k, [rng.gauss(0, 1) for _ in range(32)], k % 3 if k % 5 else None) for k in range(100)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
     for name, text in queries.ORACLES.items():
         df = queries.QUERIES[name](spark, str(tmp_path))
         cursor = con.execute(text)
