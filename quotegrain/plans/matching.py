@@ -99,7 +99,8 @@ def scored_search(catalog: DataFrame, queries: DataFrame, top: int) -> DataFrame
 
     Distinct names and brands are listed under their runs of one to three characters. A query is looked up on the rarest of its own runs of three, on
     itself if it is shorter, so the list it meets is the shortest that can hold its matches, and a query with a run that no text has
-    meets nothing. Equal queries are answered once. The full test follows; the rank limit is applied before the last shuffle too.
+    meets nothing. Equal queries are answered once. The full test follows. Rows of one name and brand score alike, so a query meets only the
+    first ``top`` of them; the rank limit is applied before the last shuffle too.
     """
     texts = catalog.select(
         "medication_id", "name", text.catalog_text(F.col("name")).alias("n"),
@@ -114,7 +115,9 @@ def scored_search(catalog: DataFrame, queries: DataFrame, top: int) -> DataFrame
     rarest = met.groupBy("q", "need").agg(F.min_by("run", F.struct("length", "run")).alias("run"), F.count(F.lit(1)).alias("have")).where("have = need")
     score = paging.search_score(F.col("n"), F.col("b"), F.col("q"))
     scored = rarest.select("q", "run").join(listed, "run").withColumn("score", score).where("score IS NOT NULL")
-    hits = scored.select("q", "n", "b", "score").join(texts, ["n", "b"])
+    alike = Window.partitionBy("n", "b").orderBy("name", "medication_id")
+    first = texts.withColumn("_nth", F.row_number().over(alike)).where(F.col("_nth") <= top).drop("_nth")
+    hits = scored.select("q", "n", "b", "score").join(first, ["n", "b"])
     order = Window.partitionBy("q").orderBy("score", "name", "medication_id")
     best = hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
     return asked.join(best, "q").select("query_id", "medication_id", "name", "score", "place")
