@@ -144,8 +144,8 @@ SELECT page_id, CASE WHEN page_id % 13 = 0 THEN 'sku_mismatch' WHEN page_id % 17
   CASE WHEN page_id % 17 = 0 THEN '' ELSE '30:' || CAST(1000 + p_size AS VARCHAR) || ':in_stock,90:2500:' || CASE WHEN page_id % 2 = 0 THEN 'out_of_stock' ELSE 'unknown' END END AS tiers FROM s"""
 
 
-def product_snapshots(t):
-    snap = t.sql(SNAP_SQL)
+def product_snapshots(t, deal=()):
+    snap = t.sql(SNAP_SQL, deal)
     p = F.col("page_id")
     offer = lambda q, price, stock: F.struct(F.lit(q).alias("quantity"), price.alias("price"), F.when(p % 19 == 0, "EUR").otherwise("USD").alias("currency"), stock.alias("availability"))
     first = F.concat(F.lit("10."), F.lpad(F.col("p_size").cast("string"), 2, "0"))
@@ -176,7 +176,7 @@ def product_offers(t):
 @query("captured_offers", "SRC-04", "OBS-01", oracle=PRODUCT_OFFERS_SQL)
 def captured_offers(t):
     """The same products as whole pages: parsed, then read as offers."""
-    rows = product_snapshots(t)
+    rows = product_snapshots(t, deal=("part",))
     offer = lambda o: F.struct(
         o["price"].alias("price"), o["currency"].alias("priceCurrency"), o["availability"].alias("availability"), F.struct(o["quantity"].alias("value")).alias("eligibleQuantity"))
     product = F.to_json(F.struct(F.lit("Product").alias("@type"), "sku", "name", F.transform("offers", offer).alias("offers")))
