@@ -124,7 +124,7 @@ SEARCH_SQL = """SELECT p_partkey AS request_id, p_name AS medicine, CASE WHEN p_
 SELECT p_partkey AS request_id, CASE WHEN p_size % 2 = 0 AND p_size % 3 = 0 THEN p_name || ' 10 MG' ELSE p_name || CASE WHEN p_size % 3 = 0 THEN ' 20mg' ELSE ' 10-mg' END END AS title,
   CASE WHEN p_size % 2 = 0 AND p_size % 3 = 0 THEN 'https://shop.example.com/q/' ELSE 'https://www.shop.example.com/p/' END || CAST(p_partkey AS VARCHAR) AS url FROM part""")
 def listing_from_search(t):
-    return plan.listing_from_search(t.sql(SEARCH_SQL), "shop.example.com")
+    return plan.listing_from_search(t.sql(SEARCH_SQL, deal=("part",)), "shop.example.com")
 
 
 @query("cash_price", "RSH-03", "SCL-23", oracle="""
