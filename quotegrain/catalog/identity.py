@@ -36,7 +36,7 @@ SELECT LPAD(CAST(p_partkey AS VARCHAR(11)), 11, '0') AS ndc, rxcui FROM (
 
 
 def raw_identities(t):
-    rows = t.sql(RAW_SQL)
+    rows = t.sql(RAW_SQL, deal=("part",))
     species = F.when(F.col("veterinary"), F.array(F.lit("dog"))).otherwise(F.array().cast("array<string>"))
     return rows.withColumn("species", species).drop("veterinary")
 

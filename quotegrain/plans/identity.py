@@ -251,11 +251,11 @@ def candidates(
         .where(F.col("_known") == F.size("name_tokens"))
     )
     held = rarest.join(postings, "word").where(text.subset(F.col("name_tokens"), F.col("concept_tokens")))
-    by_name = asked.select("input_hash", "norm_name").join(held.select("norm_name", "rxcui"), "norm_name").select(
-        "input_hash", "rxcui", F.lit(4).alias("rank")
-    )
     found = by_code.unionByName(by_text).unionByName(by_words)
     if approximate:
+        # Only inputs that nothing better found are looked up by name: a name may meet very many concepts.
+        left = asked.select("input_hash", "norm_name").join(found.select("input_hash").distinct(), "input_hash", "left_anti")
+        by_name = left.join(held.select("norm_name", "rxcui"), "norm_name").select("input_hash", "rxcui", F.lit(4).alias("rank"))
         found = found.unionByName(by_name)
     best = found.groupBy("input_hash").agg(F.min("rank").alias("rank"))
     method = text.lookup(
