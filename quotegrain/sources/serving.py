@@ -11,12 +11,14 @@ from __future__ import annotations
 import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quotegrain.plans import offers as plan
 from quotegrain.session import shared_dir
+from quotegrain.sources.bridge import VIEWS
 
 #: Bytes of input per bucket.
-BUCKET_BYTES = 256 << 20
+BUCKET_BYTES = 32 << 20
 LEAST_BUCKETS = 8
 
 
@@ -27,9 +29,16 @@ def _files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
 
 
 def write(offers: DataFrame, listings: DataFrame, sources: DataFrame, name: str, path: str, buckets: int) -> None:
-    """Save the enriched offers as table ``name`` with files under ``path``, one file per bucket."""
-    held = plan.listings_with_offers(offers, listings, sources)
-    held.repartition(buckets, "medication_id").write.option("path", path).bucketBy(buckets, "medication_id").sortBy("medication_id").saveAsTable(name)
+    """Save the enriched offers as table ``name`` with files under ``path``, one file per bucket.
+
+    ``offers`` as they are observed; what follows from an offer itself is added once the rows lie in their buckets, so that it is never shuffled.
+    """
+    held = plan.listings_with_offers(offers.withColumn("_offered", F.lit(True)), listings, sources).repartition(buckets, "medication_id")
+    added = [c for c in held.columns if c not in offers.columns]
+    full = offers.sparkSession.sql(VIEWS["b_offer_rows"].replace("FROM b_offers", f", {', '.join(added)} FROM {{held}}"), held=held)
+    derived = [c for c in full.columns if c not in held.columns]
+    rows = full.withColumns({c: F.when(F.col("_offered"), F.col(c)) for c in derived}).drop("_offered")
+    rows.write.option("path", path).bucketBy(buckets, "medication_id").sortBy("medication_id").saveAsTable(name)
 
 
 def rows(t) -> DataFrame:
@@ -41,5 +50,5 @@ def rows(t) -> DataFrame:
     if not spark.catalog.tableExists(name):
         size = sum(length for _, length, _ in files)
         path = f"{shared_dir(spark).rstrip('/')}/quotegrain-serving/{mark}"
-        write(t.offer_rows, t.listings, t.sources, name, path, max(LEAST_BUCKETS, -(-size // BUCKET_BYTES)))
+        write(t.offers, t.listings, t.sources, name, path, max(LEAST_BUCKETS, -(-size // BUCKET_BYTES)))
     return spark.table(name)
