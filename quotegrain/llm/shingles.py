@@ -7,8 +7,9 @@ the shingles met more than once are stored as sorted hash arrays that the tasks
 number of these first shingles, so each set keeps the rarest of them that a partner must meet at least once, and no list is
 needed for shingles met once: a text whose shingles are mostly its own has no list at all, whatever passages it shares. Sets of
 one list are first tied to one partner each and tested, twice, so that a large group of near copies is one component after a few pairs
-per set; what is left to be proposed are pairs of different components. A pair is proposed if sizes and parity sketches allow the
-similarity (neither rules out a similar pair), and every proposed pair is tested on the whole sets.
+per set. What is left are pairs of different components, allowed by sizes and parity sketches (neither rules out a similar pair). A list looks at a pair
+only if no shingle shortly before in both sets has its list too, and passes on entries, one for each set with such a pair, never the pairs. The
+whole sets are brought to those entries, every such pair is tested there, and only links that join components leave.
 """
 
 from __future__ import annotations
@@ -44,6 +45,10 @@ SKETCH = 8
 LIST_BLOCK = 4096
 #: Rounds that tie sets to one partner each before all pairs of components are proposed.
 ROUNDS = 2
+#: Shingles before that of a list that an entry carries, to tell pairs that an earlier list has met.
+BEFORE = 4
+#: Shingles of the whole sets that are tested against one another in one piece.
+PIECE = 1 << 21
 #: Bits of the filter by which tasks pass over texts of no pair.
 FILTER = 1 << 22
 
@@ -216,6 +221,11 @@ def _batched(rows, names: list[str]):
 
 
 SKETCHED = [f"s{k}" for k in range(SKETCH)]
+EARLIER = [f"e{k}" for k in range(BEFORE)]
+#: An entry of a list: size, component, set, its block and piece, the place of the shingle in the set's order, shingles before it, sketch.
+ENTRY = ["n", "comp", "fp", "own", "piece", "place", *EARLIER, *SKETCHED]
+#: A block of a list, and two pieces of the block.
+BLOCK, PIECES = ["shingle", "i", "j"], ["p", "q"]
 
 
 def _possible(na, nb, sketch_a: np.ndarray, sketch_b: np.ndarray) -> np.ndarray:
@@ -243,34 +253,84 @@ def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rows[ok, 3]), pa.array(hubs[ok, 3])], names=["fp", "other"])
 
 
-def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): possible pairs of different components in each pair of blocks of a list."""
+def _candidates(entries: list[np.ndarray], blocks: bool, pieces: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """(k, others): possible pairs of different components among entries sorted by size that met in no list shortly before.
+
+    All sets keep their shingles in one order, so the first list that two sets share never passes over them. ``blocks`` and
+    ``pieces`` ask for pairs across the two blocks or pieces only.
+    """
+    n, comp, _, own, piece, place = entries[:6]
+    if (comp == comp[0]).all():
+        return
+    earlier, marks = np.stack(entries[6 : 6 + BEFORE], 1), np.stack(entries[6 + BEFORE : 6 + BEFORE + SKETCH], 1)
+    # Sorted by size: partners of an entry are the next ones up to 5 / 4 of its size.
+    ends = np.searchsorted(SHARE * n, OF * n, side="right")
+    for k, end in enumerate(ends.tolist()):
+        at = slice(k + 1, end)
+        apart = comp[at] != comp[k]
+        if blocks:
+            apart &= own[at] != own[k]
+        if pieces:
+            apart &= piece[at] != piece[k]
+        if apart.any():
+            at = np.flatnonzero(apart) + k + 1
+            at = at[_possible(n[at], n[k], marks[at], marks[k])]
+            if place[k] and len(at):
+                met = (earlier[at][:, :, None] == earlier[k]).any((1, 2)) & (place[at] > 0)
+                at = at[~met]
+            if len(at):
+                yield k, at
+
+
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries of a pair of blocks that have a candidate, once for each piece of the block that has one."""
+
+    def rows():
+        for key, entries in _lists(batches, BLOCK, ENTRY):
+            entries[4] = piece = np.cumsum(entries[0]) // PIECE
+            piece -= piece[0]
+            has = np.zeros((len(piece), int(piece[-1]) + 1), bool)
+            for k, at in _candidates(entries, key[1] != key[2], False):
+                has[k, piece[at]] = True
+                has[at, piece[k]] = True
+            at, other = np.nonzero(has)
+            if len(at):
+                mine = piece[at]
+                yield *(np.full(len(at), x) for x in key), np.minimum(mine, other), np.maximum(mine, other), *(c[at] for c in entries)
+
+    return _batched(rows(), [*BLOCK, *PIECES, *ENTRY])
+
+
+def _tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): candidates whose whole sets are similar; of those in two pieces only links that join components not joined yet."""
 
     def rows():
-        for (_, i, j), (n, comp, fp, own, *sketches) in _lists(batches, ["shingle", "i", "j"], ["n", "comp", "fp", "own", *SKETCHED]):
-            if (comp == comp[0]).all():
-                continue
-            marks = np.stack(sketches, 1)
-            # Sorted by size: partners of an entry are the next ones up to 5 / 4 of its size.
-            ends = np.searchsorted(SHARE * n, OF * n, side="right")
-            for k, end in enumerate(ends.tolist()):
-                at = slice(k + 1, end)
-                apart = comp[at] != comp[k]
-                if i != j:
-                    apart &= own[at] != own[k]
-                if apart.any():
-                    at = np.flatnonzero(apart) + k + 1
-                    at = at[_possible(n[at], n[k], marks[at], marks[k])]
-                    if len(at):
-                        yield np.minimum(fp[at], fp[k]), np.maximum(fp[at], fp[k])
+        for (_, i, j, p, q), (*entries, sets) in _lists(batches, [*BLOCK, *PIECES], [*ENTRY, "set"]):
+            comp, fp = entries[1].tolist(), entries[2]
+            root = {c: c for c in comp}
+
+            def top(c):
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            whole = [np.frombuffer(x, np.uint64) for x in sets]
+            a, b = [], []
+            for k, at in _candidates(entries, i != j, p != q):
+                for other in at.tolist():
+                    x, y = top(comp[k]), top(comp[other])
+                    if x != y and similar(whole[k], whole[other]):
+                        root[x] = y
+                        a.append(fp[k])
+                        b.append(fp[other])
+            if a:
+                yield np.minimum(a, b), np.maximum(a, b)
 
     return _batched(rows(), ["a", "b"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs of ``pairs``(a, b) whose sets are similar, tested on the whole sets."""
-    pairs = staged(pairs.select("a", "b"))
-    keys = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+def whole_sets(keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """(fp, own): the whole sets of ``keys``(fp), distinct, from their texts."""
     marks = keys.select(F.pmod("fp", F.lit(FILTER)).alias("m")).distinct().toArrow()["m"].to_numpy()
     wanted = np.zeros(FILTER, bool)
     wanted[marks] = True
@@ -282,12 +342,20 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         sets = [(k, s) for k, s in sets if known[k % FILTER]]
         return pa.RecordBatch.from_arrays([pa.array([k for k, _ in sets], pa.int64()), pa.array([s for _, s in sets], pa.binary())], names=["fp", "own"])
 
+    return staged(texts.mapInArrow(each_batch(run), "fp long, own binary").join(keys, "fp", "left_semi").dropDuplicates(["fp"]))
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs of ``pairs``(a, b) whose sets are similar, tested on the whole sets."""
+    pairs = staged(pairs.select("a", "b"))
+    keys = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+
     def test(batch: pa.RecordBatch) -> pa.RecordBatch:
         both = zip(batch["own_a"].to_pylist(), batch["own_b"].to_pylist(), strict=True)
         ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in both]
         return batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    sets = staged(texts.mapInArrow(each_batch(run), "fp long, own binary").join(keys, "fp", "left_semi").dropDuplicates(["fp"]))
+    sets = whole_sets(keys, texts)
     joined = pairs.join(sets.select(F.col("fp").alias("a"), F.col("own").alias("own_a")), "a").join(sets.select(F.col("fp").alias("b"), F.col("own").alias("own_b")), "b")
     return staged(joined.select("a", "b", "own_a", "own_b").mapInArrow(each_batch(test), "a long, b long"))
 
@@ -317,14 +385,39 @@ def near_prints(rows: DataFrame) -> DataFrame:
     return ends.select("fp", "other").unionByName(same).select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
 
 
+def list_entries(rows: DataFrame) -> DataFrame:
+    """(fp, n, sketch, place, shingle, shingles before, len): the distinct sets of ``rows`` under each shingle that another set keeps too."""
+    sets = rows.where(F.size("kept") > 0).groupBy("fp").agg(F.first("n").alias("n"), F.first("kept").alias("kept"), F.first("sketch").alias("sketch"))
+    # One row per shingle: its place in the set's order, and the ones before it (the first one where there are fewer).
+    place = F.transform("kept", lambda x, k: F.struct(k.alias("place"), x.alias("shingle"), *(
+        F.col("kept")[F.greatest(k - 1 - back, F.lit(0))].alias(e) for back, e in enumerate(EARLIER))))
+    entries = sets.select("fp", "n", *(F.col("sketch")[k].alias(s) for k, s in enumerate(SKETCHED)), F.inline(place))
+    lengths = sets.select(F.explode("kept").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("len")).where("len > 1")
+    return entries.join(lengths, "shingle")
+
+
+def open_entries(listed: DataFrame) -> DataFrame:
+    """The entries of ``listed`` that have a candidate for a link of two components. Long lists meet block by block."""
+    blocks = F.ceil(F.col("len") * F.when(F.col("len") > LIST_BLOCK, 2).otherwise(1) / LIST_BLOCK)
+    left = listed.withColumn("own", _blocks(ROUNDS)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    left = left.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "piece": F.lit(0).cast("long"), "place": F.col("place").cast("long")})
+    left = left.select(*BLOCK, *ENTRY).repartition(partitions(listed.sparkSession), *BLOCK).sortWithinPartitions(*BLOCK, "n", "fp")
+    return left.mapInArrow(_open, ", ".join(f"{c} long" for c in [*BLOCK, *PIECES, *ENTRY]))
+
+
+def linked(entries: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links among ``open_entries`` that join every two components with a similar pair, each pair tested on the whole sets."""
+    sets = whole_sets(entries.select("fp").distinct(), texts).select("fp", F.col("own").alias("set"))
+    keys = [*BLOCK, *PIECES]
+    met = entries.join(sets, "fp").select(*keys, *ENTRY, "set").repartition(partitions(entries.sparkSession), *keys).sortWithinPartitions(*keys, "n", "fp")
+    return staged(met.mapInArrow(_tested, "a long, b long").distinct())
+
+
 def grouped(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """(fp, root): the component of every distinct set of ``rows``(fp, n, code, kept, sketch) over all pairs at the similarity or more."""
     spark = rows.sparkSession
     parts = partitions(spark)
-    sets = rows.where(F.size("kept") > 0).groupBy("fp").agg(F.first("n").alias("n"), F.first("kept").alias("kept"), F.first("sketch").alias("sketch"))
-    entries = sets.select("fp", "n", *(F.col("sketch")[k].alias(s) for k, s in enumerate(SKETCHED)), F.explode("kept").alias("shingle"))
-    lengths = sets.select(F.explode("kept").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("len")).where("len > 1")
-    entries = staged(entries.join(lengths, "shingle"))
+    entries = staged(list_entries(rows))
     links = verified(near_prints(rows), texts)
     comps = joined(links)
 
@@ -332,18 +425,14 @@ def grouped(rows: DataFrame, texts: DataFrame) -> DataFrame:
         return entries.join(comps.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("comp", F.coalesce("root", "fp")).drop("root")
 
     for salt in range(ROUNDS):
-        order = ["shingle", "part", "comp", "fp"]
-        found = listed().withColumn("part", _blocks(salt)).select(*order, "n", *SKETCHED)
+        # Another order of components each round, so that a set whose partner was not similar meets another one.
+        order = ["shingle", "part", F.xxhash64("comp", F.lit(salt)), "comp", "fp"]
+        found = listed().withColumn("part", _blocks(salt)).select("shingle", "part", "comp", "fp", "n", *SKETCHED)
         found = found.repartition(parts, "shingle", "part").sortWithinPartitions(*order).mapInArrow(_partners, "fp long, other long")
         met = found.groupBy("fp", "other").agg(F.count(F.lit(1)).alias("met")).groupBy("fp").agg(F.max_by("other", F.struct("met", "other")).alias("other"))
         links = links.unionByName(verified(met.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct(), texts))
         comps = joined(links)
-    # What is left: every pair of different components in a list. Long lists meet block by block.
-    left = listed().withColumn("own", _blocks(ROUNDS)).withColumn("blocks", F.ceil(F.col("len") * F.when(F.col("len") > LIST_BLOCK, 2).otherwise(1) / LIST_BLOCK))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "n", "comp", "fp", "own", *SKETCHED)
-    pairs = left.repartition(parts, "shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", "n", "fp").mapInArrow(_paired, "a long, b long")
-    rest = verified(pairs.distinct(), texts)
+    rest = linked(staged(open_entries(listed())), texts)
     return components(rows.select(F.col("fp").alias("node")).distinct(), links.unionByName(rest)).select(F.col("node").alias("fp"), "root")
 
 
